@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid
 from .common import documents, shared_dir
+from .linedup import drop_repeats
 from .media import store_media
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -28,6 +30,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(documents(spark, sf_dir)).select("doc_id", "text", "removed_chunks", "removed_lines")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs, ~langid.held_out())
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "lang_rejected")
+
+
 def op7_suffix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(documents(spark, sf_dir))
     length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -48,6 +60,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_line_chunks": op3_line_chunks,
+    "op4_language_id": op4_language_id,
     "op7_suffix_blocks": op7_suffix_blocks,
     "op8_simhash_bktree": op8_simhash_bktree,
     "op10_media_columns": op10_media_columns,
