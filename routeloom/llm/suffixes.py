@@ -21,7 +21,7 @@ with a smaller id; strings are judged on the input.
 
 Defined results: a null text is empty; texts under ``SPAN`` bytes stay; of equal texts
 the smallest id keeps its bytes; rows that repeat an id count as one document, as they
-are no smaller than themselves; an empty table gives no rows; other columns are ignored.
+are no smaller than themselves; a null id is the smallest; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ BASE = 0x9E3779B97F4A7C15
 ANCHOR_BUCKET_BYTES = 1 << 24
 SUFFIX_BUCKET_BYTES = 1 << 22
 BLOCK_BYTES = 32 << 20
+NO_ID = -(1 << 63)
 #: A perfect difference set modulo 31.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 PREFIX_WORDS = 4
@@ -260,7 +261,7 @@ def _send_units(n_buckets: int, block_bytes: int):
         for bucket, by_text in found.items():
             places = list(by_text.values())
             rows.append((
-                bucket, b"".join(by_text), np.array([len(t) for t in by_text], "<u4").tobytes(), np.array([len(p) // 2 for p in places], "<u4").tobytes(),
+                bucket, zlib.compress(b"".join(by_text), 1), np.array([len(t) for t in by_text], "<u4").tobytes(), np.array([len(p) // 2 for p in places], "<u4").tobytes(),
                 np.array([d for p in places for d in p[::2]], "<i8").tobytes(), np.array([a for p in places for a in p[1::2]], "<i8").tobytes(),
             ))
         kinds = [pa.int64()] + [pa.binary()] * 5
@@ -391,7 +392,7 @@ def _spans_of_bucket(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     holder, doc, at = [], [], []
     for _, texts, lengths, holders, docs, places in rows:
         ends = np.cumsum(np.frombuffer(lengths, "<u4")).tolist()
-        own, s = [], 0
+        texts, own, s = zlib.decompress(texts), [], 0
         for e in ends:
             own.append(known.setdefault(texts[s:e], len(known)))
             s = e
@@ -469,7 +470,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, suffix_bucket_bytes: int = SUFFIX_BUCKET_BYTES) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``removed`` (runs of bytes) and ``kept`` (the other bytes) of each row."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    # an id that is never null keeps a filter out of the first join, so that both joins share one exchange of the texts
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_anchor, n_suffix = max(least, total // ANCHOR_BUCKET_BYTES), max(least, total // suffix_bucket_bytes)
@@ -480,4 +482,5 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, suffix_bucke
     spans = found.repartition(n_suffix, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, SPAN_SCHEMA)
     gone = spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
     schema = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
-    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove, schema)
+    out = docs.join(gone, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove, schema)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
