@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import langid
 from .common import documents, shared_dir
+from .iblt import fingerprint_edits
 from .linedup import drop_repeats
 from .media import store_media
 from .packing import pack_documents
@@ -53,6 +54,11 @@ def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_iblt_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    return fingerprint_edits(documents(spark, sf_dir)).select(*columns)
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_media(documents(spark, sf_dir), f"{shared_dir(spark)}/media")
     return stored.withColumn("media_bytes", F.col("length"))
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op7_suffix_blocks": op7_suffix_blocks,
     "op8_simhash_bktree": op8_simhash_bktree,
+    "op9_iblt_sketch": op9_iblt_sketch,
     "op10_media_columns": op10_media_columns,
 }
 
