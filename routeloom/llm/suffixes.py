@@ -128,7 +128,7 @@ def buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         return np.frombuffer(b"".join(parts), np.uint8), ends - lengths, ends, np.array(ids, np.int64), np.array(offsets, np.int64), more
 
     for batch in batches:
-        further = [c.to_pylist() for c in batch.columns[2:]]
+        further = batch.columns[2:]
         for row, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
             data = (text.as_py() or "").encode()
             for at in range(0, len(data) - SPAN + 1, PIECE - SPAN + 1):
@@ -161,17 +161,8 @@ def _unsix(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
-ANCHOR_SCHEMA = "bucket long, doc_id long, anchors binary, docs binary"
-ANSWER_SCHEMA = "doc_id long, anchors binary"
-
-
-def _answers(docs: np.ndarray, anchors: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(docs, kind="stable")
-    docs, anchors = docs[order], anchors[order]
-    edges = runs(docs)
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if b > a:
-            yield int(docs[a]), _six(anchors[a:b])
+ANCHOR_SCHEMA = "bucket long, answered boolean, anchors binary, docs binary"
+ANSWER_SCHEMA = "doc_id long, anchor long"
 
 
 def _send_anchors(n_buckets: int, block_bytes: int):
@@ -187,7 +178,7 @@ def _send_anchors(n_buckets: int, block_bytes: int):
         edges = runs(anchor)
         counts = np.diff(edges)
         many = np.repeat(counts > 1, counts)
-        rows = [(d % n_buckets, d, a, None) for d, a in _answers(doc[many], anchor[many])]
+        rows = [(int(anchor[0] % np.uint64(n_buckets)), True, _six(anchor[many]), zlib.compress(doc[many].tobytes(), 1))]
         # the highest bit of an entry's document delta tells whether its block has answered
         anchor, doc, told = anchor[edges[:-1]], doc[edges[:-1]], counts > 1
         bucket = (anchor % np.uint64(n_buckets)).astype(np.int64)
@@ -197,9 +188,9 @@ def _send_anchors(n_buckets: int, block_bytes: int):
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if b > a:
                 delta = np.diff(doc[a:b], prepend=0)
-                rows.append((int(bucket[a]), None, _six(anchor[a:b]), zlib.compress(delta.tobytes() + told[a:b].tobytes(), 1)))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "doc_id", "anchors", "docs"])
+                rows.append((int(bucket[a]), False, _six(anchor[a:b]), zlib.compress(delta.tobytes() + told[a:b].tobytes(), 1)))
+        kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "answered", "anchors", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, docs, size = [], [], 0
@@ -231,23 +222,29 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each repeating anchor of a document."""
+
+    def answer(doc: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(anchor.astype(np.int64))], ["doc_id", "anchor"])
+
     for rows in _by_bucket(batches):
-        out = [(r[1], r[2]) for r in rows if r[3] is None]
-        sent = [r for r in rows if r[3] is not None]
-        if sent:
-            anchor, docs, told = np.concatenate([_unsix(r[2]) for r in sent]), [], []
-            for r in sent:
-                raw, n = zlib.decompress(r[3]), len(r[2]) // 6
-                docs.append(np.cumsum(np.frombuffer(raw, np.int64, n)))
-                told.append(np.frombuffer(raw, bool, n, 8 * n))
-            doc, told = np.concatenate(docs), np.concatenate(told)
+        anchors, docs, told = [], [], []
+        for _, answered, packed, held in rows:
+            anchor, raw = _unsix(packed), zlib.decompress(held)
+            doc = np.frombuffer(raw, np.int64, len(anchor))
+            if answered:
+                yield answer(doc, anchor)
+            else:
+                anchors.append(anchor)
+                docs.append(np.cumsum(doc))
+                told.append(np.frombuffer(raw, bool, len(anchor), 8 * len(anchor)))
+        if anchors:
+            anchor, doc, known = np.concatenate(anchors), np.concatenate(docs), np.concatenate(told)
             order = np.argsort(anchor, kind="stable")
-            anchor, doc, told = anchor[order], doc[order], told[order]
+            anchor = anchor[order]
             counts = np.diff(runs(anchor))
-            want = np.repeat(counts > 1, counts) & ~told
-            out += list(_answers(doc[want], anchor[want]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["doc_id", "anchors"])
+            want = np.repeat(counts > 1, counts) & ~known[order]
+            yield answer(doc[order][want], anchor[want])
 
 
 UNIT_SCHEMA = "bucket long, texts binary, lengths binary, holders binary, docs binary, at binary"
@@ -275,9 +272,9 @@ def _send_units(n_buckets: int, block_bytes: int):
             piece, first, count, anchor = units(data, starts, ends)
             keep = np.zeros(len(piece), bool)
             edges = np.searchsorted(piece, np.arange(len(ids) + 1))
-            for k, (blobs,) in enumerate(more):
+            for k, (repeating,) in enumerate(more):
                 a, b = edges[k], edges[k + 1]
-                keep[a:b] = np.isin(anchor[a:b], np.concatenate([_unsix(x) for x in blobs]))
+                keep[a:b] = np.isin(anchor[a:b], np.asarray(repeating.values).astype(np.uint64))
             piece, first, count, anchor = piece[keep], first[keep], count[keep], anchor[keep]
             raw = data.tobytes()
             bucket = (anchor % np.uint64(n_buckets)).astype(np.int64).tolist()
@@ -477,7 +474,7 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, suffix_bucke
     n_anchor, n_suffix = max(least, total // ANCHOR_BUCKET_BYTES), max(least, total // suffix_bucket_bytes)
     sent = docs.mapInArrow(_send_anchors(n_anchor, block_bytes), ANCHOR_SCHEMA)
     answers = sent.repartition(n_anchor, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_anchors, ANSWER_SCHEMA)
-    asked = docs.join(answers.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors")), "doc_id")
+    asked = docs.join(answers.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "doc_id")
     found = asked.mapInArrow(_send_units(n_suffix, block_bytes // 4), UNIT_SCHEMA)
     spans = found.repartition(n_suffix, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, SPAN_SCHEMA)
     gone = spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
