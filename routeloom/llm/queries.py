@@ -13,7 +13,12 @@ from .common import documents, shared_dir
 from .iblt import fingerprint_edits
 from .linedup import drop_repeats
 from .media import store_media
+from .mixing import mix
+from .mixing import oracle as mixing_oracle
 from .packing import pack_documents
+from .pii import replace_entities
+from .preferences import ORACLE as PREFERENCES_ORACLE
+from .preferences import answer_pairs, format_preferences
 from .simhash import near_duplicates
 from .suffixes import remove_repeats
 
@@ -27,6 +32,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: The key of the surrogates in the registered query; a corpus of one's own takes a secret one.
+PII_KEY = os.environ.get("ROUTELOOM_PII_KEY", "example-key")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = mix(documents(spark, sf_dir))
+    return kept.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer_path())
 
@@ -41,6 +55,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "lang_rejected")
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(documents(spark, sf_dir), PII_KEY).select("doc_id", "text", "n_entities")
+
+
+def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_preferences(answer_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op7_suffix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(documents(spark, sf_dir))
     length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -65,13 +87,16 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op3_line_chunks": op3_line_chunks,
     "op4_language_id": op4_language_id,
+    "op5_pii_surrogates": op5_pii_surrogates,
+    "op6_preferences": op6_preferences,
     "op7_suffix_blocks": op7_suffix_blocks,
     "op8_simhash_bktree": op8_simhash_bktree,
     "op9_iblt_sketch": op9_iblt_sketch,
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mixing": mixing_oracle(), "op6_preferences": PREFERENCES_ORACLE}
