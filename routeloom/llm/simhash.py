@@ -25,7 +25,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -41,25 +41,39 @@ BITS = 64
 CHUNK = 1 << 16
 
 
-def simhash(text: str | None, words: int = 3) -> int:
-    """The fingerprint as an unsigned number."""
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle, in chunks of big-endian numbers; none without words."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     n = max(1, len(parts) - words + 1)
     starts, ends = starts[:n].tolist(), ends[min(words, len(parts)) - 1 :].tolist()
-    totals = np.zeros(BITS, np.int64)
     for at in range(0, n, CHUNK):
         pieces = map(joined.__getitem__, map(slice, starts[at : at + CHUNK], ends[at : at + CHUNK]))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), ">u8", min(CHUNK, n - at))
-        totals += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), ">u8", min(CHUNK, n - at))
+
+
+def bit_totals(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(totals: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(totals * 2 > n).tobytes(), "big")
 
 
+def simhash(text: str | None, words: int = 3) -> int:
+    """The fingerprint as an unsigned number."""
+    totals, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, words):
+        totals += bit_totals(hashes)
+        n += len(hashes)
+    return majority(totals, n)
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """``doc_id`` and ``fp``, the fingerprint as a signed long."""
 
@@ -95,8 +109,11 @@ class BKForest:
             same = all(self.uniform[c] >= 0 and self.find(self.uniform[c]) == own for c in self.children[i].values())
             self.uniform[i] = own if same else -1
 
-    def add(self, value: int) -> list[int]:
-        """Insert a value; returns members of other components that it joined."""
+    def add(self, value: int, alike: Callable[[int], bool] | None = None) -> list[int]:
+        """Insert a value; returns members of other components that it joined.
+
+        ``alike`` may refuse a member within the radius.
+        """
         me, links = len(self.values), []
         self.values.append(value)
         self.children.append({})
@@ -110,7 +127,7 @@ class BKForest:
             if self.uniform[i] >= 0 and self.find(self.uniform[i]) == self.find(me):
                 continue
             d = (self.values[i] ^ value).bit_count()
-            if d <= self.radius and (a := self.find(i)) != (b := self.find(me)):
+            if d <= self.radius and (a := self.find(i)) != (b := self.find(me)) and (alike is None or alike(i)):
                 self.parent[max(a, b)] = min(a, b)
                 links.append(i)
             low, high = d - self.radius, d + self.radius
