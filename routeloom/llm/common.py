@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Stands for a null id where a key must not be null.
+NO_ID = -(1 << 63)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.

@@ -24,14 +24,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tasks_for
+from .common import NO_ID, tasks_for
 
 PARAGRAPHS = 12
 SIZES = (18, 54, 162, 486)
 ROUNDS = 16
 RANGE_ROWS = 4000
 MAX_RANGES = 4096
-LOWEST = -(1 << 63)
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -121,7 +120,7 @@ def as_text(keys: str, at_level: str, size: int = SIZES[0]) -> str:
 def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``doc_id``, ``text`` and ``next_text``, the text of the next row by id (after the last, the first)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("k", F.coalesce("doc_id", F.lit(LOWEST)))
+    docs = docs.withColumn("k", F.coalesce("doc_id", F.lit(NO_ID)))
     rows = docs.count()
     if not rows:
         return docs.select("doc_id", "text", F.col("text").alias("next_text"))

@@ -11,7 +11,7 @@ Only hashes of chunks are grouped; the bytes of a first occurrence travel to the
 documents that would lose a copy and are compared there.
 
 Defined results: a null text stays null; a text without repeats stays as it is, to
-the byte; rows that repeat an id count as one document; chunks whose hashes agree but
+the byte; rows that repeat an id, or have none, count as one document; chunks whose hashes agree but
 not their bytes stay; an empty table gives no rows; other columns pass through.
 """
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import NO_ID, cut
 
 ROLL = 2
 MEAN_LINES = 3
@@ -79,26 +79,32 @@ def index(docs: DataFrame) -> DataFrame:
 
 def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """The bytes of chunks: wanted has doc_id, start, end and hash."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, found = [], []
-            for text, parts in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                data = text.as_py().encode()
+            for text, parts in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                data = (text.as_py() or "").encode()
                 for p in parts:
                     hashes.append(p["hash"])
                     found.append(data[p["start"] : p["end"]])
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(found, pa.binary())], ["hash", "bytes"])
 
-    own = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "hash")).alias("parts"))
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id")
+    own = wanted.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end", "hash")).alias("_parts"))
+    # all columns, so that this join and the last one read one exchange of the documents
+    rows = docs.join(own.hint("merge"), "_id").select(*docs.columns, "_parts")
     # an id that several rows share may give the bytes more than once
-    return rows.select("text", "parts").mapInArrow(run, "hash binary, bytes binary").groupBy("hash").agg(F.min("bytes").alias("bytes"))
+    return rows.mapInArrow(run, "hash binary, bytes binary").groupBy("hash").agg(F.min("bytes").alias("bytes"))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with the text without its repeated chunks; adds removed_chunks and removed_lines."""
-    found = cut(index(docs), "line-chunks")
+    names = ["removed_chunks", "removed_lines"]
+    docs = docs.drop(*names)
+    columns = docs.columns
+    docs = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    found = cut(index(docs.select(F.col("_id").alias("doc_id"), "text")), "line-chunks")
     place = F.struct("doc_id", "start", "end")
     first = found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
     first = cut(first, "line-chunks-first")
@@ -109,10 +115,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
         .groupBy(F.col("doc_id").alias("_id"))
         .agg(F.collect_list(F.struct("start", "end", "lines", "bytes")).alias("_gone"))
     )
-    names = ["removed_chunks", "removed_lines"]
-    docs = docs.drop(*names)
-    at, n = docs.columns.index("text"), len(docs.columns)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{x} int" for x in names])
+    at, n = columns.index("text"), len(columns)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:n]] + [f"{x} int" for x in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,4 +143,4 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_chunks, pa.int32()), pa.array(n_lines, pa.int32())], [*batch.schema.names[:n], *names])
 
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left").select(*(docs[c] for c in docs.columns), "_gone").mapInArrow(run, schema)
+    return docs.join(gone.hint("merge"), "_id", "left").select(*columns, "_gone").mapInArrow(run, schema)

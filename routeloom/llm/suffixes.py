@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import NO_ID
+
 SPAN = 50
 GRAM = 20
 WINDOW = SPAN - GRAM + 1
@@ -42,7 +44,6 @@ BASE = 0x9E3779B97F4A7C15
 ANCHOR_BUCKET_BYTES = 1 << 24
 SUFFIX_BUCKET_BYTES = 1 << 22
 BLOCK_BYTES = 32 << 20
-NO_ID = -(1 << 63)
 #: A perfect difference set modulo 31.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 PREFIX_WORDS = 4
