@@ -53,7 +53,7 @@ def candidate_scores(neighbours: DataFrame, closeness: DataFrame) -> DataFrame:
     wide = neighbours.join(near, ["query", "rule_idx"], "left").na.fill(0.0, ["worst", "best"])
     has_ec = (F.size("ec") > 0).cast("double")
     scorers = {
-        "arbitrary": -F.col("rule_idx").cast("double"), "template_prior": 0.0 - F.col("prior").cast("double"), "native_similarity": F.col("sim"),
+        "arbitrary": 0.0 - F.col("rule_idx").cast("double"), "template_prior": 0.0 - F.col("prior").cast("double"), "native_similarity": F.col("sim"),
         "native_similarity_all": F.col("sim_all"), "closeness_worst": F.col("worst"), "closeness_best": F.col("best"), "has_ec": has_ec,
         "fewer_precursors": -F.size("molecules").cast("double"), "similarity_x_ec": F.col("sim") * (0.5 + 0.5 * has_ec),
     }
