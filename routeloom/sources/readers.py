@@ -50,7 +50,7 @@ def select_rules(tables: tuple[DataFrame, ...], keep: DataFrame) -> tuple[DataFr
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value) of a small text file, whole in one task so that numbers are the file's."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value")).select((F.col("at") + 1).alias("line"), "value")
 
 
