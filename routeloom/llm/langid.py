@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_unit
+from .common import cut, hash_unit, small_batches
 
 DIMENSIONS = 1 << 13
 PER_LANGUAGE = 400
@@ -139,6 +139,7 @@ def fit(
     docs: DataFrame, trains: Column | bool = True, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, k: int = CENTROIDS
 ) -> Model:
     """Learn from a sample of the labelled rows where ``trains`` holds."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.lit(trains) if isinstance(trains, bool) else trains).where("lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not sizes:
@@ -160,6 +161,7 @@ def fit(
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs`` with lang_pred, score (cosine) and lang_rejected."""
+    small_batches(docs.sparkSession)
     # the model's size is bounded by languages, centroids and dimensions
     held = docs.sparkSession.sparkContext.broadcast(model)
     new = "lang_pred string, score double, lang_rejected boolean"

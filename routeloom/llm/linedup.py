@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut
+from .common import NO_ID, cut, small_batches
 
 ROLL = 2
 MEAN_LINES = 3
@@ -100,6 +100,7 @@ def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with the text without its repeated chunks; adds removed_chunks and removed_lines."""
+    small_batches(docs.sparkSession)
     names = ["removed_chunks", "removed_lines"]
     docs = docs.drop(*names)
     columns = docs.columns

@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 WIDTH = 576
 PAD = 255
 HEADER_BYTES = 33
@@ -140,6 +142,7 @@ def read_rows(fs, folder: str, name: str, shard: Shard) -> Iterator[tuple]:
 
 def store_media(docs: DataFrame, store: str, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Store each text below the folder ``store`` (a URI that pyarrow's file systems open)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pfs

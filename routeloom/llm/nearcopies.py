@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .simhash import BITS, BKForest, bit_totals, components, majority, shingle_hashes
 
 WORDS = 5
@@ -61,6 +61,9 @@ def sketch(text: str | None, words: int = WORDS) -> tuple[int, np.ndarray, np.nd
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, fp, sketch, bands) of each row."""
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [sketch(t.as_py(), words) for t in batch.column(1)]

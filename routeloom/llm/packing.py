@@ -30,36 +30,58 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 STEP_TOKENS = 1 << 16
 BLOCK_TOKENS = 1 << 20
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, tier int, step_group long"
 )
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
 class WordIds(dict):
     """Bytes of the ids of a word, by word; holds two generations of bounded size.
 
     The tokenizer drops white space and never merges across it, so the ids of a
-    text are those of its words in turn.
+    text are those of its words in turn.  A word of lower-case Latin letters passes
+    normalisation unchanged and is one piece, so the vocabulary's model takes it.
     """
 
     def __init__(self, tokenizer, limit: int = CACHE_WORDS):
         super().__init__()
         self.tokenizer, self.limit, self.old = tokenizer, limit, {}
+        self.letters, self.pieces = byte_letters(), tokenizer.model.tokenize
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def encode_word(self, word: str) -> bytes:
+        if word.isalpha() and word.islower() and word.isprintable():
+            if not word.isascii():
+                try:
+                    word.encode("latin-1")
+                except UnicodeEncodeError:
+                    return self.encode(word)
+                word = "".join(map(self.letters.__getitem__, word.encode()))
+            return b"".join([t.id.to_bytes(4, "little") for t in self.pieces(word)])
+        return self.encode(word)
+
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             # a full stop or comma after letters is a token of its own
-            ids = self[word[:-1]] + self[word[-1]] if word[-1] in ".," and word[:-1].isalpha() else self.encode(word)
+            ids = self[word[:-1]] + self[word[-1]] if word[-1] in ".," and word[:-1].isalpha() else self.encode_word(word)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -212,6 +234,7 @@ def pack_documents(
     block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """One row for each piece; see the module's text for the method."""
+    small_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 SEED = 42
 BITS = 64
@@ -76,6 +76,7 @@ def simhash(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

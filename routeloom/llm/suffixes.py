@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID
+from .common import NO_ID, small_batches
 
 SPAN = 50
 GRAM = 20
@@ -468,6 +468,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, suffix_bucket_bytes: int = SUFFIX_BUCKET_BYTES) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``removed`` (runs of bytes) and ``kept`` (the other bytes) of each row."""
+    small_batches(docs.sparkSession)
     # an id that is never null keeps a filter out of the first join, so that both joins share one exchange of the texts
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
