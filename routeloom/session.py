@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -27,3 +30,16 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **co
     for k, v in {**settings, **conf}.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Puts this package's folder on the Python path of workers that start from now on.
+
+    Enough where executors see the folder (local mode, a shared file system); elsewhere
+    pass the package to spark-submit with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
