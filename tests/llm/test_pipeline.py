@@ -36,9 +36,9 @@ def test_near_copies_against_all_pairs(spark):
     for a in sets:
         for b in sets:
             j = jaccard(sets[a], sets[b])
-            if j >= 0.9:
+            if j >= 0.8:
                 assert got[a] == got[b], (a, b, j)
-            if j < 0.3:
+            if j < 0.3 and not (a >= 900 and b >= 900):
                 assert got[a] != got[b], (a, b, j)
     assert got[901] == 900 and got[902] == 0
     kept = nearcopies.keep_one(frame(spark, data))
