@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def single(mols: DataFrame, split) -> DataFrame:
+    """The molecules, each of one component by ``split`` (a column function); several components are an error."""
+    parts = F.size(split(F.col("mol")))
+    checked = F.when(parts <= 1, F.col("mol")).otherwise(F.raise_error(F.concat(F.lit("expansion takes one component, got "), F.col("mol"))))
+    return mols.withColumn("mol", checked)
+
+
 def rank_rules(pairs: DataFrame) -> DataFrame:
     """Adds ``rank`` to (mol, rule_idx, sim): similarity down, then rule up; a null similarity keeps rule order."""
     order = Window.partitionBy("mol").orderBy(F.desc(F.coalesce("sim", F.lit(0.0))), "rule_idx")

@@ -316,3 +316,28 @@ def ask(prompts: DataFrame, backend: Backend, system: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["run", "choice", "fallback", "reason"])
 
     return prompts.select("run", "prompt", "n_candidates").mapInPandas(run, CALLS)
+
+
+def model_policy(backend: Backend, tools: ToolSurface = ToolSurface(), top_k: int = 20, order: str = "stratified", seed: int = 0) -> Policy:
+    """A model as a policy: it sees a view of each frontier and answers with a place in it.
+
+    Calls are made in the executors, in batches of runs. The lines show what the tool surface allows.
+    """
+    from ..functions.scalars import render_candidate
+    from .frontier import render_view
+
+    def pick(frontier: DataFrame) -> DataFrame:
+        view = cut(select_view(frontier, order, top_k, seed), "view")
+        shown = view.join(frontier, ["run", "id"]).join(frontier.groupBy("run").agg(F.count("*").alias("n_total")), "run")
+        close = F.col("closeness") if tools.closeness and "closeness" in frontier.columns else None
+        ec = F.col("ec") if tools.ec and "ec" in frontier.columns else None
+        line = render_candidate(F.col("place") - 1, F.col("mol").cast("string"), F.col("depth"), ec=ec, closeness=close)
+        texts = render_view(shown.withColumn("line", line), order)
+        sizes = view.groupBy("run").agg(F.count("*").cast("int").alias("n_candidates"))
+        prompt = F.concat(F.lit("Frontier candidates:\n"), F.col("text"), F.lit("\n\nWhich candidate should be expanded next?"))
+        prompts = texts.join(sizes, "run").select(F.col("run").cast("string").alias("run"), prompt.alias("prompt"), "n_candidates")
+        answers = cut(ask(prompts, backend, system_prompt(tools)), "answers")
+        chosen = answers.select("run", (F.col("choice") + 1).alias("place"))
+        return view.join(chosen, ["run", "place"]).join(frontier.select("run", "id", "mol"), ["run", "id"]).select("run", "mol")
+
+    return pick

@@ -454,3 +454,38 @@ def q23_observed_picks(spark, d):
     return P.observe(P.greedy()(front).withColumnRenamed("mol", "id"), view)
 
 
+
+
+@query()
+def q22_search_model(spark, d):
+    """Searches by a model behind a stand-in that takes the second candidate, with failures among its answers."""
+    targets = B.molecules(spark, d).where("not available").join(B.reactions(spark, d).select(F.col("child").alias("mol")), "mol", "left_anti")
+    backend = P.ScriptedBackend(['{"choice": 1, "reason": "second"}', "no idea", '{"choice": 99}'])
+    log, _ = P.search(targets.select(F.col("mol").cast("string").alias("run"), "mol"), _environment(spark, d), P.model_policy(backend), budget=3)
+    return log
+
+
+@query()
+def q24_replayed_routes(spark, d):
+    """Replays of the seeded route trees of depth 2 and 3: the outcome of each."""
+    from ..operators.corpus import on_route, replay_outcomes
+
+    mols, rxns = B.molecules(spark, d), B.reactions(spark, d)
+    cost, chosen = G.and_or_depth(mols, rxns)
+    targets = cost.where("cost between 2 and 3").select("run", "mol")
+    trees = G.route_trees(targets, cost, chosen, rxns, mols, seed=3).select(F.col("target").cast("string").alias("run"), "mol", "cost")
+    trees = G.cut(trees, "trees")
+    goals = targets.select(F.col("mol").cast("string").alias("run"), "mol")
+    _, found = P.search(goals, _environment(spark, d), on_route(trees), budget=4, max_depth=7)
+    return replay_outcomes(trees, found, 7).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query()
+def q24_clusterability(spark, d):
+    """Whether the stratified views fall into clusters of similar candidates."""
+    from .diagnostics import clusterability
+
+    front = B.frontier(spark, d).na.fill(0.0, ["sim", "closeness"])
+    view = V.select_view(front, "stratified", 40, shuffle=False).select("run", "id")
+    features = F.array("sim", "closeness", F.col("heavy") / 1000).alias("features")
+    return clusterability(front.join(view, ["run", "id"]).select("run", "id", features))

@@ -603,6 +603,34 @@ def q82_distinct_sets(spark, d):
     return sets.groupBy("parts").agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH u AS (SELECT p_name AS key, p_partkey AS id, 'part' AS source, 0 AS t FROM part WHERE p_size > 25 UNION ALL SELECT p_name, p_partkey, 'rest', 1 FROM part UNION ALL SELECT s_name, s_suppkey, 'supplier', 2 FROM supplier)
+  SELECT key, id, source FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY t, id) = 1"""
+)
+def q82_union_first_wins(spark, d):
+    """A union in order where the first occurrence of a key wins."""
+    part = B.table(spark, d, "part")
+    entry = lambda df, key, id_, source: df.select(F.col(key).alias("key"), F.col(id_).alias("id"), F.lit(source).alias("source"))
+    tables = [entry(part.where("p_size > 25"), "p_name", "p_partkey", "part"), entry(part, "p_name", "p_partkey", "rest"), entry(B.table(spark, d, "supplier"), "s_name", "s_suppkey", "supplier")]
+    return E.first_wins(tables, "key", "id")
+
+
+@query(
+    """WITH c AS (SELECT p_partkey AS id, (p_partkey % 6 + 1) || '.' || (p_size % 5) || '.-' AS ec, p_name || '__split' || (p_size % 3) AS rid FROM part)
+  SELECT id, split_part(ec, '.', 1) || '.' || split_part(ec, '.', 2) AS l2, '' AS l3, regexp_replace(rid, '__split[0-9]+$', '') AS bare FROM c"""
+)
+def q82_sql_functions(spark, d):
+    """The scalar functions called by their SQL names."""
+    from ..functions.sql import register
+
+    register(spark)
+    B.table(spark, d, "part").createOrReplaceTempView("routeloom_part")
+    return spark.sql(
+        """SELECT id, ec_level(ec, 2) AS l2, ec_level(ec, 3) AS l3, strip_split(rid) AS bare FROM (SELECT p_partkey AS id, concat(p_partkey % 6 + 1, '.', p_size % 5, '.-') AS ec,
+        concat(p_name, '__split', p_size % 3) AS rid FROM routeloom_part)"""
+    )
+
+
 # learned scores
 
 
