@@ -2,44 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import let_workers_import
+from ..storage import cut, shared_dir
+
+__all__ = ["BATCH_ROWS", "NO_ID", "cut", "documents", "hash_unit", "shared_dir", "small_batches", "tasks_for"]
+
 #: Stands for a null id where a key must not be null.
 NO_ID = -(1 << 63)
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests in local mode) a temporary folder is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="routeloom-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def small_batches(spark: SparkSession) -> None:
+    """Before Python runs on executors: workers find the package, and Arrow batches of at most ``BATCH_ROWS`` rows from here on.
 
-    This cuts the lineage, survives lost executors, gives the optimizer the
-    true size of the table and lets later steps read only the columns they need.
+    Whole texts make long rows, and each batch is held several times.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ``BATCH_ROWS`` rows from here on: whole texts make long rows, and each batch is held several times."""
+    let_workers_import(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))

@@ -91,9 +91,9 @@ def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                     found.append(data[p["start"] : p["end"]])
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(found, pa.binary())], ["hash", "bytes"])
 
-    own = wanted.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end", "hash")).alias("_parts"))
+    own = wanted.groupBy(F.col("doc_id").alias("__line_id")).agg(F.collect_list(F.struct("start", "end", "hash")).alias("__line_parts"))
     # all columns, so that this join and the last one read one exchange of the documents
-    rows = docs.join(own.hint("merge"), "_id").select(*docs.columns, "_parts")
+    rows = docs.join(own.hint("merge"), "__line_id").select(*docs.columns, "__line_parts")
     # an id that several rows share may give the bytes more than once
     return rows.mapInArrow(run, "hash binary, bytes binary").groupBy("hash").agg(F.min("bytes").alias("bytes"))
 
@@ -104,8 +104,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     names = ["removed_chunks", "removed_lines"]
     docs = docs.drop(*names)
     columns = docs.columns
-    docs = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    found = cut(index(docs.select(F.col("_id").alias("doc_id"), "text")), "line-chunks")
+    docs = docs.withColumn("__line_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    found = cut(index(docs.select(F.col("__line_id").alias("doc_id"), "text")), "line-chunks")
     place = F.struct("doc_id", "start", "end")
     first = found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
     first = cut(first, "line-chunks-first")
@@ -113,8 +113,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     kept = _texts(first.select("first.*", "hash"), docs)
     gone = (
         copies.join(kept, "hash")
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_list(F.struct("start", "end", "lines", "bytes")).alias("_gone"))
+        .groupBy(F.col("doc_id").alias("__line_id"))
+        .agg(F.collect_list(F.struct("start", "end", "lines", "bytes")).alias("__line_gone"))
     )
     at, n = columns.index("text"), len(columns)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:n]] + [f"{x} int" for x in names])
@@ -144,4 +144,4 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_chunks, pa.int32()), pa.array(n_lines, pa.int32())], [*batch.schema.names[:n], *names])
 
-    return docs.join(gone.hint("merge"), "_id", "left").select(*columns, "_gone").mapInArrow(run, schema)
+    return docs.join(gone.hint("merge"), "__line_id", "left").select(*columns, "__line_gone").mapInArrow(run, schema)

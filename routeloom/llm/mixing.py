@@ -14,7 +14,8 @@ joined by key, where a hot cell's partitions are split by adaptive execution.
 Defined results: null categories are categories of their own; a null text has no tokens
 and is kept with its cell's probability, or dropped if the cell has no tokens; rows that
 repeat an id are kept or dropped together; an empty table gives no rows; columns named
-probability, sample_weight, topic or tokens are replaced.
+probability, sample_weight or tokens are replaced, and a column topic is taken as it is
+unless a topic is given.
 """
 
 from __future__ import annotations
@@ -111,9 +112,9 @@ def mix(
     total = cells.agg(F.sum("n")).first()[0] or 0.0
     cells = cut(calibrate(rake(cells, targets, rounds), keep * total).select(*names, "probability"), "cells")
     few = cells.count() <= broadcast_cells
-    cells = cells.select(*(F.col(n).alias(f"_{n}") for n in names), "probability")
-    same = [docs[n].eqNullSafe(cells[f"_{n}"]) for n in names]
-    out = docs.join(F.broadcast(cells) if few else cells, same).drop(*(f"_{n}" for n in names))
+    cells = cells.select(*(F.col(n).alias(f"__mix_{n}") for n in names), "probability")
+    same = [docs[n].eqNullSafe(cells[f"__mix_{n}"]) for n in names]
+    out = docs.join(F.broadcast(cells) if few else cells, same).drop(*(f"__mix_{n}" for n in names))
     return out.where(hash_unit(F.col("doc_id"), seed) < F.col("probability")).withColumn("sample_weight", 1 / F.col("probability"))
 
 

@@ -126,5 +126,5 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that are not near copies of a document with a smaller id."""
-    copies = cut(groups(docs, words, similarity, radius).where("doc_id <> group_id").select(F.col("doc_id").alias("_copy")).distinct(), "copies")
-    return docs.join(copies, docs["doc_id"].cast("long") == copies["_copy"], "left_anti")
+    copies = cut(groups(docs, words, similarity, radius).where("doc_id <> group_id").select(F.col("doc_id").alias("__near_copy")).distinct(), "copies")
+    return docs.join(copies, docs["doc_id"].cast("long") == copies["__near_copy"], "left_anti")

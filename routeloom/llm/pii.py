@@ -202,18 +202,18 @@ def assign(found: DataFrame, key: str, max_attempts: int = MAX_ATTEMPTS) -> Data
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """All columns of ``docs`` with surrogates in the text, and ``n_entities``."""
-    docs = docs.drop("n_entities", "_found", "_row")
+    docs = docs.drop("n_entities", "__pii_found", "__pii_row")
     columns = docs.columns
-    marked = docs.withColumn("_found", entities(F.col("text")))
-    without = marked.where(F.coalesce(F.size("_found"), F.lit(0)) <= 0).select(*columns, F.lit(0).alias("n_entities"))
-    hits = cut(marked.where(F.size("_found") > 0).withColumn("_row", F.monotonically_increasing_id()), "texts-with-entities")
-    hits = hits.withColumn("_parts", F.split("text", PATTERN, -1))
-    each = hits.select("_row", F.posexplode(F.arrays_zip(F.col("_found").alias("entity"), F.slice("_parts", F.lit(1), F.size("_found")).alias("before"))).alias("at", "x"))
-    each = each.select("_row", "at", F.col("x.entity").alias("entity"), type_of(F.col("x.entity"), F.right(F.col("x.before"), F.lit(32))).alias("kind"))
+    marked = docs.withColumn("__pii_found", entities(F.col("text")))
+    without = marked.where(F.coalesce(F.size("__pii_found"), F.lit(0)) <= 0).select(*columns, F.lit(0).alias("n_entities"))
+    hits = cut(marked.where(F.size("__pii_found") > 0).withColumn("__pii_row", F.monotonically_increasing_id()), "texts-with-entities")
+    hits = hits.withColumn("__pii_parts", F.split("text", PATTERN, -1))
+    each = hits.select("__pii_row", F.posexplode(F.arrays_zip(F.col("__pii_found").alias("entity"), F.slice("__pii_parts", F.lit(1), F.size("__pii_found")).alias("before"))).alias("at", "x"))
+    each = each.select("__pii_row", "at", F.col("x.entity").alias("entity"), type_of(F.col("x.entity"), F.right(F.col("x.before"), F.lit(32))).alias("kind"))
     each = cut(each.withColumn("canon", canonical(F.col("kind"), F.col("entity"))), "places")
     values = assign(each, key).select("kind", "canon", "value")
     placed = each.join(values, ["kind", "canon"]).withColumn("new", render(F.col("kind"), F.col("entity"), F.col("value")))
-    rows = placed.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("_new"))
-    text = F.expr("array_join(flatten(zip_with(_parts, _new, (p, n) -> array(p, coalesce(n.new, '')))), '')")
-    done = hits.join(rows, "_row").withColumn("text", text).select(*columns, F.size("_found").alias("n_entities"))
+    rows = placed.groupBy("__pii_row").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("__pii_new"))
+    text = F.expr("array_join(flatten(zip_with(__pii_parts, __pii_new, (p, n) -> array(p, coalesce(n.new, '')))), '')")
+    done = hits.join(rows, "__pii_row").withColumn("text", text).select(*columns, F.size("__pii_found").alias("n_entities"))
     return without.unionByName(done)
