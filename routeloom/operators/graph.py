@@ -8,6 +8,8 @@ Loops end when nothing changes, and cut their lineage at each step.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,22 +36,22 @@ def and_or_depth(molecules: DataFrame, reactions: DataFrame, max_levels: int | N
     done = molecules.where("available").select("run", F.col("mol").alias("parent")).distinct()
     lacks = cut(lacks.join(done, ["run", "parent"], "left_anti"), "lacks")
     need = cut(reactions.select(*KEYS, "child").distinct(), "need")
-    fresh, chosen, level = cost, None, 0
+    fresh, costs, chosen, level = cost, [cost], [], 0
     while max_levels is None or level < max_levels:
         level += 1
         met = need.join(fresh.select("run", F.col("mol").alias("child")), ["run", "child"]).groupBy(*KEYS).agg(F.count("*").alias("met"))
-        lacks = cut(lacks.join(met, KEYS, "left").withColumn("lacks", F.col("lacks") - F.coalesce("met", F.lit(0))).drop("met"), "lacks")
+        lacks = lacks.join(met, KEYS, "left").withColumn("lacks", F.col("lacks") - F.coalesce("met", F.lit(0))).drop("met")
+        lacks = cut(lacks, "lacks")  # the one table that a level writes
         fired = lacks.where("lacks = 0").select(*KEYS)
-        fresh = cut(fired.select("run", F.col("parent").alias("mol")).distinct().withColumn("cost", F.lit(level)), "fresh")
-        if fresh.isEmpty():
+        if fired.isEmpty():
             break
-        chosen = cut(fired if chosen is None else chosen.unionByName(fired), "chosen")
-        cost = cost.unionByName(fresh)
+        fresh = fired.select("run", F.col("parent").alias("mol")).distinct().withColumn("cost", F.lit(level))
+        costs.append(fresh)
+        chosen.append(fired)
         # reactions of solved molecules are closed: what fires later is no shortest way
         lacks = lacks.where("lacks > 0").join(fresh.select("run", F.col("mol").alias("parent")), ["run", "parent"], "left_anti")
-    if chosen is None:
-        chosen = reactions.select(*KEYS).limit(0)
-    return cut(cost, "cost"), chosen
+    chosen = chosen or [reactions.select(*KEYS).limit(0)]
+    return cut(reduce(DataFrame.unionByName, costs), "cost"), cut(reduce(DataFrame.unionByName, chosen), "chosen")
 
 
 def solved(molecules: DataFrame, reactions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rule_sizes(rules: DataFrame, need: DataFrame) -> DataFrame:
-    """(rule_idx, n_need): the number of requirements of each rule; 0 for rules without any."""
-    counts = need.where("need > 0").groupBy("rule_idx").agg(F.count("*").alias("n_need"))
-    return rules.select("rule_idx").distinct().join(counts, "rule_idx", "left").select("rule_idx", F.coalesce("n_need", F.lit(0)).alias("n_need"))
-
-
 def applicable(fp: DataFrame, rules: DataFrame, need: DataFrame) -> DataFrame:
     """(mol, rule_idx) where every requirement is covered.
 
-    Requirements meet counts by coordinate and are counted per pair, so molecules and rules
-    that share no coordinate never meet. A rule without requirements fits every molecule,
-    which is the one place where all pairs are the answer.
+    A rule meets molecules by its rarest coordinate only, the pairs are tested on its second
+    rarest, and what is left on the others.  So a common coordinate makes no pairs, and rules
+    and molecules that share nothing never meet.  A rule without requirements fits every
+    molecule, which is the one place where all pairs are the answer.
     """
-    sizes = rule_sizes(rules, need)
-    met = fp.join(need.where("need > 0"), "coord").where("n >= need").groupBy("mol", "rule_idx").agg(F.count("*").alias("met"))
-    full = met.join(sizes.where("n_need > 0"), "rule_idx").where("met = n_need").select("mol", "rule_idx")
-    free = sizes.where("n_need = 0").select("rule_idx")
+    need = need.where("need > 0").select("rule_idx", "coord", "need")
+    seen = fp.groupBy("coord").agg(F.count("*").alias("seen"))
+    ordered = need.join(seen, "coord")
+    rule = Window.partitionBy("rule_idx")
+    ordered = ordered.withColumn("place", F.row_number().over(rule.orderBy("seen", "coord"))).withColumn("known", F.count("*").over(rule))
+    # a coordinate that no molecule has rules its rule out
+    ordered = ordered.join(need.groupBy("rule_idx").agg(F.count("*").alias("n_need")), "rule_idx").where("known = n_need").drop("known", "seen")
+    found = fp.join(ordered.where("place = 1"), "coord").where("n >= need").select("mol", "rule_idx", "n_need")
+    second = ordered.where("place = 2").select("rule_idx", "coord", "need")
+    passed = found.where("n_need > 1").join(second, "rule_idx").join(fp, ["mol", "coord"]).where("n >= need").select("mol", "rule_idx", "n_need")
+    others = ordered.where("place > 2").select("rule_idx", "coord", "need")
+    met = passed.where("n_need > 2").join(others, "rule_idx").join(fp, ["mol", "coord"]).where("n >= need")
+    met = met.groupBy("mol", "rule_idx", "n_need").agg(F.count("*").alias("met")).where("met = n_need - 2")
+    full = found.where("n_need = 1").unionByName(passed.where("n_need = 2")).select("mol", "rule_idx").unionByName(met.select("mol", "rule_idx"))
+    free = rules.select("rule_idx").distinct().join(need.select("rule_idx").distinct(), "rule_idx", "left_anti")
     if free.isEmpty():
         return full
     return full.unionByName(fp.select("mol").distinct().join(free, F.lit(True)).select("mol", "rule_idx"))

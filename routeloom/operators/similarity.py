@@ -13,13 +13,15 @@ BROADCAST_ROWS = 100_000
 def set_tanimoto(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """Adds ``sim`` to (l, r) pairs, from member tables (l, member) and (r, member).
 
-    Only shared members are joined; the union follows from the sizes.
+    Sets travel as arrays: they are the bits of a fingerprint, so their size is bounded, and a
+    pair is one row. A side without members gives 0.
     """
-    ln, rn = left.groupBy("l").agg(F.count("*").alias("ln")), right.groupBy("r").agg(F.count("*").alias("rn"))
-    both = pairs.select("l", "r").distinct().join(left, "l").join(right, ["r", "member"]).groupBy("l", "r").agg(F.count("*").alias("both"))
-    out = pairs.join(both, ["l", "r"], "left").join(ln, "l", "left").join(rn, "r", "left").na.fill(0, ["both", "ln", "rn"])
-    union = F.col("ln") + F.col("rn") - F.col("both")
-    return out.withColumn("sim", F.when(union > 0, F.col("both") / F.nullif(union, F.lit(0))).otherwise(0.0)).drop("both", "ln", "rn")
+    own = left.groupBy("l").agg(F.collect_set("member").alias("a"))
+    other = right.groupBy("r").agg(F.collect_set("member").alias("b"))
+    out = pairs.join(own, "l", "left").join(other, "r", "left")
+    both = F.size(F.array_intersect("a", "b"))
+    sim = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), both / (F.size("a") + F.size("b") - both)).otherwise(0.0)
+    return out.withColumn("sim", sim).drop("a", "b")
 
 
 def nearest(queries: DataFrame, sink: DataFrame, k: int = 1, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
