@@ -97,6 +97,10 @@ def closure(roots: DataFrame, best: DataFrame, reactions: DataFrame) -> DataFram
 
     ``level`` is the least number of steps from the root.
     """
+    best = cut(best.select("run", "mol", "rxn"), "best")
+    # only the chosen reactions are walked, and they are read from a table in each step
+    used = best.where("rxn is not null").select("run", "rxn")
+    reactions = cut(reactions.select("run", "rxn", "child").join(used, ["run", "rxn"], "left_semi"), "walked")
     step = roots.select("run", F.col("mol").alias("root"), "mol").distinct()
     step = cut(step.join(best.where("rxn is not null").select("run", "mol", "rxn"), ["run", "mol"]).withColumn("level", F.lit(0)), "closure")
     seen, level = step, 0
@@ -151,7 +155,8 @@ def route_trees(
     """
     from .frontier import seeded
 
-    free = molecules.where("available").select("run", "mol").distinct()
+    free = cut(molecules.where("available").select("run", "mol").distinct(), "free")
+    reactions = cut(reactions.select("run", "rxn", "child").join(chosen.select("run", "rxn"), ["run", "rxn"], "left_semi"), "walked")
     draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")
     step = cut(targets.select("run", F.col("mol").alias("target"), "mol", draw).distinct(), "tree")
     seen = step

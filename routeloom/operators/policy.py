@@ -70,7 +70,10 @@ def search(targets: DataFrame, env: Environment, policy: Policy, budget: int, ma
     A step expands one molecule in every run that is neither solved nor out of candidates;
     all runs advance in the same jobs.  New molecules get ids in order of reaction and place.
     """
-    free = env.free.select("mol", F.lit(True).alias("available")).distinct()
+    # read from tables in each step, however they were made
+    free = cut(env.free.select("mol", F.lit(True).alias("available")).distinct(), "free")
+    options = cut(env.options.select("parent", "rxn", "child", "place"), "options")
+    scores = None if env.scores is None else cut(env.scores, "scores")
 
     def known(df: DataFrame) -> DataFrame:
         return df.join(free, "mol", "left").na.fill(False, ["available"])
@@ -84,14 +87,14 @@ def search(targets: DataFrame, env: Environment, policy: Policy, budget: int, ma
         front = mols.join(live, "run").where("not solved and not expanded and not available")
         if max_depth is not None:
             front = front.where(F.col("depth") < max_depth)
-        if env.scores is not None:
-            front = front.join(env.scores, "mol", "left")
+        if scores is not None:
+            front = front.join(scores, "mol", "left")
         front = cut(front, "frontier")
         if front.isEmpty():
             break
         picks = cut(policy(front).withColumn("picked", F.lit(True)), "picks")
         chosen = picks.join(mols, ["run", "mol"]).select("run", "mol", "id", "depth")
-        new = chosen.withColumnRenamed("mol", "parent").join(env.options, "parent")
+        new = chosen.withColumnRenamed("mol", "parent").join(options, "parent")
         new = cut(new.select("run", "rxn", "parent", "child", "place", F.col("depth") + 1), "edges").toDF("run", "rxn", "parent", "child", "place", "depth")
         edges = new if edges is None else cut(edges.unionByName(new), "edges")
         found = new.groupBy("run", F.col("child").alias("mol")).agg(F.min("depth").alias("d"), F.min(F.struct("rxn", "place")).alias("first"))

@@ -23,11 +23,13 @@ def applicable(fp: DataFrame, rules: DataFrame, need: DataFrame) -> DataFrame:
     ordered = ordered.join(need.groupBy("rule_idx").agg(F.count("*").alias("n_need")), "rule_idx").where("known = n_need").drop("known", "seen")
     found = fp.join(ordered.where("place = 1"), "coord").where("n >= need").select("mol", "rule_idx", "n_need")
     second = ordered.where("place = 2").select("rule_idx", "coord", "need")
-    passed = found.where("n_need > 1").join(second, "rule_idx").join(fp, ["mol", "coord"]).where("n >= need").select("mol", "rule_idx", "n_need")
     others = ordered.where("place > 2").select("rule_idx", "coord", "need")
-    met = passed.where("n_need > 2").join(others, "rule_idx").join(fp, ["mol", "coord"]).where("n >= need")
-    met = met.groupBy("mol", "rule_idx", "n_need").agg(F.count("*").alias("met")).where("met = n_need - 2")
-    full = found.where("n_need = 1").unionByName(passed.where("n_need = 2")).select("mol", "rule_idx").unionByName(met.select("mol", "rule_idx"))
+    covers = F.coalesce(F.col("n") >= F.col("need"), F.lit(False))
+    # one chain of left joins, so that nothing is found twice; a rule without a further coordinate has none to meet
+    passed = found.join(second, "rule_idx", "left").join(fp, ["mol", "coord"], "left").where(F.col("need").isNull() | covers).select("mol", "rule_idx", "n_need")
+    rest = passed.join(others, "rule_idx", "left").join(fp, ["mol", "coord"], "left")
+    met = rest.groupBy("mol", "rule_idx", "n_need").agg(F.count_if(covers).alias("met"))
+    full = met.where(F.col("met") == F.greatest(F.col("n_need") - 2, F.lit(0))).select("mol", "rule_idx")
     free = rules.select("rule_idx").distinct().join(need.select("rule_idx").distinct(), "rule_idx", "left_anti")
     if free.isEmpty():
         return full

@@ -80,9 +80,8 @@ def _ranked(spark, d):
     fp, rules = B.fingerprints(spark, d), B.rules(spark, d)
     pairs = q02_division(spark, d).join(rules.select("rule_idx", "native"), "rule_idx")
     members = fp.select(F.col("mol").alias("l"), F.col("coord").alias("member"))
-    both = pairs.select(F.col("mol").alias("l"), F.col("native").alias("r")).distinct()
-    sim = set_tanimoto(both, members, members.withColumnRenamed("l", "r")).select(F.col("l").alias("mol"), F.col("r").alias("native"), "sim")
-    return X.rank_rules(pairs.join(sim, ["mol", "native"]))
+    sim = set_tanimoto(pairs.withColumnRenamed("mol", "l").withColumnRenamed("native", "r"), members, members.withColumnRenamed("l", "r"))
+    return X.rank_rules(sim.withColumnRenamed("l", "mol").withColumnRenamed("r", "native"))
 
 
 RANKED = f"""{B.DIVISION},

@@ -22,6 +22,8 @@ def build(master: str | None = None, shuffle_partitions: int | None = None, **co
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # hash instead of sort joins wherever every measured partition of a side is small
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         "spark.sql.parquet.filterPushdown": "true",
         "spark.ui.enabled": "false",
     }
