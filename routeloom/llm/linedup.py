@@ -1,11 +1,12 @@
-"""Removal of repeated multi-line chunks with content-defined boundaries.
+"""Removal of repeated multi-line passages by chunks of two neighbouring lines.
 
-A text is a sequence of lines.  A rolling hash over the hashes of neighbouring lines
-ends a chunk wherever it meets a condition on its value alone, so an inserted or
-deleted line moves no boundary but those next to it.  Chunks of at least two lines
-that occur more than once in the table are removed wherever they are not the first
-occurrence (by document id and place), after their bytes have been compared with
-those of the first.  Single lines are not judged.
+A text is a sequence of lines.  Every two lines that follow one another are a chunk, so
+a chunk depends on nothing around it, and whatever two texts share in two lines or more
+is a run of shared chunks, whole to its ends.  Chunks that occur more than once in the
+table are removed wherever they are not the first occurrence (by document id and place),
+after their bytes have been compared with those of the first; each line that goes still
+stands at an earlier place.  Single lines are not judged.  Lines without a letter or a
+digit make no chunk: they belong to the chunk that they stand in.
 
 Only hashes of chunks are grouped; the bytes of a first occurrence travel to the
 documents that would lose a copy and are compared there.
@@ -17,6 +18,7 @@ not their bytes stay; an empty table gives no rows; other columns pass through.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,39 +28,23 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, cut, small_batches
 
-ROLL = 2
-MEAN_LINES = 3
 LEAST_LINES = 2
-BASE = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
-
-
-def boundaries(hashes: list[int], mean: int = MEAN_LINES, least: int = LEAST_LINES) -> list[int]:
-    """Ends of chunks (exclusive line numbers); the last is the number of lines."""
-    ends, begun, roll = [], 0, 0
-    power = pow(BASE, ROLL, 1 << 64)
-    for i, h in enumerate(hashes):
-        roll = (roll * BASE + h - (hashes[i - ROLL] * power if i >= ROLL else 0)) & MASK
-        if i + 1 - begun >= least and (roll ^ roll >> 31) * BASE >> 32 & 0x7FFFFFFF < 0x80000000 // mean:
-            begun = i + 1
-            ends.append(begun)
-    if not ends or ends[-1] != len(hashes):
-        ends.append(len(hashes))
-    return ends
+#: In UTF-8: ASCII letters and digits, and anything beyond ASCII.
+WORDED = re.compile(rb"[0-9A-Za-z\x80-\xff]")
 
 
 def chunks(text: str) -> list[tuple[int, int, int, bytes]]:
-    """Start, end (exclusive) and lines of each multi-line chunk of the text's bytes, with a hash of its bytes."""
+    """Start, end (exclusive) and lines of each two neighbouring lines of the text's bytes, with a hash of its bytes."""
     data = text.encode()
-    lines = data.split(b"\n")
-    if len(lines) < LEAST_LINES:
-        return []
-    out, at, line = [], 0, 0
-    for end in boundaries([xxhash.xxh64_intdigest(x) for x in lines]):
-        size = sum(map(len, lines[line:end])) + end - line - 1
-        if end - line >= LEAST_LINES:
-            out.append((at, at + size, end - line, xxhash.xxh128_digest(data[at : at + size])))
-        at, line = at + size + 1, end
+    begun, out, at = [], [], 0
+    for number, line in enumerate(data.split(b"\n")):
+        if WORDED.search(line):
+            begun.append((at, number))
+            if len(begun) >= LEAST_LINES:
+                start, first = begun[-LEAST_LINES]
+                end = at + len(line)
+                out.append((start, end, number + 1 - first, xxhash.xxh128_digest(data[start:end])))
+        at += len(line) + 1
     return out
 
 
@@ -114,7 +100,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     gone = (
         copies.join(kept, "hash")
         .groupBy(F.col("doc_id").alias("__line_id"))
-        .agg(F.collect_list(F.struct("start", "end", "lines", "bytes")).alias("__line_gone"))
+        .agg(F.collect_list(F.struct("start", "end", "bytes")).alias("__line_gone"))
     )
     at, n = columns.index("text"), len(columns)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:n]] + [f"{x} int" for x in names])
@@ -127,11 +113,12 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 if parts:
                     raw, keep, end = data.encode(), [], 0
                     for p in sorted(parts, key=lambda p: p["start"]):
-                        if raw[p["start"] : p["end"]] == p["bytes"]:
+                        if raw[p["start"] : p["end"]] == p["bytes"] and end <= p["end"]:
                             keep.append(raw[end : p["start"]])
+                            # chunks overlap; a line counts once
+                            lines += raw.count(b"\n", max(end, p["start"]), p["end"]) + 1
                             end = p["end"] + 1  # with the line end after it
                             removed += 1
-                            lines += p["lines"]
                     if removed:
                         keep.append(raw[end:])
                         data = b"".join(keep).decode()

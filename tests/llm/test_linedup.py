@@ -51,3 +51,29 @@ def test_repeats_within_a_document_and_other_columns(spark):
     assert got[1].text.startswith(lines) and got[1].removed_chunks > 0 and got[1].tier == "q" and got[1].rep == 9
     assert got[2].text is None and got[2].removed_chunks == 0
     assert drop_repeats(frame(spark, [])).collect() == []
+
+
+def test_short_passages_in_different_surroundings(spark):
+    rng = random.Random(2)
+    line = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(12))
+    passages = [[line(), *["", "--"][: k % 3], *(line() for _ in range(1 + k % 5))] for k in range(40)]
+    data, own = [], {}
+    for i in range(120):
+        before, after = ([line() for _ in range(rng.randrange(4))] for _ in range(2))
+        passage = passages[i % 40]
+        data.append((i, "\n".join(before + passage + after), None, None, None, None, None))
+        own[i] = (before, passage, after)
+    got = {r.doc_id: r for r in drop_repeats(frame(spark, data)).collect()}
+    for i, (before, passage, after) in own.items():
+        left = got[i].text.split("\n")
+        if i < 40:
+            assert left == before + passage + after and got[i].removed_lines == 0
+        else:
+            assert left == before + after or (got[i].text, before + after) == ("", [])
+            assert got[i].removed_lines == len(passage)
+
+
+def test_blank_lines_and_brackets_are_no_passage(spark):
+    texts = ["one\n\n\n}\n}\ntwo", "three\n\n\n}\n}\nfour", "x\none\n\n\n}\n}\ntwo\ny"]
+    got = {r.doc_id: r.text for r in drop_repeats(frame(spark, [(i, t, None, None, None, None, None) for i, t in enumerate(texts)])).collect()}
+    assert got == {0: texts[0], 1: texts[1], 2: "x\ny"}
