@@ -4,10 +4,10 @@ Copies with a Jaccard similarity of 0.8 over five-word shingles differ in about
 of a 64-bit SimHash, too many for a shard key from its own bits.  Here the shards come
 from MinHash bands: texts that agree in all values of a band meet in one shard, which at
 the similarity asked for fails in less than one case in a thousand.  In each shard a
-BK-tree with a radius of ``RADIUS`` bits proposes partners, and the ``KEPT`` smallest
-shingle hashes, which each row carries, decide: up to that many shingles they are the
-whole set and the Jaccard similarity is exact, beyond it is estimated with a deviation of
-0.02.  Groups are the components of these links; the smallest id stays.
+BK-tree with a radius of ``RADIUS`` bits proposes partners, and the sets of all shingle
+hashes (their upper 32 bits), which each row of a shard carries, decide.  Up to ``KEPT``
+hashes are kept with the fingerprint; larger sets are made again, only for texts that
+share a shard.  Groups are the components of these links; the smallest id stays.
 
 Defined results: texts without words are copies of one another; a text with fewer words
 than a shingle is one shingle; rows that repeat an id stay or go together; an empty table
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,24 +31,37 @@ WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 18
 KEPT = 512
+BROADCAST_IDS = 1_000_000
 BINS = 64
 BANDS, BAND_ROWS = 16, 4
 STEP = 0x9E3779B97F4A7C15
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of sorted hashes, each once."""
+    upper = (hashes >> np.uint64(32)).astype("<u4")
+    return upper[np.flatnonzero(np.diff(upper.astype(np.int64), prepend=-1))]
+
+
+def whole_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """All distinct shingle hashes (their upper 32 bits, sorted)."""
+    parts = [h.astype(np.uint64) for h in shingle_hashes(text, words)]
+    return distinct(np.unique(np.concatenate(parts))) if parts else np.zeros(0, "<u4")
+
+
 def sketch(text: str | None, words: int = WORDS) -> tuple[int, np.ndarray, np.ndarray]:
-    """Fingerprint, smallest shingle hashes (their upper 32 bits, sorted) and band keys."""
+    """Fingerprint, distinct shingle hashes (their upper 32 bits, sorted) and band keys."""
     least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    totals, n, kept = np.zeros(BITS, np.int64), 0, np.zeros(0, np.uint32)
+    totals, n, parts = np.zeros(BITS, np.int64), 0, [np.zeros(0, np.uint64)]
     width = np.uint64(64 - (BINS.bit_length() - 1))
     for hashes in shingle_hashes(text, words):
         totals += bit_totals(hashes)
         n += len(hashes)
-        ordered = np.sort(hashes.astype(np.uint64))
-        bins = (ordered >> width).astype(np.int64)
-        first = np.flatnonzero(np.diff(bins, prepend=-1))
-        least[bins[first]] = np.minimum(least[bins[first]], ordered[first])
-        kept = np.unique(np.concatenate((kept, (ordered >> np.uint64(32)).astype(np.uint32))))[:KEPT]
+        parts.append(hashes.astype(np.uint64))
+    ordered = np.unique(np.concatenate(parts))
+    bins = (ordered >> width).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    least[bins[first]] = ordered[first]
     filled = np.flatnonzero(least != np.iinfo(np.uint64).max)
     if len(filled):
         # an empty bin takes the next filled one's value, told apart by the distance
@@ -60,34 +74,51 @@ def sketch(text: str | None, words: int = WORDS) -> tuple[int, np.ndarray, np.nd
     for r in range(BAND_ROWS):
         keys = (keys ^ rows[:, r]) * np.uint64(0x94D049BB133111EB)
         keys ^= keys >> np.uint64(31)
-    return majority(totals, n), kept, keys.astype(np.int64)
+    return majority(totals, n), distinct(ordered), keys.astype(np.int64)
 
 
-def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets by their smallest members; 1 for two empty ones.
-
-    Where a side is cut off, only what lies below its largest kept member counts.
-    """
-    for x in (a, b):
-        if len(x) == KEPT:
-            a, b = a[: np.searchsorted(a, x[-1], "right")], b[: np.searchsorted(b, x[-1], "right")]
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have the Jaccard similarity; two empty ones do."""
+    few, many = sorted((len(a), len(b)))
+    if not many or few / many < similarity:
+        return not many
     both = np.sort(np.concatenate((a, b)))
     shared = int((both[1:] == both[:-1]).sum())
-    return shared / (len(both) - shared) if len(both) else 1.0
+    return shared / (len(both) - shared) >= similarity
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp, sketch, bands) of each row."""
+    """(doc_id, fp, digest, n, sketch, bands) of each row: digest and n are of the whole set, sketch has the smallest hashes."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketch(t.as_py(), words) for t in batch.column(1)]
-            fps = np.array([m[0] for m in made], np.uint64).view(np.int64)
-            bands = pa.array([m[2] for m in made], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([m[1].astype("<u4").tobytes() for m in made], pa.binary()), bands], ["doc_id", "fp", "sketch", "bands"])
+            rows = []
+            for text in batch.column(1):
+                fp, own, bands = sketch(text.as_py(), words)
+                rows.append((fp, digest_of(own), len(own), own[:KEPT].tobytes(), bands))
+            fps, digests = (pa.array(np.array([r[i] for r in rows], np.uint64).view(np.int64)) for i in (0, 1))
+            rest = [pa.array([r[i] for r in rows], k) for i, k in ((2, pa.int32()), (3, pa.binary()), (4, pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, digests, *rest], ["doc_id", "fp", "digest", "n", "sketch", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, digest long, n int, sketch binary, bands array<long>")
+
+
+def digest_of(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes())
+
+
+def whole_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(rep, digest, whole) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [whole_set(t.as_py(), words) for t in batch.column(1)]
+            digests = pa.array(np.array([digest_of(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "digest", "whole"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, sketch binary, bands array<long>")
+    # an id that several rows share may give a set more than once
+    return docs.mapInArrow(run, "rep long, digest long, whole binary").groupBy("rep", "digest").agg(F.first("whole").alias("whole"))
 
 
 def shard_links(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
@@ -102,7 +133,7 @@ def shard_links(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
                 own = np.frombuffer(raw, "<u4")
                 reps.append(rep)
                 held.append(own)
-                for other in tree.add(fp & 0xFFFFFFFFFFFFFFFF, lambda i: similarity_of(held[i], own) >= similarity):  # noqa: B023
+                for other in tree.add(fp & 0xFFFFFFFFFFFFFFFF, lambda i: alike(held[i], own, similarity)):  # noqa: B023
                     found.append((rep, reps[other]))
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
@@ -113,12 +144,17 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     """``doc_id`` and ``group_id``, the smallest id of its group of near copies."""
     made = cut(sketches(docs, words), "sketches")
     same = ["fp", "digest"]
-    made = made.withColumn("digest", F.xxhash64("sketch"))
-    reps = made.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    reps = made.groupBy(*same).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "sketch", "bands")))
     reps = cut(reps.where("rep is not null"), "sketch-reps")
     banded = cut(reps.select("rep", F.explode("bands").alias("shard")), "bands")
     shared = banded.groupBy("shard").count().where("count > 1").select("shard")
-    rows = banded.join(shared, "shard", "left_semi").join(reps.select("rep", "fp", "sketch"), "rep")
+    banded = cut(banded.join(shared, "shard", "left_semi"), "bands-shared")
+    near = cut(reps.drop("bands").join(banded.select("rep").distinct(), "rep", "left_semi"), "sketch-near")
+    long = near.where(F.col("n") > KEPT).select("rep").distinct()
+    long = F.broadcast(long) if long.count() <= BROADCAST_IDS else long
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(long, "rep")
+    near = near.join(whole_sets(texts, words), ["rep", "digest"], "left")
+    rows = banded.join(near.select("rep", "fp", F.coalesce("whole", "sketch").alias("sketch")), "rep")
     found = components(shard_links(rows, similarity, radius))
     classes = reps.join(found, reps.rep == found.node, "left").select(*same, F.coalesce("component", "rep").alias("group_id"))
     return made.select("doc_id", *same).join(classes, same).select("doc_id", "group_id")

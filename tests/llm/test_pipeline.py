@@ -46,6 +46,21 @@ def test_near_copies_against_all_pairs(spark):
     assert {r.doc_id for r in kept.collect()} == {d for d, g in got.items() if d == g}
 
 
+def test_long_copies_near_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    data, wanted = [], {}
+    for i in range(16):
+        base = [f"{i}_{k}" for k in range(3004)]
+        # of 3000 shingles the last ones are replaced: 3000 - k shared of 3000 + k
+        k = int(3000 * 0.195 / 1.805) if i % 2 else int(3000 * 0.21 / 1.79)
+        other = base[: 3004 - k] + [f"x{x}" for x in rng.integers(0, 1 << 40, k)]
+        data += [(2 * i, " ".join(base), None, None, None, None, None), (2 * i + 1, " ".join(other), None, None, None, None, None)]
+        a, b = shingles(data[-2][1]), shingles(data[-1][1])
+        assert (jaccard(a, b) >= 0.8) == bool(i % 2) and 0.78 < jaccard(a, b) < 0.82
+        wanted |= {2 * i: 2 * i, 2 * i + 1: 2 * i if i % 2 else 2 * i + 1}
+    assert {r.doc_id: r.group_id for r in nearcopies.groups(frame(spark, data)).collect()} == wanted
+
+
 def test_one_common_passage_in_all_documents(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(3000)]
