@@ -1,7 +1,8 @@
 """Near copies by word shingles: BK-trees of SimHash fingerprints in MinHash shards.
 
 Copies with a Jaccard similarity of 0.8 over five-word shingles differ in about ten bits
-of a 64-bit SimHash, too many for a shard key from its own bits.  Here the shards come
+of a 64-bit SimHash of the distinct shingles (12 if there are only four or five), too
+many for a shard key from its own bits; a radius of 32 is six deviations away.  Here the shards come
 from MinHash bands: texts that agree in all values of a band meet in one shard, which at
 the similarity asked for fails in less than one case in a thousand.  In each shard a
 BK-tree with a radius of ``RADIUS`` bits proposes partners, and the sets of all shingle
@@ -25,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
-from .simhash import BITS, BKForest, bit_totals, components, majority, shingle_hashes
+from .simhash import BITS, CHUNK, BKForest, bit_totals, components, majority, shingle_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 18
+RADIUS = 32
 KEPT = 512
 BROADCAST_IDS = 1_000_000
 BINS = 64
@@ -50,15 +51,14 @@ def whole_set(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def sketch(text: str | None, words: int = WORDS) -> tuple[int, np.ndarray, np.ndarray]:
-    """Fingerprint, distinct shingle hashes (their upper 32 bits, sorted) and band keys."""
+    """Fingerprint of the distinct shingles, their hashes (upper 32 bits, sorted) and band keys."""
     least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    totals, n, parts = np.zeros(BITS, np.int64), 0, [np.zeros(0, np.uint64)]
+    totals, parts = np.zeros(BITS, np.int64), [np.zeros(0, np.uint64)]
     width = np.uint64(64 - (BINS.bit_length() - 1))
-    for hashes in shingle_hashes(text, words):
-        totals += bit_totals(hashes)
-        n += len(hashes)
-        parts.append(hashes.astype(np.uint64))
+    parts += [h.astype(np.uint64) for h in shingle_hashes(text, words)]
     ordered = np.unique(np.concatenate(parts))
+    for at in range(0, len(ordered), CHUNK):
+        totals += bit_totals(ordered[at : at + CHUNK].astype(">u8"))
     bins = (ordered >> width).astype(np.int64)
     first = np.flatnonzero(np.diff(bins, prepend=-1))
     least[bins[first]] = ordered[first]
@@ -74,7 +74,7 @@ def sketch(text: str | None, words: int = WORDS) -> tuple[int, np.ndarray, np.nd
     for r in range(BAND_ROWS):
         keys = (keys ^ rows[:, r]) * np.uint64(0x94D049BB133111EB)
         keys ^= keys >> np.uint64(31)
-    return majority(totals, n), distinct(ordered), keys.astype(np.int64)
+    return majority(totals, len(ordered)), distinct(ordered), keys.astype(np.int64)
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:

@@ -61,6 +61,23 @@ def test_long_copies_near_the_threshold(spark):
     assert {r.doc_id: r.group_id for r in nearcopies.groups(frame(spark, data)).collect()} == wanted
 
 
+def test_repeated_lines_and_few_shingles(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(3000)]
+    data, wanted = [], {}
+    for i in range(120):
+        if i % 2:
+            base = list(rng.choice(words, 9))  # 5 shingles against 4
+            other = base[:8]
+        else:
+            base = list(rng.choice(words, 204))
+            other = base + base[-14:] * 20
+        data += [(2 * i, " ".join(base), None, None, None, None, None), (2 * i + 1, " ".join(other), None, None, None, None, None)]
+        assert jaccard(shingles(data[-2][1]), shingles(data[-1][1])) >= 0.8
+        wanted |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    assert {r.doc_id: r.group_id for r in nearcopies.groups(frame(spark, data)).collect()} == wanted
+
+
 def test_one_common_passage_in_all_documents(spark):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(3000)]
