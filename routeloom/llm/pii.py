@@ -11,7 +11,8 @@ Collision checks go over all entities of the table: a surrogate that another ent
 the type has, or that is itself an entity of the table, is made again with the next
 attempt, so that different entities stay different and no original returns.  Numbers are
 told apart by their digits and mail addresses without regard to case, so all spellings
-of one entity get the same surrogate in their own format.
+of one entity get the same surrogate in their own format.  Where no character can change,
+or no attempt finds a free value, a placeholder with type and keyed hash stands instead.
 
 Texts are rebuilt from the parts between the entities, so a surrogate is never searched
 again.  Only texts with entities are written and joined; the others pass in one scan.
@@ -64,13 +65,16 @@ TYPES = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: A text without any of this has no entity.
-HINT = rf"[0-9@]|[=:][ ]{{0,2}}[\"']?[^\s\"']{{6}}|(?:{_TITLE})[.]? \p{{Lu}}"
+HINT = rf"[0-9@]|A[KS]IA[A-Z0-9]{{16}}|[=:][ ]{{0,2}}[\"']?[^\s\"']{{6}}|(?:{_TITLE})[.]? \p{{Lu}}"
 #: Alphabets within which letters and digits are replaced.
 ALPHABETS = [
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "äöüéèêçñóíáúâî", "ÄÖÜÉÈÊÇÑÓÍÁÚÂÎ",
     "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 ]
 MAX_ATTEMPTS = 40
+PLACEHOLDER = "<"
+#: A value without any of these has no surrogate alike.
+CHANGEABLE = "[" + "".join(ALPHABETS) + "]"
 
 
 def entities(text: Column) -> Column:
@@ -173,18 +177,20 @@ def render(kind: Column, entity: Column, value: Column) -> Column:
         "if(c rlike '[0-9A-Za-z]', named_struct('i', a.i + 1, 'out', array_append(a.out, substring(value, a.i, 1))), "
         "named_struct('i', a.i, 'out', array_append(a.out, c))), a -> a.out), '')"
     )
-    return F.when(kind.isin(*NUMBERS, "account"), spaced).otherwise(value)
+    return F.when(kind.isin(*NUMBERS, "account") & ~value.startswith(PLACEHOLDER), spaced).otherwise(value)
 
 
 def assign(found: DataFrame, key: str, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """(kind, canon, value): surrogates that are distinct and no entity of the table.
 
-    Each round keeps the settled ones and tries the others again.
+    Each round keeps the settled ones and tries the others again.  Where nothing can change,
+    or a format has no free value left, a placeholder of type and keyed hash stands.
     """
     group = F.regexp_replace("kind", "-.*", "")
     all_found = cut(found.select("kind", "canon").distinct(), "entities")
     originals = all_found.select(group.alias("group"), F.col("canon").alias("value")).distinct()
-    done, left = None, all_found.select("kind", "canon", F.lit(0).alias("attempt"))
+    changeable = all_found.where(F.col("canon").rlike(CHANGEABLE))
+    done, left = None, changeable.select("kind", "canon", F.lit(0).alias("attempt"))
     for attempt in range(max_attempts):
         tried = left.withColumn("value", surrogate(key)).withColumn("group", group)
         if done is not None:
@@ -193,11 +199,14 @@ def assign(found: DataFrame, key: str, max_attempts: int = MAX_ATTEMPTS) -> Data
         winners = free.groupBy("group", "value").agg(F.min(F.struct("kind", "canon")).alias("w"))
         settled = winners.select("group", "value", "w.kind", "w.canon")
         done = cut(settled if done is None else done.unionByName(settled), "surrogates")
-        left = all_found.join(done, ["kind", "canon"], "left_anti").select("kind", "canon", F.lit(attempt + 1).alias("attempt"))
+        left = changeable.join(done, ["kind", "canon"], "left_anti").select("kind", "canon", F.lit(attempt + 1).alias("attempt"))
         left = cut(left, "entities-left")
         if left.isEmpty():
-            return done
-    raise ValueError("surrogates still collide: a type has more entities than its format has values")
+            break
+    rest = all_found.join(done, ["kind", "canon"], "left_anti").withColumn("group", group)
+    digest = F.left(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("placeholder"), "kind", "canon"), 256), F.lit(32))
+    rest = rest.select("group", F.concat(F.lit(PLACEHOLDER), "group", F.lit("-"), digest, F.lit(">")).alias("value"), "kind", "canon")
+    return done.unionByName(rest)
 
 
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
