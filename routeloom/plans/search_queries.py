@@ -372,18 +372,22 @@ def q18_route_trees(spark, d):
 
 @query()
 def q19_route_enumeration(spark, d):
-    """All optimal routes, up to 256 each, of the parts of depth 1 to 3; a part's graph is its run."""
+    """All optimal routes, up to 256 each, of the parts that have one; a part's graph is its run."""
     mols, rxns = B.molecules(spark, d), B.reactions(spark, d)
     cost, chosen = G.and_or_depth(mols, rxns)
-    step = cost.where("cost between 1 and 3").select(F.col("mol").cast("string").alias("run"), "mol")
+    step = cost.where("cost >= 1").select(F.col("mol").cast("string").alias("run"), "mol")
     used, options = None, rxns.join(chosen.select("rxn"), "rxn", "left_semi").drop("run")
-    roots = step
-    for _ in range(3):
+    roots = step = G.cut(step, "roots")
+    seen = step
+    while not step.isEmpty():
         rows = step.withColumnRenamed("mol", "parent").join(options, "parent").select("run", "rxn", "parent", "child", "times")
+        rows = G.cut(rows, "rows")
         used = rows if used is None else used.unionByName(rows)
-        step = rows.select("run", F.col("child").alias("mol")).distinct()
+        step = G.cut(rows.select("run", F.col("child").alias("mol")).distinct().join(seen, ["run", "mol"], "left_anti"), "step")
+        seen = seen.unionByName(step)
+    if used is None:
+        used = roots.withColumnRenamed("mol", "parent").join(options, "parent").select("run", "rxn", "parent", "child", "times")
     used = G.cut(used.distinct(), "used")
-    roots = G.cut(roots, "roots")
     own = used.select("run", F.col("child").alias("mol")).unionByName(used.select("run", F.col("parent").alias("mol"))).distinct()
     return G.enumerate_routes(own.join(mols.select("mol", "available"), "mol"), used, roots)
 
@@ -428,18 +432,26 @@ def q22_search_breadth_first(spark, d):
 
 @query()
 def q22_search_uct(spark, d):
-    """UCT searches with a budget of 8 over the reactions within three steps of each such part."""
+    """UCT searches with a budget of 8 over the reactions that so many expansions can reach from each such part."""
+    budget = 8
     mols, rxns = B.molecules(spark, d), B.reactions(spark, d)
     near = B.table(spark, d, "part").select(F.col("p_partkey").alias("child"), (1 - F.col("p_size") / 50).alias("closeness"))
     targets = mols.where("not available").join(rxns.select("run", F.col("child").alias("mol")), ["run", "mol"], "left_anti")
     targets = G.cut(targets.select(F.col("mol").cast("string").alias("run"), "mol").join(near.withColumnRenamed("child", "mol"), "mol"), "targets")
-    step, found = targets.select("run", "mol"), None
-    for _ in range(3):
+    # available molecules are never opened
+    closed = mols.where("not available").select("mol")
+    step, seen, found = targets.select("run", "mol"), targets.select("run", "mol"), None
+    for _ in range(budget):
         rows = step.withColumnRenamed("mol", "parent").join(rxns.drop("run"), "parent").select("run", "rxn", "parent", "child")
+        rows = G.cut(rows, "found")
         found = rows if found is None else found.unionByName(rows)
-        step = G.cut(rows.select("run", F.col("child").alias("mol")).distinct(), "step")
+        children = rows.select("run", F.col("child").alias("mol")).distinct().join(closed, "mol", "left_semi")
+        step = G.cut(children.join(seen, ["run", "mol"], "left_anti").select("run", "mol"), "step")
+        if step.isEmpty():
+            break
+        seen = seen.unionByName(step)
     reach = found.distinct().join(mols.select(F.col("mol").alias("child"), "available"), "child").join(near, "child")
-    return P.uct_search(targets, reach, budget=8)
+    return P.uct_search(targets, reach, budget=budget)
 
 
 @query(
@@ -466,17 +478,19 @@ def q22_search_model(spark, d):
 
 @query()
 def q24_replayed_routes(spark, d):
-    """Replays of the seeded route trees of depth 2 and 3: the outcome of each."""
+    """Replays of the seeded route trees of depth 2 to 8: the outcome of each."""
     from ..operators.corpus import on_route, replay_outcomes
 
     mols, rxns = B.molecules(spark, d), B.reactions(spark, d)
     cost, chosen = G.and_or_depth(mols, rxns)
-    targets = cost.where("cost between 2 and 3").select("run", "mol")
+    targets = cost.where("cost between 2 and 8").select("run", "mol")
     trees = G.route_trees(targets, cost, chosen, rxns, mols, seed=3).select(F.col("target").cast("string").alias("run"), "mol", "cost")
     trees = G.cut(trees, "trees")
     goals = targets.select(F.col("mol").cast("string").alias("run"), "mol")
-    _, found = P.search(goals, _environment(spark, d), on_route(trees), budget=4, max_depth=7)
-    return replay_outcomes(trees, found, 7).groupBy("outcome").agg(F.count("*").alias("n"))
+    # a replay may open each molecule of its tree
+    budget = trees.groupBy("run").count().agg(F.max("count")).first()[0] or 0
+    _, found = P.search(goals, _environment(spark, d), on_route(trees), budget=budget, max_depth=8)
+    return replay_outcomes(trees, found, 8).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query()

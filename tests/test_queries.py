@@ -55,3 +55,17 @@ def test_library_does_not_need_the_corpus_operators():
         if f"{os.sep}llm{os.sep}" not in p:
             text = open(p).read()
             assert "llm import" not in text and "routeloom.llm" not in text
+
+
+def test_routes_of_all_depths(spark):
+    """The tables of scale 0.01 have parts of depth 4 to 6."""
+    from routeloom.operators import graph as G
+    from routeloom.plans import bindings as B
+
+    d = "/root/testdata/sf0.01"
+    cost, _ = G.and_or_depth(B.molecules(spark, d), B.reactions(spark, d))
+    depths = {str(r.mol): r.cost for r in cost.where("cost >= 1").collect()}
+    assert max(depths.values()) > 3
+    assert {r.run for r in entry.queries()["q19_route_enumeration"](spark, d).select("run").distinct().collect()} == set(depths)
+    replayed = {r.outcome: r.n for r in entry.queries()["q24_replayed_routes"](spark, d).collect()}
+    assert replayed == {"complete": sum(2 <= c <= 8 for c in depths.values())}
