@@ -15,11 +15,13 @@ run again gives the same rows.
 
 Defined results: a null text is empty (one end id); repeated rows are packed once
 each; an empty table gives no rows; other columns are ignored; a null ``doc_id``
-is carried through.
+is carried through; a tokenizer that prepares texts in another way than by words
+encodes them whole.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -50,18 +52,48 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
+#: How a tokenizer's file must prepare texts so that their words can be looked up one by one.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(tokenizer) -> bool:
+    """Whether a tokenizer lower-cases, drops white space and never merges across it."""
+    spec = json.loads(tokenizer.to_str())
+    marks = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
+    return marks and spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
+
+
+def latin_letters(word: str) -> bool:
+    """Letters that stay single letters when composed and lower-cased."""
+    with suppress(UnicodeEncodeError):
+        word.encode("latin-1")
+        return word.isalpha()
+    return False
+
+
 class WordIds(dict):
     """Bytes of the ids of a word, by word; holds two generations of bounded size.
 
-    The tokenizer drops white space and never merges across it, so the ids of a
-    text are those of its words in turn.  A word of lower-case Latin letters passes
-    normalisation unchanged and is one piece, so the vocabulary's model takes it.
+    If the tokenizer drops white space and never merges across it, the ids of a text
+    are those of its words in turn; the texts of any other tokenizer are encoded whole.
+    A word of lower-case Latin letters passes normalisation unchanged and is one piece,
+    so the vocabulary's model takes it.
     """
 
     def __init__(self, tokenizer, limit: int = CACHE_WORDS):
         super().__init__()
         self.tokenizer, self.limit, self.old = tokenizer, limit, {}
-        self.letters, self.pieces = byte_letters(), tokenizer.model.tokenize
+        self.letters, self.pieces, self.by_words = byte_letters(), tokenizer.model.tokenize, by_words(tokenizer)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -80,8 +112,8 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            # a full stop or comma after letters is a token of its own
-            ids = self[word[:-1]] + self[word[-1]] if word[-1] in ".," and word[:-1].isalpha() else self.encode_word(word)
+            # a full stop or comma after such letters is a token of its own; others may end in a mark that takes the sign along
+            ids = self[word[:-1]] + self[word[-1]] if word[-1] in ".," and latin_letters(word[:-1]) else self.encode_word(word)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -90,7 +122,7 @@ class WordIds(dict):
 
     def text(self, text: str) -> bytes:
         # str.split also splits at these four, which the tokenizer keeps; and its special tokens may hold white space
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if not self.by_words or "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.encode(text)
         with suppress(UnicodeEncodeError):  # elsewhere lower-casing may depend on the place or the Unicode version
             text.encode("latin-1")

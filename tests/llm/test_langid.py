@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from routeloom.llm.langid import fit, fit_vectors, grams, held_out, predict
+from routeloom.llm.langid import CHUNK, fit, grams, held_out, predict, radii_of
 
 from .corpus import frame, rows
 
@@ -22,7 +22,7 @@ def corpus(n=300, seed=3):
 def test_held_out_accuracy(spark):
     docs = frame(spark, corpus())
     model = fit(docs, ~held_out(), k=3)
-    assert sorted(set(model.labels)) == sorted(LETTERS) and len(model.labels) == 9
+    assert sorted(r.lang for r in model.centroids.collect()) == sorted(3 * list(LETTERS)) and model.labels == 3
     out = predict(docs, model).withColumn("held", held_out()).collect()
     held = [r for r in out if r.held]
     assert len(held) > 30 and np.mean([r.lang == r.lang_pred for r in held]) > 0.97
@@ -33,7 +33,7 @@ def test_held_out_accuracy(spark):
 def test_labels_of_held_out_rows_are_not_seen(spark):
     data = [(i, t, "zz" if i % 7 == 0 else l, *r) for i, t, l, *r in corpus()]
     model = fit(frame(spark, data), "doc_id % 7 <> 0")
-    assert "zz" not in model.labels
+    assert "zz" not in {r.lang for r in model.centroids.collect()}
 
 
 def test_far_text_is_rejected_and_odd_texts_are_und(spark):
@@ -48,10 +48,54 @@ def test_awkward_tables(spark):
     data = rows()
     out = predict(frame(spark, data), fit(frame(spark, data))).collect()
     assert len(out) == len(data)
-    none = fit_vectors([], np.zeros((0, 1 << 13)))
+    none = fit(frame(spark, [(*r[:2], None, *r[3:]) for r in data]))
     assert {r.lang_pred for r in predict(frame(spark, data), none).collect()} == {"und"}
     assert predict(frame(spark, []), fit(frame(spark, []))).collect() == []
 
 
 def test_case_and_signs_do_not_matter():
     assert (grams("Abc, def") == grams("ABC   $$ DEF!")).all() and grams("1 2") is None
+
+
+def test_against_a_plain_nearest_centroid(spark):
+    """Counts, weights and cosines in dictionaries; one pass or a pass for each label give the same."""
+    data = corpus(120) + [(None, "abc abd", "aa", None, None, None, None), (900, None, "aa", None, None, None, None), (901, "x", "bb", None, None, None, None)]
+    docs = frame(spark, data)
+    model = fit(docs, per_language=20, k=2)
+    centroids = [(r.lang, np.frombuffer(r.centroid, np.float32)) for r in model.centroids.orderBy("lang", "number").collect()]
+    want = {}
+    for doc, text, *_ in data:
+        counts = grams(text)
+        weights = {} if counts is None else {int(i): float(np.log1p(counts[i]) * model.idf[i]) for i in np.flatnonzero(counts)}
+        norm = sum(w * w for w in weights.values()) ** 0.5
+        scores = [(sum(w * float(c[i]) for i, w in weights.items()) / norm, -n, lang) for n, (lang, c) in enumerate(centroids)] if weights else [(0.0, 0, "und")]
+        want[doc] = max(scores)
+    model_by_label = fit(docs, per_language=20, k=2, block_labels=1)
+    for m in (model, model_by_label):
+        got = predict(docs, m).withColumn("held", held_out()).collect()
+        assert len(got) == len(data)
+        for r in got:
+            assert r.lang_pred == want[r.doc_id][2] and abs(r.score - want[r.doc_id][0]) < 1e-5
+            assert r.held is (True if r.doc_id is None else r.held) and r.held is not None
+
+
+def test_long_texts_count_like_short_ones():
+    text = "ab, c  déf " * 20_000
+    assert len(text) > 3 * CHUNK
+    whole = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    for piece in (whole[:2000], whole[:1999]):
+        assert grams(piece).sum() == 2 * (len(" " + " ".join(piece.split()) + " ") - 2)
+    assert grams(text).sum() == 2 * (len(whole) - 2)
+    assert grams(text + " " * CHUNK).tolist() == grams(text).tolist() and grams(" " * CHUNK + "x").sum() == 2
+
+
+def test_radii_pool_small_classes():
+    out = radii_of([(4, 800, 3), (9, 500, 40), (9, 100, 1), (10, 900, 400)])
+    assert out[4] > 0 and out[9] == 0.25 and abs(out[23] - 0.45) < 1e-9
+    assert radii_of([]).tolist() == [0.0] * 24
+
+
+def test_rare_labels_and_repeated_ids_train(spark):
+    data = corpus(60) + [(1000, "qqq www zzz", "rare", None, None, None, None)] + [(1001, f"vvv uuu {i}", "copy", None, None, None, None) for i in range(9)]
+    model = fit(frame(spark, data), per_language=5)
+    assert {"rare", "copy"} <= {r.lang for r in model.centroids.collect()}

@@ -62,3 +62,30 @@ def test_empty_table_and_repeats(spark):
     assert pack_documents(frame(spark, []), tokenizer_path()).collect() == []
     twice = [(1, "same text", None, None, None, None, None)] * 2
     assert sum(r.length for r in pack_documents(frame(spark, twice), tokenizer_path()).collect()) == 2 * len(token_ids("same text"))
+
+
+def test_ids_of_every_code_point_before_signs():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    from routeloom.llm.packing import word_ids
+
+    token_ids("")
+    words = word_ids(tokenizer_path())
+    assert words.by_words
+    points = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    for form in ("{}.", "{},", "a{}. B{}, {}a."):
+        texts = [form.replace("{}", c) for c in points]
+        for at in range(0, len(texts), 20_000):
+            some = texts[at : at + 20_000]
+            for text, want in zip(some, _T.encode_batch(some, add_special_tokens=False)):
+                assert words.text(text) == np.array(want.ids, "<u4").tobytes(), ascii(text)
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    from routeloom.llm.packing import word_ids
+
+    words = word_ids(tokenizer_path("byte_bpe_50k.json"))
+    for text in ("Hello  World. É,\n x", "", "One two  three"):
+        assert not words.by_words and words.text(text) == np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
