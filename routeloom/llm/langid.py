@@ -159,7 +159,7 @@ def fit(docs: DataFrame, trains: Column | bool = True, per_language: int = PER_L
     """Learn from a sample of the labelled rows where ``trains`` holds."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.lit(trains) if isinstance(trains, bool) else trains).where("lang is not null and doc_id is not null")
-    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("n")), "label-sizes")
+    sizes = cut(rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")), "label-sizes")
     labels = sizes.count()
     shares = sizes.select("lang", F.least(F.lit(1.0), per_language / F.col("n")).alias("share"))
     drawn = rows.select(F.col("doc_id").cast("long"), "lang", "text").join(F.broadcast(shares) if labels <= BROADCAST_LABELS else shares, "lang")
