@@ -38,7 +38,7 @@ PII_KEY = os.environ.get("ROUTELOOM_PII_KEY", "example-key")
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = mix(documents(spark, sf_dir))
-    return kept.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"))
+    return kept.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"), F.round("rake_residual", 6).alias("rake_residual"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
