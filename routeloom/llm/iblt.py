@@ -1,22 +1,27 @@
 """Document fingerprints by invertible Bloom lookup sketches, in SQL functions alone.
 
-A text is cut into sentences (after a punctuation mark or line end), each taken once; runs
-of sentences between content-defined breaks are its paragraphs.  A break needs more zero bits in a
-sentence's hash the longer the text is (its *level*), so any text has about
-``PARAGRAPHS`` of them, and two texts are compared at the higher of their levels.
-Each paragraph digest goes to one cell in each third of the sketch; a cell keeps a
-count, the XOR of its digests and the XOR of their checks.  Two sketches subtract cell
-by cell, and peeling the cells that hold one digest recovers the digests in which the
-versions differ.  If cells stay, both sides are sketched again with three times the
-cells; after the largest size the digests themselves are compared.
-
-Everything is local to a row but the neighbour's text, which comes by a window within
-ranges of ids; a copy of the next range's first row closes each range.
-
-Defined results: a null text is empty; two texts without sentences are alike by 1, one
-with and one without by 0; rows sort by id and text, so rows with equal ids have each
-other as neighbours; a null id sorts first; a single row is its own neighbour; an empty
-table gives no rows; other columns are ignored.
+A text is cut into clauses (after a punctuation mark of any of several scripts, or a line
+end; a clause of over ``LONG`` characters also after some of its words), and runs of
+clauses between content-defined breaks are its paragraphs, of about two clauses at any
+length of text.  A digest stands for a paragraph and a number of its repeats.
+
+The digests are dealt by their bits to blocks of about ``BLOCK`` for the two versions
+together.  In each block a digest goes to one cell in each third of the block's sketch; a
+cell keeps a count, the XOR of its digests and the XOR of their checks.  Two sketches
+subtract cell by cell, and peeling the cells that hold one digest recovers the digests in
+which the versions differ.  If cells stay, both sides of the block are sketched again with
+three times the cells; after the largest size the digests themselves are compared.  So
+the work grows with the number of paragraphs, whatever the difference is.
+
+The following document comes by two joins: narrow rows (id, hash of the text, length) are
+sorted by range and know their neighbours; then each text meets the first half-length
+characters and the digests of the next one.  Nothing is broadcast but what adaptive
+execution measures as small, and the partitions follow the bytes.
+
+Defined results: a null text is empty; two texts without paragraphs are alike by 1, one
+with and one without by 0; rows of one id follow one another by a hash of their texts,
+equal rows too; a null id sorts first; after the last row comes the first, so a single
+row is its own neighbour; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +29,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, tasks_for
+from .common import NO_ID, cut, tasks_for
 
-PARAGRAPHS = 12
+#: Marks that end a clause.
+SIGNS = ".,;:!?|\n。、，！？；：।۔؟،"
+LONG = 96
+#: One clause in ``EVERY`` ends a paragraph, in a long clause one word in ``WORDS``; powers of two.
+EVERY, WORDS = 2, 32
+BREAK = "\x01"
+BLOCK = 8
 SIZES = (18, 54, 162, 486)
 ROUNDS = 16
-RANGE_ROWS = 4000
-MAX_RANGES = 4096
+PART_ROWS = 500_000
+PART_CHARS = 16 << 20
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -38,24 +49,24 @@ def let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def sentences(text: str) -> str:
-    """Distinct hashes of a text's sentences."""
-    return f"array_distinct(transform(filter(split({text}, '(?<=[.,;:!?|\\n])'), x -> x <> ''), x -> xxhash64(x)))"
+def paragraphs(text: str) -> str:
+    """Hashes of a text's paragraphs, in order."""
+    after = lambda part, every: f"if((xxhash64({part}) & {every - 1}) = 0, concat({part}, '{BREAK}'), {part})"
+    words = f"array_join(transform(regexp_extract_all(p, '\\\\S{{1,16}}\\\\s*|\\\\s+', 0), w -> {after('w', WORDS)}), '')"
+    clauses = f"transform(split({text}, '(?<=[{SIGNS}])'), p -> if(length(p) > {LONG}, {words}, {after('p', EVERY)}))"
+    return f"transform(filter(split(array_join({clauses}, ''), '{BREAK}'), x -> x <> ''), x -> xxhash64(x))"
 
 
-def level(hashes: str) -> str:
-    return f"cast(greatest(0, ceil(log2(greatest(1, size({hashes})) / {PARAGRAPHS}))) as int)"
+def digests(text: str) -> str:
+    """Digests of each distinct paragraph: with the number of its repeats, and with all smaller powers of two.
 
-
-def paragraphs(hashes: str, at_level: str) -> str:
-    """Distinct digests of the runs of sentences between breaks of a level."""
-    state = "named_struct('out', {}, 'cur', {}, 'open', {})".format
-    step = (
-        f"if((x & (shiftleft(1L, {at_level}) - 1)) = 0, "
-        f"{state('array_append(a.out, xxhash64(a.cur, x))', '0L', 'false')}, {state('a.out', 'xxhash64(a.cur, x)', 'true')})"
-    )
-    start = state("cast(array() as array<bigint>)", "0L", "false")
-    return f"array_distinct(aggregate({hashes}, {start}, (a, x) -> {step}, a -> if(a.open, array_append(a.out, a.cur), a.out)))"
+    So versions that keep some of the repeats stay alike, and no two numbers of repeats are the same.
+    """
+    begins = "filter(transform(s, (x, i) -> if(i = 0 or s[i - 1] <> x, i, -1)), p -> p >= 0)"
+    counts = "array_distinct(concat(transform(sequence(0, cast(floor(log2(c)) as int)), e -> shiftleft(1, e)), array(c)))"
+    one = f"if(c = 1, array(xxhash64(s[p], 1)), transform({counts}, m -> xxhash64(s[p], m)))"
+    runs = f"flatten(transform(b, (p, j) -> {let('c', 'coalesce(get(b, j + 1), size(s)) - p', one)}))"
+    return let("s", f"sort_array({paragraphs(text)})", let("b", begins, runs))
 
 
 def _check(key: str) -> str:
@@ -99,73 +110,84 @@ def peel(cells: str, size: int) -> str:
     )
 
 
-def difference(left: str, right: str, sizes: tuple[int, ...] = SIZES) -> str:
-    """Signed digests (1: left alone, -1: right alone), retrying larger on failure."""
+def block_difference(left: str, right: str, sizes: tuple[int, ...]) -> str:
+    """Signed digests (1: left alone, -1: right alone) of a block, retrying larger on failure."""
     tries = [peel(subtract(sketch(left, m), sketch(right, m)), m) for m in sizes]
     one = "transform(array_except({}, {}), k -> named_struct('n', {}, 'k', k))".format
     return f"coalesce({', '.join(tries)}, concat({one(left, right, 1)}, {one(right, left, -1)}))"
 
 
+def difference(left: str, right: str, sizes: tuple[int, ...] = SIZES) -> str:
+    """Signed digests in which two sets differ, block by block."""
+    blocks = f"shiftleft(1L, cast(ceil(log2(greatest(1, (size({left}) + size({right})) / {BLOCK}))) as int))"
+    own = lambda keys: f"filter({keys}, k -> (shiftrightunsigned(k, 20) & (n - 1)) = i)"
+    body = let("l", own(left), let("r", own(right), f"if(l = r, cast(array() as array<struct<n:int,k:bigint>>), {block_difference('l', 'r', sizes)})"))
+    return let("n", blocks, f"flatten(transform(sequence(0, cast(n - 1 as int)), i -> {body}))")
+
+
 def likeness(left: str, right: str, differing: str) -> str:
     """Shared digests over all, from the two counts and the recovered difference."""
     total = f"(size({left}) + size({right}))"
     return f"if({total} = 0, 1.0D, cast({total} - size({differing}) as double) / ({total} + size({differing})))"
 
 
-def as_text(keys: str, at_level: str, size: int = SIZES[0]) -> str:
+def as_text(keys: str, size: int = SIZES[0]) -> str:
     cells = f"transform({sketch(keys, size)}, c -> concat(c.n, '.', hex(c.k), '.', hex(c.s)))"
-    return f"concat({at_level}, ':', size({keys}), ':', array_join({cells}, '/'))"
-
-
-def with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``doc_id``, ``text`` and ``next_text``, the text of the next row by id (after the last, the first)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("k", F.coalesce("doc_id", F.lit(NO_ID)))
-    rows = docs.count()
-    if not rows:
-        return docs.select("doc_id", "text", F.col("text").alias("next_text"))
-    n = min(MAX_RANGES, tasks_for(docs, range_rows, rows))
-    cuts = docs.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0]
-    cuts = sorted(set(cuts))
-    # two levels of cut points, so that a row is held against about twice their root
-    step = max(1, int(len(cuts) ** 0.5))
-    parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    longs = lambda xs: F.lit([int(x) for x in xs]).cast("array<long>")
-    heads = longs([p[0] for p in parts])
-    fine = F.array(longs([]), *(longs(p) for p in parts))
-    coarse = F.size(F.filter(heads, lambda c: c <= F.col("k")))
-    docs = docs.withColumn("c", coarse)
-    docs = docs.withColumn("part", F.col("c") * F.lit(step + 1) + F.size(F.filter(fine[F.col("c")], lambda c: c <= F.col("k"))))
-    # at most MAX_RANGES ranges: their first rows close the ranges before them
-    firsts = sorted((r["part"], r["k"]) for r in docs.groupBy("part").agg(F.min("k").alias("k")).collect())
-    before = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
-    closing = docs.sparkSession.createDataFrame(before, "k long, part int")
-    close = docs.select("k", "text").join(F.broadcast(closing), "k").groupBy("part").agg(F.min("text").alias("text"))
-    both = docs.select("doc_id", "k", "text", "part", F.lit(False).alias("close")).unionByName(
-        close.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("k"), "text", "part", F.lit(True).alias("close"))
-    )
-    order = Window.partitionBy("part").orderBy("close", "k", "text")
-    return both.withColumn("next_text", F.lead("text").over(order)).where(~F.col("close")).select("doc_id", "text", "next_text")
+    return f"concat(size({keys}), ':', array_join({cells}, '/'))"
 
 
-def fingerprint_edits(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+def neighbours(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(k, h, copies, n, pk, ph, half) of each distinct id and text: the row before it, and half that row's characters.
+
+    ``docs`` has k, h and n.  The order is global, yet no task sees more than its range.
+    """
+    parts = tasks_for(docs, part_rows, docs.count())
+    rows = docs.groupBy("k", "h").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
+    # written, so that a range keeps its number whatever is run again
+    rows = cut(rows.repartitionByRange(parts, "k", "h").withColumn("part", F.spark_partition_id()), "ranges")
+    last = rows.groupBy("part").agg(F.max(F.struct("k", "h", "n")).alias("last"))
+    order = Window.orderBy("part")  # a row for each range
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = last.select("part", F.coalesce(F.lag("last").over(order), F.last("last").over(whole)).alias("b"))
+    own = Window.partitionBy("part").orderBy("k", "h")
+    rows = rows.withColumn("a", F.lag(F.struct("k", "h", "n")).over(own)).join(before, "part").withColumn("a", F.coalesce("a", "b"))
+    return cut(rows.select("k", "h", "copies", "n", F.col("a.k").alias("pk"), F.col("a.h").alias("ph"), F.expr("cast(a.n div 2 as int)").alias("half")), "neighbours")
+
+
+def with_next(docs: DataFrame, part_rows: int = PART_ROWS, part_chars: int = PART_CHARS) -> DataFrame:
+    """``doc_id``, ``text``, ``keys`` (its digests), and of the next row ``next_half`` (as many first characters as half the text has) and ``next_keys``."""
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    order = neighbours(docs.select("k", "h", F.char_length("text").alias("n")), part_rows)
+    totals = order.agg(F.sum(F.col("n") * F.col("copies")).alias("chars"), F.max("copies").alias("copies")).first()
+    parts = tasks_for(docs, part_chars, totals["chars"] or 0)
+    keyed = docs.withColumn("keys", F.expr(digests("text"))).repartition(parts, "k", "h")
+    if (totals["copies"] or 1) > 1:
+        keyed = keyed.groupBy("k", "h").agg(F.first("text").alias("text"), F.first("keys").alias("keys"))
+    rows = keyed.join(order, ["k", "h"])
+    sent = rows.select(F.col("pk").alias("k"), F.col("ph").alias("h"), F.expr("substring(text, 1, half)").alias("next_half"), F.col("keys").alias("next_keys"))
+    out = rows.select("k", "h", "text", "keys", "copies").join(sent.repartition(parts, "k", "h"), ["k", "h"])
+    # of equal rows all but one are followed by their own kind
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    own = F.expr("substring(text, 1, cast(char_length(text) div 2 as int))")
+    return out.select(
+        F.nullif("k", F.lit(NO_ID)).alias("doc_id"), "text", "keys",
+        F.when(F.col("copy") == 1, F.col("next_half")).otherwise(own).alias("next_half"), F.when(F.col("copy") == 1, F.col("next_keys")).otherwise(F.col("keys")).alias("next_keys"),
+    )
+
+
+def fingerprint_edits(docs: DataFrame, part_rows: int = PART_ROWS, part_chars: int = PART_CHARS) -> DataFrame:
     """Fingerprints of each text and of its edit by the next text, with the differences and likenesses.
 
     The edit replaces the last half (rounded down) of the code points by as many of the next text's first.
     """
-    out = with_next(docs, range_rows).withColumn("n_chars", F.char_length("text").cast("long"))
-    half = "cast(n_chars div 2 as int)"
-    out = out.withColumn("edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {half}), substring(next_text, 1, {half}))"))
-    out = out.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(F.expr(sentences(c)).alias(h) for c, h in (("text", "h"), ("edited", "he"), ("next_text", "hn")))
-    )
-    out = out.select("*", *(F.expr(level(h)).alias(v) for h, v in (("h", "v"), ("he", "ve"), ("hn", "vn"))))
-    levels = {"p": ("h", "v"), "pe": ("he", "ve"), "pl": ("h", "greatest(v, ve)"), "pr": ("he", "greatest(v, ve)"), "ql": ("h", "greatest(v, vn)"), "qr": ("hn", "greatest(v, vn)")}
-    out = out.select("doc_id", "n_chars", "edited_sha256", "v", "ve", *(F.expr(paragraphs(*x)).alias(n) for n, x in levels.items()))
-    out = out.select("*", F.expr(difference("pl", "pr")).alias("edited_difference"), F.expr(difference("ql", "qr")).alias("next_difference"))
+    out = with_next(docs, part_rows, part_chars).withColumn("n_chars", F.char_length("text").cast("long"))
+    kept = "substring(text, 1, cast(n_chars - n_chars div 2 as int))"
+    out = out.withColumn("edited", F.expr(f"concat({kept}, next_half)"))
+    out = out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "keys", "next_keys", F.expr(digests("edited")).alias("edited_keys"))
+    out = out.select("*", F.expr(difference("keys", "edited_keys")).alias("edited_difference"), F.expr(difference("keys", "next_keys")).alias("next_difference"))
     return out.select(
-        "doc_id", "n_chars", "edited_sha256",
-        F.expr(as_text("p", "v")).alias("fingerprint"), F.expr(as_text("pe", "ve")).alias("edited_fingerprint"),
-        F.expr(likeness("pl", "pr", "edited_difference")).alias("near_edited"), F.expr(likeness("ql", "qr", "next_difference")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", F.expr(as_text("keys")).alias("fingerprint"), F.expr(as_text("edited_keys")).alias("edited_fingerprint"),
+        F.expr(likeness("keys", "edited_keys", "edited_difference")).alias("near_edited"), F.expr(likeness("keys", "next_keys", "next_difference")).alias("near_next"),
         "edited_difference", "next_difference",
     )

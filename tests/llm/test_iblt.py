@@ -1,24 +1,28 @@
 import hashlib
 import random
+import re
+from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
-from routeloom.llm.iblt import difference, fingerprint_edits, with_next
+from routeloom.llm.iblt import BREAK, EVERY, LONG, SIGNS, WORDS, difference, digests, fingerprint_edits, with_next
 
 from .corpus import frame, rows
 
 
 def ordered(data):
-    return sorted(((r[0], r[1] or "") for r in data), key=lambda x: (x[0], x[1].encode()))
+    """By id and hash of the text; a null id comes first."""
+    return sorted(((r[0], r[1] or "") for r in data), key=lambda x: (x[0] is not None, x[0] or 0, xxhash.xxh64(x[1].encode(), 42).intdigest() ^ 1 << 63))
 
 
 def test_next_text(spark):
-    data = rows()
+    data = rows() + [(None, t, None, None, None, None, None) for t in ("b", "a", "a", None, "c")]
     want = ordered(data)
-    for range_rows in (4000, 7):
-        got = sorted(((r.doc_id, r.text, r.next_text) for r in with_next(frame(spark, data), range_rows).collect()), key=lambda x: (x[0], x[1].encode()))
-        assert [(d, t) for d, t, _ in got] == want
-        assert [n for _, _, n in got] == [t for _, t in want[1:]] + [want[0][1]]
+    want = sorted((str(d), t, n[: len(t) // 2]) for (d, t), (_, n) in zip(want, want[1:] + want[:1]))
+    for part_rows, part_chars in ((500_000, 1 << 24), (7, 1000)):
+        got = with_next(frame(spark, data), part_rows, part_chars).collect()
+        assert sorted((str(r.doc_id), r.text, r.next_half) for r in got) == want
 
 
 def test_edits(spark):
@@ -55,3 +59,38 @@ def test_single_row_and_empty_table(spark):
     one = fingerprint_edits(frame(spark, [(5, "A b. C d.", None, None, None, None, None)])).collect()
     assert len(one) == 1 and one[0].near_next == 1
     assert fingerprint_edits(frame(spark, [])).collect() == []
+
+
+def plain_paragraphs(text):
+    """The paragraphs of a text and how often each occurs."""
+    h = lambda s: xxhash.xxh64(s.encode(), 42).intdigest()
+    out = ""
+    for clause in re.split(f"(?<=[{SIGNS}])", text):
+        java = "[ \\t\\n\\x0b\\f\\r]"
+        parts = re.findall(f"[^ \\t\\n\\x0b\\f\\r]{{1,16}}{java}*|{java}+", clause) if len(clause) > LONG else [clause]
+        for p in parts:
+            out += p + (BREAK if h(p) % (WORDS if len(clause) > LONG else EVERY) == 0 else "")
+    return Counter(x for x in out.split(BREAK) if x)
+
+
+def test_likeness_against_plain_sets(spark):
+    rng = random.Random(4)
+    unsigned = " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(2000))
+    data = rows() + [(499, unsigned, None, None, None, None, None), (500, "no signs at all " * 300 + "line. " * 41, None, None, None, None, None), (501, "漢字。仮名、" * 40 + "終", None, None, None, None, None), (502, "x" * 5000, None, None, None, None, None)]
+    got = fingerprint_edits(frame(spark, data)).collect()
+    texts, sets = ordered(data), {}
+    expect = []
+    for (d, t), (_, n) in zip(texts, texts[1:] + texts[:1]):
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        a, b, c = ({(p, m) for p, k in plain_paragraphs(x).items() for m in [*(1 << e for e in range(k.bit_length())), k]} for x in (t, edited, n))
+        like = lambda p, q: len(p & q) / len(p | q) if p | q else 1.0
+        expect.append((d, len(t), round(like(a, b), 9), round(like(a, c), 9)))
+        sets[d] = a
+    assert sorted((r.doc_id, r.n_chars, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(expect)
+    assert next(r for r in got if r.doc_id == 499).near_edited > 0.25
+
+
+def test_repeats_count(spark):
+    df = spark.createDataFrame([("a. b. c. ",), ("a. b. b. c. ",), ("a. b. c. ",)], "t string").select(F.expr(digests("t")).alias("k"))
+    one, twice, again = [sorted(r.k) for r in df.collect()]
+    assert one == again != twice
