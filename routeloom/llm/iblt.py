@@ -2,7 +2,7 @@
 
 A text is cut into clauses (after a punctuation mark of any of several scripts, or a line
 end; a clause of over ``LONG`` characters also after some of its words), and runs of
-clauses between content-defined breaks are its paragraphs, of about two clauses at any
+clauses between content-defined breaks are its paragraphs, of about four clauses at any
 length of text.  A digest stands for a paragraph and a number of its repeats.
 
 The digests are dealt by their bits to blocks of about ``BLOCK`` for the two versions
@@ -35,7 +35,7 @@ from .common import NO_ID, cut, tasks_for
 SIGNS = ".,;:!?|\n。、，！？；：।۔؟،"
 LONG = 96
 #: One clause in ``EVERY`` ends a paragraph, in a long clause one word in ``WORDS``; powers of two.
-EVERY, WORDS = 2, 32
+EVERY, WORDS = 4, 16
 BREAK = "\x01"
 BLOCK = 8
 SIZES = (18, 54, 162, 486)
@@ -79,15 +79,18 @@ def _entry(key: str, third: int, sign: str = "1") -> str:
     return f"named_struct('n', {sign}, 'k', {key}, 's', {_check(key)}, {cells})"
 
 
-HITS = "filter({}, t -> t.a = i or t.b = i or t.c = i)".format
+def _cells(entries: str, size: int) -> str:
+    """The cells of entries; a cell of a third has to look at one place of each."""
+    add = "named_struct('n', c.n + t.n, 'k', c.k ^ t.k, 's', c.s ^ t.s)"
+    empty = "named_struct('n', 0, 'k', 0L, 's', 0L)"
+    third = size // 3
+    cells = (f"transform(sequence({j * third}, {(j + 1) * third - 1}), i -> aggregate(filter({entries}, t -> t.{x} = i), {empty}, (c, t) -> {add}))" for j, x in enumerate("abc"))
+    return f"concat({', '.join(cells)})"
 
 
 def sketch(keys: str, size: int) -> str:
     """The cells of a set of digests."""
-    add = "named_struct('n', c.n + t.n, 'k', c.k ^ t.k, 's', c.s ^ t.s)"
-    empty = "named_struct('n', 0, 'k', 0L, 's', 0L)"
-    entries = f"transform({keys}, k -> {_entry('k', size // 3)})"
-    return let("es", entries, f"transform(sequence(0, {size - 1}), i -> aggregate({HITS('es')}, {empty}, (c, t) -> {add}))")
+    return let("es", f"transform({keys}, k -> {_entry('k', size // 3)})", _cells("es", size))
 
 
 def subtract(left: str, right: str) -> str:
@@ -98,9 +101,9 @@ def peel(cells: str, size: int) -> str:
     """The signed digests of a difference, or null if cells stay."""
     pure = f"filter(st.cells, c -> abs(c.n) = 1 and c.s = {_check('c.k')})"
     pure = f"array_distinct(transform({pure}, c -> {_entry('c.k', size // 3, 'c.n')}))"
-    drop = "named_struct('n', c.n - t.n, 'k', c.k ^ t.k, 's', c.s ^ t.s)"
     state = "named_struct('cells', {}, 'found', {}, 'idle', {})".format
-    cleared = f"transform(st.cells, (c, i) -> aggregate({HITS('ps')}, c, (c, t) -> {drop}))"
+    drop = "named_struct('n', c.n - t.n, 'k', c.k ^ t.k, 's', c.s ^ t.s)"
+    cleared = f"transform(st.cells, (c, i) -> aggregate(filter(ps, t -> t.a = i or t.b = i or t.c = i), c, (c, t) -> {drop}))"
     found = "concat(st.found, transform(ps, t -> named_struct('n', t.n, 'k', t.k)))"
     step = f"if(st.idle, st, {let('ps', pure, state(cleared, found, 'size(ps) = 0'))})"
     start = state(cells, "cast(array() as array<struct<n:int,k:bigint>>)", "false")
