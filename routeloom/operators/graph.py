@@ -8,13 +8,16 @@ Loops end when nothing changes, and cut their lineage at each step.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from heapq import heappop, heappush
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, release
 
 KEYS = ["run", "rxn", "parent"]
 
@@ -41,7 +44,7 @@ def and_or_depth(molecules: DataFrame, reactions: DataFrame, max_levels: int | N
         level += 1
         met = need.join(fresh.select("run", F.col("mol").alias("child")), ["run", "child"]).groupBy(*KEYS).agg(F.count("*").alias("met"))
         lacks = lacks.join(met, KEYS, "left").withColumn("lacks", F.col("lacks") - F.coalesce("met", F.lit(0))).drop("met")
-        lacks = cut(lacks, "lacks")  # the one table that a level writes
+        lacks = cut(lacks, "lacks")  # the one table that a level writes; later levels read what it fired
         fired = lacks.where("lacks = 0").select(*KEYS)
         if fired.isEmpty():
             break
@@ -74,22 +77,29 @@ def shortest_cost(molecules: DataFrame, reactions: DataFrame) -> DataFrame:
 
     A shared child counts once for each use and a repeated one by its times, so this is the
     cost of the route as a tree; ``distinct_reactions`` tells how many steps it really has.
-    Relaxation until no cost falls.
+    Only reactions with a child whose cost fell are summed again; it ends when nothing changes.
     """
-    best = cut(molecules.where("available").select("run", "mol", F.lit(0.0).alias("tree_cost"), F.lit(None).cast("long").alias("rxn")).distinct(), "best")
+    kind = reactions.schema["rxn"].dataType
+    best = cut(molecules.where("available").select("run", "mol", F.lit(0.0).alias("tree_cost"), F.lit(None).cast(kind).alias("rxn")).distinct(), "best")
     sizes = reactions.groupBy("run", "rxn").agg(F.count("*").alias("n"))
-    sized = cut(reactions.join(sizes, ["run", "rxn"]), "sized")
-    start, before = best, (best.count(), 0.0)
+    sized = reactions.join(sizes, ["run", "rxn"]).join(best.select("run", F.col("mol").alias("parent")), ["run", "parent"], "left_anti")
+    sized = cut(sized.select("run", "rxn", "parent", "child", "times", "n"), "sized")
+    fell = best.select("run", "mol")
     while True:
-        known = sized.join(best.select("run", F.col("mol").alias("child"), "tree_cost"), ["run", "child"])
+        # the reactions with a child whose cost fell, summed over all their children
+        touched = sized.join(fell.withColumnRenamed("mol", "child"), ["run", "child"]).select("run", "rxn").distinct()
+        known = sized.join(touched, ["run", "rxn"], "left_semi").join(best.select("run", F.col("mol").alias("child"), "tree_cost"), ["run", "child"])
         total = known.groupBy(*KEYS, "n").agg(F.count("*").alias("k"), (1 + F.sum(F.col("times") * F.col("tree_cost"))).alias("total"))
-        offers = total.where("k = n").groupBy("run", "parent").agg(F.min(F.struct("total", "rxn")).alias("b"))
-        made = offers.select("run", F.col("parent").alias("mol"), F.col("b.total").alias("tree_cost"), F.col("b.rxn").alias("rxn"))
-        best = cut(start.unionByName(made.join(start.select("run", "mol"), ["run", "mol"], "left_anti")), "best")
-        now = tuple(best.agg(F.count("*"), F.coalesce(F.sum("tree_cost"), F.lit(0.0))).first())
-        if now == before:
+        offers = total.where("k = n").groupBy("run", F.col("parent").alias("mol")).agg(F.min(F.struct("total", "rxn")).alias("o"))
+        old = best.select("run", "mol", F.struct(F.col("tree_cost").alias("total"), "rxn").alias("b"))
+        won = offers.join(old, ["run", "mol"], "left").where("b is null or o < b")
+        # of equal costs the smaller reaction wins, which changes no other cost
+        won = cut(won.select("run", "mol", F.col("o.total").alias("tree_cost"), "o.rxn", F.expr("b is null or o.total < b.total").alias("fell")), "won")
+        if won.isEmpty():
+            release(sized)
             return best
-        before = now
+        best = cut(best.join(won.select("run", "mol"), ["run", "mol"], "left_anti").unionByName(won.drop("fell")), "best", best)
+        fell = won.where("fell").select("run", "mol")
 
 
 def closure(roots: DataFrame, best: DataFrame, reactions: DataFrame) -> DataFrame:
@@ -138,8 +148,8 @@ def best_product(roots: DataFrame, edges: DataFrame, floor: float = 1e-4, fallba
         offers = offers.groupBy("run", "mol").agg(F.min(F.struct(F.round("dist", 12).alias("dist"), "n")).alias("o"))
         old = best.select("run", "mol", F.struct("dist", "n").alias("b"))
         fresh = offers.join(old, ["run", "mol"], "left").where("b is null or o < b").select("run", "mol", "o.dist", "o.n")
-        fresh = cut(fresh, "dist")
-        best = cut(best.join(fresh.select("run", "mol"), ["run", "mol"], "left_anti").unionByName(fresh), "dist")
+        fresh = cut(fresh, "dist-fresh")
+        best = cut(best.join(fresh.select("run", "mol"), ["run", "mol"], "left_anti").unionByName(fresh), "dist", best)
     total = F.exp(-F.col("dist"))
     per_step = F.when(F.col("n") > 0, F.pow(total, 1 / F.nullif("n", F.lit(0))))
     return best.select("run", "mol", total.alias("cumulative"), per_step.alias("per_step"), F.col("n").alias("edges"))
@@ -184,76 +194,110 @@ def mine_edges(applied: DataFrame, free: DataFrame) -> DataFrame:
     return rest.select("substrate", kept.alias("precursors")).where(F.size("precursors") > 0).distinct()
 
 
-ROUTES = "run string, root long, route int, reactions array<long>"
+class RunGraph:
+    """One run's reactions by molecule, and which of them can be made whole."""
 
-
-def enumerate_routes(molecules: DataFrame, reactions: DataFrame, roots: DataFrame, max_routes: int = 256, max_work: int = 2_000_000) -> DataFrame:
+    def __init__(self, mols: pd.DataFrame, rows: pd.DataFrame):
+        self.free = set(mols.loc[mols["available"], "mol"])
+        self.kids: dict = {}
+        self.parent: dict = {}
+        for r in rows.sort_values(["rxn", "child"]).itertuples():
+            self.kids.setdefault(r.rxn, []).extend([r.child] * int(r.times))
+            self.parent[r.rxn] = r.parent
+        self.cost, self.best = self.settle()
+        self.options: dict = {}
+        for x, own in self.kids.items():
+            if all(c in self.cost for c in own):
+                self.options.setdefault(self.parent[x], []).append(x)
+
+    def settle(self) -> tuple[dict, dict]:
+        """Tree costs in order of their size, and the reaction that gives each: a molecule's cost is final when it is taken."""
+        users: dict = {}
+        for x, own in self.kids.items():
+            for c in set(own):
+                users.setdefault(c, []).append(x)
+        lacks = {x: len(set(own)) for x, own in self.kids.items()}
+        cost, best, order = {}, {}, count()
+        heap = [(0, next(order), m, None) for m in sorted(self.free)]
+        while heap:
+            c, _, m, x = heappop(heap)
+            if m in cost:
+                continue
+            cost[m] = c
+            if x is not None:
+                best[m] = x
+            for user in users.get(m, []):
+                lacks[user] -= 1
+                if not lacks[user]:
+                    heappush(heap, (1 + sum(cost[k] for k in self.kids[user]), next(order), self.parent[user], user))
+        return cost, best
+
+    def cheapest(self, root) -> list:
+        """The reactions of the best tree below a molecule, each once."""
+        out, todo = {}, [root]
+        while todo:
+            x = self.best.get(todo.pop())
+            if x is not None and x not in out:
+                out[x] = True
+                todo += self.kids[x]
+        return list(out)
+
+    def routes(self, root, most: int, steps: int) -> Iterator[list]:
+        """Choices of a reaction for each open molecule, depth first with an agenda; a choice point is one entry of a stack.
+
+        An agenda is a chain (molecule, molecules above it, rest), shared between choice points,
+        so memory is the depth of the search and no lists are multiplied.
+        """
+        stack = [((), (root, frozenset(), None))]
+        while stack and most and steps:
+            steps -= 1
+            taken, agenda = stack.pop()
+            while agenda and agenda[0] in self.free:
+                agenda = agenda[2]
+            if not agenda:
+                most -= 1
+                route = []
+                while taken:
+                    route.append(taken[0])
+                    taken = taken[1]
+                yield route[::-1]
+                continue
+            mol, above, rest = agenda
+            if mol in above:
+                continue
+            inside = above | {mol}
+            for x in reversed(self.options.get(mol, [])):
+                after = rest
+                for child in reversed(self.kids[x]):
+                    after = (child, inside, after)
+                stack.append(((x, taken), after))
+
+
+def enumerate_routes(molecules: DataFrame, reactions: DataFrame, roots: DataFrame, max_routes: int = 256, max_steps: int = 2_000_000) -> DataFrame:
     """(run, root, route, reactions): solved routes below each root, in order of reaction ids.
 
-    A product over children has no relational form, so the rows of one run (one search's
+    A choice for every child has no relational form, so the rows of one run (one search's
     graph, not the corpus) are handled together in a task.  Cycles are cut along the path.
-    ``max_routes`` and ``max_work`` bound the listing by definition of the operator; a solved
-    root whose listing comes back empty has its cheapest route instead.
+    ``max_routes`` and ``max_steps`` bound the listing by definition of the operator; a solved
+    root whose listing comes back empty has its cheapest route instead.  Ids may be of any type.
     """
 
-    def routes_of(mols: pd.DataFrame, rows: pd.DataFrame, root: int) -> list[list[int]]:
-        free = set(mols.loc[mols["available"], "mol"])
-        kids: dict[int, list[int]] = {}
-        options: dict[int, list[int]] = {}
-        for r in rows.sort_values(["rxn", "child"]).itertuples():
-            if r.rxn not in kids:
-                options.setdefault(r.parent, []).append(r.rxn)
-            kids.setdefault(r.rxn, []).extend([r.child] * int(r.times))
-        cost, best = dict.fromkeys(free, 0.0), {}
-        parents = {x: p for p, xs in options.items() for x in xs}
-        changed = True
-        while changed:
-            changed = False
-            for x, own in kids.items():
-                if all(c in cost for c in own) and 1 + sum(cost[c] for c in own) < cost.get(parents[x], float("inf")):
-                    cost[parents[x]], best[parents[x]], changed = 1 + sum(cost[c] for c in own), x, True
-        work = 0
-
-        def below(mol: int, path: frozenset) -> list[list[int]]:
-            nonlocal work
-            if mol in free:
-                return [[]]
-            if mol not in cost or mol in path:
-                return []
-            found: list[list[int]] = []
-            for x in options.get(mol, []):
-                if len(found) >= max_routes or work >= max_work:
-                    break
-                parts = [[x]]
-                for child in kids[x]:
-                    work += 1
-                    parts = [a + b for a in parts for b in below(child, path | {mol})][:max_routes]
-                    work += len(parts)
-                    if not parts:
-                        break
-                found += parts
-            return found[:max_routes]
-
-        found = below(root, frozenset())
-        if not found and root in cost:
-            route, todo = [], [root]
-            while todo:
-                mol = todo.pop()
-                if mol in best and best[mol] not in route:
-                    route.append(best[mol])
-                    todo += kids[best[mol]]
-            found = [route]
-        return found
-
-    def run(key, mols: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = [(key[0], root, i, r) for root in mols.loc[mols["root"], "mol"] for i, r in enumerate(routes_of(mols, rows, root))]
+    def run(key: tuple, mols: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        graph, out = RunGraph(mols, rows), []
+        for root in mols.loc[mols["root"], "mol"]:
+            found = list(graph.routes(root, max_routes, max_steps)) if root in graph.cost else []
+            if not found and root in graph.best:
+                found = [graph.cheapest(root)]
+            out += [(key[0], root, i, r) for i, r in enumerate(found)]
         return pd.DataFrame(out, columns=["run", "root", "route", "reactions"])
 
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"run {kind(molecules, 'run')}, root {kind(molecules, 'mol')}, route int, reactions array<{kind(reactions, 'rxn')}>"
     marked = roots.select("run", "mol", F.lit(True).alias("root")).distinct()
     mols = molecules.select("run", "mol", "available").join(marked, ["run", "mol"], "left").na.fill(False, ["root", "available"])
     # both sides are written, as their columns may stem from one table
     mols, rows = cut(mols, "enumerate"), cut(reactions.select(*KEYS, "child", "times"), "enumerate")
-    return mols.groupBy("run").cogroup(rows.groupBy("run")).applyInPandas(run, ROUTES)
+    return mols.groupBy("run").cogroup(rows.groupBy("run")).applyInPandas(run, schema)
 
 
 def route_records(steps: DataFrame, reactions: DataFrame, molecules: DataFrame, ec: DataFrame) -> DataFrame:

@@ -6,19 +6,18 @@ It is the only point of extension: rank, cap, filter and view belong to the envi
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from typing import Protocol
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, release
 from .frontier import select_view
-from .graph import and_or_depth, reaction_rows
 
 Policy = Callable[[DataFrame], DataFrame]
 
@@ -36,8 +35,8 @@ def depth_first(frontier: DataFrame) -> DataFrame:
 
 
 def greedy(penalty: float = 0.0) -> Policy:
-    """Least (1 - closeness) + penalty * depth; needs ``closeness``."""
-    return lambda frontier: _pick(frontier, F.struct((1 - F.col("closeness") + penalty * F.col("depth")).alias("h"), "id"))
+    """Least (1 - closeness) + penalty * depth, to nine digits, then the least id; needs ``closeness``."""
+    return lambda frontier: _pick(frontier, F.struct(F.round(1 - F.col("closeness") + penalty * F.col("depth"), 9).alias("h"), "id"))
 
 
 def with_view(policy: Policy, order: str, top_k: int, seed: int = 0) -> Policy:
@@ -64,11 +63,17 @@ class Environment:
     scores: DataFrame | None = None
 
 
-def search(targets: DataFrame, env: Environment, policy: Policy, budget: int, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(decisions, molecules) of one search per (run, mol) in ``targets``.
+def search(
+    targets: DataFrame, env: Environment, policy: Policy, budget: int, max_depth: int | None = None, max_seconds: float | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decisions, molecules, runs) of one search per (run, mol) in ``targets``.
 
     A step expands one molecule in every run that is neither solved nor out of candidates;
-    all runs advance in the same jobs.  New molecules get ids in order of reaction and place.
+    all runs advance in the same jobs.  New molecules get ids in order of reaction and place,
+    the root 0.  What a step solves is carried upwards from its new reactions alone: open
+    reactions keep the number of children that they lack.  A policy with ``needs_graph`` gets
+    the root and the sizes of each run's graph too.  ``runs`` tells why each run ended: solved,
+    frontier_empty, budget, or time if ``max_seconds`` were over before a step.
     """
     # read from tables in each step, however they were made
     free = cut(env.free.select("mol", F.lit(True).alias("available")).distinct(), "free")
@@ -80,267 +85,211 @@ def search(targets: DataFrame, env: Environment, policy: Policy, budget: int, ma
 
     mols = known(targets.select("run", "mol").distinct().withColumn("id", F.lit(0).cast("long")).withColumn("depth", F.lit(0)))
     mols = cut(mols.withColumn("expanded", F.lit(False)).withColumn("solved", F.col("available")), "search")
-    edges, log = None, None
-    root = mols.select("run", F.col("mol").alias("root"))
+    edges, lacking, log, steps, late, began = [], None, None, 0, False, time.monotonic()
     for step in range(budget):
-        live = mols.join(root, "run").where("mol = root and not solved").select("run")
-        front = mols.join(live, "run").where("not solved and not expanded and not available")
+        late = max_seconds is not None and time.monotonic() - began > max_seconds
+        if late:
+            break
+        live = mols.where("id = 0 and not solved").select("run", F.col("mol").alias("target"))
+        front = mols.where("not solved and not expanded and not available").join(live, "run")
         if max_depth is not None:
             front = front.where(F.col("depth") < max_depth)
         if scores is not None:
             front = front.join(scores, "mol", "left")
+        if getattr(policy, "needs_graph", False):
+            front = front.join(mols.groupBy("run").agg(F.count("*").alias("n_molecules"), F.count_if("solved").alias("n_solved")), "run")
+            made = reduce(DataFrame.unionByName, edges).groupBy("run").agg(F.count_distinct("rxn").alias("n_reactions")) if edges else None
+            front = front.withColumn("n_reactions", F.lit(0).cast("long")) if made is None else front.join(made, "run", "left").na.fill(0, ["n_reactions"])
         front = cut(front, "frontier")
         if front.isEmpty():
             break
-        picks = cut(policy(front).withColumn("picked", F.lit(True)), "picks")
-        chosen = picks.join(mols, ["run", "mol"]).select("run", "mol", "id", "depth")
-        new = chosen.withColumnRenamed("mol", "parent").join(options, "parent")
-        new = cut(new.select("run", "rxn", "parent", "child", "place", F.col("depth") + 1), "edges").toDF("run", "rxn", "parent", "child", "place", "depth")
-        edges = new if edges is None else cut(edges.unionByName(new), "edges")
+        steps += 1
+        chosen = cut(policy(front).select("run", "mol").join(front, ["run", "mol"]).select("run", "mol", "id", "depth"), "chosen")
+        new = chosen.select("run", F.col("mol").alias("parent"), (F.col("depth") + 1).alias("depth")).join(options, "parent")
+        new = cut(new.select("run", "rxn", "parent", "child", "place", "depth"), "edges")
         found = new.groupBy("run", F.col("child").alias("mol")).agg(F.min("depth").alias("d"), F.min(F.struct("rxn", "place")).alias("first"))
-        old = mols.join(found.select("run", "mol", "d"), ["run", "mol"], "left")
-        old = old.withColumn("depth", F.least("depth", F.coalesce("d", F.col("depth")))).drop("d")
+        old = mols.join(found.select("run", "mol", "d"), ["run", "mol"], "left").join(chosen.select("run", "mol", F.lit(True).alias("picked")), ["run", "mol"], "left")
+        old = old.withColumn("depth", F.least("depth", F.coalesce("d", F.col("depth")))).withColumn("expanded", F.col("expanded") | F.coalesce("picked", F.lit(False))).drop("d", "picked")
         top = mols.groupBy("run").agg(F.max("id").alias("top"))
         fresh = found.join(mols.select("run", "mol"), ["run", "mol"], "left_anti").join(top, "run")
         number = F.row_number().over(Window.partitionBy("run").orderBy("first", "mol"))
         fresh = known(fresh.select("run", "mol", (F.col("top") + number).alias("id"), F.col("d").alias("depth")))
         fresh = fresh.withColumn("expanded", F.lit(False)).withColumn("solved", F.col("available"))
-        both = old.unionByName(fresh.select(*old.columns)).join(picks, ["run", "mol"], "left")
-        both = cut(both.withColumn("expanded", F.col("expanded") | F.coalesce("picked", F.lit(False))).drop("picked"), "search")
-        cost, _ = and_or_depth(both.select("run", "mol", "available"), reaction_rows(edges))
-        both = both.drop("solved").join(cost.select("run", "mol", F.lit(True).alias("solved")), ["run", "mol"], "left").na.fill(False, ["solved"])
-        mols = cut(both, "search")
+        both = cut(old.unionByName(fresh.select(*old.columns)), "search", mols)
+        edges.append(new.select("run", "rxn", "parent", "child").distinct())
+        lacking, solved_now = _carry_up(edges, lacking, both)
+        mols = both
+        if solved_now is not None:
+            now = both.join(solved_now.withColumn("now", F.lit(True)), ["run", "mol"], "left")
+            mols = cut(now.withColumn("solved", F.col("solved") | F.coalesce("now", F.lit(False))).drop("now"), "search", both)
         sizes = front.groupBy("run").agg(F.count("*").alias("frontier_size"))
-        after = mols.join(root, "run").where("mol = root").select("run", F.col("solved").alias("solved_after"))
+        after = mols.where("id = 0").select("run", F.col("solved").alias("solved_after"))
         n = new.groupBy("run").agg(F.count_distinct("rxn").alias("n_neighbours"))
         row = chosen.withColumn("step", F.lit(step)).join(sizes, "run").join(n, "run", "left").join(after, "run").na.fill(0, ["n_neighbours"])
         row = cut(row.select("run", "step", F.col("id").alias("node_id"), "mol", "depth", "frontier_size", "n_neighbours", "solved_after"), "decisions")
         log = row if log is None else log.unionByName(row)
-    return log, mols
-
-
-DECISIONS = "run string, step int, node_id long, mol long, depth int, solved_after boolean"
-
-
-def uct_search(targets: DataFrame, reachable: DataFrame, budget: int, c: float = 1.0, max_walk: int = 64) -> DataFrame:
+        release(front)
+    if log is None:
+        kinds = ", ".join(f"{c} {mols.schema[c].dataType.simpleString()}" for c in ("run",)) + f", step int, node_id long, mol {mols.schema['mol'].dataType.simpleString()}"
+        log = mols.sparkSession.createDataFrame([], f"{kinds}, depth int, frontier_size long, n_neighbours long, solved_after boolean")
+    taken = log.groupBy("run").agg(F.count("*").alias("n_expansions"))
+    runs = mols.where("id = 0").select("run", "mol", "solved").join(taken, "run", "left").na.fill(0, ["n_expansions"])
+    why = F.when(F.col("solved"), "solved").when(F.col("n_expansions") >= budget, "budget").when(F.lit(late) & (F.col("n_expansions") == steps), "time").otherwise("frontier_empty")
+    return log, mols, runs.withColumn("stopped_because", why)
+
+
+def _carry_up(edges: list[DataFrame], lacking: DataFrame | None, mols: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The open reactions with what they lack after the last edges, and the molecules that these solve, level by level."""
+    children = mols.select("run", F.col("mol").alias("child"), "solved")
+    made = edges[-1].join(children, ["run", "child"]).groupBy("run", "rxn", "parent").agg(F.count_if(~F.col("solved")).alias("lacks"))
+    lacking = cut(made, "lacking") if lacking is None else cut(lacking.unionByName(made), "lacking", lacking)
+    whole, solved = reduce(DataFrame.unionByName, edges), None
+    while True:
+        fired = cut(lacking.where("lacks = 0").select("run", F.col("parent").alias("mol")).distinct(), "fired")
+        if fired.isEmpty():
+            return lacking, solved
+        solved = fired if solved is None else solved.unionByName(fired)
+        met = whole.join(fired.withColumnRenamed("mol", "child"), ["run", "child"]).groupBy("run", "rxn").agg(F.count("*").alias("met"))
+        # a solved molecule's other reactions are closed
+        left = lacking.join(fired.withColumnRenamed("mol", "parent"), ["run", "parent"], "left_anti").join(met, ["run", "rxn"], "left")
+        lacking = cut(left.select("run", "rxn", "parent", (F.col("lacks") - F.coalesce("met", F.lit(0))).alias("lacks")), "lacking", lacking)
+
+
+class Tally:
+    """Visits and summed rewards of nodes."""
+
+    def __init__(self) -> None:
+        self.visits: dict = {}
+        self.reward: dict = {}
+
+    def credit(self, node, reward: float) -> None:
+        self.visits[node] = self.visits.get(node, 0) + 1
+        self.reward[node] = self.reward.get(node, 0.0) + reward
+
+    def bound(self, node, prior: float, above: int, c: float) -> float:
+        """Mean reward, or the prior of an unvisited node, plus the exploration term under a parent with ``above`` visits."""
+        n = self.visits.get(node, 0)
+        return (self.reward[node] / n if n else prior) + c * math.sqrt(math.log(above + 1) / (1 + n))
+
+
+class UCTRun:
+    """One run's search: what is known of the graph, and the statistics that steer it."""
+
+    def __init__(self, goal: pd.DataFrame, rows: pd.DataFrame, c: float, max_walk: int, max_depth: int | None):
+        self.c, self.max_walk, self.max_depth = c, max_walk, max_depth
+        self.near = dict(zip(rows["child"], rows["closeness"], strict=True))
+        self.free = set(rows.loc[rows["available"], "child"])
+        self.kids: dict = {}
+        self.makes: dict = {}
+        for r in rows.sort_values(["rxn", "child"]).itertuples():
+            if r.rxn not in self.kids:
+                self.makes.setdefault(r.parent, []).append(r.rxn)
+            self.kids.setdefault(r.rxn, []).append(r.child)
+        self.root = goal["mol"].iloc[0]
+        self.near.setdefault(self.root, float(goal["closeness"].iloc[0]))
+        self.ids, self.depth = {self.root: 0}, {self.root: 0}
+        self.opened: set = set()
+        self.done: set = {self.root} & self.free
+        self.users: dict = {}
+        self.mols, self.rxns = Tally(), Tally()
+        self.path: list[tuple[Tally, object]] = []
+        self.waiting = None
+
+    def worth(self, mol) -> float:
+        """A molecule taken alone: 1 if it is settled, else its closeness."""
+        return 1.0 if mol in self.free or mol in self.done else float(self.near.get(mol, 0.0))
+
+    def weakest(self, rxn) -> float:
+        return min(map(self.worth, self.kids[rxn]))
+
+    def outlook(self, mol) -> float:
+        """A molecule and one step below it: the best of its own worth and of its reactions' weakest precursors."""
+        known = self.makes.get(mol, []) if mol in self.opened else []
+        return max([self.worth(mol), *map(self.weakest, known)])
+
+    def frontier(self) -> list:
+        return [m for m in self.ids if m not in self.opened and m not in self.free and m not in self.done and (self.max_depth is None or self.depth[m] < self.max_depth)]
+
+    def first_best(self, nodes, tally: Tally, prior, above: int):
+        """The node of the largest bound, the first of equal ones; None of none."""
+        return max(nodes, key=lambda n: tally.bound(n, prior(n), above, self.c), default=None)
+
+    def walk(self, allowed: set):
+        """From the root by turns to the best reaction and its best unsettled precursor, until a molecule of the frontier."""
+        mol, met, self.path = self.root, {self.root}, []
+        for _ in range(self.max_walk):
+            self.path.append((self.mols, mol))
+            if mol in allowed:
+                return mol
+            rxn = self.first_best(self.makes.get(mol, []) if mol in self.opened else [], self.rxns, self.weakest, self.mols.visits.get(mol, 0))
+            if rxn is None:
+                return None
+            self.path.append((self.rxns, rxn))
+            left = [k for k in self.kids[rxn] if k not in self.free and k not in self.done and k not in met]
+            mol = self.first_best(left, self.mols, self.worth, self.rxns.visits.get(rxn, 0))
+            if mol is None:
+                return None
+            met.add(mol)
+        return None
+
+    def credit(self, reward: float) -> None:
+        for tally, node in self.path:
+            tally.credit(node, reward)
+
+    def choose(self, frontier: list):
+        """The next molecule; the reward of the last one is known only now, as it has been opened since."""
+        if self.waiting is not None:
+            self.credit(self.outlook(self.waiting))
+        mol = self.walk(set(frontier))
+        if mol is None:
+            # a dead end earns its path nothing; the closest molecule is opened instead
+            self.credit(0.0)
+            mol = max(frontier, key=lambda m: (self.worth(m), -self.ids[m]))
+            self.path = [(self.mols, mol)]
+        self.waiting = mol
+        return mol
+
+    def open(self, mol) -> None:
+        """Adds a molecule's reactions and settles what they settle, upwards from there."""
+        self.opened.add(mol)
+        for x in self.makes.get(mol, []):
+            for k in self.kids[x]:
+                self.ids.setdefault(k, len(self.ids))
+                self.depth[k] = min(self.depth.get(k, self.depth[mol] + 1), self.depth[mol] + 1)
+                self.users.setdefault(k, set()).add(mol)
+        todo = [mol]
+        while todo:
+            m = todo.pop()
+            settled = any(all(k in self.free or k in self.done for k in self.kids[x]) for x in self.makes.get(m, []))
+            if m in self.opened and m not in self.done and settled:
+                self.done.add(m)
+                todo += self.users.get(m, ())
+
+
+def uct_search(targets: DataFrame, reachable: DataFrame, budget: int, c: float = 1.0, max_walk: int = 64, max_depth: int | None = None) -> DataFrame:
     """Decisions of UCT searches, one run per task.
 
     Statistics of one step steer the next, so a run is sequential; runs are independent.
     ``reachable`` has the part of the graph that a run may meet: run, rxn, parent, child,
-    available and closeness of the child.  ``targets`` has run, mol and closeness.
+    available and closeness of the child.  ``targets`` has run, mol and closeness.  Ids may be
+    of any type.  The last decision of a run tells why it ended.
     """
 
-    def play(key, goal: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        static = dict(zip(rows["child"], rows["closeness"], strict=True))
-        free = set(rows.loc[rows["available"], "child"])
-        kids: dict[int, list[int]] = {}
-        options: dict[int, list[int]] = {}
-        for r in rows.sort_values(["rxn", "child"]).itertuples():
-            if r.rxn not in kids:
-                options.setdefault(r.parent, []).append(r.rxn)
-            kids.setdefault(r.rxn, []).append(r.child)
-        root = int(goal["mol"].iloc[0])
-        static.setdefault(root, float(goal["closeness"].iloc[0]))
-        ids, depth, opened, solved = {root: 0}, {root: 0}, set(), set()
-        visits: dict[int, int] = {}
-        value: dict[int, float] = {}
-        q = lambda m: 1.0 if m in free or m in solved else value.get(m, static.get(m, 0.0))
-
-        def settle() -> None:
-            changed = True
-            while changed:
-                changed = False
-                for m in opened - solved:
-                    if any(all(k in free or k in solved for k in kids[x]) for x in options.get(m, [])):
-                        solved.add(m)
-                        changed = True
-
-        def score(m: int, total: int) -> float:
-            return q(m) + c * math.sqrt(math.log(total + 1) / (1 + visits.get(m, 0)))
-
-        def descend() -> tuple[list[int], bool]:
-            path, m = [root], root
-            for _ in range(max_walk):
-                if m not in opened:
-                    return path, True
-                total, best = visits.get(m, 0), None
-                for x in options.get(m, []):
-                    wanted = [k for k in kids[x] if k not in free and k not in solved and k not in path]
-                    if not wanted or any(k in opened and not options.get(k) for k in wanted):
-                        continue
-                    rank = min(score(k, total) for k in kids[x] if k in wanted)
-                    if best is None or rank > best[0]:
-                        best = (rank, max(wanted, key=lambda k: (score(k, total), -ids[k])))
-                if best is None:
-                    return path, False
-                m = best[1]
-                path.append(m)
-            return path, m not in opened
-
-        out = []
+    def play(key: tuple, goal: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        state, out, why = UCTRun(goal, rows, c, max_walk, max_depth), [], "budget"
         for step in range(budget):
-            if root in free or root in solved:
+            frontier = state.frontier()
+            if state.root in state.done or not frontier:
+                why = "solved" if state.root in state.done else "frontier_empty"
                 break
-            path, ok = descend()
-            if not ok:
-                for m in path:
-                    visits[m] = visits.get(m, 0) + 1
-                value[path[-1]] = 0.0
-                waiting = [m for m in ids if m not in opened and m not in free and m not in solved]
-                if not waiting:
-                    break
-                path = [min(waiting, key=lambda m: (1 - static.get(m, 0.0), ids[m]))]
-            m = path[-1]
-            opened.add(m)
-            for x in options.get(m, []):
-                for k in kids[x]:
-                    ids.setdefault(k, len(ids))
-                    depth[k] = min(depth.get(k, depth[m] + 1), depth[m] + 1)
-            settle()
-            for node in reversed(path):
-                visits[node] = visits.get(node, 0) + 1
-                if node in opened:
-                    value[node] = max((min(q(k) for k in kids[x]) for x in options.get(node, [])), default=0.0)
-            out.append((key[0], step, ids[m], m, depth[m], root in solved))
-        return pd.DataFrame(out, columns=["run", "step", "node_id", "mol", "depth", "solved_after"])
-
+            mol = state.choose(frontier)
+            state.open(mol)
+            out.append([key[0], step, state.ids[mol], mol, state.depth[mol], len(frontier), state.root in state.done, None])
+        if out:
+            out[-1][-1] = "solved" if state.root in state.done else why
+        return pd.DataFrame(out, columns=["run", "step", "node_id", "mol", "depth", "frontier_size", "solved_after", "stopped_because"])
+
+    kind = lambda c: targets.schema[c].dataType.simpleString()
+    schema = f"run {kind('run')}, step int, node_id long, mol {kind('mol')}, depth int, frontier_size int, solved_after boolean, stopped_because string"
     targets, reachable = cut(targets, "uct"), cut(reachable, "uct")
-    return targets.groupBy("run").cogroup(reachable.groupBy("run")).applyInPandas(play, DECISIONS)
-
-
-# models as policies
-
-class Backend(Protocol):
-    """Answers a prompt; may raise ``ConnectionError`` for a failed call."""
-
-    def complete(self, system: str, prompt: str) -> str: ...
-
-
-@dataclass
-class ScriptedBackend:
-    """A stand-in for tests: answers in turn, and keeps the prompts it got."""
-
-    answers: list[str | Exception]
-    prompts: list[str] = field(default_factory=list)
-
-    def complete(self, system: str, prompt: str) -> str:
-        self.prompts.append(prompt)
-        answer = self.answers[(len(self.prompts) - 1) % len(self.answers)]
-        if isinstance(answer, Exception):
-            raise answer
-        return answer
-
-
-@dataclass(frozen=True)
-class ToolSurface:
-    """Which columns a candidate's line shows."""
-
-    closeness: bool = False
-    ec: bool = False
-    plausibility: bool = False
-
-    @property
-    def name(self) -> str:
-        shown = [n for n, on in (("ecfp", self.closeness), ("ec", self.ec), ("enz", self.plausibility)) if on]
-        return "+".join(shown) or "none"
-
-
-SECTIONS = {
-    "base": "You choose which frontier molecule of a route search is expanded next. Answer with JSON: {\"choice\": index, \"reason\": text}.",
-    "closeness": "closest_chassis is the similarity to the nearest available molecule.",
-    "ec": "EC lists enzyme classes of the reactions that lead to the candidate.",
-    "plausibility": "enzymatic is the mean plausibility of a step of the best route to the candidate.",
-}
-
-
-def system_prompt(tools: ToolSurface) -> str:
-    """Sections only for columns that are shown."""
-    parts = [SECTIONS["base"]] + [SECTIONS[n] for n in ("closeness", "ec", "plausibility") if getattr(tools, n)]
-    return "\n\n".join(parts)
-
-
-def user_prompt(target, n_molecules, n_reactions, n_solved, view):
-    """The prompt of a decision as a column; counts solved molecules, in replay and search alike."""
-    return F.concat(
-        F.lit("Target molecule: "), target, F.format_string("\nSearch graph so far: %d molecules, %d reactions, %d already reachable from the chassis.\n\n", n_molecules, n_reactions, n_solved),
-        F.lit("Frontier candidates:\n"), view, F.lit("\n\nWhich candidate should be expanded next?"),
-    )
-
-
-CALLS = "run string, choice int, fallback string, reason string"
-MAX_FAILURES = 5
-
-
-def parse_answer(text: str) -> tuple[int | None, str]:
-    body = text.strip()
-    if body.startswith("```"):
-        body = body.split("```")[1].removeprefix("json")
-    try:
-        answer = json.loads(body[body.index("{") : body.rindex("}") + 1])
-        choice = answer["choice"]
-        return (None, "") if isinstance(choice, bool) else (int(choice), str(answer.get("reason", ""))[:400])
-    except (ValueError, KeyError, TypeError):
-        return None, ""
-
-
-def ask(prompts: DataFrame, backend: Backend, system: str) -> DataFrame:
-    """(run, choice, fallback, reason) for (run, prompt, n_candidates).
-
-    One candidate needs no call. A failed, unreadable or out-of-range answer takes the first
-    candidate and says why; five failed calls in a row end the task.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        failures = 0
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                if r.n_candidates <= 1:
-                    out.append((r.run, 0, None, ""))
-                    continue
-                try:
-                    text = backend.complete(system, r.prompt)
-                    failures = 0
-                except ConnectionError as error:
-                    failures += 1
-                    if failures >= MAX_FAILURES:
-                        raise RuntimeError(f"{MAX_FAILURES} calls failed in a row") from error
-                    out.append((r.run, 0, "api_error", ""))
-                    continue
-                choice, reason = parse_answer(text)
-                if not text.strip():
-                    out.append((r.run, 0, "refusal", ""))
-                elif choice is None:
-                    out.append((r.run, 0, "unparseable", ""))
-                elif not 0 <= choice < r.n_candidates:
-                    out.append((r.run, 0, "out_of_range", reason))
-                else:
-                    out.append((r.run, choice, None, reason))
-            yield pd.DataFrame(out, columns=["run", "choice", "fallback", "reason"])
-
-    return prompts.select("run", "prompt", "n_candidates").mapInPandas(run, CALLS)
-
-
-def model_policy(backend: Backend, tools: ToolSurface = ToolSurface(), top_k: int = 20, order: str = "stratified", seed: int = 0) -> Policy:
-    """A model as a policy: it sees a view of each frontier and answers with a place in it.
-
-    Calls are made in the executors, in batches of runs. The lines show what the tool surface allows.
-    """
-    from ..functions.scalars import render_candidate
-    from .frontier import render_view
-
-    def pick(frontier: DataFrame) -> DataFrame:
-        view = cut(select_view(frontier, order, top_k, seed), "view")
-        shown = view.join(frontier, ["run", "id"]).join(frontier.groupBy("run").agg(F.count("*").alias("n_total")), "run")
-        close = F.col("closeness") if tools.closeness and "closeness" in frontier.columns else None
-        ec = F.col("ec") if tools.ec and "ec" in frontier.columns else None
-        line = render_candidate(F.col("place") - 1, F.col("mol").cast("string"), F.col("depth"), ec=ec, closeness=close)
-        texts = render_view(shown.withColumn("line", line), order)
-        sizes = view.groupBy("run").agg(F.count("*").cast("int").alias("n_candidates"))
-        prompt = F.concat(F.lit("Frontier candidates:\n"), F.col("text"), F.lit("\n\nWhich candidate should be expanded next?"))
-        prompts = texts.join(sizes, "run").select(F.col("run").cast("string").alias("run"), prompt.alias("prompt"), "n_candidates")
-        answers = cut(ask(prompts, backend, system_prompt(tools)), "answers")
-        chosen = answers.select("run", (F.col("choice") + 1).alias("place"))
-        return view.join(chosen, ["run", "place"]).join(frontier.select("run", "id", "mol"), ["run", "id"]).select("run", "mol")
-
-    return pick
+    return targets.groupBy("run").cogroup(reachable.groupBy("run")).applyInPandas(play, schema)

@@ -8,6 +8,7 @@ from ..functions.scalars import ec_at_level
 from ..operators import expand as X
 from ..operators import frontier as V
 from ..operators import graph as G
+from ..operators import models as L
 from ..operators import policy as P
 from ..operators.enrich import annotate_rules
 from ..operators.prefilter import applicable, children, distinct_children
@@ -411,10 +412,8 @@ def q20_mined_edges(spark, d):
 )
 def q21_policies(spark, d):
     front = B.frontier(spark, d).withColumn("mol", F.col("id")).na.fill(0.0, ["closeness"])
-    exact = front.withColumn("closeness", F.round("closeness", 9))
-    greedy = exact.groupBy("run").agg(F.min_by("mol", F.struct(F.round(1 - F.col("closeness") + 0.1 * F.col("depth"), 9).alias("h"), "id")).alias("greedy"))
     out = P.breadth_first(front).withColumnRenamed("mol", "breadth").join(P.depth_first(front).withColumnRenamed("mol", "depth_first"), "run")
-    return out.join(greedy, "run")
+    return out.join(P.greedy(0.1)(front).withColumnRenamed("mol", "greedy"), "run")
 
 
 def _environment(spark, d):
@@ -426,7 +425,7 @@ def _environment(spark, d):
 def q22_search_breadth_first(spark, d):
     """Breadth-first searches with a budget of 4 from every part that no reaction needs."""
     targets = B.molecules(spark, d).where("not available").join(B.reactions(spark, d).select(F.col("child").alias("mol")), "mol", "left_anti")
-    log, _ = P.search(targets.select(F.col("mol").cast("string").alias("run"), "mol"), _environment(spark, d), P.breadth_first, budget=4)
+    log, _, _ = P.search(targets.select(F.col("mol").cast("string").alias("run"), "mol"), _environment(spark, d), P.breadth_first, budget=4)
     return log
 
 
@@ -471,8 +470,8 @@ def q23_observed_picks(spark, d):
 def q22_search_model(spark, d):
     """Searches by a model behind a stand-in that takes the second candidate, with failures among its answers."""
     targets = B.molecules(spark, d).where("not available").join(B.reactions(spark, d).select(F.col("child").alias("mol")), "mol", "left_anti")
-    backend = P.ScriptedBackend(['{"choice": 1, "reason": "second"}', "no idea", '{"choice": 99}'])
-    log, _ = P.search(targets.select(F.col("mol").cast("string").alias("run"), "mol"), _environment(spark, d), P.model_policy(backend), budget=3)
+    backend = L.ScriptedBackend(['{"choice": 1, "reason": "second"}', "no idea", '{"choice": 99}'])
+    log, _, _ = P.search(targets.select(F.col("mol").cast("string").alias("run"), "mol"), _environment(spark, d), L.ModelPolicy(backend), budget=3)
     return log
 
 
@@ -489,7 +488,7 @@ def q24_replayed_routes(spark, d):
     goals = targets.select(F.col("mol").cast("string").alias("run"), "mol")
     # a replay may open each molecule of its tree
     budget = trees.groupBy("run").count().agg(F.max("count")).first()[0] or 0
-    _, found = P.search(goals, _environment(spark, d), on_route(trees), budget=budget, max_depth=8)
+    _, found, _ = P.search(goals, _environment(spark, d), on_route(trees), budget=budget, max_depth=8)
     return replay_outcomes(trees, found, 8).groupBy("outcome").agg(F.count("*").alias("n"))
 
 

@@ -9,16 +9,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Only in local mode, where driver and executors are one process, a temporary folder stands
+    in for it; elsewhere rows written to it would be lost, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="routeloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write and read back: cuts the lineage and gives the optimizer the true size."""
+def cut(df: DataFrame, name: str = "step", replaces: DataFrame | None = None) -> DataFrame:
+    """Write and read back: cuts the lineage and gives the optimizer the true size.
+
+    ``replaces`` is a table of an earlier step that nothing reads any more: it is deleted
+    once the new one is written.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._routeloom_path = path
+    if replaces is not None:
+        release(replaces)
+    return out
+
+
+def release(table: DataFrame) -> None:
+    """Deletes a table that ``cut`` made; any other frame is left alone."""
+    path = getattr(table, "_routeloom_path", None)
+    if path is not None:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        table._routeloom_path = None

@@ -106,7 +106,7 @@ def test_enumeration_and_its_fallback(spark):
     root = spark.createDataFrame([("r", 1)], "run string, mol long")
     assert [r.reactions for r in G.enumerate_routes(mols, rxns, root).orderBy("route").collect()] == [[0, 1, 3], [0, 2, 3]]
     assert len(G.enumerate_routes(mols, rxns, root, max_routes=1).collect()) == 1
-    assert sorted(G.enumerate_routes(mols, rxns, root, max_work=0).first().reactions) == [0, 1, 3]
+    assert sorted(G.enumerate_routes(mols, rxns, root, max_steps=0).first().reactions) == [0, 1, 3]
 
 
 def test_route_trees_are_optimal_and_draws_differ(spark):
@@ -153,18 +153,101 @@ def test_batched_search_equals_single_runs(spark, policy, sign):
     options = spark.createDataFrame([(p, i, c, c) for i, (p, cs) in enumerate(rules) for c in cs], "parent long, rxn long, child long, place long")
     env = Environment(options, spark.createDataFrame([(m,) for m in free], "mol long"))
     roots = [m for m in range(20) if m not in free][:4]
-    log, _ = search(spark.createDataFrame([(str(m), m) for m in roots], "run string, mol long"), env, policy, budget=4)
+    log, mols, runs = search(spark.createDataFrame([(str(m), m) for m in roots], "run string, mol long"), env, policy, budget=4)
     got = {}
     for r in log.orderBy("step").collect():
         got.setdefault(int(r.run), []).append((r.step, r.mol, r.solved_after))
-    assert got == {m: plain_search(free, rules, m, 4, sign) for m in roots}
+    want = {m: plain_search(free, rules, m, 4, sign) for m in roots}
+    assert got == {m: w for m, w in want.items() if w}
+    for r in runs.collect():
+        own = want[int(r.run)]
+        assert r.n_expansions == len(own) and r.solved == bool(own and own[-1][2])
+        assert r.stopped_because == ("solved" if r.solved else "budget" if len(own) == 4 else "frontier_empty")
+
+
+def test_a_search_out_of_time(spark):
+    options = spark.createDataFrame([(1, 0, 2, 2)], "parent long, rxn long, child long, place long")
+    env = Environment(options, spark.createDataFrame([(9,)], "mol long"))
+    goals = spark.createDataFrame([("a", 1), ("b", 9)], "run string, mol long")
+    _, _, runs = search(goals, env, breadth_first, budget=3, max_seconds=-1.0)
+    assert {r.run: r.stopped_because for r in runs.collect()} == {"a": "time", "b": "solved"}
+    _, _, runs = search(goals, env, breadth_first, budget=3)
+    assert {r.run: (r.stopped_because, r.n_expansions) for r in runs.collect()} == {"a": ("frontier_empty", 2), "b": ("solved", 0)}
+
+
+def test_costs_too_large_for_a_sum(spark):
+    """A small improvement beside costs beyond 2^60 still counts."""
+    free, rules = [0], [(100, [0]), (101, [100] * (1 << 30)), (102, [101] * (1 << 30)), (20, [21] * 5), (21, [0]), (20, [22]), (22, [23]), (23, [24]), (24, [0]), (30, [20])]
+    mols = {m for p, cs in rules for m in (p, cs[0])}
+    rows = [("r", i, p, cs[0], len(cs)) for i, (p, cs) in enumerate(rules)]
+    got = G.shortest_cost(spark.createDataFrame([("r", m, m in free) for m in mols], M), spark.createDataFrame(rows, X)).collect()
+    cost = {r.mol: r.tree_cost for r in got}
+    assert cost[20] == 4 and cost[30] == 5 and cost[102] > 2.0**60
+
+
+def plain_routes(free, rules, mol, path=()):
+    """All routes by recursion, without bounds."""
+    if mol in free:
+        return [[]]
+    out = []
+    for i, (p, cs) in enumerate(rules):
+        if p == mol and mol not in path:
+            parts = [[]]
+            for c in sorted(cs):
+                parts = [a + b for a in parts for b in plain_routes(free, rules, c, (*path, mol))]
+            out += [[i, *x] for x in parts]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_enumeration_of_random_graphs_with_text_ids(spark, seed):
+    free, rules = random_graph(seed, 9, 14)
+    mols, rxns = tables(spark, free, rules)
+    from pyspark.sql import functions as F
+
+    named = lambda c: F.format_string("%03d", c)
+    mols = mols.withColumn("mol", named(F.col("mol")))
+    rxns = rxns.select("run", named(F.col("rxn")).alias("rxn"), named(F.col("parent")).alias("parent"), named(F.col("child")).alias("child"), "times")
+    got = {}
+    for r in G.enumerate_routes(mols, rxns, mols.select("run", "mol"), max_routes=10_000).orderBy("root", "route").collect():
+        got.setdefault(int(r.root), []).append([int(x) for x in r.reactions])
+    want = {m: plain_routes(free, rules, m) for m in {m for p, cs in rules for m in (p, *cs)} | set(free)}
+    assert got == {m: w for m, w in want.items() if w}
+
+
+UCT_RULES = [(1, [2, 3]), (1, [4]), (2, [90]), (3, [90]), (4, [5]), (5, [4])]
+
+
+def uct_tables(spark, rules, near):
+    rows = [("a", f"x{i}", f"m{p}", f"m{c}", c == 90, near.get(c, 0.5)) for i, (p, cs) in enumerate(rules) for c in cs]
+    reach = spark.createDataFrame(rows, "run string, rxn string, parent string, child string, available boolean, closeness double")
+    return spark.createDataFrame([("a", "m1", 0.1)], "run string, mol string, closeness double"), reach
 
 
 def test_uct_solves_and_keeps_its_budget(spark):
-    rules = [(1, [2, 3]), (1, [4]), (2, [90]), (3, [90]), (4, [5]), (5, [4])]
-    rows = [("a", i, p, c, c == 90, 1.0 if c == 90 else 0.5) for i, (p, cs) in enumerate(rules) for c in cs]
-    reach = spark.createDataFrame(rows, "run string, rxn long, parent long, child long, available boolean, closeness double")
-    goal = spark.createDataFrame([("a", 1, 0.1)], "run string, mol long, closeness double")
+    goal, reach = uct_tables(spark, UCT_RULES, {90: 1.0})
     out = uct_search(goal, reach, budget=10).orderBy("step").collect()
-    assert out[-1].solved_after and len({r.mol for r in out}) == len(out) <= 10
-    assert len(uct_search(goal, reach, budget=1).collect()) == 1
+    assert out[-1].solved_after and len({r.mol for r in out}) == len(out) <= 10 and out[-1].stopped_because == "solved"
+    short = uct_search(goal, reach, budget=1).collect()
+    assert len(short) == 1 and short[0].stopped_because == "budget"
+
+
+def test_uct_by_hand(spark):
+    """The order worked by hand.
+
+    Opening m1 (reward 0.9, the better reaction's weakest precursor) shows x0 = {m2 0.9, m3 0.95} and x1 = {m4 0.2}.
+    Walk 2: priors 0.9 and 0.2 with equal exploration: x0, and of m2 and m3 the larger prior: m3, whose reaction needs m6 (0.0):
+    reward max(0.95, 0.0). Walk 3: x0 has mean 0.95 + sqrt(ln 3 / 2), x1 0.2 + sqrt(ln 3): x0 (1.69 to 1.25); m2 is unvisited:
+    0.9 + sqrt(ln 2) beats m3's 0.95 + sqrt(ln 2 / 2).
+    """
+    near = {2: 0.9, 3: 0.95, 4: 0.2, 6: 0.0, 90: 1.0}
+    goal, reach = uct_tables(spark, [(1, [2, 3]), (1, [4]), (3, [6]), (2, [90])], near)
+    out = uct_search(goal, reach, budget=3).orderBy("step").collect()
+    assert [r.mol for r in out] == ["m1", "m3", "m2"] and not out[-1].solved_after
+
+
+def test_uct_dead_end_takes_the_closest(spark):
+    """m2 has no reaction: the walk through it ends, and the closest molecule left is opened."""
+    goal, reach = uct_tables(spark, [(1, [2]), (1, [3]), (3, [90])], {2: 0.9, 3: 0.1, 90: 1.0})
+    out = uct_search(goal, reach, budget=5).orderBy("step").collect()
+    assert [r.mol for r in out] == ["m1", "m2", "m3"] and out[-1].stopped_because == "solved"

@@ -12,7 +12,7 @@ from routeloom.operators import corpus as E
 from routeloom.operators import expand as X
 from routeloom.operators import frontier as V
 from routeloom.operators import learned as L
-from routeloom.operators import policy as P
+from routeloom.operators import models as P
 from routeloom.operators.prefilter import applicable, distinct_children
 from routeloom.operators.similarity import nearest
 from routeloom.plans import tables as A
@@ -117,20 +117,57 @@ def test_codes_and_identifiers(spark):
 @pytest.mark.parametrize("text", ['{"choice": 3, "reason": "r"}', '```json\n{"choice": 1}\n```', 'x {"choice": "2"} y', '{"choice": true}', '{"choice": 2.7}', "{", "", '{"reason": 1}', '{"choice": null}', '{"choice": "no"}'])
 def test_choices(spark, text):
     got = one(spark, S.parse_choice(F.lit(text)))
-    choice, reason = P.parse_answer(text)
-    assert (got.choice, got.reason) == (choice, reason)
+    want = {'{"choice": 3, "reason": "r"}': (3, "r"), '```json\n{"choice": 1}\n```': (1, ""), 'x {"choice": "2"} y': (2, ""), '{"choice": 2.7}': (2, "")}
+    assert (got.choice, got.reason) == want.get(text, (None, ""))
 
 
 def test_answers_and_failures(spark):
     prompts = spark.createDataFrame([(str(i), "p", n) for i, n in enumerate([3, 1, 3, 3, 3, 3])], "run string, prompt string, n_candidates int").coalesce(1)
-    backend = P.ScriptedBackend(['{"choice": 2, "reason": "ok"}', '{"choice": 9}', "what?", "", ConnectionError()])
-    out = [(r.choice, r.fallback) for r in P.ask(prompts, backend, "s").collect()]
-    assert out == [(2, None), (0, None), (0, "out_of_range"), (0, "unparseable"), (0, "refusal"), (0, "api_error")]
+    backend = P.ScriptedBackend([P.Completion('{"choice": 2, "reason": "ok"}', input_tokens=7), '{"choice": 9}', "what?", P.Completion("", refused=True), ConnectionError()])
+    out = P.ask(prompts, backend, "s").orderBy("run").collect()
+    assert [(r.choice, r.fallback) for r in out] == [
+        (2, None), (0, "skipped_single"), (0, "out_of_range:9"), (0, "unparseable"), (0, "refusal"), (0, "api_error:ConnectionError"),
+    ]
+    assert [r.called for r in out] == [True, False, True, True, True, True] and (out[0].input_tokens, out[0].reason) == (7, "ok")
+    assert P.ask(prompts, backend, "s").where(P.is_failure(F.col("fallback"))).count() == 4
     many = spark.createDataFrame([(str(i), "p", 3) for i in range(9)], "run string, prompt string, n_candidates int").coalesce(1)
     with pytest.raises(Exception, match="calls failed in a row"):
         P.ask(many, P.ScriptedBackend([ConnectionError()]), "s").collect()
     assert P.ToolSurface().name == "none" and P.ToolSurface(True, True, True).name == "ecfp+ec+enz"
     assert "closest_chassis" not in P.system_prompt(P.ToolSurface(ec=True))
+    with pytest.raises(ValueError):
+        P.make_backend("other")
+
+
+def test_http_backend_retries_without_a_schema(spark):
+    import http.server
+    import threading
+
+    seen = []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append(("response_format" in body, body["messages"][1]["content"]))
+            code = 400 if "response_format" in body else 500 if "fail" in body["messages"][1]["content"] else 200
+            out = json.dumps({"choices": [{"message": {"content": '{"choice": 1}'}}], "usage": {"prompt_tokens": 5, "completion_tokens": 2}}).encode()
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        backend = P.make_backend("http", url=f"http://127.0.0.1:{server.server_port}/v1", model="m")
+        prompts = spark.createDataFrame([("a", "one", 2), ("b", "two", 2), ("c", "fail", 2)], "run string, prompt string, n_candidates int").coalesce(1)
+        out = P.ask(prompts, backend, "s").orderBy("run").collect()
+    finally:
+        server.shutdown()
+    assert [(r.choice, r.fallback, r.input_tokens) for r in out] == [(1, None, 5), (1, None, 5), (0, "api_error:ConnectionError", 0)]
+    assert [s for s, _ in seen] == [True, False, False, False]
 
 
 def test_sign_test(spark):
