@@ -94,11 +94,6 @@ def binary_tanimoto(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def best_tanimoto(query: Column, natives: Column) -> Column:
-    """The best over several sets; 0 if there are none."""
-    return F.coalesce(F.array_max(F.transform(natives, lambda n: binary_tanimoto(query, n))), F.lit(0.0))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -1,4 +1,5 @@
 from .base import Kernel
+from .chemistry import ChemistryKernel
 from .multiset import MultisetKernel
 
-__all__ = ["Kernel", "MultisetKernel"]
+__all__ = ["ChemistryKernel", "Kernel", "MultisetKernel"]

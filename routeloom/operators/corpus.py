@@ -29,18 +29,27 @@ def drop_shown(pairs: DataFrame, banned: DataFrame, key=lambda c: c) -> DataFram
     return pairs.join(leaks, "pair_id", "left_anti")
 
 
-def rank_globally(rows: DataFrame, key: Column, *ids: str, buckets: int = 256) -> DataFrame:
+#: Rows that a task of a global order should have at most, on average.
+BUCKET_ROWS = 50_000
+
+
+def rank_globally(rows: DataFrame, key: Column, *ids: str, digits: int | None = None) -> DataFrame:
     """Adds ``place``, the 1-based rank by ``key`` (a hash in hex) and ids, without one task for all rows.
 
-    Rows are dealt by the first two hex digits of the key; the counts of the buckets before
-    shift each bucket's own ranks.
+    Rows are dealt by the first hex digits of the key, as many as the count asks for; the counts
+    of the buckets before shift each bucket's own ranks.
     """
-    keyed = rows.withColumn("_key", key).withColumn("_bucket", F.conv(F.substring("_key", 1, 2), 16, 10).cast("int"))
+    if digits is None:
+        n, digits = rows.count(), 2
+        while n > BUCKET_ROWS << 4 * digits:
+            digits += 1
+    keyed = rows.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, digits))
     sizes = keyed.groupBy("_bucket").count()
+    # a row for each bucket
     shift = F.coalesce(F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = sizes.select("_bucket", shift.alias("_before"))  # at most 256 rows
+    before = sizes.select("_bucket", shift.alias("_before"))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", *ids))
-    return keyed.join(F.broadcast(before), "_bucket").withColumn("place", own + F.col("_before")).drop("_key", "_bucket", "_before")
+    return keyed.join(before, "_bucket").withColumn("place", own + F.col("_before")).drop("_key", "_bucket", "_before")
 
 
 def keep_deep(pairs: DataFrame, deep: int, limit: int, seed: int = 0) -> DataFrame:

@@ -19,6 +19,14 @@ def rank_rules(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order))
 
 
+def limit_rules(pairs: DataFrame, max_rules: int | None) -> DataFrame:
+    """The first ``max_rules`` applicable rules of each molecule, by number: the cap that precedes any ranking."""
+    if max_rules is None:
+        return pairs
+    first = F.row_number().over(Window.partitionBy("mol").orderBy("rule_idx"))
+    return pairs.withColumn("_n", first).where(F.col("_n") <= max_rules).drop("_n")
+
+
 def strip(outcomes: DataFrame, cofactors: DataFrame, keys: list[str]) -> DataFrame:
     """Splits ``molecules`` of each outcome into kept and removed, by a table ``mol`` of cofactors.
 
@@ -79,7 +87,15 @@ def expand(
 
 
 def report(ranked: DataFrame, outcomes: DataFrame, neighbours: DataFrame, cofactors: DataFrame, rule_ec: DataFrame) -> DataFrame:
-    """Counters of each molecule's expansion, over all rules (no early stop)."""
+    """Counters of each molecule's expansion, over all rules (no early stop).
+
+    Outcomes with an ``error`` (a column of text, if there is one) are counted and give no neighbours.
+    """
+    failed = None
+    if "error" in outcomes.columns:
+        by = [c for c in ("mol", "rule_idx") if c in outcomes.columns]
+        failed = ranked.select("mol", "rule_idx").join(outcomes.where("error is not null").select(*by), by).groupBy("mol").agg(F.count("*").alias("n_errors"))
+        outcomes = outcomes.where("error is null").drop("error")
     keys = [c for c in ("mol", "rule_idx", "pos") if c in outcomes.columns]
     split = strip(outcomes, cofactors, keys)
     with_ec = ranked.join(rule_ec.select("rule_idx", (F.size("ec") > 0).alias("has_ec")), "rule_idx", "left")
@@ -93,4 +109,5 @@ def report(ranked: DataFrame, outcomes: DataFrame, neighbours: DataFrame, cofact
     )
     distinct = neighbours.groupBy("mol").agg(F.count("*").alias("n_neighbours"))
     out = counts.join(distinct, "mol", "left").na.fill(0, ["n_neighbours"])
-    return out.withColumn("n_duplicates", F.col("n_outcomes") - F.col("n_neighbours"))
+    out = out.withColumn("n_duplicates", F.col("n_outcomes") - F.col("n_neighbours"))
+    return out if failed is None else out.join(failed, "mol", "left").na.fill(0, ["n_errors"])

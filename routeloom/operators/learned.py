@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .corpus import split_groups
@@ -44,6 +44,16 @@ def attested_and_others(rows: DataFrame, per_attested: int, seed: int) -> DataFr
     return ranked.where(F.col("attested") | (F.col("place") <= per_attested * F.col("n"))).drop("n", "place")
 
 
+def difference_features(before: Column, after: Column, size: int) -> Column:
+    """The features of an edge: counts of its substrate, of its product, and the second minus the first (3 * size doubles).
+
+    Both are maps of coordinate to count; null if either is, so that such an edge gets the fallback.
+    """
+    dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0)).cast("double"))
+    change = F.zip_with(dense(after), dense(before), lambda a, b: a - b)
+    return F.when(before.isNotNull() & after.isNotNull(), F.concat(dense(before), dense(after), change))
+
+
 def auc(scored: DataFrame, score: str = "score", label: str = "label") -> float:
     return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label, numBins=0).evaluate(scored)
 

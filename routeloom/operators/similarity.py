@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, tanimoto
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def set_tanimoto(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -24,16 +24,18 @@ def set_tanimoto(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFra
     return out.withColumn("sim", sim).drop("a", "b")
 
 
-def nearest(queries: DataFrame, sink: DataFrame, k: int = 1, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def nearest(queries: DataFrame, sink: DataFrame, k: int = 1, block_rows: int | None = None) -> DataFrame:
     """(q, label, sim, rank): the k most similar sink rows of each query (q, v) by counted Tanimoto.
 
-    Ties go to the smaller label. A sink of at most ``broadcast_rows`` is sent whole; a larger
-    one is dealt in blocks, each task keeps its k best, and those are merged.
+    Ties go to the smaller label. A sink of at most ``BROADCAST_BYTES`` (rows times the widest
+    vector) is sent whole; a larger one is dealt in blocks of that size, or of ``block_rows``,
+    each task keeps its k best, and those are merged.
     """
     vv = sink.select("label", F.col("v").alias("w"), dot(F.col("v"), F.col("v")).alias("ww"))
     qq = queries.select("q", "v", dot(F.col("v"), F.col("v")).alias("uu"))
-    n = sink.count()
-    blocks = max(1, -(-n // broadcast_rows))
+    size = sink.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    block_rows = block_rows or max(1, BROADCAST_BYTES // (8 * max(1, size["width"] or 0) + 32))
+    blocks = max(1, -(-size["n"] // block_rows))
     best = Window.partitionBy("q").orderBy(F.desc("sim"), "label")
     if blocks == 1:
         scored = qq.join(F.broadcast(vv), F.lit(True))

@@ -46,7 +46,9 @@ def coverage_table(found: DataFrame, ks: tuple[int, ...] = (5, 10, 20), by: tupl
 def candidate_scores(neighbours: DataFrame, closeness: DataFrame) -> DataFrame:
     """Long table (query, rule_idx, scorer, score) of the cheap scorers, higher is better.
 
-    ``neighbours`` has query, rule_idx, molecules, ec, sim, sim_all and prior; ``closeness`` has mol and closeness.
+    ``neighbours`` has query, rule_idx, molecules, ec, sim, sim_all and prior, and may have
+    plausibility (an edge score: the scorer ``enzymatic``, 0 where it is missing); ``closeness``
+    has mol and closeness.
     """
     parts = neighbours.select("query", "rule_idx", F.explode("molecules").alias("mol")).join(closeness, "mol", "left").na.fill(0.0, ["closeness"])
     near = parts.groupBy("query", "rule_idx").agg(F.min("closeness").alias("worst"), F.max("closeness").alias("best"))
@@ -57,18 +59,29 @@ def candidate_scores(neighbours: DataFrame, closeness: DataFrame) -> DataFrame:
         "native_similarity_all": F.col("sim_all"), "closeness_worst": F.col("worst"), "closeness_best": F.col("best"), "has_ec": has_ec,
         "fewer_precursors": -F.size("molecules").cast("double"), "similarity_x_ec": F.col("sim") * (0.5 + 0.5 * has_ec),
     }
+    if "plausibility" in neighbours.columns:
+        scorers["enzymatic"] = F.coalesce(F.nanvl(F.col("plausibility").cast("double"), F.lit(None)), F.lit(0.0))
     rows = F.array(*(F.struct(F.lit(n).alias("scorer"), c.alias("score")) for n, c in scorers.items()))
     return wide.select("query", "rule_idx", F.explode(rows).alias("x")).select("query", "rule_idx", "x.scorer", "x.score")
 
 
-def molecule_scores(profile: DataFrame, profile_n: int = 50, near: float = 0.9) -> DataFrame:
-    """(mol, sim, mean3, breadth, precedent, n_rules) from (mol, rule_idx, sim, n_reactions), over each molecule's best rules."""
+def molecule_scores(profile: DataFrame, profile_n: int = 50, near: float = 0.9, to_target: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(mol, sim, mean3, breadth, precedent, n_rules) from (mol, rule_idx, sim, n_reactions), over each molecule's best rules.
+
+    ``to_target`` (mol, to_target) adds the similarity to the run's target, ``known`` (mol) the flag
+    is_known; that flag looks at the answer, so no ordering may use it.
+    """
     order = Window.partitionBy("mol").orderBy(F.desc("sim"), "rule_idx")
     whole = profile.groupBy("mol").agg(F.max("n_reactions").alias("precedent"), F.count("*").alias("n_rules"))
     top = profile.withColumn("r", F.row_number().over(order)).where(F.col("r") <= profile_n)
     best = top.groupBy("mol").agg(F.max("sim").alias("sim"), F.avg(F.when(F.col("r") <= 3, F.col("sim"))).alias("mean3"))
     broad = top.join(best.select("mol", F.col("sim").alias("m")), "mol").groupBy("mol").agg(F.count_if((F.col("sim") >= near * F.col("m")) & (F.col("m") > 0)).alias("breadth"))
-    return best.join(broad, "mol").join(whole, "mol")
+    out = best.join(broad, "mol").join(whole, "mol")
+    if to_target is not None:
+        out = out.join(to_target.select("mol", "to_target"), "mol", "left")
+    if known is not None:
+        out = out.join(known.select("mol", F.lit(True).alias("is_known")).distinct(), "mol", "left").na.fill(False, ["is_known"])
+    return out
 
 
 def frontier_orders(frontier: DataFrame) -> DataFrame:

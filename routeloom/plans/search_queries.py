@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ec_at_level
+from ..functions.scalars import available, ec_at_level
 from ..operators import expand as X
 from ..operators import frontier as V
 from ..operators import graph as G
@@ -49,11 +49,12 @@ def q03_child_dedup(spark, d):
     return distinct_children(B.deltas(spark, d), q02_division(spark, d))
 
 
-@query("SELECT p_partkey AS mol, p_size <= 10 AS in_sink, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount >= 0.1) AS is_cofactor FROM part")
+@query("SELECT mol, in_sink, is_cofactor, in_sink OR is_cofactor AS available FROM (SELECT p_partkey AS mol, p_size <= 10 AS in_sink, EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount >= 0.1) AS is_cofactor FROM part)")
 def q04_availability(spark, d):
     cofactor = B.table(spark, d, "lineitem").where("l_discount >= 0.1").select(F.col("l_partkey").alias("mol"), F.lit(True).alias("is_cofactor")).distinct()
     part = B.table(spark, d, "part").select(F.col("p_partkey").alias("mol"), (F.col("p_size") <= 10).alias("in_sink"))
-    return part.join(cofactor, "mol", "left").na.fill(False, ["is_cofactor"])
+    both = part.join(cofactor, "mol", "left")
+    return both.withColumn("available", available(F.col("in_sink"), F.col("is_cofactor"))).na.fill(False, ["is_cofactor"])
 
 
 def _outcomes(spark, d):
@@ -371,7 +372,15 @@ def q18_route_trees(spark, d):
     return G.route_trees(targets, cost, chosen, rxns, mols, draws=1, seed=3).select("target", "mol", "cost")
 
 
-@query()
+@query(
+    f"""{B.SOLVED.replace("WITH", "WITH RECURSIVE", 1)},\n{B.CHOSEN},
+  kd AS MATERIALIZED (SELECT e.rxn, e.parent, coalesce(flatten(list(list_transform(range(times), lambda x: child) ORDER BY child) FILTER (WHERE child NOT IN (SELECT mol FROM a))), []) AS kids
+    FROM e JOIN c ON c.rxn = e.rxn AND c.parent = e.parent GROUP BY e.rxn, e.parent),
+  rt AS (SELECT mol AS root, [mol] AS todo, CAST([] AS BIGINT[]) AS route FROM {B.LAST} WHERE cost >= 1
+    UNION ALL SELECT root, list_concat(kids, todo[2:]), list_append(route, rxn) FROM rt JOIN kd ON parent = todo[1])
+  SELECT CAST(root AS VARCHAR) AS run, root, CAST(row_number() OVER (PARTITION BY root ORDER BY route) - 1 AS INT) AS route, array_to_string(route, ',') AS reactions
+  FROM rt WHERE len(todo) = 0 QUALIFY row_number() OVER (PARTITION BY root ORDER BY rt.route) <= 256"""
+)
 def q19_route_enumeration(spark, d):
     """All optimal routes, up to 256 each, of the parts that have one; a part's graph is its run."""
     mols, rxns = B.molecules(spark, d), B.reactions(spark, d)
@@ -390,7 +399,8 @@ def q19_route_enumeration(spark, d):
         used = roots.withColumnRenamed("mol", "parent").join(options, "parent").select("run", "rxn", "parent", "child", "times")
     used = G.cut(used.distinct(), "used")
     own = used.select("run", F.col("child").alias("mol")).unionByName(used.select("run", F.col("parent").alias("mol"))).distinct()
-    return G.enumerate_routes(own.join(mols.select("mol", "available"), "mol"), used, roots)
+    out = G.enumerate_routes(own.join(mols.select("mol", "available"), "mol"), used, roots)
+    return out.withColumn("reactions", F.array_join(F.transform("reactions", lambda x: x.cast("string")), ","))
 
 
 @query("SELECT DISTINCT l_orderkey AS substrate, array_to_string(s, ',') AS precursors FROM (SELECT l_orderkey, list_sort(list_filter(list(DISTINCT l_suppkey), lambda x: x <> l_orderkey)) AS s FROM lineitem WHERE l_orderkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 10) GROUP BY l_orderkey, l_returnflag) WHERE len(s) > 0")
@@ -421,7 +431,40 @@ def _environment(spark, d):
     return P.Environment(rxns.select("parent", "rxn", "child", "place"), B.molecules(spark, d).where("available").select("mol"))
 
 
-@query()
+def _searches(budget: int) -> str:
+    """The searches in SQL, step by step for all runs: m known molecules, s solved ones, x reactions, d decisions."""
+    ctes = [
+        "m0 AS MATERIALIZED (SELECT p_partkey AS run, p_partkey AS mol, 0::BIGINT AS id, 0 AS depth, false AS expanded FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT child FROM e))",
+        "x0 AS (SELECT 0::BIGINT AS run, rxn, parent, child FROM e WHERE false)",
+        "s0 AS (SELECT run, mol FROM m0 WHERE false)",
+    ]
+    for k in range(1, budget + 1):
+        j = k - 1
+        ctes += [
+            f"f{k} AS (SELECT m.* FROM m{j} m LEFT JOIN s{j} s ON s.run = m.run AND s.mol = m.mol LEFT JOIN s{j} r ON r.run = m.run AND r.mol = m.run WHERE NOT expanded AND s.mol IS NULL AND r.mol IS NULL AND m.mol NOT IN (SELECT mol FROM a))",
+            f"p{k} AS MATERIALIZED (SELECT run, arg_min({{'mol': mol, 'id': id, 'depth': depth}}, {{'a': depth, 'b': id}}) AS p, count(*) AS n FROM f{k} GROUP BY run)",
+            f"n{k} AS MATERIALIZED (SELECT run, rxn, parent, child, p.depth + 1 AS depth FROM p{k} JOIN e ON parent = p.mol)",
+            f"x{k} AS MATERIALIZED (SELECT * FROM x{j} UNION ALL SELECT run, rxn, parent, child FROM n{k})",
+            f"g{k} AS (SELECT run, child AS mol, min(depth) AS d, min({{'r': rxn, 'c': child}}) AS first FROM n{k} GROUP BY run, child)",
+            f"m{k} AS MATERIALIZED (SELECT m.run, m.mol, m.id, least(m.depth, coalesce(g.d, m.depth)) AS depth, m.expanded OR p.run IS NOT NULL AS expanded FROM m{j} m LEFT JOIN g{k} g ON g.run = m.run AND g.mol = m.mol "
+            f"LEFT JOIN p{k} p ON p.run = m.run AND p.p.mol = m.mol UNION ALL SELECT g.run, g.mol, top + row_number() OVER (PARTITION BY g.run ORDER BY first, g.mol), d, false "
+            f"FROM g{k} g JOIN (SELECT run, max(id) AS top FROM m{j} GROUP BY run) USING (run) LEFT JOIN m{j} m ON m.run = g.run AND m.mol = g.mol WHERE m.mol IS NULL)",
+            f"h{k}_0 AS MATERIALIZED (SELECT run, m{k}.mol FROM m{k} JOIN a ON a.mol = m{k}.mol)",
+        ]
+        for i in range(1, k + 1):
+            ctes.append(
+                f"h{k}_{i} AS MATERIALIZED (SELECT * FROM h{k}_{i - 1} UNION SELECT x.run, x.parent FROM x{k} x LEFT JOIN h{k}_{i - 1} h ON h.run = x.run AND h.mol = x.child "
+                "GROUP BY x.run, x.rxn, x.parent HAVING count(*) = count(h.mol))"
+            )
+        ctes += [
+            f"s{k} AS (SELECT * FROM h{k}_{k})",
+            f"d{k} AS (SELECT CAST(p{k}.run AS VARCHAR) AS run, {j} AS step, p.id AS node_id, p.mol AS mol, p.depth AS depth, n AS frontier_size, "
+            f"(SELECT count(DISTINCT rxn) FROM n{k} WHERE n{k}.run = p{k}.run) AS n_neighbours, EXISTS (SELECT 1 FROM s{k} WHERE s{k}.run = p{k}.run AND s{k}.mol = p{k}.run) AS solved_after FROM p{k})",
+        ]
+    return f"WITH {B.GRAPH},\n" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(1, budget + 1))
+
+
+@query(_searches(4))
 def q22_search_breadth_first(spark, d):
     """Breadth-first searches with a budget of 4 from every part that no reaction needs."""
     targets = B.molecules(spark, d).where("not available").join(B.reactions(spark, d).select(F.col("child").alias("mol")), "mol", "left_anti")
@@ -475,23 +518,38 @@ def q22_search_model(spark, d):
     return log
 
 
-@query()
-def q24_replayed_routes(spark, d):
-    """Replays of the seeded route trees of depth 2 to 8: the outcome of each."""
-    from ..operators.corpus import on_route, replay_outcomes
-
+def _replayed(spark, d, policy):
+    """(trees, decisions, molecules, policy) of replays of the seeded route trees of depth 2 to 8."""
     mols, rxns = B.molecules(spark, d), B.reactions(spark, d)
     cost, chosen = G.and_or_depth(mols, rxns)
     targets = cost.where("cost between 2 and 8").select("run", "mol")
     trees = G.route_trees(targets, cost, chosen, rxns, mols, seed=3).select(F.col("target").cast("string").alias("run"), "mol", "cost")
     trees = G.cut(trees, "trees")
-    goals = targets.select(F.col("mol").cast("string").alias("run"), "mol")
+    made = policy(trees)
     # a replay may open each molecule of its tree
     budget = trees.groupBy("run").count().agg(F.max("count")).first()[0] or 0
-    _, found, _ = P.search(goals, _environment(spark, d), on_route(trees), budget=budget, max_depth=8)
+    log, found, _ = P.search(targets.select(F.col("mol").cast("string").alias("run"), "mol"), _environment(spark, d), made, budget=budget, max_depth=8)
+    return trees, log, found, made
+
+
+@query(f"{B.SOLVED} SELECT 'complete' AS outcome, count(*) AS n FROM {B.LAST} WHERE cost BETWEEN 2 AND 8 HAVING count(*) > 0")
+def q24_replayed_routes(spark, d):
+    """Replays of the seeded route trees of depth 2 to 8: as each may open its whole tree, all are complete."""
+    from ..operators.corpus import on_route, replay_outcomes
+
+    trees, _, found, _ = _replayed(spark, d, on_route)
     return replay_outcomes(trees, found, 8).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+@query()
+def q24_replay_pairs(spark, d):
+    """The (system, user, answer) pairs that the replays teach, one for each decision whose view shows the route."""
+    policy = _replayed(spark, d, lambda trees: L.ReplayPolicy(trees))[3]
+    if not policy.pairs:
+        return spark.createDataFrame([], "run string, step int, system string, user string, assistant string, depth int, n_on_route int, n_shown int, n_frontier int")
+    return policy.all_pairs()
+
+
 @query()
 def q24_clusterability(spark, d):
     """Whether the stratified views fall into clusters of similar candidates."""

@@ -14,15 +14,15 @@ def rules_path(root: str, database: str, radius: int, fp_size: int = 1024, folde
     return f"{root}/database={database}/radius={radius}/fp_size={fp_size}/folded={str(folded).lower()}/custom={str(custom).lower()}"
 
 
-def convert_rules(spark: SparkSession, npz: str, out: str, rows: int = 5000) -> None:
+def convert_rules(spark: SparkSession, npz: str, out: str, rows: int = 5000, trusted: bool = False) -> None:
     """One-off: a dense archive of rule arrays to Parquet tables rules, need and delta.
 
-    The arrays are read on the driver without unpickling code from the archive's columns of
-    numbers; text columns are object arrays and need a trusted file.
+    Read on the driver, block by block. Text that is stored as Python objects is only read from a
+    ``trusted`` archive, as that runs code from it.
     """
     import numpy as np
 
-    data = np.load(npz, allow_pickle=True)
+    data = np.load(npz, allow_pickle=trusted)
     n = len(data["template_reaction"])
     optional = lambda name, i: None if name not in data.files else str(data[name][i])
     for at in range(0, n, rows):
@@ -178,6 +178,3 @@ def read_runs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.PAIR).json(path)
 
-
-def known_keys(rows: DataFrame, column: str) -> DataFrame:
-    return keys_of(rows, column)
