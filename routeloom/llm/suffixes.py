@@ -43,6 +43,7 @@ PIECE = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 ANCHOR_BUCKET_BYTES = 1 << 24
 SUFFIX_BUCKET_BYTES = 1 << 22
+TEXT_BYTES = 16 << 20
 BLOCK_BYTES = 32 << 20
 #: A perfect difference set modulo 31.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
@@ -476,10 +477,12 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, suffix_bucke
     n_anchor, n_suffix = max(least, total // ANCHOR_BUCKET_BYTES), max(least, total // suffix_bucket_bytes)
     sent = docs.mapInArrow(_send_anchors(n_anchor, block_bytes), ANCHOR_SCHEMA)
     answers = sent.repartition(n_anchor, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer_anchors, ANSWER_SCHEMA)
-    asked = docs.join(answers.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "doc_id")
+    # partitions of texts follow the bytes, not the session's count
+    keyed = docs.repartition(max(least, total // TEXT_BYTES), "doc_id")
+    asked = keyed.join(answers.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "doc_id")
     found = asked.mapInArrow(_send_units(n_suffix, block_bytes // 4), UNIT_SCHEMA)
     spans = found.repartition(n_suffix, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, SPAN_SCHEMA)
     gone = spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
     schema = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
-    out = docs.join(gone, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove, schema)
+    out = keyed.join(gone, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove, schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -12,7 +12,8 @@ def test_prefix_is_rendered_once(spark):
     data += [(1, True, 2, "assistant", "Good"), (1, True, 3, "user", "And?"), (1, True, 4, "assistant", "more <|end|>"), (1, False, 2, "assistant", "Bad")]
     data += [(2, True, 0, "user", "same"), (2, False, 0, "user", "same"), (3, True, 0, None, None), (4, False, 0, "user", "x"), (4, True, 0, "user", "x"), (4, True, 0, "user", "x")]
     got = {r.pair_id: r for r in format_preferences(turns(spark, data)).collect()}
-    assert set(got) == {1, 2, 4}
+    assert set(got) == {1, 2, 3, 4} and [got[i].paired for i in (1, 2, 3, 4)] == [True, True, False, True]
+    assert (got[3].prompt, got[3].chosen, got[3].rejected, got[3].informative) == ("", "<|user|>\n<|end|>\n", "", False)
     one = got[1]
     assert one.prompt == "<|system|>\nBe kind.<|end|>\n<|user|>\nHi é?<|end|>\n" and one.prompt_turns == 2
     assert one.rejected == "<|assistant|>\nBad<|end|>\n"
@@ -34,5 +35,6 @@ def test_awkward_turns(spark):
     data = [(None, 0, "user", "x"), (0, 0, None, None), (0, 1, "assistant", ""), (1, 0, "assistant", "z" * 5000), (1, 0, "assistant", "z" * 5000), (2, None, "assistant", "a"), (3, 1, "user", "q")]
     rows = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
     got = {r.pair_id: r for r in format_preferences(answer_pairs(rows)).collect()}
-    assert set(got) == {0, 1} and got[0].prompt_turns == 1
+    assert set(got) == {0, 1, 2, 3} and got[0].prompt_turns == 1 and [got[i].paired for i in range(4)] == [True, True, False, False]
+    assert got[3].chosen == "<|user|>\nq<|end|>\n" and got[2].chosen_trained != ""
     assert format_preferences(answer_pairs(rows.limit(0))).collect() == []
