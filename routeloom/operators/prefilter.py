@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut, settled
+
 
 def applicable(fp: DataFrame, rules: DataFrame, need: DataFrame) -> DataFrame:
     """(mol, rule_idx) where every requirement is covered.
@@ -14,13 +16,16 @@ def applicable(fp: DataFrame, rules: DataFrame, need: DataFrame) -> DataFrame:
     and molecules that share nothing never meet.  A rule without requirements fits every
     molecule, which is the one place where all pairs are the answer.
     """
-    need = need.where("need > 0").select("rule_idx", "coord", "need")
+    # both tables are read several times, however they were made
+    fp = settled(fp, "fingerprints")
+    need = cut(need.where("need > 0").select("rule_idx", "coord", "need"), "needs")
     seen = fp.groupBy("coord").agg(F.count("*").alias("seen"))
     ordered = need.join(seen, "coord")
     rule = Window.partitionBy("rule_idx")
     ordered = ordered.withColumn("place", F.row_number().over(rule.orderBy("seen", "coord"))).withColumn("known", F.count("*").over(rule))
     # a coordinate that no molecule has rules its rule out
     ordered = ordered.join(need.groupBy("rule_idx").agg(F.count("*").alias("n_need")), "rule_idx").where("known = n_need").drop("known", "seen")
+    ordered = cut(ordered, "needs-ordered")
     found = fp.join(ordered.where("place = 1"), "coord").where("n >= need").select("mol", "rule_idx", "n_need")
     second = ordered.where("place = 2").select("rule_idx", "coord", "need")
     others = ordered.where("place > 2").select("rule_idx", "coord", "need")

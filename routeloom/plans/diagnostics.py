@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-CLUSTERS = "run string, k int, silhouette double, largest_share double"
+CLUSTERS = "run string, k int, silhouette double, largest_share double, mean_similarity double, mean_nearest double"
+METRICS = ("euclidean", "tanimoto")
 
 
 def linkage(distance: np.ndarray, k: int) -> np.ndarray:
@@ -37,21 +38,33 @@ def silhouette(distance: np.ndarray, label: np.ndarray) -> float:
     return float(np.mean(out))
 
 
-def clusterability(views: DataFrame, ks: tuple[int, ...] = (2, 3, 5)) -> DataFrame:
-    """(run, k, silhouette, largest_share) for rows (run, id, features): clusters by Euclidean distance.
+def distances(x: np.ndarray, metric: str) -> np.ndarray:
+    """Euclidean distances, or one minus the counted Tanimoto similarity (two empty vectors are alike by 1)."""
+    square, both = (x * x).sum(axis=1), x @ x.T
+    if metric == "euclidean":
+        return np.sqrt(np.maximum(square[:, None] + square[None] - 2 * both, 0))
+    union = square[:, None] + square[None] - both
+    return 1 - np.divide(both, union, out=np.ones_like(both), where=union != 0)
 
-    The rows of a run are a view of a frontier, so their pairs fit a task.
+
+def clusterability(views: DataFrame, ks: tuple[int, ...] = (2, 3, 5), metric: str = "euclidean") -> DataFrame:
+    """(run, k, silhouette, largest_share, mean_similarity, mean_nearest) for rows (run, id, features), by average linkage.
+
+    ``mean_similarity`` is over all pairs, ``mean_nearest`` over each row's best partner, both as one
+    minus the distance.  The rows of a run are a view of a frontier, so their pairs fit a task.
     """
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(rows.sort_values("id")["features"].to_numpy()).astype(float)
-        square = (x * x).sum(axis=1)
-        distance = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * x @ x.T, 0))
-        out = []
+        distance, out = distances(x, metric), []
+        apart = distance + np.diag(np.full(len(x), np.inf))
+        pairs = distance[np.triu_indices(len(x), 1)]
         for k in ks:
             if 1 < k < len(x):
                 label = linkage(distance, k)
-                out.append((key[0], k, silhouette(distance, label), float(np.bincount(label).max() / len(x))))
-        return pd.DataFrame(out, columns=["run", "k", "silhouette", "largest_share"])
+                out.append((key[0], k, silhouette(distance, label), float(np.bincount(label).max() / len(x)), float(1 - pairs.mean()), float(1 - apart.min(axis=1).mean())))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in CLUSTERS.split(", ")])
 
     return views.groupBy("run").applyInPandas(run, CLUSTERS)

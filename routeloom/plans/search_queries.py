@@ -13,6 +13,7 @@ from ..operators import policy as P
 from ..operators.enrich import annotate_rules
 from ..operators.prefilter import applicable, children, distinct_children
 from ..operators.similarity import nearest, set_tanimoto
+from ..storage import settled
 from . import bindings as B
 from .registry import query
 
@@ -79,8 +80,8 @@ def q05_strip(spark, d):
 
 
 def _ranked(spark, d):
-    fp, rules = B.fingerprints(spark, d), B.rules(spark, d)
-    pairs = q02_division(spark, d).join(rules.select("rule_idx", "native"), "rule_idx")
+    fp, rules = settled(B.fingerprints(spark, d), "fingerprints"), B.rules(spark, d)
+    pairs = applicable(fp, rules, B.needs(spark, d)).join(rules.select("rule_idx", "native"), "rule_idx")
     members = fp.select(F.col("mol").alias("l"), F.col("coord").alias("member"))
     sim = set_tanimoto(pairs.withColumnRenamed("mol", "l").withColumnRenamed("native", "r"), members, members.withColumnRenamed("l", "r"))
     return X.rank_rules(sim.withColumnRenamed("l", "mol").withColumnRenamed("r", "native"))
@@ -558,4 +559,4 @@ def q24_clusterability(spark, d):
     front = B.frontier(spark, d).na.fill(0.0, ["sim", "closeness"])
     view = V.select_view(front, "stratified", 40, shuffle=False).select("run", "id")
     features = F.array("sim", "closeness", F.col("heavy") / 1000).alias("features")
-    return clusterability(front.join(view, ["run", "id"]).select("run", "id", features))
+    return clusterability(front.join(view, ["run", "id"]).select("run", "id", features), metric="tanimoto")

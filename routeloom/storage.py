@@ -39,6 +39,11 @@ def cut(df: DataFrame, name: str = "step", replaces: DataFrame | None = None) ->
     return out
 
 
+def settled(df: DataFrame, name: str = "step") -> DataFrame:
+    """A frame that several steps read: as it is if it is a written table, else written."""
+    return df if getattr(df, "_routeloom_path", None) else cut(df, name)
+
+
 def release(table: DataFrame) -> None:
     """Deletes a table that ``cut`` made; any other frame is left alone."""
     path = getattr(table, "_routeloom_path", None)

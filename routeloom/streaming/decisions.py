@@ -69,6 +69,33 @@ def for_each(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoin
     return stream.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def mark_finished(spark: SparkSession, run: str) -> None:
+    """The end of a run's events: whoever reads the folder, early or late, finds the whole backlog and then this mark."""
+    fs, place = _folder(spark, f"{run}/_finished")
+    fs.create(place, True).close()
+
+
+def is_finished(spark: SparkSession, run: str) -> bool:
+    fs, place = _folder(spark, f"{run}/_finished")
+    return fs.exists(place)
+
+
+def retain(spark: SparkSession, root: str, keep: int = 20) -> list[str]:
+    """Deletes all but the last ``keep`` finished runs below a folder (by the time of their mark); returns the names of those deleted."""
+    fs, place = _folder(spark, root)
+    runs = [s.getPath() for s in fs.listStatus(place) if s.isDirectory()]
+    marks = [(fs.getFileStatus(m).getModificationTime(), p.getName(), p) for p in runs if fs.exists(m := spark._jvm.org.apache.hadoop.fs.Path(p, "_finished"))]
+    old = sorted(marks, key=lambda m: m[:2])[: max(0, len(marks) - keep)]
+    for _, _, p in old:
+        fs.delete(p, True)
+    return [name for _, name, _ in old]
+
+
 def final_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over all that is there and returns its last result as a table of that name in memory.
 

@@ -1,3 +1,6 @@
+import json
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +9,9 @@ from routeloom.functions import sql
 from routeloom.kernel import MultisetKernel
 from routeloom.operators import corpus as E
 from routeloom.operators import expand as X
+from routeloom.operators import models as L
 from routeloom.operators import policy as P
+from routeloom.operators.frontier import select_view
 from routeloom.plans.diagnostics import clusterability, linkage, silhouette
 
 
@@ -47,20 +52,121 @@ def test_replay_takes_the_hard_branch_first(spark):
     options = spark.createDataFrame([(1, 0, 2, 0), (1, 0, 3, 1), (2, 1, 9, 0), (3, 2, 4, 0), (4, 3, 9, 0), (1, 4, 5, 0)], "parent long, rxn long, child long, place long")
     env = P.Environment(options, spark.createDataFrame([(9,)], "mol long"))
     trees = spark.createDataFrame([("a", 1, 3), ("a", 2, 1), ("a", 3, 2), ("a", 4, 1)], "run string, mol long, cost int")
-    log, found = P.search(spark.createDataFrame([("a", 1)], "run string, mol long"), env, E.on_route(trees), budget=9)
+    log, found, _ = P.search(spark.createDataFrame([("a", 1)], "run string, mol long"), env, E.on_route(trees), budget=9)
     assert [r.mol for r in log.orderBy("step").collect()] == [1, 3, 2, 4] or [r.mol for r in log.orderBy("step").collect()] == [1, 3, 4, 2]
     assert E.replay_outcomes(trees, found, 7).first().outcome == "complete"
-    _, short = P.search(spark.createDataFrame([("a", 1)], "run string, mol long"), env, E.on_route(trees), budget=1)
+    _, short, _ = P.search(spark.createDataFrame([("a", 1)], "run string, mol long"), env, E.on_route(trees), budget=1)
     assert E.replay_outcomes(trees, short, 7).first().outcome == "out of budget"
 
 
+def with_graph(front):
+    return front.selectExpr("*", "'t' AS target", "4 AS n_molecules", "2 AS n_reactions", "1 AS n_solved")
+
+
 def test_model_policy_falls_back_to_the_first(spark):
     rows = [("a", 1, 10, 1), ("a", 2, 20, 1), ("b", 1, 30, 0)]
-    front = spark.createDataFrame(rows, "run string, id long, mol long, depth int").withColumn("closeness", F.lit(0.5))
-    view = {(r.run, r.place): r.mol for r in P.select_view(front, "stratified", 20, 0).join(front, ["run", "id"]).collect()}
-    for answer, place in (('{"choice": 1}', 2), ("?", 1), ('{"choice": 7}', 1)):
-        got = {r.run: r.mol for r in P.model_policy(P.ScriptedBackend([answer]), P.ToolSurface(closeness=True))(front).collect()}
+    front = with_graph(spark.createDataFrame(rows, "run string, id long, mol long, depth int").withColumn("closeness", F.lit(0.5)))
+    view = {(r.run, r.place): r.mol for r in select_view(front, "stratified", 20, 0).join(front, ["run", "id"]).collect()}
+    for answer, place, fallback in (('{"choice": 1}', 2, None), ("?", 1, "unparseable"), ('{"choice": 7}', 1, "out_of_range:7")):
+        policy = L.ModelPolicy(L.ScriptedBackend([answer]), L.ToolSurface(closeness=True))
+        got = {r.run: r.mol for r in policy(front).collect()}
         assert got == {"a": view["a", place], "b": 30}
+        calls = {r.run: r for r in policy.call_log().collect()}
+        assert calls["a"].fallback == fallback and calls["b"].fallback == "skipped_single" and not calls["b"].called
+        prompt = calls["a"].prompt
+        assert prompt.startswith("Target molecule: t\n") and "4 molecules (1 of them solved), 2 reactions" in prompt and "closest_chassis=0.500" in prompt
+
+
+def test_the_model_sees_plausibility_if_its_tools_do(spark):
+    rows = [("a", 1, 10, 1, 0.5, 0.25, 2), ("a", 2, 20, 1, None, None, None)]
+    front = with_graph(spark.createDataFrame(rows, "run string, id long, mol long, depth int, per_step double, cumulative double, edges int"))
+    view = select_view(front, "discovery", 5, shuffle=False)
+    for on in (True, False):
+        text = L.prompts_of(front, view, "discovery", L.ToolSurface(plausibility=on)).first().prompt
+        assert ("enzymatic=0.500/step (route 0.250 over 2)" in text) == on
+
+
+def test_replay_pairs_answer_with_the_hard_branch(spark):
+    options = spark.createDataFrame([(1, 0, 2, 0), (1, 0, 3, 1), (2, 1, 9, 0), (3, 2, 4, 0), (4, 3, 9, 0), (1, 4, 5, 0)], "parent long, rxn long, child long, place long")
+    env = P.Environment(options, spark.createDataFrame([(9,)], "mol long"))
+    trees = spark.createDataFrame([("a", 1, 3), ("a", 2, 1), ("a", 3, 2), ("a", 4, 1)], "run string, mol long, cost int")
+    policy = L.ReplayPolicy(trees)
+    log, found, runs = P.search(spark.createDataFrame([("a", 1)], "run string, mol long"), env, policy, budget=9)
+    assert runs.first().stopped_because == "solved" and E.replay_outcomes(trees, found, 7).first().outcome == "complete"
+    picks = {r.step: r.mol for r in log.collect()}
+    cost = {1: 3, 2: 1, 3: 2, 4: 1}
+    for r in policy.all_pairs().collect():
+        lines = dict(re.findall(r"(?m)^\[(\d+)\] (\d+) \|", r.user))
+        chosen = int(lines[str(json.loads(r.assistant)["choice"])])
+        assert chosen == picks[r.step] and r.depth == cost[chosen] == max(cost.get(int(m), -1) for m in lines.values())
+        assert r.n_shown == len(lines) == r.n_frontier and r.n_on_route == sum(int(m) in cost for m in lines.values())
+        assert r.system == L.system_prompt(L.ToolSurface())
+
+
+def test_caps_and_failures(spark):
+    pairs = spark.createDataFrame([("m", i) for i in range(5)] + [("n", 9)], "mol string, rule_idx int")
+    assert sorted(map(tuple, X.limit_rules(pairs, 2).collect())) == [("m", 0), ("m", 1), ("n", 9)] and X.limit_rules(pairs, None) is pairs
+
+
+def test_tables_that_are_replaced_go(spark):
+    import os
+
+    from routeloom.storage import cut, release, settled
+
+    first = cut(spark.range(5), "x")
+    place = first._routeloom_path.removeprefix("file://")
+    assert os.path.isdir(place) and settled(first) is first
+    second = cut(first.selectExpr("id + 1 AS id"), "x", first)
+    assert not os.path.exists(place) and second.count() == 5
+    release(spark.range(1))
+
+
+def test_global_ranks_in_more_buckets(spark):
+    rows = spark.range(300).select(F.col("id").cast("string").alias("pair_id"))
+    key = F.md5(F.col("pair_id").cast("binary"))
+    one, three = ({r.pair_id: r.place for r in E.rank_globally(rows, key, "pair_id", digits=n).collect()} for n in (1, 3))
+    assert one == three and sorted(one.values()) == list(range(1, 301))
+
+
+def test_counted_tanimoto_clusters(spark):
+    rows = spark.createDataFrame([("r", i, [float(x) for x in v]) for i, v in enumerate([[4, 0, 0], [3, 0, 0], [0, 5, 1], [0, 4, 1], [0, 0, 0]])], "run string, id long, features array<double>")
+    got = clusterability(rows, ks=(2, 3), metric="tanimoto").collect()
+    assert {r.k: r.largest_share for r in got} == {2: 0.6, 3: 0.4} or {r.k for r in got} == {2, 3}
+    a, b = np.array([4.0, 0, 0]), np.array([3.0, 0, 0])
+    near = (a @ b) / (a @ a + b @ b - a @ b)
+    assert got[0].mean_similarity < got[0].mean_nearest <= 1 and near > 0.9
+
+
+def test_pages_and_retention(spark, tmp_path):
+    from routeloom.sources.pages import write_page
+    from routeloom.streaming.decisions import is_finished, mark_finished, retain
+
+    routes = spark.createDataFrame([("t<1>", 0, 2, ["a & b", "c"], ["x"]), ("t2", 0, 1, ["d"], [])], "target string, route int, n_steps int, steps array<string>, leaves array<string>")
+    write_page(routes, f"file://{tmp_path}/page", "Routes & more")
+    page = "".join(open(p).read() for p in sorted((tmp_path / "page").glob("part-*")))
+    assert page.startswith("<!doctype html>") and "t&lt;1&gt;" in page and "a &amp; b" in page and page.rstrip().endswith("</html>") and page.index(">t2<") < page.index("t&lt;1&gt;")
+    root = f"file://{tmp_path}/runs"
+    for i in range(4):
+        spark.range(1).write.parquet(f"{root}/run{i}/events")
+        if i != 1:
+            mark_finished(spark, f"{root}/run{i}")
+    assert is_finished(spark, f"{root}/run0") and not is_finished(spark, f"{root}/run1")
+    assert sorted(retain(spark, root, keep=1)) == ["run0", "run2"]
+    assert sorted(p.name for p in (tmp_path / "runs").iterdir()) == ["run1", "run3"]
+
+
+def test_chemistry_kernel(spark):
+    from routeloom.kernel import ChemistryKernel
+
+    try:
+        import rdkit  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError, match="rdkit"):
+            ChemistryKernel()
+        return
+    k = ChemistryKernel()
+    row = spark.createDataFrame([("OCC", "CC.O")], "a string, b string").select(k.canonical(F.col("a")).alias("c"), k.split(F.col("b")).alias("s"), k.elements(F.col("a")).alias("e")).first()
+    assert row.c == "CCO" and row.s == ["CC", "O"] and row.e == {"C": 2, "O": 1, "H": 6}
 
 
 def test_observed_control(spark):
