@@ -37,3 +37,15 @@ def test_empty_table(spark, tmp_path):
 def test_padding():
     assert len(to_payload(b"")) == 576 and len(to_payload(b"x" * 576)) == 576 and len(to_payload(b"x" * 577)) == 1152
     assert decode(encode(to_payload(b"abc"))).tobytes()[:3] == b"abc"
+
+
+def test_features_against_plain_numbers(spark, tmp_path):
+    """Size, mean, deviation and histogram of the padded bytes, counted one by one."""
+    data = rows()
+    got = {r.doc_id: r.feature for r in store_media(frame(spark, data), f"file://{tmp_path}/media").collect()}
+    for doc, text, *_ in data:
+        payload = list(to_payload((text or "").encode()))
+        mean = sum(payload) / len(payload)
+        spread = max(0.0, sum(b * b for b in payload) / len(payload) - mean * mean) ** 0.5
+        hist = ",".join(str(sum(16 * k <= b < 16 * k + 16 for b in payload)) for k in range(16))
+        assert got[doc] == f"576x{len(payload) // 576};mean={mean:.6f};sd={spread:.6f};hist={hist}"
