@@ -139,19 +139,26 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 def radii_of(histogram: list[tuple[int, int, int]]) -> np.ndarray:
     """The radius of each size class from (size class, cosine bin, texts): a low quantile, with slack.
 
-    Classes of few texts are pooled with their neighbours, outwards until there are ``ENOUGH`` or no more.
+    Classes of few texts are pooled with their neighbours, outwards until there are ``ENOUGH`` or
+    no more.  Below the least class that has enough by itself (or else the largest of any texts) the
+    radius falls by the root of two a class, as the cosine of a piece of text does with its length:
+    longer texts would ask too much of a word or two.
     """
     table = np.zeros((SIZES, BINS + 1), np.int64)
     for size, place, n in histogram:
         table[size, place] += n
-    out = np.zeros(SIZES)
-    for s in range(SIZES):
+    out, totals = np.zeros(SIZES), table.sum(axis=1)
+    if not totals.any():
+        return out
+    enough = np.flatnonzero(totals >= ENOUGH)
+    least = enough[0] if len(enough) else np.flatnonzero(totals)[-1]
+    for s in range(least, SIZES):
         for reach in range(SIZES):
             own = table[max(0, s - reach) : s + reach + 1].sum(axis=0)
             if own.sum() >= ENOUGH:
                 break
-        if own.sum():
-            out[s] = SLACK * np.searchsorted(np.cumsum(own), max(1, int(own.sum() * TAIL))) / BINS
+        out[s] = SLACK * np.searchsorted(np.cumsum(own), max(1, int(own.sum() * TAIL))) / BINS
+    out[:least] = out[least] * 2.0 ** ((np.arange(least) - least) / 2)
     return out
 
 

@@ -91,7 +91,9 @@ def test_long_texts_count_like_short_ones():
 
 def test_radii_pool_small_classes():
     out = radii_of([(4, 800, 3), (9, 500, 40), (9, 100, 1), (10, 900, 400)])
-    assert out[4] > 0 and out[9] == 0.25 and abs(out[23] - 0.45) < 1e-9
+    assert abs(out[10] - 0.45) < 1e-9 and abs(out[23] - 0.45) < 1e-9 and abs(out[8] - 0.225) < 1e-9 and 0 < out[4] < 0.06
+    few = radii_of([(3, 400, 5), (6, 700, 4)])
+    assert abs(few[6] - 0.2) < 1e-9 and abs(few[4] - 0.1) < 1e-9 and few[9] == few[6]
     assert radii_of([]).tolist() == [0.0] * 24
 
 
@@ -99,3 +101,11 @@ def test_rare_labels_and_repeated_ids_train(spark):
     data = corpus(60) + [(1000, "qqq www zzz", "rare", None, None, None, None)] + [(1001, f"vvv uuu {i}", "copy", None, None, None, None) for i in range(9)]
     model = fit(frame(spark, data), per_language=5)
     assert {"rare", "copy"} <= {r.lang for r in model.centroids.collect()}
+
+
+def test_a_word_or_two_is_kept(spark):
+    """Short texts of a language pass, however long the texts that it was learned from."""
+    docs = corpus()
+    model = fit(frame(spark, docs))
+    short = [(5000 + i, " ".join(t.split()[:1]), l, *r) for i, (_, t, l, *r) in enumerate(docs)]
+    assert predict(frame(spark, short), model).where("lang_rejected").count() == 0
