@@ -67,8 +67,22 @@ def balance(tally: DataFrame, certified: DataFrame, ignored: str = "H") -> DataF
     return certified.join(per_step, "step", "left").select("step", F.when(known & F.col("equal"), "yes").when(known, "no").otherwise("unknown").alias("balanced"))
 
 
-def supplied(needs: DataFrame, sink: DataFrame, made: DataFrame) -> DataFrame:
-    """Adds ``supplied`` to (route, step, key, name): from the sink, made by key elsewhere in the route, or by name without a key.
+def complete_equation(best: DataFrame, candidates: DataFrame, steps: DataFrame) -> DataFrame:
+    """(step, rxn, consumed, released, predicted): the keys of the picked reaction in the step's direction.
+
+    The step's own molecules stand in the two roles that they matched, also where the source names
+    others there or a generic participant without a key; ``predicted`` tells that it does.
+    """
+    chosen = best.join(candidates.select("step", "rxn", "left", "right"), ["step", "rxn"]).join(steps.select("step", "made", "used"), "step")
+    side = lambda a, b: F.when(F.col("agrees"), F.col(a)).otherwise(F.col(b))
+    put = lambda xs, at, mol: F.transform(xs, lambda x, i: F.when(i == F.col(at), F.col(mol)).otherwise(F.coalesce(x["key"], x["name"])))
+    return chosen.select(
+        "step", "rxn", put(side("left", "right"), "consumed_at", "used").alias("consumed"), put(side("right", "left"), "released_at", "made").alias("released"), (~F.col("exact")).alias("predicted")
+    )
+
+
+def supplied(needs: DataFrame, sink: DataFrame, made: DataFrame, carriers: tuple[str, ...] = CARRIERS) -> DataFrame:
+    """Adds ``supplied`` to (route, step, key, name): a carrier by name, from the sink, made by key elsewhere in the route, or by name without a key.
 
     ``sink`` has key; ``made`` has route, key and name of what any step releases.
     """
@@ -76,7 +90,8 @@ def supplied(needs: DataFrame, sink: DataFrame, made: DataFrame) -> DataFrame:
     by_key = made.where("key is not null").select("route", "key", F.lit(True).alias("by_key")).distinct()
     by_name = made.where("name is not null").select("route", "name", F.lit(True).alias("by_name")).distinct()
     out = needs.join(in_sink, "key", "left").join(by_key, ["route", "key"], "left").join(by_name, ["route", "name"], "left")
-    has = F.coalesce("in_sink", F.lit(False)) | F.coalesce("by_key", F.lit(False)) | (F.col("key").isNull() & F.coalesce("by_name", F.lit(False)))
+    carrier = F.coalesce(F.col("name").cast("string").isin(*carriers), F.lit(False))
+    has = carrier | F.coalesce("in_sink", F.lit(False)) | F.coalesce("by_key", F.lit(False)) | (F.col("key").isNull() & F.coalesce("by_name", F.lit(False)))
     return out.withColumn("supplied", has).drop("in_sink", "by_key", "by_name")
 
 

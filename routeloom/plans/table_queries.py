@@ -409,20 +409,37 @@ def _role_tables(spark, d):
     return steps, pairs.join(sides, "rxn").withColumn("place", F.col("rxn"))
 
 
-@query(
-    """WITH fs AS (SELECT l_orderkey AS step, min({'n': l_linenumber, 's': l_suppkey, 'p': l_partkey}) AS f FROM lineitem GROUP BY l_orderkey),
+ROLES = """WITH fs AS (SELECT l_orderkey AS step, min({'n': l_linenumber, 's': l_suppkey, 'p': l_partkey}) AS f FROM lineitem GROUP BY l_orderkey),
   pr AS (SELECT a.o_orderkey AS step, b.o_orderkey AS rxn FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderkey <> b.o_orderkey),
   ln AS (SELECT l_orderkey AS rxn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) - 1 AS i, l_suppkey AS s, l_partkey AS p, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
   sc AS (SELECT pr.step, pr.rxn, true AS agrees, x.i AS i, y.i AS j, x.s AS a, y.p AS b, 2 * x.n AS n FROM pr JOIN ln x ON x.rxn = pr.rxn JOIN ln y ON y.rxn = pr.rxn
     UNION ALL SELECT pr.step, pr.rxn, false, x.i, y.i, x.p, y.s, 2 * x.n FROM pr JOIN ln x ON x.rxn = pr.rxn JOIN ln y ON y.rxn = pr.rxn),
   tt AS (SELECT sc.*, a = f.s AND b = f.p AS exact, b % 5 - a % 5 = f.p % 5 - f.s % 5 AND b % 3 - a % 3 = f.p % 3 - f.s % 3 AS same FROM sc JOIN fs USING (step)),
-  bs AS (SELECT *, (1000 * CAST(exact AS INT) + 100 * CAST(same AS INT)) * 100 - n AS score FROM tt WHERE exact OR same)
+  bs AS (SELECT *, (1000 * CAST(exact AS INT) + 100 * CAST(same AS INT)) * 100 - n AS score FROM tt WHERE exact OR same)"""
+
+
+@query(
+    f"""{ROLES}
   SELECT step, rxn, agrees, CAST(i AS INT) AS consumed_at, CAST(j AS INT) AS released_at, exact, CAST(score AS INT) AS score FROM bs QUALIFY row_number() OVER (PARTITION BY step ORDER BY score DESC, rxn, agrees DESC, i, j) = 1"""
 )
 def q62_role_matching(spark, d):
     return C.pick_reaction(*_role_tables(spark, d))
 
 
+@query(
+    f"""{ROLES},
+  ch AS (SELECT step, rxn, agrees, i, j, exact FROM bs QUALIFY row_number() OVER (PARTITION BY step ORDER BY score DESC, rxn, agrees DESC, i, j) = 1)
+  SELECT step, ch.rxn, string_agg(CASE WHEN ln.i = ch.i THEN f.s WHEN agrees THEN s ELSE p END, ',' ORDER BY ln.i) AS consumed,
+    string_agg(CASE WHEN ln.i = ch.j THEN f.p WHEN agrees THEN p ELSE s END, ',' ORDER BY ln.i) AS released, NOT any_value(exact) AS predicted
+  FROM ch JOIN ln ON ln.rxn = ch.rxn JOIN fs USING (step) GROUP BY step, ch.rxn"""
+)
+def q62_completed_equations(spark, d):
+    """The picked reaction of each step with the step's own molecules in their roles."""
+    steps, candidates = _role_tables(spark, d)
+    out = C.complete_equation(C.pick_reaction(steps, candidates), candidates, steps)
+    return out.withColumn("consumed", F.array_join("consumed", ",")).withColumn("released", F.array_join("released", ","))
+
+
 @query(
     """WITH n AS (SELECT DISTINCT o_custkey AS route, o_orderkey AS step, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_suppkey END AS key, l_suppkey % 7 AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'A'),
   m AS (SELECT DISTINCT o_custkey AS route, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_suppkey END AS key, l_suppkey % 7 AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R')

@@ -173,3 +173,19 @@ def test_observed_control(spark):
     front = spark.createDataFrame([("a", i, i * 10, i) for i in range(1, 6)], "run string, id long, mol long, depth int")
     assert P.with_view(P.depth_first, "stratified", 2)(front).first().mol == 20
     assert P.depth_first(front).first().mol == 50 and P.breadth_first(front).first().mol == 10
+
+
+def test_completed_equations_and_carriers(spark):
+    from routeloom.operators import completion as C
+
+    part = "array<struct<key:string,name:string,elements:map<string,int>>>"
+    steps = spark.createDataFrame([(1, "M", "U", {"O": 1})], "step int, made string, used string, delta map<string,int>")
+    left, right = [("a", "alcohol", {"C": 1}), ("w", "H2O", {"O": 1})], [(None, "an aldehyde", None), ("b", "acid", {"C": 1, "O": 1})]
+    options = spark.createDataFrame([(1, 7, 0, left, right)], f"step int, rxn int, place int, left {part}, right {part}")
+    best = C.pick_reaction(steps, options)
+    row = C.complete_equation(best, options, steps).first()
+    assert (row.consumed, row.released, row.predicted) == (["U", "w"], ["an aldehyde", "M"], True)
+    needs = spark.createDataFrame([(1, 1, None, "H2O"), (1, 1, "k", "x")], "route int, step int, key string, name string")
+    nothing = spark.createDataFrame([], "route int, key string, name string")
+    got = {r.name: r.supplied for r in C.supplied(needs, nothing.select("key"), nothing).collect()}
+    assert got == {"H2O": True, "x": False}
