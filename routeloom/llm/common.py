@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import let_workers_import
-from ..storage import cut, shared_dir
+from ..storage import cut, release, shared_dir
 
-__all__ = ["BATCH_ROWS", "NO_ID", "cut", "documents", "hash_unit", "shared_dir", "small_batches", "tasks_for"]
+__all__ = ["BATCH_ROWS", "NO_ID", "cut", "documents", "hash_unit", "release", "shared_dir", "small_batches", "tasks_for"]
 
 #: Stands for a null id where a key must not be null.
 NO_ID = -(1 << 63)

@@ -263,7 +263,7 @@ def assign(found: DataFrame, key: str, max_attempts: int = MAX_ATTEMPTS) -> Data
         winners = free.groupBy("group", "value").agg(F.min(F.struct("kind", "canon")).alias("w"))
         settled = cut(winners.select("group", "value", "w.kind", "w.canon"), "surrogates")
         done = settled if done is None else done.unionByName(settled)
-        left = cut(left.join(settled, ["kind", "canon"], "left_anti").select("kind", "canon", F.lit(attempt + 1).alias("attempt")), "entities-left")
+        left = cut(left.join(settled, ["kind", "canon"], "left_anti").select("kind", "canon", F.lit(attempt + 1).alias("attempt")), "entities-left", left)
         if left.isEmpty():
             break
     rest = all_found.join(done, ["kind", "canon"], "left_anti").withColumn("group", group)

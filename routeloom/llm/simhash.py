@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, release, small_batches
 
 SEED = 42
 BITS = 64
@@ -242,8 +242,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = settled(edges)
     before, now = None, mark(edges)
     while now != before:
-        edges = settled(star(star(edges, True), False))
-        before, now = now, mark(edges)
+        hung = settled(star(star(edges, True), False))
+        release(edges)
+        edges, before = hung, now
+        now = mark(edges)
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
