@@ -35,10 +35,10 @@ def and_or_depth(molecules: DataFrame, reactions: DataFrame, max_levels: int | N
     down what each open reaction still lacks; a molecule is assigned once.
     """
     cost = cut(molecules.where("available").select("run", "mol", F.lit(0).alias("cost")).distinct(), "cost")
-    lacks = reactions.groupBy(*KEYS).agg(F.count_distinct("child").alias("lacks"))
+    need = cut(reactions.select(*KEYS, "child").distinct(), "need")
+    lacks = need.groupBy(*KEYS).agg(F.count("*").alias("lacks"))
     done = molecules.where("available").select("run", F.col("mol").alias("parent")).distinct()
     lacks = cut(lacks.join(done, ["run", "parent"], "left_anti"), "lacks")
-    need = cut(reactions.select(*KEYS, "child").distinct(), "need")
     fresh, costs, chosen, level = cost, [cost], [], 0
     while max_levels is None or level < max_levels:
         level += 1
@@ -81,8 +81,8 @@ def shortest_cost(molecules: DataFrame, reactions: DataFrame) -> DataFrame:
     """
     kind = reactions.schema["rxn"].dataType
     best = cut(molecules.where("available").select("run", "mol", F.lit(0.0).alias("tree_cost"), F.lit(None).cast(kind).alias("rxn")).distinct(), "best")
-    sizes = reactions.groupBy("run", "rxn").agg(F.count("*").alias("n"))
-    sized = reactions.join(sizes, ["run", "rxn"]).join(best.select("run", F.col("mol").alias("parent")), ["run", "parent"], "left_anti")
+    whole = Window.partitionBy("run", "rxn")
+    sized = reactions.withColumn("n", F.count("*").over(whole)).join(best.select("run", F.col("mol").alias("parent")), ["run", "parent"], "left_anti")
     sized = cut(sized.select("run", "rxn", "parent", "child", "times", "n"), "sized")
     fell = best.select("run", "mol")
     while True:
