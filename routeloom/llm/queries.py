@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, lexical, toxicity
 from .common import documents, shared_dir
 from .iblt import fingerprint_edits
 from .linedup import drop_repeats
@@ -86,6 +86,16 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.withColumn("media_bytes", F.col("length"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~langid.held_out())
+    return toxicity.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -97,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_bktree": op8_simhash_bktree,
     "op9_iblt_sketch": op9_iblt_sketch,
     "op10_media_columns": op10_media_columns,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_toxicity_pu": op12_toxicity_pu,
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing_oracle(), "op6_preferences": PREFERENCES_ORACLE}
+ORACLES: dict[str, str] = {"op1_mixing": mixing_oracle(), "op6_preferences": PREFERENCES_ORACLE, "op11_lexical_search": lexical.ORACLE}
