@@ -19,8 +19,9 @@ Components: large-star and small-star contraction over the forest's edges, in
 DataFrames that are written between rounds.
 
 Defined results: a null text or one without words has fingerprint zero and is
-linked like any other; repeated rows give repeated results; an empty table gives
-no rows; other columns are ignored.
+linked like any other; repeated rows give repeated results; a row without an id links
+others too and takes its component's least id, null if no row of it has one; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -252,7 +253,9 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, split_over: int = 4096) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` for every document."""
     fps = cut(fingerprints(docs, words), "fingerprints")
-    reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-reps")
-    found = components(links(reps, radius, split_over))
-    classes = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    # fingerprints are the nodes: a row without an id links like any other
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
+    found = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius, split_over))
+    known = cut(nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class")), "fingerprint-classes")
+    least = known.groupBy("class").agg(F.min("least").alias("component_id"))
+    return fps.join(known.join(least, "class").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

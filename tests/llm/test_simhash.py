@@ -87,3 +87,31 @@ def test_documents(spark):
     want = groups([brute(texts[i]) for i in ids], 3)
     assert got == {i: ids[w] for i, w in zip(ids, want)}
     assert near_duplicates(frame(spark, [])).collect() == []
+
+
+def near_texts(seed):
+    """A text and copies of it that differ in a word each."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base)]
+    while len(texts) < 40:
+        words = list(base)
+        words[rng.randrange(400)] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_rows_without_ids_link_and_take_the_least_id(spark):
+    texts = near_texts(1)
+    alone = ["lonely text here", "quite another one, of other words entirely"]
+    data = [(None if i % 3 else i, t, None, None, None, None, None) for i, t in enumerate(texts)]
+    data += [(None, alone[0], None, None, None, None, None), (7001, alone[1], None, None, None, None, None), (7001, alone[1], None, None, None, None, None), (3, texts[3], None, None, None, None, None)]
+    values = [brute(r[1]) for r in data]
+    classes = groups(values, 3)
+    least = {}
+    for r, c in zip(data, classes):
+        least[c] = min((x for x in (least.get(c), r[0]) if x is not None), default=None)
+    want = sorted(((r[0], least[c]) for r, c in zip(data, classes)), key=repr)
+    assert len(set(classes)) < len(data) / 2
+    got = sorted(((r.doc_id, r.component_id) for r in near_duplicates(frame(spark, data)).collect()), key=repr)
+    assert got == want
