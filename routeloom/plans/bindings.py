@@ -101,13 +101,14 @@ def rule_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rule_idx", F.when(known, F.array("code")).otherwise(F.array().cast("array<string>")).alias("ec"))
 
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The run table: an event is a run of its type's policy on its user."""
+def runs_of(events: DataFrame, *keep: str) -> DataFrame:
+    """The run table, with columns of the events that are kept: an event is a run of its type's policy on its user."""
     k = F.get_json_object("props", "$.k").cast("int")
-    e = table(spark, sf_dir, "events").withColumn("k", k)
+    e = events.withColumn("k", k)
     steps = F.floor(F.col("value")).cast("int")
     solved = F.col("value") < 60
     return e.select(
+        *keep,
         F.col("event_type").alias("policy"), F.col("user_id").cast("string").alias("target"), (F.col("k") % 3).alias("seed"), (F.col("k") % 10 != 0).alias("expandable"),
         solved.alias("solved"), F.least(F.lit(100), steps + 1).alias("n_expansions"), F.when(solved, steps).alias("solved_at"),
         F.when(solved, "solved").when(F.col("k") % 2 == 0, "budget").otherwise("frontier_empty").alias("stopped_because"), (F.col("k") * 3).alias("n_molecules"),
@@ -118,6 +119,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_of(table(spark, sf_dir, "events"))
+
+
 RUNS = """
 x AS (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k, CAST(floor(value) AS INT) AS steps, value < 60 AS ok FROM events),
 runs AS (SELECT event_type AS policy, CAST(user_id AS VARCHAR) AS target, k % 3 AS seed, k % 10 <> 0 AS expandable, ok AS solved, least(100, steps + 1) AS n_expansions,
