@@ -6,17 +6,15 @@ It is the only point of extension: rank, cap, filter and view belong to the envi
 
 from __future__ import annotations
 
-import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..storage import cut, release
+from ..storage import Log, cut, release
 from .frontier import select_view
 
 Policy = Callable[[DataFrame], DataFrame]
@@ -63,6 +61,42 @@ class Environment:
     scores: DataFrame | None = None
 
 
+@dataclass
+class State:
+    """What the searches know so far, as logs: a step appends what it found, and rewrites nothing.
+
+    ``seen`` has a row for each molecule and run when it is found, and another when it is found
+    nearer to the root; ``opened`` the decisions, ``edges`` the reactions, ``solved`` what they solve.
+    """
+
+    roots: DataFrame
+    seen: Log
+    opened: Log
+    edges: Log
+    solved: Log
+    scores: tuple[str, ...]
+    max_depth: int | None
+    step: int = 0
+
+    def molecules(self) -> DataFrame:
+        """(run, mol, id, depth, available, scores): each molecule once, at its least depth."""
+        fixed = [F.max(c).alias(c) for c in ("available", *self.scores)]
+        return self.seen.table().groupBy("run", "mol").agg(F.min("id").alias("id"), F.min("depth").alias("depth"), *fixed)
+
+    def settled(self) -> DataFrame:
+        return self.solved.table().select("run", "mol")
+
+    def live(self) -> DataFrame:
+        """(run, target) of the runs whose root is not solved."""
+        left = self.roots.where("not available").select("run", "mol")
+        return left.join(self.settled(), ["run", "mol"], "left_anti").select("run", F.col("mol").alias("target"))
+
+    def frontier(self) -> DataFrame:
+        front = self.molecules().where("not available").join(self.live(), "run")
+        front = front.join(self.opened.table().select("run", "mol"), ["run", "mol"], "left_anti").join(self.settled(), ["run", "mol"], "left_anti")
+        return front if self.max_depth is None else front.where(F.col("depth") < self.max_depth)
+
+
 def search(
     targets: DataFrame, env: Environment, policy: Policy, budget: int, max_depth: int | None = None, max_seconds: float | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -70,226 +104,223 @@ def search(
 
     A step expands one molecule in every run that is neither solved nor out of candidates;
     all runs advance in the same jobs.  New molecules get ids in order of reaction and place,
-    the root 0.  What a step solves is carried upwards from its new reactions alone: open
-    reactions keep the number of children that they lack.  A policy with ``needs_graph`` gets
-    the root and the sizes of each run's graph too.  ``runs`` tells why each run ended: solved,
+    the root 0.  What a step solves is carried upwards from its new reactions alone.  A policy
+    with ``needs_graph`` gets the root and the sizes of each run's graph too, one with ``state``
+    is shown the whole state before it picks.  ``runs`` tells why each run ended: solved,
     frontier_empty, budget, or time if ``max_seconds`` were over before a step.
     """
     # read from tables in each step, however they were made
-    free = cut(env.free.select("mol", F.lit(True).alias("available")).distinct(), "free")
-    options = cut(env.options.select("parent", "rxn", "child", "place"), "options")
-    scores = None if env.scores is None else cut(env.scores, "scores")
-
-    def known(df: DataFrame) -> DataFrame:
-        return df.join(free, "mol", "left").na.fill(False, ["available"])
-
-    mols = known(targets.select("run", "mol").distinct().withColumn("id", F.lit(0).cast("long")).withColumn("depth", F.lit(0)))
-    mols = cut(mols.withColumn("expanded", F.lit(False)).withColumn("solved", F.col("available")), "search")
-    edges, lacking, log, steps, late, began = [], None, None, 0, False, time.monotonic()
+    spark = targets.sparkSession
+    known = env.free.select("mol", F.lit(True).alias("available")).distinct()
+    if env.scores is not None:
+        known = known.join(env.scores, "mol", "full")
+    scores = tuple(c for c in known.columns if c not in ("mol", "available"))
+    known = cut(known.na.fill(False, ["available"]), "known")
+
+    def facts(df: DataFrame) -> DataFrame:
+        return df.join(known, "mol", "left").na.fill(False, ["available"])
+
+    options = facts(env.options.select("parent", "rxn", F.col("child").alias("mol"), "place")).withColumnRenamed("mol", "child")
+    options = cut(options, "options")
+    roots = cut(facts(targets.select("run", "mol").distinct()), "roots")
+    kind = lambda df, c: f"`{c}` {df.schema[c].dataType.simpleString()}"
+    run, mol, rxn, own = kind(roots, "run"), kind(roots, "mol"), kind(options, "rxn"), "".join(f", {kind(known, c)}" for c in scores)
+    named = lambda name: mol.replace("`mol`", f"`{name}`")
+    state = State(
+        roots, Log(spark, "seen", f"{run}, {mol}, id long, depth int, available boolean{own}"), Log(spark, "opened", f"{run}, {mol}, id long, depth int, frontier_size long"),
+        Log(spark, "edges", f"{run}, {rxn}, {named('parent')}, {named('child')}, {kind(options, 'place')}, depth int, available boolean{own}"),
+        Log(spark, "solved", f"{run}, {mol}"), scores, max_depth,
+    )
+    state.seen.append(roots.select("run", "mol", F.lit(0).cast("long").alias("id"), F.lit(0).alias("depth"), "available", *scores), -1)
+    steps, late, began = 0, False, time.monotonic()
     for step in range(budget):
         late = max_seconds is not None and time.monotonic() - began > max_seconds
         if late:
             break
-        live = mols.where("id = 0 and not solved").select("run", F.col("mol").alias("target"))
-        front = mols.where("not solved and not expanded and not available").join(live, "run")
-        if max_depth is not None:
-            front = front.where(F.col("depth") < max_depth)
-        if scores is not None:
-            front = front.join(scores, "mol", "left")
-        if getattr(policy, "needs_graph", False):
-            front = front.join(mols.groupBy("run").agg(F.count("*").alias("n_molecules"), F.count_if("solved").alias("n_solved")), "run")
-            made = reduce(DataFrame.unionByName, edges).groupBy("run").agg(F.count_distinct("rxn").alias("n_reactions")) if edges else None
-            front = front.withColumn("n_reactions", F.lit(0).cast("long")) if made is None else front.join(made, "run", "left").na.fill(0, ["n_reactions"])
-        front = cut(front, "frontier")
-        if front.isEmpty():
+        state.step = step
+        front = state.frontier()
+        if getattr(policy, "needs_graph", False) or getattr(policy, "state", False):
+            if getattr(policy, "needs_graph", False):
+                front = _with_sizes(front, state)
+            front = cut(front, "frontier")  # such a policy reads it more than once
+        if getattr(policy, "state", False):
+            policy.look(state)
+        sizes = front.groupBy("run").agg(F.count("*").alias("frontier_size"))
+        picks = policy(front).select("run", "mol").join(front.select("run", "mol", "id", "depth"), ["run", "mol"]).join(sizes, "run")
+        chosen = state.opened.append(picks.select("run", "mol", "id", "depth", "frontier_size"), step)
+        release(front)
+        if chosen.isEmpty():
             break
         steps += 1
-        chosen = cut(policy(front).select("run", "mol").join(front, ["run", "mol"]).select("run", "mol", "id", "depth"), "chosen")
         new = chosen.select("run", F.col("mol").alias("parent"), (F.col("depth") + 1).alias("depth")).join(options, "parent")
-        new = cut(new.select("run", "rxn", "parent", "child", "place", "depth"), "edges")
-        found = new.groupBy("run", F.col("child").alias("mol")).agg(F.min("depth").alias("d"), F.min(F.struct("rxn", "place")).alias("first"))
-        old = mols.join(found.select("run", "mol", "d"), ["run", "mol"], "left").join(chosen.select("run", "mol", F.lit(True).alias("picked")), ["run", "mol"], "left")
-        old = old.withColumn("depth", F.least("depth", F.coalesce("d", F.col("depth")))).withColumn("expanded", F.col("expanded") | F.coalesce("picked", F.lit(False))).drop("d", "picked")
-        top = mols.groupBy("run").agg(F.max("id").alias("top"))
-        fresh = found.join(mols.select("run", "mol"), ["run", "mol"], "left_anti").join(top, "run")
-        number = F.row_number().over(Window.partitionBy("run").orderBy("first", "mol"))
-        fresh = known(fresh.select("run", "mol", (F.col("top") + number).alias("id"), F.col("d").alias("depth")))
-        fresh = fresh.withColumn("expanded", F.lit(False)).withColumn("solved", F.col("available"))
-        both = cut(old.unionByName(fresh.select(*old.columns)), "search", mols)
-        edges.append(new.select("run", "rxn", "parent", "child").distinct())
-        lacking, solved_now = _carry_up(edges, lacking, both)
-        mols = both
-        if solved_now is not None:
-            now = both.join(solved_now.withColumn("now", F.lit(True)), ["run", "mol"], "left")
-            mols = cut(now.withColumn("solved", F.col("solved") | F.coalesce("now", F.lit(False))).drop("now"), "search", both)
-        sizes = front.groupBy("run").agg(F.count("*").alias("frontier_size"))
-        after = mols.where("id = 0").select("run", F.col("solved").alias("solved_after"))
-        n = new.groupBy("run").agg(F.count_distinct("rxn").alias("n_neighbours"))
-        row = chosen.withColumn("step", F.lit(step)).join(sizes, "run").join(n, "run", "left").join(after, "run").na.fill(0, ["n_neighbours"])
-        row = cut(row.select("run", "step", F.col("id").alias("node_id"), "mol", "depth", "frontier_size", "n_neighbours", "solved_after"), "decisions")
-        log = row if log is None else log.unionByName(row)
-        release(front)
-    if log is None:
-        kinds = ", ".join(f"{c} {mols.schema[c].dataType.simpleString()}" for c in ("run",)) + f", step int, node_id long, mol {mols.schema['mol'].dataType.simpleString()}"
-        log = mols.sparkSession.createDataFrame([], f"{kinds}, depth int, frontier_size long, n_neighbours long, solved_after boolean")
-    taken = log.groupBy("run").agg(F.count("*").alias("n_expansions"))
-    runs = mols.where("id = 0").select("run", "mol", "solved").join(taken, "run", "left").na.fill(0, ["n_expansions"])
+        new = state.edges.append(new.select(*state.edges.columns), step)
+        found = new.groupBy("run", F.col("child").alias("mol")).agg(
+            F.min("depth").alias("d"), F.min(F.struct("rxn", "place")).alias("first"), *(F.max(c).alias(c) for c in ("available", *scores))
+        )
+        before = state.molecules()
+        top = before.groupBy("run").agg(F.max("id").alias("top"))
+        old = before.join(found.select("run", "mol"), ["run", "mol"], "left_semi").select("run", "mol", F.col("id").alias("old"), F.col("depth").alias("was"))
+        met = found.join(old, ["run", "mol"], "left").where("old is null or d < was").join(top, "run")
+        number = F.row_number().over(Window.partitionBy("run").orderBy(F.col("old").isNotNull(), "first", "mol"))
+        state.seen.append(met.select("run", "mol", F.coalesce("old", F.col("top") + number).alias("id"), F.col("d").alias("depth"), "available", *scores), step)
+        _carry_up(state, new, step)
+    return _decisions(state), _molecules(state), _runs(state, budget, steps, late)
+
+
+def _with_sizes(front: DataFrame, state: State) -> DataFrame:
+    """The frontier with the sizes of each run's graph."""
+    done = state.settled().withColumn("done", F.lit(True))
+    mols = state.molecules().select("run", "mol", "available").join(done, ["run", "mol"], "left")
+    sizes = mols.groupBy("run").agg(F.count("*").alias("n_molecules"), F.count_if(F.col("available") | F.coalesce("done", F.lit(False))).alias("n_solved"))
+    made = state.edges.table().groupBy("run").agg(F.count_distinct("rxn").alias("n_reactions"))
+    return front.join(sizes, "run").join(made, "run", "left").na.fill(0, ["n_reactions"])
+
+
+def _carry_up(state: State, rows: DataFrame, step: int) -> None:
+    """Logs the molecules that new reactions solve, and what these solve in turn, level by level."""
+    level = 0
+    while True:
+        done = state.settled().select("run", F.col("mol").alias("child"), F.lit(True).alias("done"))
+        whole = rows.select("run", "rxn", "parent", "child", "available").join(done, ["run", "child"], "left")
+        whole = whole.groupBy("run", "rxn", "parent").agg(F.bool_and(F.col("available") | F.coalesce("done", F.lit(False))).alias("whole")).where("whole")
+        fired = whole.select("run", F.col("parent").alias("mol")).distinct().join(state.settled(), ["run", "mol"], "left_anti")
+        fired = state.solved.append(fired, step, level)
+        if fired.isEmpty():
+            return
+        # only reactions with a child that is new among the solved can follow
+        edges = state.edges.table()
+        touched = edges.join(fired.select("run", F.col("mol").alias("child")), ["run", "child"], "left_semi").select("run", "rxn").distinct()
+        rows, level = edges.join(touched, ["run", "rxn"], "left_semi"), level + 1
+
+
+def _decisions(state: State) -> DataFrame:
+    """A row for each decision, with what it found and whether the root was solved after it."""
+    n = state.edges.table().groupBy("run", "step").agg(F.count_distinct("rxn").alias("n_neighbours"))
+    won = state.solved.table().groupBy("run", "mol").agg(F.min("step").alias("won")).join(state.roots.select("run", "mol"), ["run", "mol"], "left_semi").select("run", "won")
+    rows = state.opened.table().join(n, ["run", "step"], "left").join(won, "run", "left").na.fill(0, ["n_neighbours"])
+    after = F.coalesce(F.col("won") <= F.col("step"), F.lit(False)).alias("solved_after")
+    return rows.select("run", "step", F.col("id").alias("node_id"), "mol", "depth", "frontier_size", "n_neighbours", after)
+
+
+def _molecules(state: State) -> DataFrame:
+    opened, done = (t.select("run", "mol", F.lit(True).alias(c)) for t, c in ((state.opened.table(), "expanded"), (state.settled(), "solved")))
+    rows = state.molecules().join(opened, ["run", "mol"], "left").join(done, ["run", "mol"], "left").na.fill(False, ["expanded", "solved"])
+    return rows.select("run", "mol", "available", "id", "depth", "expanded", (F.col("solved") | F.col("available")).alias("solved"))
+
+
+def _runs(state: State, budget: int, steps: int, late: bool) -> DataFrame:
+    taken = state.opened.table().groupBy("run").agg(F.count("*").alias("n_expansions"))
+    done = state.settled().withColumn("done", F.lit(True))
+    runs = state.roots.join(done, ["run", "mol"], "left").withColumn("solved", F.col("available") | F.coalesce("done", F.lit(False)))
+    runs = runs.select("run", "mol", "solved").join(taken, "run", "left").na.fill(0, ["n_expansions"])
     why = F.when(F.col("solved"), "solved").when(F.col("n_expansions") >= budget, "budget").when(F.lit(late) & (F.col("n_expansions") == steps), "time").otherwise("frontier_empty")
-    return log, mols, runs.withColumn("stopped_because", why)
+    return runs.withColumn("stopped_because", why)
 
 
-def _carry_up(edges: list[DataFrame], lacking: DataFrame | None, mols: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The open reactions with what they lack after the last edges, and the molecules that these solve, level by level."""
-    children = mols.select("run", F.col("mol").alias("child"), "solved")
-    made = edges[-1].join(children, ["run", "child"]).groupBy("run", "rxn", "parent").agg(F.count_if(~F.col("solved")).alias("lacks"))
-    lacking = cut(made, "lacking") if lacking is None else cut(lacking.unionByName(made), "lacking", lacking)
-    whole, solved = reduce(DataFrame.unionByName, edges), None
-    while True:
-        fired = cut(lacking.where("lacks = 0").select("run", F.col("parent").alias("mol")).distinct(), "fired")
-        if fired.isEmpty():
-            return lacking, solved
-        solved = fired if solved is None else solved.unionByName(fired)
-        met = whole.join(fired.withColumnRenamed("mol", "child"), ["run", "child"]).groupBy("run", "rxn").agg(F.count("*").alias("met"))
-        # a solved molecule's other reactions are closed
-        left = lacking.join(fired.withColumnRenamed("mol", "parent"), ["run", "parent"], "left_anti").join(met, ["run", "rxn"], "left")
-        lacking = cut(left.select("run", "rxn", "parent", (F.col("lacks") - F.coalesce("met", F.lit(0))).alias("lacks")), "lacking", lacking)
-
-
-class Tally:
-    """Visits and summed rewards of nodes."""
-
-    def __init__(self) -> None:
-        self.visits: dict = {}
-        self.reward: dict = {}
-
-    def credit(self, node, reward: float) -> None:
-        self.visits[node] = self.visits.get(node, 0) + 1
-        self.reward[node] = self.reward.get(node, 0.0) + reward
-
-    def bound(self, node, prior: float, above: int, c: float) -> float:
-        """Mean reward, or the prior of an unvisited node, plus the exploration term under a parent with ``above`` visits."""
-        n = self.visits.get(node, 0)
-        return (self.reward[node] / n if n else prior) + c * math.sqrt(math.log(above + 1) / (1 + n))
-
-
-class UCTRun:
-    """One run's search: what is known of the graph, and the statistics that steer it."""
-
-    def __init__(self, goal: pd.DataFrame, rows: pd.DataFrame, c: float, max_walk: int, max_depth: int | None):
-        self.c, self.max_walk, self.max_depth = c, max_walk, max_depth
-        self.near = dict(zip(rows["child"], rows["closeness"], strict=True))
-        self.free = set(rows.loc[rows["available"], "child"])
-        self.kids: dict = {}
-        self.makes: dict = {}
-        for r in rows.sort_values(["rxn", "child"]).itertuples():
-            if r.rxn not in self.kids:
-                self.makes.setdefault(r.parent, []).append(r.rxn)
-            self.kids.setdefault(r.rxn, []).append(r.child)
-        self.root = goal["mol"].iloc[0]
-        self.near.setdefault(self.root, float(goal["closeness"].iloc[0]))
-        self.ids, self.depth = {self.root: 0}, {self.root: 0}
-        self.opened: set = set()
-        self.done: set = {self.root} & self.free
-        self.users: dict = {}
-        self.mols, self.rxns = Tally(), Tally()
-        self.path: list[tuple[Tally, object]] = []
-        self.waiting = None
-
-    def worth(self, mol) -> float:
-        """A molecule taken alone: 1 if it is settled, else its closeness."""
-        return 1.0 if mol in self.free or mol in self.done else float(self.near.get(mol, 0.0))
-
-    def weakest(self, rxn) -> float:
-        return min(map(self.worth, self.kids[rxn]))
-
-    def outlook(self, mol) -> float:
-        """A molecule and one step below it: the best of its own worth and of its reactions' weakest precursors."""
-        known = self.makes.get(mol, []) if mol in self.opened else []
-        return max([self.worth(mol), *map(self.weakest, known)])
-
-    def frontier(self) -> list:
-        return [m for m in self.ids if m not in self.opened and m not in self.free and m not in self.done and (self.max_depth is None or self.depth[m] < self.max_depth)]
-
-    def first_best(self, nodes, tally: Tally, prior, above: int):
-        """The node of the largest bound, the first of equal ones; None of none."""
-        return max(nodes, key=lambda n: tally.bound(n, prior(n), above, self.c), default=None)
-
-    def walk(self, allowed: set):
-        """From the root by turns to the best reaction and its best unsettled precursor, until a molecule of the frontier."""
-        mol, met, self.path = self.root, {self.root}, []
-        for _ in range(self.max_walk):
-            self.path.append((self.mols, mol))
-            if mol in allowed:
-                return mol
-            rxn = self.first_best(self.makes.get(mol, []) if mol in self.opened else [], self.rxns, self.weakest, self.mols.visits.get(mol, 0))
-            if rxn is None:
-                return None
-            self.path.append((self.rxns, rxn))
-            left = [k for k in self.kids[rxn] if k not in self.free and k not in self.done and k not in met]
-            mol = self.first_best(left, self.mols, self.worth, self.rxns.visits.get(rxn, 0))
-            if mol is None:
-                return None
-            met.add(mol)
-        return None
-
-    def credit(self, reward: float) -> None:
-        for tally, node in self.path:
-            tally.credit(node, reward)
-
-    def choose(self, frontier: list):
-        """The next molecule; the reward of the last one is known only now, as it has been opened since."""
-        if self.waiting is not None:
-            self.credit(self.outlook(self.waiting))
-        mol = self.walk(set(frontier))
-        if mol is None:
-            # a dead end earns its path nothing; the closest molecule is opened instead
-            self.credit(0.0)
-            mol = max(frontier, key=lambda m: (self.worth(m), -self.ids[m]))
-            self.path = [(self.mols, mol)]
-        self.waiting = mol
-        return mol
-
-    def open(self, mol) -> None:
-        """Adds a molecule's reactions and settles what they settle, upwards from there."""
-        self.opened.add(mol)
-        for x in self.makes.get(mol, []):
-            for k in self.kids[x]:
-                self.ids.setdefault(k, len(self.ids))
-                self.depth[k] = min(self.depth.get(k, self.depth[mol] + 1), self.depth[mol] + 1)
-                self.users.setdefault(k, set()).add(mol)
-        todo = [mol]
-        while todo:
-            m = todo.pop()
-            settled = any(all(k in self.free or k in self.done for k in self.kids[x]) for x in self.makes.get(m, []))
-            if m in self.opened and m not in self.done and settled:
-                self.done.add(m)
-                todo += self.users.get(m, ())
-
-
-def uct_search(targets: DataFrame, reachable: DataFrame, budget: int, c: float = 1.0, max_walk: int = 64, max_depth: int | None = None) -> DataFrame:
-    """Decisions of UCT searches, one run per task.
-
-    Statistics of one step steer the next, so a run is sequential; runs are independent.
-    ``reachable`` has the part of the graph that a run may meet: run, rxn, parent, child,
-    available and closeness of the child.  ``targets`` has run, mol and closeness.  Ids may be
-    of any type.  The last decision of a run tells why it ended.
+class UCT:
+    """Upper confidence bounds over the graphs of all runs, as tables; ``closeness`` scores a molecule that is not settled.
+
+    Visits and rewards are sums over the log of credited paths, by run and molecule or reaction.  A
+    step works out, for all runs at once, each opened molecule's reaction of the largest bound, and that
+    reaction's open precursors by falling bound; no more rows a run than it has opened.  A run's row of
+    these pointers is then followed from its root, past molecules that the walk has met, to a molecule
+    of the frontier.  The walk earns what that molecule turns out to be worth once it is opened: the
+    better of its own closeness and its reactions' weakest precursors.  A walk that ends elsewhere
+    earns nothing, and the closest molecule of the frontier is opened instead, the first of equals.
+
+    The bound is mean reward (an unvisited reaction's weakest precursor, an unvisited molecule's
+    closeness) + c * sqrt(ln(1 + visits above) / (1 + visits)), to nine digits; of equal ones the
+    smaller id is taken.
     """
 
-    def play(key: tuple, goal: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        state, out, why = UCTRun(goal, rows, c, max_walk, max_depth), [], "budget"
-        for step in range(budget):
-            frontier = state.frontier()
-            if state.root in state.done or not frontier:
-                why = "solved" if state.root in state.done else "frontier_empty"
-                break
-            mol = state.choose(frontier)
-            state.open(mol)
-            out.append([key[0], step, state.ids[mol], mol, state.depth[mol], len(frontier), state.root in state.done, None])
-        if out:
-            out[-1][-1] = "solved" if state.root in state.done else why
-        return pd.DataFrame(out, columns=["run", "step", "node_id", "mol", "depth", "frontier_size", "solved_after", "stopped_because"])
-
-    kind = lambda c: targets.schema[c].dataType.simpleString()
-    schema = f"run {kind('run')}, step int, node_id long, mol {kind('mol')}, depth int, frontier_size int, solved_after boolean, stopped_because string"
-    targets, reachable = cut(targets, "uct"), cut(reachable, "uct")
-    return targets.groupBy("run").cogroup(reachable.groupBy("run")).applyInPandas(play, schema)
+    state = True
+
+    def __init__(self, c: float = 1.0, max_walk: int = 64):
+        self.c, self.max_walk = c, max_walk
+        self.known: State | None = None
+        self.credits: Log | None = None
+        self.walks: DataFrame | None = None
+
+    def look(self, state: State) -> None:
+        if self.known is not state:
+            run, mol, rxn = (f"`{c}` {log.schema[c].dataType.simpleString()}" for log, c in ((state.seen, "run"), (state.seen, "mol"), (state.edges, "rxn")))
+            self.known, self.walks, self.credits = state, None, Log(state.roots.sparkSession, "credits", f"{run}, {mol}, {rxn}, reward double")
+
+    def _worth(self) -> DataFrame:
+        """(run, mol, w, closed, front): what a molecule counts, whether it is settled, whether it may be opened."""
+        state = self.known
+        opened, done = (t.select("run", "mol", F.lit(True).alias(c)) for t, c in ((state.opened.table(), "opened"), (state.settled(), "done")))
+        rows = state.molecules().join(opened, ["run", "mol"], "left").join(done, ["run", "mol"], "left")
+        closed = F.col("available") | F.coalesce("done", F.lit(False))
+        front = ~closed & F.col("opened").isNull() & (F.lit(True) if state.max_depth is None else F.col("depth") < state.max_depth)
+        return rows.select("run", "mol", F.when(closed, 1.0).otherwise(F.coalesce(F.col("closeness").cast("double"), F.lit(0.0))).alias("w"), closed.alias("closed"), front.alias("front"))
+
+    def _credit(self, worth: DataFrame) -> None:
+        """Logs what the last step's walks have earned, now that their molecules are opened."""
+        new = self.known.edges.part(self.known.step - 1).select("run", "rxn", "parent", F.col("child").alias("mol"))
+        weakest = new.join(worth.select("run", "mol", "w"), ["run", "mol"]).groupBy("run", "rxn", "parent").agg(F.min("w").alias("w"))
+        below = weakest.groupBy("run", F.col("parent").alias("mol")).agg(F.max("w").alias("below"))
+        earned = self.walks.join(worth.select("run", "mol", "w"), ["run", "mol"]).join(below, ["run", "mol"], "left").withColumn("reward", F.greatest("w", F.coalesce("below", F.lit(0.0))))
+        kinds = self.credits.schema
+        node = lambda mol, rxn, reward: F.struct(mol.cast(kinds["mol"].dataType).alias("mol"), rxn.cast(kinds["rxn"].dataType).alias("rxn"), reward.alias("reward"))
+        none, on_path = F.lit(None), F.when(F.col("found"), F.col("reward")).otherwise(0.0)
+        instead = F.filter(F.array(node(F.col("mol"), none, F.col("reward"))), lambda _: ~F.col("found"))
+        rows = F.concat(F.transform("mols", lambda m: node(m, none, on_path)), F.transform("rxns", lambda x: node(none, x, on_path)), instead)
+        self.credits.append(earned.select("run", F.explode(rows).alias("n")).select("run", "n.mol", "n.rxn", "n.reward"), self.known.step - 1)
+
+    def _bound(self, n: Column, total: Column, prior: Column, above: Column) -> Column:
+        n = F.coalesce(n, F.lit(0))
+        return F.round(F.when(n > 0, total / n).otherwise(prior) + self.c * F.sqrt(F.ln(F.coalesce(above, F.lit(0)) + 1.0) / (1 + n)), 9)
+
+    def _pointers(self, worth: DataFrame, live: DataFrame) -> DataFrame:
+        """(run, next): for each opened molecule its best reaction, and that one's open precursors, best first."""
+        credits = self.credits.table()
+        sums = [F.count("*").alias("n"), F.sum("reward").alias("total")]
+        mols = credits.where("mol is not null").groupBy("run", "mol").agg(*sums)
+        rxns = credits.where("rxn is not null").groupBy("run", "rxn").agg(*sums)
+        edges = self.known.edges.table().select("run", "rxn", "parent", F.col("child").alias("mol")).join(live, "run", "left_semi")
+        open_ = F.collect_set(F.when(~F.col("closed"), F.struct("mol", "w", "front")))
+        own = edges.join(worth, ["run", "mol"]).groupBy("run", "rxn", "parent").agg(F.min("w").alias("weakest"), open_.alias("open"))
+        own = own.join(rxns, ["run", "rxn"], "left").join(mols.select("run", F.col("mol").alias("parent"), F.col("n").alias("above")), ["run", "parent"], "left")
+        order = F.struct((-self._bound(F.col("n"), F.col("total"), F.col("weakest"), F.col("above"))).alias("b"), "rxn")
+        best = own.groupBy("run", "parent").agg(F.min_by(F.struct("rxn", "open", "n"), order).alias("x"))
+        kids = best.select("run", "parent", "x.rxn", F.col("x.n").alias("above"), F.explode_outer("x.open").alias("k")).select("run", "parent", "rxn", "above", "k.*")
+        kids = kids.join(mols, ["run", "mol"], "left")
+        entry = F.struct((-self._bound(F.col("n"), F.col("total"), F.col("w"), F.col("above"))).alias("b"), "mol", "front")
+        lists = kids.groupBy("run", "parent", "rxn").agg(F.sort_array(F.collect_list(F.when(F.col("mol").isNotNull(), entry))).alias("kids"))
+        # a row for each molecule that the run has opened
+        return lists.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("parent", F.struct("rxn", "kids")))).alias("next"))
+
+    def _follow(self, mol: Column, front: Column, to: Column, kinds: StructType) -> Column:
+        """The walk along the pointers: where it ended (``at``), if on the frontier (``found``), and the molecules and reactions on it."""
+        none = lambda c: F.array().cast(f"array<{kinds[c].dataType.simpleString()}>")
+
+        def state(at, front, stop, found, mols, rxns):
+            return F.struct(at.alias("at"), front.alias("front"), stop.alias("stop"), found.alias("found"), mols.alias("mols"), rxns.alias("rxns"))
+
+        def step(s, _):
+            node = F.try_element_at(to, s["at"])
+            mols, yes, no = F.array_append(s["mols"], s["at"]), F.lit(True), F.lit(False)
+            met = F.get(F.filter(node["kids"], lambda k: ~F.array_contains(mols, k["mol"])), F.lit(0))
+            rxns = F.array_append(s["rxns"], node["rxn"])
+            return (
+                F.when(s["stop"], s).when(s["front"], state(s["at"], s["front"], yes, yes, mols, s["rxns"])).when(node.isNull(), state(s["at"], s["front"], yes, no, mols, s["rxns"]))
+                .when(met.isNull(), state(s["at"], s["front"], yes, no, mols, rxns)).otherwise(state(met["mol"], met["front"], no, no, mols, rxns))
+            )
+
+        # a walk meets no molecule twice, so it ends after those that are opened
+        steps = F.sequence(F.lit(1), F.lit(min(self.max_walk, self.known.step + 2)))
+        return F.aggregate(steps, state(mol, front, F.lit(False), F.lit(False), none("mol"), none("rxn")), step)
+
+    def __call__(self, frontier: DataFrame) -> DataFrame:
+        worth, state = self._worth(), self.known
+        if self.walks is not None:
+            self._credit(worth)
+        live = frontier.select("run").distinct()
+        closest = F.max_by("mol", F.struct(F.coalesce(F.col("closeness").cast("double"), F.lit(0.0)).alias("w"), (-F.col("id")).alias("i")))
+        instead = frontier.groupBy("run").agg(closest.alias("instead"))
+        starts = state.roots.select("run", "mol").join(instead, "run").join(worth.select("run", "mol", "front"), ["run", "mol"])
+        walked = starts.join(self._pointers(worth, live), "run", "left").select("run", "instead", self._follow(F.col("mol"), F.col("front"), F.col("next"), self.credits.schema).alias("w"))
+        out = walked.select("run", F.when(F.col("w.found"), F.col("w.at")).otherwise(F.col("instead")).alias("mol"), "w.found", "w.mols", "w.rxns")
+        self.walks = cut(out, "walks", self.walks)
+        return self.walks.select("run", "mol")

@@ -432,7 +432,44 @@ def _environment(spark, d):
     return P.Environment(rxns.select("parent", "rxn", "child", "place"), B.molecules(spark, d).where("available").select("mol"))
 
 
-def _searches(budget: int) -> str:
+def _first_in(k: int) -> list[str]:
+    """p: breadth-first picks."""
+    return [f"p{k} AS MATERIALIZED (SELECT run, arg_min({{'mol': mol, 'id': id, 'depth': depth}}, {{'a': depth, 'b': id}}) AS p, count(*) AS n FROM f{k} GROUP BY run)"]
+
+
+def _uct_picks(k: int) -> list[str]:
+    """p: picks by upper confidence bounds; u worth of molecules, c credits, v visits, b best reactions, q their open precursors, y walks, w what they end in."""
+    j = k - 1
+    visits = "count(*) AS n, sum(reward) AS t"
+    bound = "round(CASE WHEN coalesce({0}.n, 0) > 0 THEN {0}.t / {0}.n ELSE {1} END + sqrt(ln(coalesce({2}, 0) + 1.0) / (1 + coalesce({0}.n, 0))), 9)"
+    credit = "c1 AS (SELECT 0::BIGINT AS run, 0::BIGINT AS mol, 0::BIGINT AS rxn, 0.0::DOUBLE AS reward FROM e WHERE false)"
+    if j:
+        credit = (
+            f"rw{k} AS MATERIALIZED (SELECT w.*, greatest(u.w, coalesce(below, 0)) AS reward FROM w{j} w JOIN u{k} u ON u.run = w.run AND u.mol = w.mol LEFT JOIN (SELECT run, parent, max(low) AS below FROM "
+            f"(SELECT n.run, n.rxn, n.parent, min(u.w) AS low FROM n{j} n JOIN u{k} u ON u.run = n.run AND u.mol = n.child GROUP BY ALL) GROUP BY ALL) z ON z.run = w.run AND z.parent = w.mol),\n"
+            f"c{k} AS MATERIALIZED (SELECT * FROM c{j} UNION ALL SELECT run, unnest(mols), NULL, CASE WHEN found THEN reward ELSE 0 END FROM rw{k} UNION ALL "
+            f"SELECT run, NULL, unnest(rxns), CASE WHEN found THEN reward ELSE 0 END FROM rw{k} UNION ALL SELECT run, mol, NULL, reward FROM rw{k} WHERE NOT found)"
+        )
+    return [
+        f"u{k} AS MATERIALIZED (SELECT m.run, m.mol, CASE WHEN s.mol IS NOT NULL OR a.mol IS NOT NULL THEN 1.0 ELSE near END AS w, s.mol IS NOT NULL OR a.mol IS NOT NULL AS closed, "
+        f"NOT expanded AND s.mol IS NULL AND a.mol IS NULL AS front FROM m{j} m LEFT JOIN s{j} s ON s.run = m.run AND s.mol = m.mol LEFT JOIN a ON a.mol = m.mol JOIN nr ON nr.mol = m.mol)",
+        credit,
+        f"vm{k} AS MATERIALIZED (SELECT run, mol, {visits} FROM c{k} WHERE mol IS NOT NULL GROUP BY ALL)",
+        f"vx{k} AS MATERIALIZED (SELECT run, rxn, {visits} FROM c{k} WHERE rxn IS NOT NULL GROUP BY ALL)",
+        f"b{k} AS MATERIALIZED (SELECT r.run, r.parent, arg_min({{'r': r.rxn, 'n': v.n}}, {{'b': -{bound.format('v', 'low', 'g.n')}, 'r': r.rxn}}) AS o FROM (SELECT x.run, x.rxn, x.parent, min(u.w) AS low FROM x{j} x "
+        f"JOIN u{k} u ON u.run = x.run AND u.mol = x.child GROUP BY ALL) r LEFT JOIN vx{k} v ON v.run = r.run AND v.rxn = r.rxn LEFT JOIN vm{k} g ON g.run = r.run AND g.mol = r.parent GROUP BY r.run, r.parent)",
+        f"q{k} AS MATERIALIZED (SELECT b.run, b.parent, b.o.r AS rxn, list_sort(list({{'b': -{bound.format('v', 'u.w', 'b.o.n')}, 'c': u.mol, 'f': u.front}}) FILTER (WHERE NOT closed)) AS kids FROM b{k} b "
+        f"JOIN x{j} x ON x.run = b.run AND x.rxn = b.o.r JOIN u{k} u ON u.run = x.run AND u.mol = x.child LEFT JOIN vm{k} v ON v.run = u.run AND v.mol = u.mol GROUP BY ALL)",
+        f"y{k} AS (SELECT u.run, u.mol AS spot, front, CAST([] AS BIGINT[]) AS mols, CAST([] AS BIGINT[]) AS rxns, 0 AS st FROM u{k} u WHERE u.run = u.mol AND u.run IN (SELECT run FROM f{k}) UNION ALL "
+        f"SELECT run, CASE WHEN st = 0 THEN nx.c ELSE spot END, CASE WHEN st = 0 THEN nx.f ELSE front END, list_append(mols, spot), rxns, st FROM (SELECT y.run, y.spot, y.front, y.mols, nx, "
+        f"CASE WHEN y.front OR rxn IS NULL THEN rxns ELSE list_append(rxns, rxn) END AS rxns, CASE WHEN y.front THEN 1 WHEN rxn IS NULL OR nx IS NULL THEN 2 ELSE 0 END AS st FROM (SELECT y.*, q.rxn, "
+        f"list_filter(q.kids, lambda z: NOT list_contains(list_append(y.mols, y.spot), z.c))[1] AS nx FROM y{k} y LEFT JOIN q{k} q ON q.run = y.run AND q.parent = y.spot WHERE y.st = 0) y) y)",
+        f"w{k} AS MATERIALIZED (SELECT y.run, CASE WHEN st = 1 THEN spot ELSE i.mol END AS mol, st = 1 AS found, mols, rxns FROM y{k} y JOIN (SELECT f.run, arg_max(f.mol, {{'w': near, 'i': -f.id}}) AS mol FROM f{k} f JOIN nr ON nr.mol = f.mol GROUP BY f.run) i USING (run) WHERE st > 0)",
+        f"p{k} AS MATERIALIZED (SELECT f.run, {{'mol': f.mol, 'id': f.id, 'depth': f.depth}} AS p, i.n FROM f{k} f JOIN w{k} w ON w.run = f.run AND w.mol = f.mol JOIN (SELECT run, count(*) AS n FROM f{k} GROUP BY run) i ON i.run = f.run)",
+    ]
+
+
+def _searches(budget: int, picks=_first_in) -> str:
     """The searches in SQL, step by step for all runs: m known molecules, s solved ones, x reactions, d decisions."""
     ctes = [
         "m0 AS MATERIALIZED (SELECT p_partkey AS run, p_partkey AS mol, 0::BIGINT AS id, 0 AS depth, false AS expanded FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT child FROM e))",
@@ -443,7 +480,7 @@ def _searches(budget: int) -> str:
         j = k - 1
         ctes += [
             f"f{k} AS (SELECT m.* FROM m{j} m LEFT JOIN s{j} s ON s.run = m.run AND s.mol = m.mol LEFT JOIN s{j} r ON r.run = m.run AND r.mol = m.run WHERE NOT expanded AND s.mol IS NULL AND r.mol IS NULL AND m.mol NOT IN (SELECT mol FROM a))",
-            f"p{k} AS MATERIALIZED (SELECT run, arg_min({{'mol': mol, 'id': id, 'depth': depth}}, {{'a': depth, 'b': id}}) AS p, count(*) AS n FROM f{k} GROUP BY run)",
+            *picks(k),
             f"n{k} AS MATERIALIZED (SELECT run, rxn, parent, child, p.depth + 1 AS depth FROM p{k} JOIN e ON parent = p.mol)",
             f"x{k} AS MATERIALIZED (SELECT * FROM x{j} UNION ALL SELECT run, rxn, parent, child FROM n{k})",
             f"g{k} AS (SELECT run, child AS mol, min(depth) AS d, min({{'r': rxn, 'c': child}}) AS first FROM n{k} GROUP BY run, child)",
@@ -462,7 +499,8 @@ def _searches(budget: int) -> str:
             f"d{k} AS (SELECT CAST(p{k}.run AS VARCHAR) AS run, {j} AS step, p.id AS node_id, p.mol AS mol, p.depth AS depth, n AS frontier_size, "
             f"(SELECT count(DISTINCT rxn) FROM n{k} WHERE n{k}.run = p{k}.run) AS n_neighbours, EXISTS (SELECT 1 FROM s{k} WHERE s{k}.run = p{k}.run AND s{k}.mol = p{k}.run) AS solved_after FROM p{k})",
         ]
-    return f"WITH {B.GRAPH},\n" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(1, budget + 1))
+    head = f"WITH RECURSIVE {B.GRAPH},\nnr AS MATERIALIZED (SELECT p_partkey AS mol, 1 - CAST(p_size AS DOUBLE) / 50 AS near FROM part),\n"
+    return head + ",\n".join(ctes) + "\n" + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(1, budget + 1))
 
 
 @query(_searches(4))
@@ -473,28 +511,15 @@ def q22_search_breadth_first(spark, d):
     return log
 
 
-@query()
+@query(_searches(8, _uct_picks))
 def q22_search_uct(spark, d):
-    """UCT searches with a budget of 8 over the reactions that so many expansions can reach from each such part."""
-    budget = 8
-    mols, rxns = B.molecules(spark, d), B.reactions(spark, d)
-    near = B.table(spark, d, "part").select(F.col("p_partkey").alias("child"), (1 - F.col("p_size") / 50).alias("closeness"))
-    targets = mols.where("not available").join(rxns.select("run", F.col("child").alias("mol")), ["run", "mol"], "left_anti")
-    targets = G.cut(targets.select(F.col("mol").cast("string").alias("run"), "mol").join(near.withColumnRenamed("child", "mol"), "mol"), "targets")
-    # available molecules are never opened
-    closed = mols.where("not available").select("mol")
-    step, seen, found = targets.select("run", "mol"), targets.select("run", "mol"), None
-    for _ in range(budget):
-        rows = step.withColumnRenamed("mol", "parent").join(rxns.drop("run"), "parent").select("run", "rxn", "parent", "child")
-        rows = G.cut(rows, "found")
-        found = rows if found is None else found.unionByName(rows)
-        children = rows.select("run", F.col("child").alias("mol")).distinct().join(closed, "mol", "left_semi")
-        step = G.cut(children.join(seen, ["run", "mol"], "left_anti").select("run", "mol"), "step")
-        if step.isEmpty():
-            break
-        seen = seen.unionByName(step)
-    reach = found.distinct().join(mols.select(F.col("mol").alias("child"), "available"), "child").join(near, "child")
-    return P.uct_search(targets, reach, budget=budget)
+    """UCT searches with a budget of 8 from every part that no reaction needs."""
+    mols = B.molecules(spark, d)
+    near = B.table(spark, d, "part").select(F.col("p_partkey").alias("mol"), (1 - F.col("p_size") / 50).alias("closeness"))
+    targets = mols.where("not available").join(B.reactions(spark, d).select(F.col("child").alias("mol")), "mol", "left_anti")
+    env = _environment(spark, d)
+    log, _, _ = P.search(targets.select(F.col("mol").cast("string").alias("run"), "mol"), P.Environment(env.options, env.free, near), P.UCT(), budget=8)
+    return log
 
 
 @query(

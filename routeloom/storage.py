@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,3 +53,27 @@ def release(table: DataFrame) -> None:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
         table._routeloom_path = None
+
+
+class Log:
+    """A table that a loop only adds to: a folder of Parquet, partitioned by step and level, read in one scan."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str):
+        self.spark, self.schema = spark, StructType.fromDDL(schema)
+        self.columns, self.whole = self.schema.fieldNames(), StructType.fromDDL(f"{schema}, step int, level int")
+        self.path, self.parts = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def append(self, rows: DataFrame, step: int, level: int = 0) -> DataFrame:
+        """Writes the rows of a step and returns them, read back."""
+        rows.select(*self.columns).write.parquet(f"{self.path}/step={step}/level={level}")
+        self.parts += 1
+        return self.part(step, level)
+
+    def part(self, step: int, level: int = 0) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/step={step}/level={level}")
+
+    def table(self) -> DataFrame:
+        """All rows so far, with their step and level."""
+        if not self.parts:
+            return self.spark.createDataFrame([], self.whole)
+        return self.spark.read.schema(self.whole).parquet(self.path)

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from routeloom.operators import graph as G
-from routeloom.operators.policy import Environment, breadth_first, depth_first, search, uct_search
+from routeloom.operators.policy import Environment, breadth_first, depth_first, search, UCT
 
 M, X = "run string, mol long, available boolean", "run string, rxn long, parent long, child long, times int"
 SINK = 90
@@ -218,18 +218,21 @@ def test_enumeration_of_random_graphs_with_text_ids(spark, seed):
 UCT_RULES = [(1, [2, 3]), (1, [4]), (2, [90]), (3, [90]), (4, [5]), (5, [4])]
 
 
-def uct_tables(spark, rules, near):
-    rows = [("a", f"x{i}", f"m{p}", f"m{c}", c == 90, near.get(c, 0.5)) for i, (p, cs) in enumerate(rules) for c in cs]
-    reach = spark.createDataFrame(rows, "run string, rxn string, parent string, child string, available boolean, closeness double")
-    return spark.createDataFrame([("a", "m1", 0.1)], "run string, mol string, closeness double"), reach
+def uct_run(spark, rules, near, budget, **more):
+    """(log by step, why the run ended) of a search by UCT from m1 with text ids; m90 is available."""
+    options = spark.createDataFrame([(f"m{p}", f"x{i}", f"m{c}", j) for i, (p, cs) in enumerate(rules) for j, c in enumerate(cs)], "parent string, rxn string, child string, place int")
+    mols = {m for p, cs in rules for m in (p, *cs)}
+    scores = spark.createDataFrame([(f"m{m}", near.get(m, 0.1 if m == 1 else 0.5)) for m in mols], "mol string, closeness double")
+    env = Environment(options, spark.createDataFrame([("m90",)], "mol string"), scores)
+    log, _, runs = search(spark.createDataFrame([("a", "m1")], "run string, mol string"), env, UCT(**more), budget=budget)
+    return log.orderBy("step").collect(), runs.first().stopped_because
 
 
 def test_uct_solves_and_keeps_its_budget(spark):
-    goal, reach = uct_tables(spark, UCT_RULES, {90: 1.0})
-    out = uct_search(goal, reach, budget=10).orderBy("step").collect()
-    assert out[-1].solved_after and len({r.mol for r in out}) == len(out) <= 10 and out[-1].stopped_because == "solved"
-    short = uct_search(goal, reach, budget=1).collect()
-    assert len(short) == 1 and short[0].stopped_because == "budget"
+    out, why = uct_run(spark, UCT_RULES, {90: 1.0}, 10)
+    assert out[-1].solved_after and len({r.mol for r in out}) == len(out) <= 10 and why == "solved"
+    short, why = uct_run(spark, UCT_RULES, {90: 1.0}, 1)
+    assert len(short) == 1 and why == "budget"
 
 
 def test_uct_by_hand(spark):
@@ -241,13 +244,11 @@ def test_uct_by_hand(spark):
     0.9 + sqrt(ln 2) beats m3's 0.95 + sqrt(ln 2 / 2).
     """
     near = {2: 0.9, 3: 0.95, 4: 0.2, 6: 0.0, 90: 1.0}
-    goal, reach = uct_tables(spark, [(1, [2, 3]), (1, [4]), (3, [6]), (2, [90])], near)
-    out = uct_search(goal, reach, budget=3).orderBy("step").collect()
+    out, _ = uct_run(spark, [(1, [2, 3]), (1, [4]), (3, [6]), (2, [90])], near, 3)
     assert [r.mol for r in out] == ["m1", "m3", "m2"] and not out[-1].solved_after
 
 
 def test_uct_dead_end_takes_the_closest(spark):
     """m2 has no reaction: the walk through it ends, and the closest molecule left is opened."""
-    goal, reach = uct_tables(spark, [(1, [2]), (1, [3]), (3, [90])], {2: 0.9, 3: 0.1, 90: 1.0})
-    out = uct_search(goal, reach, budget=5).orderBy("step").collect()
-    assert [r.mol for r in out] == ["m1", "m2", "m3"] and out[-1].stopped_because == "solved"
+    out, why = uct_run(spark, [(1, [2]), (1, [3]), (3, [90])], {2: 0.9, 3: 0.1, 90: 1.0}, 5)
+    assert [r.mol for r in out] == ["m1", "m2", "m3"] and why == "solved"
