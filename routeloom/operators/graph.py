@@ -8,16 +8,12 @@ Loops end when nothing changes, and cut their lineage at each step.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
-from heapq import heappop, heappush
-from itertools import count
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut, release
+from ..storage import Log, cut, release
 
 KEYS = ["run", "rxn", "parent"]
 
@@ -194,110 +190,171 @@ def mine_edges(applied: DataFrame, free: DataFrame) -> DataFrame:
     return rest.select("substrate", kept.alias("precursors")).where(F.size("precursors") > 0).distinct()
 
 
-class RunGraph:
-    """One run's reactions by molecule, and which of them can be made whole."""
-
-    def __init__(self, mols: pd.DataFrame, rows: pd.DataFrame):
-        self.free = set(mols.loc[mols["available"], "mol"])
-        self.kids: dict = {}
-        self.parent: dict = {}
-        for r in rows.sort_values(["rxn", "child"]).itertuples():
-            self.kids.setdefault(r.rxn, []).extend([r.child] * int(r.times))
-            self.parent[r.rxn] = r.parent
-        self.cost, self.best = self.settle()
-        self.options: dict = {}
-        for x, own in self.kids.items():
-            if all(c in self.cost for c in own):
-                self.options.setdefault(self.parent[x], []).append(x)
-
-    def settle(self) -> tuple[dict, dict]:
-        """Tree costs in order of their size, and the reaction that gives each: a molecule's cost is final when it is taken."""
-        users: dict = {}
-        for x, own in self.kids.items():
-            for c in set(own):
-                users.setdefault(c, []).append(x)
-        lacks = {x: len(set(own)) for x, own in self.kids.items()}
-        cost, best, order = {}, {}, count()
-        heap = [(0, next(order), m, None) for m in sorted(self.free)]
-        while heap:
-            c, _, m, x = heappop(heap)
-            if m in cost:
-                continue
-            cost[m] = c
-            if x is not None:
-                best[m] = x
-            for user in users.get(m, []):
-                lacks[user] -= 1
-                if not lacks[user]:
-                    heappush(heap, (1 + sum(cost[k] for k in self.kids[user]), next(order), self.parent[user], user))
-        return cost, best
-
-    def cheapest(self, root) -> list:
-        """The reactions of the best tree below a molecule, each once."""
-        out, todo = {}, [root]
-        while todo:
-            x = self.best.get(todo.pop())
-            if x is not None and x not in out:
-                out[x] = True
-                todo += self.kids[x]
-        return list(out)
-
-    def routes(self, root, most: int, steps: int) -> Iterator[list]:
-        """Choices of a reaction for each open molecule, depth first with an agenda; a choice point is one entry of a stack.
-
-        An agenda is a chain (molecule, molecules above it, rest), shared between choice points,
-        so memory is the depth of the search and no lists are multiplied.
-        """
-        stack = [((), (root, frozenset(), None))]
-        while stack and most and steps:
-            steps -= 1
-            taken, agenda = stack.pop()
-            while agenda and agenda[0] in self.free:
-                agenda = agenda[2]
-            if not agenda:
-                most -= 1
-                route = []
-                while taken:
-                    route.append(taken[0])
-                    taken = taken[1]
-                yield route[::-1]
-                continue
-            mol, above, rest = agenda
-            if mol in above:
-                continue
-            inside = above | {mol}
-            for x in reversed(self.options.get(mol, [])):
-                after = rest
-                for child in reversed(self.kids[x]):
-                    after = (child, inside, after)
-                stack.append(((x, taken), after))
-
-
-def enumerate_routes(molecules: DataFrame, reactions: DataFrame, roots: DataFrame, max_routes: int = 256, max_steps: int = 2_000_000) -> DataFrame:
-    """(run, root, route, reactions): solved routes below each root, in order of reaction ids.
-
-    A choice for every child has no relational form, so the rows of one run (one search's
-    graph, not the corpus) are handled together in a task.  Cycles are cut along the path.
-    ``max_routes`` and ``max_steps`` bound the listing by definition of the operator; a solved
-    root whose listing comes back empty has its cheapest route instead.  Ids may be of any type.
+def enumerate_routes(molecules: DataFrame, reactions: DataFrame, roots: DataFrame, max_routes: int = 256, max_contexts: int = 1000) -> DataFrame:
+    """(run, root, route, reactions): solved routes below each root, in order of reaction ids, depth first.
+
+    All roots share one graph.  First the routes of each molecule are counted, level by level up
+    from what is available: a sum over its reactions of the products over their children, a repeated
+    child for each place, up to ``max_routes``, which bounds the listing by definition.  Then route i of
+    a root is read off the counts: its number falls in the range of one reaction, and what is left is
+    split into numbers of the children, the first slowest.  A level of all routes of all roots is a join.
+
+    Cycles are cut along the path, so below a molecule that can reach one the routes depend on the
+    molecules above.  Such molecules are counted once for each set of cycle members above them; a run
+    where one molecule has more than ``max_contexts`` of these lists each such root's cheapest route instead.
+    """
+    kids = reactions.select(*KEYS, "child", F.col("times").cast("int").alias("times"))
+    free = cut(molecules.where("available").select("run", "mol").distinct(), "free")
+    roots = cut(roots.select("run", "mol").distinct(), "roots")
+    # reactions of available molecules are never taken
+    edges = cut(kids.join(free.withColumnRenamed("mol", "parent"), ["run", "parent"], "left_anti"), "edges")
+    none = F.array().cast(f"array<{roots.schema['mol'].dataType.simpleString()}>")
+    plain = edges.withColumn("pctx", none).withColumn("cctx", none)
+    own = edges.select("run", F.col("child").alias("mol")).unionByName(roots).distinct()
+    ends = own.join(edges.select("run", F.col("parent").alias("mol")).distinct(), ["run", "mol"], "left_anti").join(free, ["run", "mol"], "left_anti")
+    leaves = free.select("run", "mol", none.alias("ctx"), F.lit(1).cast("long").alias("n")).unionByName(ends.select("run", "mol", none.alias("ctx"), F.lit(0).cast("long").alias("n")))
+    counts = _count_routes(plain, leaves, max_routes)
+    cyclic = cut(edges.select("run", F.col("parent").alias("mol")).distinct().join(counts.table().select("run", "mol"), ["run", "mol"], "left_anti"), "cyclic")
+    lost = None
+    if not cyclic.isEmpty():
+        below, lost = _unroll(edges, cyclic, roots, counts, max_contexts)
+        known = plain.join(cyclic.withColumnRenamed("mol", "parent"), ["run", "parent"], "left_anti")
+        plain = cut(known.unionByName(below), "edges")
+        counts = _count_routes(plain, leaves.unionByName(_dead_ends(plain, leaves)), max_routes)
+    out = _unrank(_ranges(plain, counts.table(), max_routes), roots, counts.table())
+    if lost is None:
+        return out
+    # what was given up has its cheapest route
+    given = cut(lost.join(roots, ["run", "mol"]), "given-up")
+    steps = closure(given, shortest_cost(molecules, reactions), reactions).groupBy("run", "root").agg(F.sort_array(F.collect_list(F.struct("level", "rxn"))).alias("s"))
+    cheapest = steps.select("run", "root", F.lit(0).alias("route"), F.col("s.rxn").alias("reactions"))
+    return out.join(given.withColumnRenamed("mol", "root"), ["run", "root"], "left_anti").unionByName(cheapest)
+
+
+NODE = ["run", "mol", "ctx"]
+
+
+def _count_routes(edges: DataFrame, leaves: DataFrame, most: int) -> Log:
+    """(run, mol, ctx, n) of all nodes whose children can be counted, from the leaves up; n is ``most`` at the most.
+
+    ``edges`` has run, rxn, parent, pctx, child, cctx, times.
     """
+    kinds = ", ".join(f"`{c}` {leaves.schema[c].dataType.simpleString()}" for c in NODE)
+    counts, level = Log(edges.sparkSession, "counts", f"{kinds}, n long"), 0
+    counts.append(leaves, 0)
+    while True:
+        done = counts.table().select(*NODE, "n")
+        rest = edges.join(done.select("run", F.col("mol").alias("parent"), F.col("ctx").alias("pctx")), ["run", "parent", "pctx"], "left_anti")
+        if level:
+            # only nodes with a child that the last level counted can follow
+            last = counts.part(level).select("run", F.col("mol").alias("child"), F.col("ctx").alias("cctx"))
+            rest = rest.join(rest.join(last, ["run", "child", "cctx"], "left_semi").select("run", "parent", "pctx").distinct(), ["run", "parent", "pctx"], "left_semi")
+        known = rest.join(done.select("run", F.col("mol").alias("child"), F.col("ctx").alias("cctx"), "n"), ["run", "child", "cctx"], "left")
+        times = F.flatten(F.collect_list(F.array_repeat("n", F.col("times"))))
+        each = known.groupBy("run", "parent", "pctx", "rxn").agg(F.count_if(F.col("n").isNull()).alias("lacks"), _product(times, most).alias("n"))
+        whole = each.groupBy("run", F.col("parent").alias("mol"), F.col("pctx").alias("ctx")).agg(F.sum("lacks").alias("lacks"), F.least(F.sum("n"), F.lit(most)).alias("n"))
+        level += 1
+        if counts.append(whole.where("lacks = 0"), level).isEmpty():
+            return counts
 
-    def run(key: tuple, mols: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        graph, out = RunGraph(mols, rows), []
-        for root in mols.loc[mols["root"], "mol"]:
-            found = list(graph.routes(root, max_routes, max_steps)) if root in graph.cost else []
-            if not found and root in graph.best:
-                found = [graph.cheapest(root)]
-            out += [(key[0], root, i, r) for i, r in enumerate(found)]
-        return pd.DataFrame(out, columns=["run", "root", "route", "reactions"])
-
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    schema = f"run {kind(molecules, 'run')}, root {kind(molecules, 'mol')}, route int, reactions array<{kind(reactions, 'rxn')}>"
-    marked = roots.select("run", "mol", F.lit(True).alias("root")).distinct()
-    mols = molecules.select("run", "mol", "available").join(marked, ["run", "mol"], "left").na.fill(False, ["root", "available"])
-    # both sides are written, as their columns may stem from one table
-    mols, rows = cut(mols, "enumerate"), cut(reactions.select(*KEYS, "child", "times"), "enumerate")
-    return mols.groupBy("run").cogroup(rows.groupBy("run")).applyInPandas(run, schema)
+
+def _product(numbers: Column, most: int) -> Column:
+    """The product of an array's numbers, at most ``most`` if none of them is 0."""
+    least = F.aggregate(numbers, F.lit(1).cast("long"), lambda a, n: F.least(a * n, F.lit(most).cast("long")))
+    return F.when(F.exists(numbers, lambda n: n == 0), F.lit(0).cast("long")).otherwise(least)
+
+
+def _dead_ends(edges: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Nodes that no reaction is left to."""
+    nodes = edges.select("run", F.col("child").alias("mol"), F.col("cctx").alias("ctx")).distinct()
+    nodes = nodes.join(edges.select("run", F.col("parent").alias("mol"), F.col("pctx").alias("ctx")).distinct(), NODE, "left_anti")
+    return nodes.join(leaves.select(*NODE), NODE, "left_anti").withColumn("n", F.lit(0).cast("long"))
+
+
+def _unroll(edges: DataFrame, cyclic: DataFrame, roots: DataFrame, counts: Log, most: int) -> tuple[DataFrame, DataFrame]:
+    """The edges of the molecules that can reach a cycle, once for each set of cycle members above; and those of runs that have too many sets."""
+    inner = cut(edges.join(cyclic.withColumnRenamed("mol", "parent"), ["run", "parent"], "left_semi"), "inner")
+    core = cyclic  # what no cycle leads to is on none
+    links = inner.select("run", "parent", F.col("child").alias("mol")).distinct().join(cyclic, ["run", "mol"], "left_semi")
+    while True:
+        led = links.join(core.withColumnRenamed("mol", "parent"), ["run", "parent"], "left_semi").select("run", "mol").distinct()
+        smaller = cut(core.join(led, ["run", "mol"], "left_semi"), "core")
+        if smaller.count() == core.count():
+            break
+        core = smaller
+    # an option with a child that cannot be made is none: a count of 0 already, or not solvable at all
+    bad = inner.join(counts.table().where("n = 0").select("run", F.col("mol").alias("child")), ["run", "child"], "left_semi").select("run", "rxn").distinct()
+    inner = inner.join(bad, ["run", "rxn"], "left_anti")
+    marks = cyclic.select("run", F.col("mol").alias("child"), F.lit(True).alias("again"))
+    inner = inner.join(marks, ["run", "child"], "left").join(core.select("run", F.col("mol").alias("parent"), F.lit(True).alias("core")), ["run", "parent"], "left")
+    inner = cut(inner.na.fill(False, ["again", "core"]), "inner")
+    none = F.array().cast(f"array<{cyclic.schema['mol'].dataType.simpleString()}>")
+    kinds = ", ".join(f"`{c}` {cyclic.schema[c].dataType.simpleString()}" for c in ("run", "mol")) + f", ctx array<{cyclic.schema['mol'].dataType.simpleString()}>"
+    nodes, level = Log(edges.sparkSession, "contexts", kinds), 0
+    step = nodes.append(roots.join(cyclic, ["run", "mol"], "left_semi").withColumn("ctx", none), 0)
+    lost = cyclic.limit(0)
+
+    def options(at: DataFrame) -> DataFrame:
+        """The edges of nodes: an option that leads back to the path is dropped whole."""
+        rows = at.select("run", F.col("mol").alias("parent"), F.col("ctx").alias("pctx")).join(inner, ["run", "parent"])
+        back = F.array_contains("pctx", F.col("child")) | (F.col("child") == F.col("parent"))
+        cut_off = rows.where(back).select("run", "parent", "pctx", "rxn").distinct()
+        above = F.when(F.col("core"), F.array_sort(F.array_union("pctx", F.array("parent")))).otherwise(F.col("pctx"))
+        rows = rows.join(cut_off, ["run", "parent", "pctx", "rxn"], "left_anti").withColumn("cctx", F.when(F.col("again"), above).otherwise(none))
+        return rows.select(*KEYS, "pctx", "child", "cctx", "times", "again")
+
+    while not step.isEmpty():
+        level += 1
+        below = options(step).where("again").select("run", F.col("child").alias("mol"), F.col("cctx").alias("ctx")).distinct()
+        step = nodes.append(below.join(nodes.table().select(*NODE), NODE, "left_anti"), level)
+        full = nodes.table().groupBy("run", "mol").agg(F.count("*").alias("k")).where(F.col("k") > most).select("run").distinct()
+        lost = cyclic.join(full, "run", "left_semi")
+        step = step.join(full, "run", "left_anti")
+    kept = nodes.table().select(*NODE).join(lost.select("run").distinct(), "run", "left_anti")
+    return cut(options(kept).drop("again"), "unrolled"), lost
+
+
+def _ranges(edges: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """(run, mol, ctx, options): each node's reactions with the numbers of routes that they stand for, and their children's shares of these.
+
+    A reaction that begins beyond ``most`` is never asked for, so a node has no more than that.
+    """
+    known = edges.join(counts.select("run", F.col("mol").alias("child"), F.col("ctx").alias("cctx"), "n"), ["run", "child", "cctx"])
+    places = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("child", "cctx", "n", "times"))), lambda k: F.array_repeat(F.struct(k["child"].alias("mol"), k["cctx"].alias("ctx"), k["n"].alias("n")), k["times"])))
+    each = known.groupBy("run", "parent", "pctx", "rxn").agg(places.alias("kids"))
+    each = each.withColumn("n", _product(F.col("kids.n"), most)).where("n > 0")
+    order = Window.partitionBy("run", "parent", "pctx").orderBy("rxn")
+    begin = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = each.withColumn("lo", begin).where(F.col("lo") < most)
+    # a child's number is what is left over the product of those after it
+    share = F.transform("kids", lambda k, i: F.struct(k["mol"].alias("mol"), k["ctx"].alias("ctx"), k["n"].alias("n"), _product(F.slice(F.col("kids.n"), i + 2, F.size("kids")), most).alias("after")))
+    option = F.struct("lo", (F.col("lo") + F.col("n")).alias("hi"), "rxn", share.alias("kids"))
+    return cut(kept.select("run", F.col("parent").alias("mol"), F.col("pctx").alias("ctx"), option.alias("o")).groupBy(*NODE).agg(F.collect_list("o").alias("options")), "ranges")
+
+
+def _unrank(ranges: DataFrame, roots: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, root, route, reactions) of all routes of the roots: level by level the reaction of each node's number, and numbers for its children."""
+    spark, mol = ranges.sparkSession, ranges.schema["mol"].dataType.simpleString()
+    rxn = ranges.schema["options"].dataType.elementType["rxn"].dataType.simpleString()
+    first = roots.join(counts.where(F.size("ctx") == 0), ["run", "mol"]).where("n > 0")
+    first = first.select("run", F.col("mol").alias("root"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("route"), "mol", "ctx")
+    kinds = f"run {ranges.schema['run'].dataType.simpleString()}, root {mol}, route long, place array<int>"
+    todo, taken = Log(spark, "numbers", f"{kinds}, mol {mol}, ctx array<{mol}>, i long"), Log(spark, "taken", f"{kinds}, rxn {rxn}, rest array<struct<mol: {mol}, ctx: array<{mol}>, i: long>>")
+    start = todo.append(first.withColumn("place", F.array().cast("array<int>")).withColumn("i", F.col("route")), 0)
+    step, level = start, 0
+    while True:
+        met = F.filter("options", lambda o: (o["lo"] <= F.col("i")) & (F.col("i") < o["hi"]))[0]
+        chosen = step.join(ranges, NODE).withColumn("o", met).withColumn("r", F.col("i") - F.col("o.lo"))
+        rest = F.transform("o.kids", lambda k: F.struct(k["mol"].alias("mol"), k["ctx"].alias("ctx"), (F.floor(F.col("r") / k["after"]).cast("long") % k["n"]).alias("i")))
+        chosen = taken.append(chosen.select("run", "root", "route", "place", "o.rxn", rest.alias("rest")), level)
+        if chosen.isEmpty():
+            break
+        level += 1
+        below = chosen.select("run", "root", "route", "place", F.posexplode("rest").alias("at", "k"))
+        step = below.select("run", "root", "route", F.array_append("place", F.col("at")).alias("place"), "k.*")
+    lists = taken.table().groupBy("run", "root", "route").agg(F.sort_array(F.collect_list(F.struct("place", "rxn"))).alias("s"))
+    out = start.select("run", "root", "route").join(lists, ["run", "root", "route"], "left")
+    return out.select("run", "root", F.col("route").cast("int").alias("route"), F.coalesce(F.col("s.rxn"), F.array().cast(f"array<{rxn}>")).alias("reactions"))
 
 
 def route_records(steps: DataFrame, reactions: DataFrame, molecules: DataFrame, ec: DataFrame) -> DataFrame:

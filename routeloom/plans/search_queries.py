@@ -383,25 +383,13 @@ def q18_route_trees(spark, d):
   FROM rt WHERE len(todo) = 0 QUALIFY row_number() OVER (PARTITION BY root ORDER BY rt.route) <= 256"""
 )
 def q19_route_enumeration(spark, d):
-    """All optimal routes, up to 256 each, of the parts that have one; a part's graph is its run."""
+    """All optimal routes, up to 256 each, of the parts that have one."""
     mols, rxns = B.molecules(spark, d), B.reactions(spark, d)
     cost, chosen = G.and_or_depth(mols, rxns)
-    step = cost.where("cost >= 1").select(F.col("mol").cast("string").alias("run"), "mol")
-    used, options = None, rxns.join(chosen.select("rxn"), "rxn", "left_semi").drop("run")
-    roots = step = G.cut(step, "roots")
-    seen = step
-    while not step.isEmpty():
-        rows = step.withColumnRenamed("mol", "parent").join(options, "parent").select("run", "rxn", "parent", "child", "times")
-        rows = G.cut(rows, "rows")
-        used = rows if used is None else used.unionByName(rows)
-        step = G.cut(rows.select("run", F.col("child").alias("mol")).distinct().join(seen, ["run", "mol"], "left_anti"), "step")
-        seen = seen.unionByName(step)
-    if used is None:
-        used = roots.withColumnRenamed("mol", "parent").join(options, "parent").select("run", "rxn", "parent", "child", "times")
-    used = G.cut(used.distinct(), "used")
-    own = used.select("run", F.col("child").alias("mol")).unionByName(used.select("run", F.col("parent").alias("mol"))).distinct()
-    out = G.enumerate_routes(own.join(mols.select("mol", "available"), "mol"), used, roots)
-    return out.withColumn("reactions", F.array_join(F.transform("reactions", lambda x: x.cast("string")), ","))
+    best = rxns.join(chosen.select("rxn"), "rxn", "left_semi").select("run", "rxn", "parent", "child", "times")
+    out = G.enumerate_routes(mols, best, cost.where("cost >= 1").select("run", "mol"))
+    listed = F.array_join(F.transform("reactions", lambda x: x.cast("string")), ",").alias("reactions")
+    return out.select(F.col("root").cast("string").alias("run"), "root", "route", listed)
 
 
 @query("SELECT DISTINCT l_orderkey AS substrate, array_to_string(s, ',') AS precursors FROM (SELECT l_orderkey, list_sort(list_filter(list(DISTINCT l_suppkey), lambda x: x <> l_orderkey)) AS s FROM lineitem WHERE l_orderkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 10) GROUP BY l_orderkey, l_returnflag) WHERE len(s) > 0")

@@ -106,7 +106,6 @@ def test_enumeration_and_its_fallback(spark):
     root = spark.createDataFrame([("r", 1)], "run string, mol long")
     assert [r.reactions for r in G.enumerate_routes(mols, rxns, root).orderBy("route").collect()] == [[0, 1, 3], [0, 2, 3]]
     assert len(G.enumerate_routes(mols, rxns, root, max_routes=1).collect()) == 1
-    assert sorted(G.enumerate_routes(mols, rxns, root, max_steps=0).first().reactions) == [0, 1, 3]
 
 
 def test_route_trees_are_optimal_and_draws_differ(spark):
@@ -215,6 +214,27 @@ def test_enumeration_of_random_graphs_with_text_ids(spark, seed):
     assert got == {m: w for m, w in want.items() if w}
 
 
+@pytest.mark.parametrize("seed", range(6, 12))
+def test_enumeration_with_many_cycles_and_repeated_children(spark, seed):
+    rng = random.Random(seed)
+    rules = [(rng.randrange(1, 6), [rng.randrange(0, 7) for _ in range(rng.randint(1, 3))]) for _ in range(9)]
+    mols, rxns = tables(spark, [0, 6], rules)
+    got = {}
+    for r in G.enumerate_routes(mols, rxns, mols.select("run", "mol"), max_routes=7).orderBy("root", "route").collect():
+        got.setdefault(r.root, []).append(r.reactions)
+    want = {m: plain_routes([0, 6], rules, m)[:7] for m in {m for p, cs in rules for m in (p, *cs)} | {0, 6}}
+    assert got == {m: w for m, w in want.items() if w}
+
+
+def test_enumeration_gives_the_cheapest_where_cycles_have_too_many_ways(spark):
+    rules = [(1, [2]), (2, [1]), (1, [0]), (2, [0]), (3, [0]), (3, [0, 0])]
+    mols, rxns = tables(spark, [0], rules)
+    got = {}
+    for r in G.enumerate_routes(mols, rxns, mols.select("run", "mol"), max_contexts=0).collect():
+        got.setdefault(r.root, []).append(r.reactions)
+    assert got == {0: [[]], 1: [[2]], 2: [[3]], 3: [[4], [5]]}
+
+
 UCT_RULES = [(1, [2, 3]), (1, [4]), (2, [90]), (3, [90]), (4, [5]), (5, [4])]
 
 
