@@ -1,25 +1,32 @@
-"""Removal of repeated multi-line passages by chunks of two neighbouring lines.
-
-A text is a sequence of lines.  Every two lines that follow one another are a chunk, so
-a chunk depends on nothing around it, and whatever two texts share in two lines or more
-is a run of shared chunks, whole to its ends.  Chunks that occur more than once in the
-table are removed wherever they are not the first occurrence (by document id and place),
-after their bytes have been compared with those of the first; each line that goes still
-stands at an earlier place.  Single lines are not judged.  Lines without a letter or a
-digit make no chunk: they belong to the chunk that they stand in.
-
-Only hashes of chunks are grouped; the bytes of a first occurrence travel to the
+"""Removal of repeated multi-line passages by content-defined chunks of lines.
+
+A text is a sequence of lines.  A window rolls over the hashes of its lines, two at a time;
+lines without a letter or a digit take no place in the window, they belong to the passage
+that they stand in.  Windows that occur more than once in the table mark passages: a
+boundary lies where repeated windows begin or end, which depends on nothing around the
+passage, so whatever two texts share in two lines or more is found whole, to its ends, wherever it
+stands.  Single lines are not judged.
+
+Of each repeated window the first occurrence (by document id and place) stays whole, line by line:
+its lines are removed as part of no other window.  The lines of later occurrences go, after their
+bytes have been compared with those of the first, unless they stay as part of some first one.  So every
+repeated passage of two lines still stands in the output, and a later occurrence loses at least
+one of its lines, but where both are part of first occurrences.
+
+Only hashes of windows are grouped; the bytes of a first occurrence travel to the
 documents that would lose a copy and are compared there.
 
 Defined results: a null text stays null; a text without repeats stays as it is, to
-the byte; rows that repeat an id, or have none, count as one document; chunks whose hashes agree but
+the byte; rows that repeat an id, or have none, count as one document; windows whose hashes agree but
 not their bytes stay; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -34,20 +41,40 @@ WORDED = re.compile(rb"[0-9A-Za-z\x80-\xff]")
 
 
 def chunks(text: str) -> list[tuple[int, int, int, bytes]]:
-    """Start, end (exclusive) and lines of each two neighbouring lines of the text's bytes, with a hash of its bytes."""
-    data = text.encode()
-    begun, out, at = [], [], 0
-    for number, line in enumerate(data.split(b"\n")):
+    """Start, end (exclusive) and lines of the window at each line of the text's bytes, with a hash of its lines' hashes."""
+    begun, digests, out, at = [], [], [], 0
+    for number, line in enumerate(text.encode().split(b"\n")):
+        digests.append(xxhash.xxh128_digest(line))
         if WORDED.search(line):
             begun.append((at, number))
             if len(begun) >= LEAST_LINES:
                 start, first = begun[-LEAST_LINES]
-                end = at + len(line)
-                out.append((start, end, number + 1 - first, xxhash.xxh128_digest(data[start:end])))
+                out.append((start, at + len(line), number + 1 - first, xxhash.xxh128_digest(b"".join(digests[first:]))))
         at += len(line) + 1
     return out
 
 
+def without(text: str, later: list[tuple[int, int]], first: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """The text without the lines of the ``later`` spans that no ``first`` span has; how many of these spans lost a line, and the lines."""
+    lines, at, starts = text.encode().split(b"\n"), 0, []
+    for line in lines:
+        starts.append(at)
+        at += len(line) + 1
+    marks = [0] * (len(lines) + 1)  # by line: +1 where a first span begins, -1 after it
+    within = lambda span: (bisect_left(starts, span[0]), bisect_left(starts, span[1]))
+    for span in first:
+        a, b = within(span)
+        marks[a] += 1
+        marks[b] -= 1
+    kept = [n > 0 for n in accumulate(marks[:-1])]
+    gone, chunks_gone = set(), 0
+    for span in later:
+        own = [i for i in range(*within(span)) if not kept[i]]
+        chunks_gone += bool(own)
+        gone.update(own)
+    return b"\n".join(line for i, line in enumerate(lines) if i not in gone).decode(), chunks_gone, len(gone)
+
+
 CHUNK_SCHEMA = "doc_id long, start int, end int, lines int, hash binary"
 
 
@@ -97,11 +124,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     first = cut(first, "line-chunks-first")
     copies = found.join(first, "hash").where(place != F.col("first"))
     kept = _texts(first.select("first.*", "hash"), docs)
-    gone = (
-        copies.join(kept, "hash")
-        .groupBy(F.col("doc_id").alias("__line_id"))
-        .agg(F.collect_list(F.struct("start", "end", "bytes")).alias("__line_gone"))
-    )
+    # a document's later occurrences with the bytes to compare, and its first ones, which stay
+    spans = copies.join(kept, "hash").select("doc_id", "start", "end", "bytes").unionByName(first.select("first.doc_id", "first.start", "first.end", F.lit(None).cast("binary").alias("bytes")))
+    gone = spans.groupBy(F.col("doc_id").alias("__line_id")).agg(F.collect_list(F.struct("start", "end", "bytes")).alias("__line_gone"))
     at, n = columns.index("text"), len(columns)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:n]] + [f"{x} int" for x in names])
 
@@ -110,20 +135,11 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             texts, n_chunks, n_lines = [], [], []
             for text, parts in zip(batch.column(at), batch.column(n).to_pylist(), strict=True):
                 data, removed, lines = text.as_py(), 0, 0
-                if parts:
-                    raw, keep, end = data.encode(), [], 0
-                    for p in sorted(parts, key=lambda p: p["start"]):
-                        if raw[p["start"] : p["end"]] == p["bytes"] and end <= p["end"]:
-                            keep.append(raw[end : p["start"]])
-                            # chunks overlap; a line counts once
-                            lines += raw.count(b"\n", max(end, p["start"]), p["end"]) + 1
-                            end = p["end"] + 1  # with the line end after it
-                            removed += 1
-                    if removed:
-                        keep.append(raw[end:])
-                        data = b"".join(keep).decode()
-                        if end > len(raw):  # the last line went: so does the line end before it
-                            data = data.removesuffix("\n")
+                if parts and data:
+                    raw = data.encode()
+                    later = [(p["start"], p["end"]) for p in parts if p["bytes"] is not None and raw[p["start"] : p["end"]] == p["bytes"]]
+                    if later:
+                        data, removed, lines = without(data, later, [(p["start"], p["end"]) for p in parts if p["bytes"] is None])
                 texts.append(data)
                 n_chunks.append(removed)
                 n_lines.append(lines)
