@@ -45,8 +45,8 @@ from .common import cut, release, small_batches
 K = 10
 RANGE_DOCS = 4096
 RANGE_POSTINGS = 1 << 18
-LEAF = 64
-FANOUT = 8
+LEAF = 256
+FANOUT = 4
 SLOTS = 1 << 20
 QUERY_TERMS = 200_000
 CHUNK = 1 << 20

@@ -11,7 +11,8 @@ hashes are kept with the fingerprint; larger sets are made again, only for texts
 share a shard.  Groups are the components of these links; the smallest id stays.
 
 Defined results: texts without words are copies of one another; a text with fewer words
-than a shingle is one shingle; rows that repeat an id stay or go together; an empty table
+than a shingle is one shingle; rows that repeat an id stay or go together; rows
+without an id belong to no group and stay; an empty table
 gives no rows; extra columns pass through.
 """
 
