@@ -140,29 +140,3 @@ def first_wins(tables: list[DataFrame], key: str, order: str) -> DataFrame:
         both = t if both is None else both.unionByName(t)
     first = F.row_number().over(Window.partitionBy(key).orderBy("_table", order))
     return both.withColumn("_n", first).where("_n = 1").drop("_n", "_table")
-
-
-def on_route(trees: DataFrame):
-    """The policy that replays routes: of the frontier's molecules on the run's tree, the one of highest remaining cost.
-
-    ``trees`` has run, mol and cost; a run without one in its frontier gets no pick and stops.
-    """
-
-    def pick(frontier: DataFrame) -> DataFrame:
-        seen = frontier.join(trees.select("run", "mol", "cost"), ["run", "mol"])
-        return seen.groupBy("run").agg(F.min_by("mol", F.struct((-F.col("cost")).alias("c"), "id")).alias("mol"))
-
-    return pick
-
-
-def replay_outcomes(trees: DataFrame, molecules: DataFrame, max_depth: int) -> DataFrame:
-    """(run, outcome) after a replay: complete if every molecule of the tree was expanded, else why not.
-
-    ``molecules`` is the search's table: run, mol, depth, expanded.
-    """
-    joined = trees.join(molecules.select("run", "mol", "depth", "expanded"), ["run", "mol"], "left")
-    out = joined.groupBy("run").agg(
-        F.bool_and(F.coalesce("expanded", F.lit(False))).alias("done"), F.bool_or(F.coalesce(~F.col("expanded") & (F.col("depth") >= max_depth), F.lit(False))).alias("deep"),
-        F.bool_or(F.coalesce(~F.col("expanded"), F.lit(False))).alias("waiting"),
-    )
-    return out.select("run", F.when(F.col("done"), "complete").when(F.col("deep"), "depth cap").when(F.col("waiting"), "out of budget").otherwise("thread lost").alias("outcome"))

@@ -242,39 +242,3 @@ class ModelPolicy:
         for more in self.calls[1:]:
             out = out.unionByName(more)
         return out
-
-
-class ReplayPolicy:
-    """Replays routes and keeps the (system, user, assistant) pairs that they teach.
-
-    ``trees`` has run, mol and cost. Of the view's molecules on the run's tree the one of the
-    highest remaining cost, the first of equals, is the answer; a run whose view has none gives
-    no pair, and its pick is the best on the whole frontier.
-    """
-
-    needs_graph = True
-
-    def __init__(self, trees: DataFrame, tools: ToolSurface = ToolSurface(), top_k: int = 20, order: str = "stratified", seed: int = 0):
-        self.trees, self.tools, self.top_k, self.order, self.seed = trees.select("run", "mol", "cost"), tools, top_k, order, seed
-        self.pairs: list[DataFrame] = []
-
-    def __call__(self, frontier: DataFrame) -> DataFrame:
-        marked = cut(frontier.join(self.trees, ["run", "mol"], "left"), "replay")
-        view = cut(select_view(frontier, self.order, self.top_k, self.seed), "view")
-        seen = view.join(marked.where("cost is not null").select("run", "id", "mol", "cost"), ["run", "id"])
-        first = F.struct((-F.col("cost")).alias("c"), "place")
-        best = seen.groupBy("run").agg(F.min_by("place", first).alias("place"), F.min_by("mol", first).alias("mol"), F.max("cost").alias("depth"), F.count("*").cast("int").alias("n_on_route"))
-        texts = prompts_of(frontier, view, self.order, self.tools).join(best, "run")
-        self.pairs.append(cut(texts.select(
-            "run", F.lit(len(self.pairs)).alias("step"), F.lit(system_prompt(self.tools)).alias("system"), F.col("prompt").alias("user"),
-            F.format_string('{"choice": %d}', F.col("place") - 1).alias("assistant"), F.col("depth").cast("int").alias("depth"), "n_on_route",
-            F.col("n_candidates").alias("n_shown"), F.col("n_frontier").cast("int").alias("n_frontier"),
-        ), "pairs"))
-        hidden = marked.where("cost is not null").groupBy("run").agg(F.min_by("mol", F.struct((-F.col("cost")).alias("c"), "id")).alias("other"))
-        return hidden.join(best.select("run", "mol"), "run", "left").select("run", F.coalesce("mol", "other").alias("mol"))
-
-    def all_pairs(self) -> DataFrame:
-        out = self.pairs[0]
-        for more in self.pairs[1:]:
-            out = out.unionByName(more)
-        return out

@@ -12,6 +12,7 @@ from ..operators import models as L
 from ..operators import policy as P
 from ..operators.enrich import annotate_rules
 from ..operators.prefilter import applicable, children, distinct_children
+from ..operators.replay import replay
 from ..operators.similarity import nearest, set_tanimoto
 from ..storage import settled
 from . import bindings as B
@@ -358,13 +359,13 @@ def q17_best_product(spark, d):
     return out.select("mol", F.round("cumulative", 9).alias("cumulative"), F.round("per_step", 9).alias("per_step"), "edges")
 
 
-@query(
-    f"""{B.SOLVED.replace("WITH", "WITH RECURSIVE", 1)},\n{B.CHOSEN},
+TREES = f"""{B.SOLVED.replace("WITH", "WITH RECURSIVE", 1)},\n{B.CHOSEN},
   tg AS (SELECT mol AS target FROM {B.LAST} WHERE cost BETWEEN 2 AND 8),
   pk AS MATERIALIZED (SELECT target, parent AS mol, arg_min(rxn, {{'k': md5('3:all:0:' || target || ':' || parent || ':' || rxn), 'r': rxn}}) AS rxn FROM tg, c GROUP BY target, parent),
-  tr AS (SELECT target, target AS mol FROM tg UNION SELECT tr.target, e.child FROM tr JOIN pk ON pk.target = tr.target AND pk.mol = tr.mol JOIN e ON e.rxn = pk.rxn WHERE e.child NOT IN (SELECT mol FROM a))
-  SELECT target, tr.mol, k.cost FROM tr JOIN {B.LAST} k ON k.mol = tr.mol"""
-)
+  tr AS (SELECT target, target AS mol FROM tg UNION SELECT tr.target, e.child FROM tr JOIN pk ON pk.target = tr.target AND pk.mol = tr.mol JOIN e ON e.rxn = pk.rxn WHERE e.child NOT IN (SELECT mol FROM a))"""
+
+
+@query(f"{TREES} SELECT target, tr.mol, k.cost FROM tr JOIN {B.LAST} k ON k.mol = tr.mol")
 def q18_route_trees(spark, d):
     """A seeded optimal route tree for each part of depth 2 to 8."""
     mols, rxns = B.molecules(spark, d), B.reactions(spark, d)
@@ -532,36 +533,48 @@ def q22_search_model(spark, d):
     return log
 
 
-def _replayed(spark, d, policy):
-    """(trees, decisions, molecules, policy) of replays of the seeded route trees of depth 2 to 8."""
+def _replay(spark, d, top_k: int = 20):
+    """Replays of the seeded route trees of depth 2 to 8."""
     mols, rxns = B.molecules(spark, d), B.reactions(spark, d)
     cost, chosen = G.and_or_depth(mols, rxns)
-    targets = cost.where("cost between 2 and 8").select("run", "mol")
-    trees = G.route_trees(targets, cost, chosen, rxns, mols, seed=3).select(F.col("target").cast("string").alias("run"), "mol", "cost")
-    trees = G.cut(trees, "trees")
-    made = policy(trees)
-    # a replay may open each molecule of its tree
-    budget = trees.groupBy("run").count().agg(F.max("count")).first()[0] or 0
-    log, found, _ = P.search(targets.select(F.col("mol").cast("string").alias("run"), "mol"), _environment(spark, d), made, budget=budget, max_depth=8)
-    return trees, log, found, made
-
-
-@query(f"{B.SOLVED} SELECT 'complete' AS outcome, count(*) AS n FROM {B.LAST} WHERE cost BETWEEN 2 AND 8 HAVING count(*) > 0")
+    trees = G.route_trees(cost.where("cost between 2 and 8").select("run", "mol"), cost, chosen, rxns, mols, seed=3)
+    return replay(trees.select(F.col("target").cast("string").alias("run"), "mol", "cost"), _environment(spark, d), top_k=top_k)
+
+
+#: The replays step by step: a row for each decision, with the molecules opened so far and their depths then.
+REPLAYED = f"""{TREES},
+  tc AS MATERIALIZED (SELECT target, tr.mol, k.cost FROM tr JOIN {B.LAST} k ON k.mol = tr.mol),
+  sz AS (SELECT target, count(*) AS size FROM tc GROUP BY target),
+  rp AS (SELECT target AS root, [target] AS opened, [0] AS depths, CAST(NULL AS VARCHAR) AS outcome, CAST([] AS BIGINT[]) AS choices, CAST(0 AS BIGINT) AS fronts FROM tg UNION ALL
+    SELECT root, CASE WHEN p IS NULL THEN opened ELSE list_append(opened, p.m) END, CASE WHEN p IS NULL THEN depths ELSE list_append(depths, p.d) END,
+      CASE WHEN p IS NULL THEN CASE WHEN hidden THEN 'truncated away' ELSE 'thread lost' END WHEN p.d >= 7 THEN 'depth cap' WHEN len(opened) + 1 = size THEN 'complete' END,
+      CASE WHEN p IS NULL THEN choices ELSE list_append(choices, p.s - 1) END, fronts + CASE WHEN p IS NULL THEN 0 ELSE nf END
+    FROM (SELECT root, any_value(opened) AS opened, any_value(depths) AS depths, any_value(choices) AS choices, any_value(fronts) AS fronts, any_value(size) AS size, any_value(hidden) AS hidden, any_value(nf) AS nf,
+        arg_min({{'m': mol, 'd': depth, 's': shown}}, {{'c': -cost, 'm': mol}}) FILTER (WHERE cost IS NOT NULL) AS p
+      FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY md5(n || ':' || root || '/' || len(opened) || ':' || id), id) AS shown
+        FROM (SELECT *, count(*) OVER (PARTITION BY root) AS n
+          FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY turn, depth) AS place, bool_or(cost IS NOT NULL) OVER (PARTITION BY root) AS hidden, count(*) OVER (PARTITION BY root) AS nf
+            FROM (SELECT f.*, tc.cost, sz.size, row_number() OVER (PARTITION BY f.root, f.depth ORDER BY f.id) AS turn
+              FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY first, mol) AS id
+                FROM (SELECT u.root, any_value(opened) AS opened, any_value(depths) AS depths, any_value(choices) AS choices, any_value(fronts) AS fronts, e.child AS mol, CAST(min(depths[i]) + 1 AS INT) AS depth, min({{'o': i, 'r': e.rxn, 'c': e.child}}) AS first
+                  FROM (SELECT *, unnest(range(1, len(opened) + 1)) AS i FROM rp WHERE outcome IS NULL) u JOIN e ON e.parent = opened[i] WHERE e.child <> u.root GROUP BY u.root, e.child)) f
+              JOIN sz ON sz.target = f.root LEFT JOIN tc ON tc.target = f.root AND tc.mol = f.mol LEFT JOIN a ON a.mol = f.mol WHERE a.mol IS NULL AND NOT list_contains(opened, f.mol))) WHERE place <= 20)) GROUP BY root))"""
+
+
+@query(f"{REPLAYED} SELECT CAST(root AS VARCHAR) AS run, outcome, len(choices) AS n_pairs, array_to_string(choices, ',') AS choices, fronts AS candidates FROM rp WHERE outcome IS NOT NULL")
 def q24_replayed_routes(spark, d):
-    """Replays of the seeded route trees of depth 2 to 8: as each may open its whole tree, all are complete."""
-    from ..operators.corpus import on_route, replay_outcomes
-
-    trees, _, found, _ = _replayed(spark, d, on_route)
-    return replay_outcomes(trees, found, 8).groupBy("outcome").agg(F.count("*").alias("n"))
+    """How the replay of each tree ends, and the choices that it teaches."""
+    pairs, outcomes = _replay(spark, d)
+    choice = F.get_json_object("assistant", "$.choice")
+    told = pairs.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("step", choice.alias("choice")))).alias("c"), F.sum("n_frontier").alias("candidates"))
+    out = outcomes.join(told, "run", "left").select("run", "outcome", "n_pairs", F.array_join("c.choice", ",").alias("choices"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    return out.na.fill("", ["choices"])
 
 
 @query()
 def q24_replay_pairs(spark, d):
     """The (system, user, answer) pairs that the replays teach, one for each decision whose view shows the route."""
-    policy = _replayed(spark, d, lambda trees: L.ReplayPolicy(trees))[3]
-    if not policy.pairs:
-        return spark.createDataFrame([], "run string, step int, system string, user string, assistant string, depth int, n_on_route int, n_shown int, n_frontier int")
-    return policy.all_pairs()
+    return _replay(spark, d)[0]
 
 
 @query()

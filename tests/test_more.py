@@ -48,17 +48,6 @@ def test_sql_functions(spark):
     assert tuple(row) == ("1.14", "", "", 1.0, 0.0, "ABCDEFGHIJKLMN", True, "a")
 
 
-def test_replay_takes_the_hard_branch_first(spark):
-    options = spark.createDataFrame([(1, 0, 2, 0), (1, 0, 3, 1), (2, 1, 9, 0), (3, 2, 4, 0), (4, 3, 9, 0), (1, 4, 5, 0)], "parent long, rxn long, child long, place long")
-    env = P.Environment(options, spark.createDataFrame([(9,)], "mol long"))
-    trees = spark.createDataFrame([("a", 1, 3), ("a", 2, 1), ("a", 3, 2), ("a", 4, 1)], "run string, mol long, cost int")
-    log, found, _ = P.search(spark.createDataFrame([("a", 1)], "run string, mol long"), env, E.on_route(trees), budget=9)
-    assert [r.mol for r in log.orderBy("step").collect()] == [1, 3, 2, 4] or [r.mol for r in log.orderBy("step").collect()] == [1, 3, 4, 2]
-    assert E.replay_outcomes(trees, found, 7).first().outcome == "complete"
-    _, short, _ = P.search(spark.createDataFrame([("a", 1)], "run string, mol long"), env, E.on_route(trees), budget=1)
-    assert E.replay_outcomes(trees, short, 7).first().outcome == "out of budget"
-
-
 def with_graph(front):
     return front.selectExpr("*", "'t' AS target", "4 AS n_molecules", "2 AS n_reactions", "1 AS n_solved")
 
@@ -86,23 +75,6 @@ def test_the_model_sees_plausibility_if_its_tools_do(spark):
         assert ("enzymatic=0.500/step (route 0.250 over 2)" in text) == on
 
 
-def test_replay_pairs_answer_with_the_hard_branch(spark):
-    options = spark.createDataFrame([(1, 0, 2, 0), (1, 0, 3, 1), (2, 1, 9, 0), (3, 2, 4, 0), (4, 3, 9, 0), (1, 4, 5, 0)], "parent long, rxn long, child long, place long")
-    env = P.Environment(options, spark.createDataFrame([(9,)], "mol long"))
-    trees = spark.createDataFrame([("a", 1, 3), ("a", 2, 1), ("a", 3, 2), ("a", 4, 1)], "run string, mol long, cost int")
-    policy = L.ReplayPolicy(trees)
-    log, found, runs = P.search(spark.createDataFrame([("a", 1)], "run string, mol long"), env, policy, budget=9)
-    assert runs.first().stopped_because == "solved" and E.replay_outcomes(trees, found, 7).first().outcome == "complete"
-    picks = {r.step: r.mol for r in log.collect()}
-    cost = {1: 3, 2: 1, 3: 2, 4: 1}
-    for r in policy.all_pairs().collect():
-        lines = dict(re.findall(r"(?m)^\[(\d+)\] (\d+) \|", r.user))
-        chosen = int(lines[str(json.loads(r.assistant)["choice"])])
-        assert chosen == picks[r.step] and r.depth == cost[chosen] == max(cost.get(int(m), -1) for m in lines.values())
-        assert r.n_shown == len(lines) == r.n_frontier and r.n_on_route == sum(int(m) in cost for m in lines.values())
-        assert r.system == L.system_prompt(L.ToolSurface())
-
-
 def test_caps_and_failures(spark):
     pairs = spark.createDataFrame([("m", i) for i in range(5)] + [("n", 9)], "mol string, rule_idx int")
     assert sorted(map(tuple, X.limit_rules(pairs, 2).collect())) == [("m", 0), ("m", 1), ("n", 9)] and X.limit_rules(pairs, None) is pairs
