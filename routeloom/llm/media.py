@@ -11,7 +11,8 @@ A shard is written under a name of its own attempt and then renamed to the diges
 of its index, so a task that runs twice leaves one whole shard.
 
 Defined results: a null text is empty and stored as one row of padding; equal
-texts give equal values; an empty table gives no rows; other columns are ignored.
+texts give equal values, in whatever shards; rows that repeat an id are rows of their own, a
+null id stays null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ WIDTH = 576
 PAD = 255
 HEADER_BYTES = 33
 SHARD_BYTES = 32 << 20
+SHARD_ROWS = 20_000
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEMA = (
     "doc_id long, n_bytes long, digest string, shard string, offset long, length long, "
@@ -140,8 +142,8 @@ def read_rows(fs, folder: str, name: str, shard: Shard) -> Iterator[tuple]:
         yield (doc, n_bytes, *known[digest])
 
 
-def store_media(docs: DataFrame, store: str, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Store each text below the folder ``store`` (a URI that pyarrow's file systems open)."""
+def store_media(docs: DataFrame, store: str, width: int = WIDTH, shard_bytes: int = SHARD_BYTES, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Store each text below the folder ``store`` (a URI that pyarrow's file systems open); a shard ends at so many bytes or rows that point into it."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +163,7 @@ def store_media(docs: DataFrame, store: str, width: int = WIDTH, shard_bytes: in
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = (text.as_py() or "").encode()
                 shard.add(doc, len(data), encode(to_payload(data, width), width))
-                if shard.size >= shard_bytes:
+                if shard.size >= shard_bytes or len(shard.docs) >= shard_rows:
                     yield done(shard)
                     shard = Shard()
         if shard.docs:

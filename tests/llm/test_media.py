@@ -49,3 +49,12 @@ def test_features_against_plain_numbers(spark, tmp_path):
         spread = max(0.0, sum(b * b for b in payload) / len(payload) - mean * mean) ** 0.5
         hist = ",".join(str(sum(16 * k <= b < 16 * k + 16 for b in payload)) for k in range(16))
         assert got[doc] == f"576x{len(payload) // 576};mean={mean:.6f};sd={spread:.6f};hist={hist}"
+
+
+def test_many_equal_rows_fill_more_than_one_shard(spark, tmp_path):
+    docs = spark.range(60_000).selectExpr("if(id % 7 = 0, null, id % 100) AS doc_id", "'the same text' AS text").coalesce(1)
+    out = store_media(docs, f"file://{tmp_path}/m")
+    row = out.selectExpr("count(*) n", "count(doc_id) ids", "count(distinct shard) shards", "count(distinct digest) digests", "count(distinct feature) features").first()
+    assert (row.n, row.shards, row.digests, row.features) == (60_000, 1, 1, 1) and row.ids == 60_000 - 8572
+    shards = store_media(docs, f"file://{tmp_path}/n", shard_rows=1000).selectExpr("count(*) n", "count(distinct media_sha256) m").first()
+    assert tuple(shards) == (60_000, 1)
