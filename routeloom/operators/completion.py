@@ -15,6 +15,13 @@ CARRIERS = (
     "an oxidized ferredoxin [iron-sulfur] cluster",
 )
 
+#: Participants that a source leaves unspecified; they name no compound, so nothing can supply them.
+GENERIC = (
+    "A", "B", "R", "X", "Y", "an alcohol", "an aldehyde", "a ketone",
+    "Acceptor", "Donor", "acceptor", "donor", "an electron acceptor", "an electron donor",
+    "Oxidized electron acceptor", "Reduced electron acceptor",
+)
+
 
 def pick_reaction(steps: DataFrame, candidates: DataFrame, carriers: tuple[str, ...] = CARRIERS) -> DataFrame:
     """(step, rxn, agrees, consumed_at, released_at, exact) of the best role match of each step.
@@ -81,14 +88,15 @@ def complete_equation(best: DataFrame, candidates: DataFrame, steps: DataFrame)
     )
 
 
-def supplied(needs: DataFrame, sink: DataFrame, made: DataFrame, carriers: tuple[str, ...] = CARRIERS) -> DataFrame:
+def supplied(needs: DataFrame, sink: DataFrame, made: DataFrame, carriers: tuple[str, ...] = CARRIERS, generic: tuple[str, ...] = GENERIC) -> DataFrame:
     """Adds ``supplied`` to (route, step, key, name): a carrier by name, from the sink, made by key elsewhere in the route, or by name without a key.
 
-    ``sink`` has key; ``made`` has route, key and name of what any step releases.
+    Generic participants are no needs: their rows go.  ``sink`` has key; ``made`` has route, key and name of what any step releases.
     """
     in_sink = sink.select("key", F.lit(True).alias("in_sink")).where("key is not null").distinct()
     by_key = made.where("key is not null").select("route", "key", F.lit(True).alias("by_key")).distinct()
     by_name = made.where("name is not null").select("route", "name", F.lit(True).alias("by_name")).distinct()
+    needs = needs.where(~F.coalesce(F.col("name").cast("string").isin(*generic), F.lit(False)))
     out = needs.join(in_sink, "key", "left").join(by_key, ["route", "key"], "left").join(by_name, ["route", "name"], "left")
     carrier = F.coalesce(F.col("name").cast("string").isin(*carriers), F.lit(False))
     has = carrier | F.coalesce("in_sink", F.lit(False)) | F.coalesce("by_key", F.lit(False)) | (F.col("key").isNull() & F.coalesce("by_name", F.lit(False)))

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from .corpus import split_groups
 from .frontier import seeded
 
@@ -74,7 +75,11 @@ def fit(rows: DataFrame, features: list[str], group: str, controls: list[list[st
     """
     parts = split_groups(rows, group, share, seed).withColumnRenamed("held", "test")
     rest = split_groups(parts.where("not test").drop("test"), group, share, seed + 1)
-    train, platt, test = rest.where("not held"), rest.where("held"), parts.where("test")
+    # written once: five fits and scorings read it
+    role = F.when(F.col("held"), "platt").otherwise("train")
+    dealt = rest.withColumn("_role", role).drop("held").unionByName(parts.where("test").drop("test").withColumn("_role", F.lit("test")))
+    dealt = cut(dealt, "dealt")
+    train, platt, test = (dealt.where(F.col("_role") == r).drop("_role") for r in ("train", "platt", "test"))
 
     def boosted(names: list[str]):
         vector = VectorAssembler(inputCols=names, outputCol="x", handleInvalid="keep")

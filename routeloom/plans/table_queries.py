@@ -169,11 +169,13 @@ def _neighbours(spark, d):
     """WITH nb AS (SELECT o_custkey AS query, l_orderkey AS rule_idx, count(DISTINCT l_partkey) AS k, round(avg(l_discount), 6) AS sim, max(l_discount) AS sim_all, min(l_tax) AS prior, CASE WHEN max(l_returnflag) = 'R' THEN 1.0::DOUBLE ELSE 0.0 END AS ec,
     min(1 - p_size / 50.0::DOUBLE) AS worst, max(1 - p_size / 50.0::DOUBLE) AS best FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL)
   SELECT query, rule_idx, s.n AS scorer, round(s.v, 6) AS score FROM (SELECT query, rule_idx, unnest([{'n': 'arbitrary', 'v': 0 - rule_idx::DOUBLE}, {'n': 'template_prior', 'v': 0 - prior}, {'n': 'native_similarity', 'v': sim}, {'n': 'native_similarity_all', 'v': sim_all},
-    {'n': 'closeness_worst', 'v': worst}, {'n': 'closeness_best', 'v': best}, {'n': 'has_ec', 'v': ec}, {'n': 'fewer_precursors', 'v': -k::DOUBLE}, {'n': 'similarity_x_ec', 'v': sim * (0.5 + 0.5 * ec)}]) AS s FROM nb)"""
+    {'n': 'closeness_worst', 'v': worst}, {'n': 'closeness_best', 'v': best}, {'n': 'has_ec', 'v': ec}, {'n': 'fewer_precursors', 'v': -k::DOUBLE}, {'n': 'similarity_x_ec', 'v': sim * (0.5 + 0.5 * ec)},
+    {'n': 'enzymatic', 'v': CASE WHEN rule_idx % 3 = 0 THEN 0.0 ELSE 1 - 5 * sim_all END}]) AS s FROM nb)"""
 )
 def q43_candidate_scorers(spark, d):
     near = B.table(spark, d, "part").select(F.col("p_partkey").alias("mol"), (1 - F.col("p_size") / 50).alias("closeness"))
-    return _rounded(R.candidate_scores(_neighbours(spark, d), near), "score")
+    plausible = F.when(F.col("rule_idx") % 3 != 0, 1 - 5 * F.col("sim_all"))
+    return _rounded(R.candidate_scores(_neighbours(spark, d).withColumn("plausibility", plausible), near), "score")
 
 
 @query(

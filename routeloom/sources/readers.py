@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.scalars import first_block
+from ..session import let_workers_import
+from .archive import RuleArchive
 
 
 def rules_path(root: str, database: str, radius: int, fp_size: int = 1024, folded: bool = True, custom: bool = False) -> str:
@@ -14,28 +16,20 @@ def rules_path(root: str, database: str, radius: int, fp_size: int = 1024, folde
     return f"{root}/database={database}/radius={radius}/fp_size={fp_size}/folded={str(folded).lower()}/custom={str(custom).lower()}"
 
 
+def archived_rules(spark: SparkSession, npz: str, table: str, rows: int = 5000, trusted: bool = False) -> DataFrame:
+    """A table (rules, need or delta) of a dense archive of rule arrays; each task reads a range of rows."""
+    let_workers_import(spark)
+    spark.dataSource.register(RuleArchive)
+    return spark.read.format("rule_archive").option("path", npz).option("table", table).option("rows", rows).option("trusted", str(trusted)).load()
+
+
 def convert_rules(spark: SparkSession, npz: str, out: str, rows: int = 5000, trusted: bool = False) -> None:
     """One-off: a dense archive of rule arrays to Parquet tables rules, need and delta.
 
-    Read on the driver, block by block. Text that is stored as Python objects is only read from a
-    ``trusted`` archive, as that runs code from it.
+    Text that is stored as Python objects is only read from a ``trusted`` archive, as that runs code from it.
     """
-    import numpy as np
-
-    data = np.load(npz, allow_pickle=trusted)
-    n = len(data["template_reaction"])
-    optional = lambda name, i: None if name not in data.files else str(data[name][i])
-    for at in range(0, n, rows):
-        part = range(at, min(n, at + rows))
-        text = [(i, str(data["template_reaction"][i]), str(data["smi_sub"][i]), int(data["nb_prod"][i]), float(data["score"][i]), optional("reaction_id", i)) for i in part]
-        spark.createDataFrame(text, "rule_idx int, template string, native string, nb_prod int, score float, reaction_id string").write.mode("append").parquet(f"{out}/rules")
-        for name, array, sign in (("need", "ecfp_reaction_center", -1), ("delta", "ecfp_reaction", 1)):
-            block = data[array][at : at + rows]
-            r, c = np.nonzero(block)
-            cells = [(int(i) + at, int(j), int(sign * v)) for i, j, v in zip(r, c, block[r, c], strict=True)]
-            if sign < 0 and any(v < 0 for *_, v in cells):
-                raise ValueError("requirements must not be positive in the archive")
-            spark.createDataFrame(cells, f"rule_idx int, coord int, {name} int").write.mode("append").parquet(f"{out}/{name}")
+    for table in ("rules", "need", "delta"):
+        archived_rules(spark, npz, table, rows, trusted).write.mode("append").parquet(f"{out}/{table}")
 
 
 def read_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

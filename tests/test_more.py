@@ -157,7 +157,7 @@ def test_completed_equations_and_carriers(spark):
     best = C.pick_reaction(steps, options)
     row = C.complete_equation(best, options, steps).first()
     assert (row.consumed, row.released, row.predicted) == (["U", "w"], ["an aldehyde", "M"], True)
-    needs = spark.createDataFrame([(1, 1, None, "H2O"), (1, 1, "k", "x")], "route int, step int, key string, name string")
+    needs = spark.createDataFrame([(1, 1, None, "H2O"), (1, 1, "k", "x"), (1, 1, None, "Acceptor"), (1, 1, "a", "an alcohol")], "route int, step int, key string, name string")
     nothing = spark.createDataFrame([], "route int, key string, name string")
     got = {r.name: r.supplied for r in C.supplied(needs, nothing.select("key"), nothing).collect()}
     assert got == {"H2O": True, "x": False}

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 
 from routeloom.sources import readers as R
@@ -137,3 +138,35 @@ def test_keyed_state(spark, tmp_path):
         assert sorted(map(tuple, out.collect())) == [("a", 2, 1, 3.0), ("b", 1, -1, 1.0)]
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_an_archive_of_the_real_size(spark, tmp_path):
+    """80,000 rules of 1,024 coordinates, read in ranges by tasks, stored and compressed."""
+    n, width = 80_000, 1024
+    rng = np.random.default_rng(1)
+    at = np.arange(n)
+    centre, delta = np.zeros((n, width), np.int32), np.zeros((n, width), np.int32)
+    centre[at, at % width] = -2
+    centre[at, (at * 7 + 1) % width] -= 1
+    delta[at, (at * 3) % width] = at % 5 - 2
+    texts = {"template_reaction": np.array([f"T{i}" for i in at]), "smi_sub": np.array([f"S{i % 9}" for i in at]), "reaction_id": np.array([f"r{i}|q" for i in at])}
+    np.savez(tmp_path / "rules.npz", ecfp_reaction=delta, ecfp_reaction_center=centre, nb_prod=np.ones(n, np.int32), score=rng.random(n).astype(np.float32), **texts)
+    own = f"file://{tmp_path}/rules.npz"
+    assert R.archived_rules(spark, own, "need").rdd.getNumPartitions() == 16
+    R.convert_rules(spark, own, f"file://{tmp_path}/out")
+    rules, need, change = R.read_rules(spark, f"file://{tmp_path}/out")
+    assert rules.count() == n and rules.where("template = concat('T', rule_idx) and reaction_id = concat('r', rule_idx, '|q') and native = concat('S', rule_idx % 9)").count() == n
+    row = need.selectExpr("count(*) n", "sum(need) s", "count(distinct rule_idx) k").first()
+    assert (row.s, row.k) == (3 * n, n) and row.n == 2 * n - int((at % width == (at * 7 + 1) % width).sum())
+    assert need.where("need = 2 and coord <> rule_idx % 1024").count() == 0
+    assert change.selectExpr("sum(delta) s", "count(*) n").first() == (0, int((at % 5 != 2).sum()))
+    np.savez_compressed(tmp_path / "small.npz", ecfp_reaction=delta[:1001], ecfp_reaction_center=centre[:1001], nb_prod=np.ones(1001, np.int32), score=np.ones(1001, np.float32), template_reaction=texts["template_reaction"][:1001].astype(object), smi_sub=texts["smi_sub"][:1001])
+    packed = str(tmp_path / "small.npz")
+    few = R.archived_rules(spark, packed, "need", rows=100)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, need.where("rule_idx < 1001").collect()))
+    whole = R.archived_rules(spark, packed, "rules", rows=100, trusted=True)
+    assert {r.rule_idx: r.template for r in whole.collect()} == {i: f"T{i}" for i in range(1001)} and whole.where("reaction_id is not null").count() == 0
+    with pytest.raises(Exception, match="pickled"):
+        R.archived_rules(spark, packed, "rules", rows=100).collect()
+    with pytest.raises(Exception, match="table must be"):
+        spark.read.format("rule_archive").option("path", packed).option("table", "x").schema("a int").load().collect()
