@@ -43,8 +43,8 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
 
 
 def _lines(df: DataFrame, order: str, path: str) -> str:
-    """One text file of the column ``value``, in order."""
-    df.repartition(1).sortWithinPartitions(order).select("value").write.text(path)
+    """Text files of the column ``value``, in order from file to file."""
+    df.repartitionByRange(order).sortWithinPartitions(order).select("value").write.text(path)
     return path
 
 
@@ -92,7 +92,7 @@ def q95_sink_table(spark, d):
     """A sink as a table with an InChI column, some of them empty."""
     rows = B.table(spark, d, "part").select(F.col("p_name").alias("Name"), F.when(F.col("p_size") > 5, F.concat(F.lit("InChI=1S/"), "p_partkey")).alias("InChI"))
     path = _folder(spark, "sink")
-    rows.coalesce(1).write.option("header", True).csv(path)
+    rows.write.option("header", True).csv(path)
     return R.read_sink(spark, path).select("name", "inchi")
 
 

@@ -43,9 +43,18 @@ def select_rules(tables: tuple[DataFrame, ...], keep: DataFrame) -> tuple[DataFr
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a small text file, whole in one task so that numbers are the file's."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("at", "value")).select((F.col("at") + 1).alias("line"), "value")
+    """(line, value) of text files with the file's own line numbers; several files count on in the order of their names.
+
+    The lines of each split are counted where they are read, and a running sum over the splits (a row
+    each) shifts them, so no task sees more than its split.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", *place, F.monotonically_increasing_id().alias("at"))
+    splits = rows.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "start", "first", before.alias("before"))
+    line = F.col("at") - F.col("first") + F.col("before") + 1
+    return rows.join(splits, ["file", "start"]).select(line.alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def read_sink(spark: SparkSession, path: str) -> DataFrame:
@@ -53,8 +62,8 @@ def read_sink(spark: SparkSession, path: str) -> DataFrame:
 
     Blank lines and comments are skipped.
     """
-    lines = numbered_lines(spark, path).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
-    head = lines.orderBy("line").first()
+    said = (F.trim("value") != "") & ~F.col("value").startswith("#")
+    lines, head = numbered_lines(spark, path).where(said), spark.read.text(path).where(said).first()
     if head is not None and "InChI" in head["value"].split(","):
         rows = spark.read.option("header", True).option("quote", '"').csv(path)
         return rows.select(F.monotonically_increasing_id().alias("place"), F.col("Name").alias("name"), F.lit(None).cast("string").alias("mol"), F.col("InChI").alias("inchi"))

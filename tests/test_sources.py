@@ -2,6 +2,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from routeloom.sources import readers as R
 from routeloom.sources import writers as W
@@ -170,3 +171,19 @@ def test_an_archive_of_the_real_size(spark, tmp_path):
         R.archived_rules(spark, packed, "rules", rows=100).collect()
     with pytest.raises(Exception, match="table must be"):
         spark.read.format("rule_archive").option("path", packed).option("table", "x").schema("a int").load().collect()
+
+
+def test_line_numbers_across_splits_and_files(spark, tmp_path):
+    texts = ["\n".join(f"line {i}" + "\r" * (i % 3 == 0) + "x" * (i % 50) for i in range(900)), "", "one\n\n\nfour\n", "é" * 3000]
+    for i, t in enumerate(texts):
+        (tmp_path / f"part-{i}.txt").write_text(t, newline="")
+    want = [line.removesuffix("\r") for t in texts if t for line in t.removesuffix("\n").split("\n")]
+    name, split = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (split, "2000", "300"):
+            spark.conf.set(name, size)
+            got = R.numbered_lines(spark, f"file://{tmp_path}")
+            assert size == split or got.select(F.spark_partition_id()).distinct().count() > 3
+            assert [(r.line, r.value) for r in got.orderBy("line").collect()] == list(enumerate(want, 1))
+    finally:
+        spark.conf.set(name, split)
