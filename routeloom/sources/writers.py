@@ -29,8 +29,8 @@ def write_corpus(rows: DataFrame, path: str, *order: str) -> None:
 
 
 def write_names(names: DataFrame, path: str) -> None:
-    """The cache of looked-up names, misses included, in order."""
-    names.orderBy("smiles").coalesce(1).write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+    """The cache of looked-up names, misses included, in order; one sorted range per file."""
+    names.orderBy("smiles").write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
 
 
 def merge_names(old: DataFrame, new: DataFrame) -> DataFrame:

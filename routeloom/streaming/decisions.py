@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..storage import shared_dir
+
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     """New Parquet files of a folder, in order of arrival; readers are independent and keep their own offsets."""
@@ -97,12 +100,21 @@ def retain(spark: SparkSession, root: str, keep: int = 20) -> list[str]:
 
 
 def final_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and returns its last result as a table of that name in memory.
+    """Runs a stream over all that is there and returns its last result, from a table in the shared folder.
 
-    For tables of a report's size.
+    In mode ``complete`` that is the last batch, else what all batches gave.
     """
-    query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    path, batches = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}", {}
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        batches[batch] = f"{path}/batch={batch}"
+
+    query = for_each(stream, keep, checkpoint, mode)
     query.awaitTermination()
     if error := query.exception():
         raise error
-    return stream.sparkSession.table(name)
+    if not batches:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    paths = [batches[max(batches)]] if mode == "complete" else list(batches.values())
+    return stream.sparkSession.read.schema(stream.schema).parquet(*paths)
