@@ -13,6 +13,11 @@ which the versions differ.  If cells stay, both sides of the block are sketched
 three times the cells; after the largest size the digests themselves are compared.  So
 the work grows with the number of paragraphs, whatever the difference is.
 
+A fingerprint is the sketch of one text by such blocks, each in the first size that can be
+peeled down to nothing by itself (in none: the digests in place of cells).  So a stored
+fingerprint gives all its digests back, and ``likeness_of`` two of them is what the
+comparison of their texts gives.
+
 The following document comes by two joins: narrow rows (id, hash of the text, length) are
 sorted by range and know their neighbours; then each text meets the first half-length
 characters and the digests of the next one.  Nothing is broadcast but what adaptive
@@ -120,12 +125,27 @@ def block_difference(left: str, right: str, sizes: tuple[int, ...]) -> str:
     return f"coalesce({', '.join(tries)}, concat({one(left, right, 1)}, {one(right, left, -1)}))"
 
 
+def _blocks(size: str) -> str:
+    """The number of blocks for so many digests, a power of two."""
+    return f"shiftleft(1L, cast(ceil(log2(greatest(1, ({size}) / {BLOCK}))) as int))"
+
+
+def _by_block(rows: str) -> str:
+    """Rows with a block b, sorted and cut into the runs of one block each: no block looks at the rows of others."""
+    begins = "filter(transform(s, (x, i) -> if(i = 0 or s[i - 1].b <> x.b, i, -1)), p -> p >= 0)"
+    return let("s", f"sort_array({rows})", let("g", begins, "transform(g, (p, j) -> slice(s, p + 1, coalesce(get(g, j + 1), size(s)) - p))"))
+
+
+BLOCK_OF = "shiftrightunsigned(k, 20) & (n - 1)"
+
+
 def difference(left: str, right: str, sizes: tuple[int, ...] = SIZES) -> str:
     """Signed digests in which two sets differ, block by block."""
-    blocks = f"shiftleft(1L, cast(ceil(log2(greatest(1, (size({left}) + size({right})) / {BLOCK}))) as int))"
-    own = lambda keys: f"filter({keys}, k -> (shiftrightunsigned(k, 20) & (n - 1)) = i)"
-    body = let("l", own(left), let("r", own(right), f"if(l = r, cast(array() as array<struct<n:int,k:bigint>>), {block_difference('l', 'r', sizes)})"))
-    return let("n", blocks, f"flatten(transform(sequence(0, cast(n - 1 as int)), i -> {body}))")
+    side = lambda keys, own: f"transform({keys}, k -> named_struct('b', {BLOCK_OF}, 'k', k, 'l', {own}))"
+    of = lambda own: f"transform(filter(v, x -> {own}), x -> x.k)"
+    body = let("l", of("x.l"), let("r", of("not x.l"), f"if(l = r, cast(array() as array<struct<n:int,k:bigint>>), {block_difference('l', 'r', sizes)})"))
+    rows = f"concat({side(left, 'true')}, {side(right, 'false')})"
+    return let("n", _blocks(f"size({left}) + size({right})"), f"flatten(transform({_by_block(rows)}, v -> {body}))")
 
 
 def likeness(left: str, right: str, differing: str) -> str:
@@ -134,9 +154,49 @@ def likeness(left: str, right: str, differing: str) -> str:
     return f"if({total} = 0, 1.0D, cast({total} - size({differing}) as double) / ({total} + size({differing})))"
 
 
-def as_text(keys: str, size: int = SIZES[0]) -> str:
-    cells = f"transform({sketch(keys, size)}, c -> concat(c.n, '.', hex(c.k), '.', hex(c.s)))"
-    return f"concat(size({keys}), ':', array_join({cells}, '/'))"
+def _peels(entries: str, size: int) -> str:
+    """Whether the cells of entries can be peeled: in turn, those go that have a cell without another."""
+    if size < 64:
+        # an entry is its cells as bits; those of one entry and of more are told apart in one pass
+        start = f"transform({entries}, t -> shiftleft(1L, t.a) | shiftleft(1L, t.b) | shiftleft(1L, t.c))"
+        once = "aggregate(es, named_struct('o', 0L, 'm', 0L), (x, e) -> named_struct('o', x.o | e, 'm', x.m | (x.o & e)), x -> x.o & ~x.m)"
+        step = let("u", once, "filter(es, e -> (e & u) = 0)")
+    else:
+        start = entries
+        step = "filter(es, t -> not ({}))".format(" or ".join(f"size(filter(es, u -> u.{x} = t.{x})) = 1" for x in "abc"))
+    return f"size(aggregate(sequence(1, {ROUNDS}), {start}, (es, r) -> if(size(es) = 0, es, {step}))) = 0"
+
+
+def as_text(keys: str, sizes: tuple[int, ...] = SIZES) -> str:
+    """The fingerprint of a set of digests: ``block:size cells``, a cell that is not empty by its place, count, digests and checks; empty blocks are left out."""
+    shown = "transform({}, (c, j) -> if(c.n = 0, '', concat(j, '.', c.n, '.', hex(c.k), '.', hex(c.s))))".format
+    plain = "concat('0 ', array_join(transform(v, x -> hex(x.k)), ' '))"
+    for m in reversed(sizes):
+        cells = f"concat('{m} ', array_join(array_remove({shown(_cells('ts', m))}, ''), ' '))"
+        plain = let("ts", f"transform(v, x -> {_entry('x.k', m // 3)})", f"if({_peels('ts', m)}, {cells}, {plain})")
+    rows = f"transform({keys}, k -> named_struct('b', {BLOCK_OF}, 'k', k))"
+    return let("n", _blocks(f"size({keys})"), f"array_join(transform({_by_block(rows)}, v -> concat(v[0].b, ':', {plain})), '/')")
+
+
+def digests_of(fingerprint: str, sizes: tuple[int, ...] = SIZES) -> str:
+    """All digests of a fingerprint, peeled from its cells."""
+    number = "cast(conv({}, 16, -10) as bigint)".format
+    cell = let("q", "split(p, '[.]')", f"named_struct('j', cast(q[0] as int), 'n', cast(q[1] as int), 'k', {number('q[2]')}, 's', {number('q[3]')})")
+    empty = "named_struct('n', 0, 'k', 0L, 's', 0L)"
+    of_size = lambda m: let(
+        "at", f"map_from_entries(transform(slice(ps, 2, size(ps)), p -> {let('c', cell, 'struct(c.j, c)')}))",
+        peel(f"transform(sequence(0, {m - 1}), j -> if(at[j] is null, {empty}, named_struct('n', at[j].n, 'k', at[j].k, 's', at[j].s)))", m),
+    )
+    cases = " ".join(f"when ps[0] = '{m}' then transform({of_size(m)}, t -> t.k)" for m in sizes)
+    listed = f"transform(slice(ps, 2, size(ps)), p -> {number('p')})"
+    block = let("ps", "split(substring_index(b, ':', -1), ' ')", f"case when b = '' then cast(array() as array<bigint>) {cases} else {listed} end")
+    return f"flatten(transform(split({fingerprint}, '/'), b -> {block}))"
+
+
+def likeness_of(fingerprints: DataFrame, left: str, right: str) -> DataFrame:
+    """``fingerprints`` with ``likeness`` of two columns of stored fingerprints, by subtracting and peeling."""
+    out = fingerprints.withColumns({"_l": F.expr(digests_of(left)), "_r": F.expr(digests_of(right))})
+    return out.withColumn("_d", F.expr(difference("_l", "_r"))).withColumn("likeness", F.expr(likeness("_l", "_r", "_d"))).drop("_l", "_r", "_d")
 
 
 def neighbours(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:

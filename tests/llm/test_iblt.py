@@ -6,7 +6,7 @@ from collections import Counter
 import xxhash
 from pyspark.sql import functions as F
 
-from routeloom.llm.iblt import BREAK, EVERY, LONG, SIGNS, WORDS, difference, digests, fingerprint_edits, with_next
+from routeloom.llm.iblt import BREAK, EVERY, LONG, SIGNS, WORDS, as_text, difference, digests, digests_of, fingerprint_edits, likeness_of, with_next
 
 from .corpus import frame, rows
 
@@ -94,3 +94,54 @@ def test_repeats_count(spark):
     df = spark.createDataFrame([("a. b. c. ",), ("a. b. b. c. ",), ("a. b. c. ",)], "t string").select(F.expr(digests("t")).alias("k"))
     one, twice, again = [sorted(r.k) for r in df.collect()]
     assert one == again != twice
+
+
+def plain_digests(fingerprint):
+    """The digests of a stored fingerprint, peeled in plain Python from its cells alone."""
+    out = set()
+    for block in filter(None, fingerprint.split("/")):
+        size, *cells = block.split(":")[1].split(" ")
+        if size == "0":
+            out |= {int(c, 16) for c in cells}
+            continue
+        cells = {int(c.split(".")[0]): [int(c.split(".")[1]), *(int(x, 16) for x in c.split(".")[2:])] for c in cells}
+        third = int(size) // 3
+
+        def h(k, n):
+            """The hash of a number and a small one after it."""
+            return xxhash.xxh64(n.to_bytes(4, "little"), xxhash.xxh64(k.to_bytes(8, "little"), 42).intdigest()).intdigest()
+
+        while pure := [c[1] for c in cells.values() if c[0] == 1 and c[2] == h(c[1], 3)]:
+            k = pure[0]
+            out.add(k)
+            for t in range(3):
+                x = h(k, t)
+                c = cells[t * third + ((x - (1 << 64) if x >> 63 else x) % third)]
+                c[0], c[1], c[2] = c[0] - 1, c[1] ^ k, c[2] ^ h(k, 3)
+        assert all(c == [0, 0, 0] for c in cells.values())
+    return out
+
+
+def test_likeness_from_the_two_strings_alone(spark):
+    data = [r for r in rows() if r[0] is not None]
+    data = list({r[0]: r for r in data}.values()) + [(900 + i, " ".join(f"w{i % 3}{j}." for j in range(40 * i)), None, None, None, None, None) for i in range(12)]
+    got = sorted(fingerprint_edits(frame(spark, data)).collect(), key=lambda r: r.doc_id)
+    like = lambda p, q: len(p & q) / len(p | q) if p | q else 1.0
+    for r, following in zip(got, got[1:] + got[:1]):
+        own = plain_digests(r.fingerprint)
+        assert abs(r.near_edited - like(own, plain_digests(r.edited_fingerprint))) < 1e-12
+        assert abs(r.near_next - like(own, plain_digests(following.fingerprint))) < 1e-12
+    stored = spark.createDataFrame([(r.fingerprint, r.edited_fingerprint, r.near_edited) for r in got], "a string, b string, want double")
+    assert all(abs(r.likeness - r.want) < 1e-12 for r in likeness_of(stored, "a", "b").collect())
+
+
+def test_fingerprints_give_their_digests_back(spark):
+    rng = random.Random(7)
+    sets = [sorted(rng.getrandbits(64) - (1 << 63) for _ in range(n)) for n in (0, 1, 2, 7, 8, 9, 30, 100, 1000, 3000)]
+    # one block for all: bits 20 and up are the same, so the larger sketches and at last the plain digests serve
+    sets += [sorted((rng.getrandbits(20) for _ in range(n))) for n in (12, 40, 120, 700)]
+    sets = [sorted(set(s)) for s in sets]
+    df = spark.createDataFrame([(s,) for s in sets], "k array<long>").withColumn("f", F.expr(as_text("k")))
+    for r in df.select("k", "f", F.expr(digests_of("f")).alias("d")).collect():
+        assert sorted(r.d) == r.k
+        assert plain_digests(r.f) == {k % (1 << 64) for k in r.k}
