@@ -62,6 +62,46 @@ def solved(molecules: DataFrame, reactions: DataFrame) -> tuple[DataFrame, DataF
     return mols, need.select(*KEYS).distinct().join(open_, ["run", "rxn"], "left_anti")
 
 
+def _fired(touched: DataFrame, reactions: DataFrame, known: DataFrame) -> DataFrame:
+    """(run, parent) of those of the ``touched`` (run, rxn) reactions whose children are all known."""
+    rows = reactions.join(touched.distinct(), ["run", "rxn"], "left_semi").select(*KEYS, "child").distinct()
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy(*KEYS))).join(known.select("run", F.col("mol").alias("child")), ["run", "child"])
+    return rows.groupBy(*KEYS, "n").agg(F.count("*").alias("met")).where("met = n").select("run", "parent").distinct()
+
+
+def swap_available(solved_mols: DataFrame, reactions: DataFrame, available: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """(run, mol) solved after some molecules became available and others ceased to be, from those solved before.
+
+    All but ``reactions`` are (run, mol); ``available`` is the new state, in which all of ``added`` and
+    none of ``removed`` count.  First whatever the removed ones may have served to solve is put in doubt,
+    upwards through the reactions that they completed; then what the rest still solves is derived
+    again, along with what the added ones newly solve.  A step joins and writes only what the last one
+    reached; the rest of the table is read and not written.  A cycle that leant on a removed
+    molecule alone stays out, as all of it is in doubt.
+    """
+    pair = ["run", "mol"]
+    old, free = cut(solved_mols.select(*pair).distinct(), "solved"), cut(available.select(*pair).distinct(), "free")
+    edges = cut(reactions.select(*KEYS, "child").distinct(), "edges")
+
+    def above(mols: DataFrame) -> DataFrame:
+        return edges.join(mols.select("run", F.col("mol").alias("child")), ["run", "child"], "left_semi").select("run", "rxn")
+
+    step = cut(removed.select(*pair).distinct().join(old, pair, "left_semi").join(free, pair, "left_anti"), "doubt")
+    doubt = step
+    while not step.isEmpty():
+        led = _fired(above(step), edges, old).withColumnRenamed("parent", "mol").join(free, pair, "left_anti")
+        step = cut(led.join(old, pair, "left_semi").join(doubt, pair, "left_anti"), "doubt")
+        doubt = doubt.unionByName(step)
+    known = old.join(doubt, pair, "left_anti")
+    into = edges.join(doubt.withColumnRenamed("mol", "parent"), ["run", "parent"], "left_semi").select("run", "rxn")
+    again = _fired(into, edges, known).withColumnRenamed("parent", "mol")
+    step = cut(again.unionByName(added.select(*pair).join(free, pair, "left_semi")).distinct().join(known, pair, "left_anti"), "derived")
+    while not step.isEmpty():
+        known = known.unionByName(step)
+        step = cut(_fired(above(step), edges, known).withColumnRenamed("parent", "mol").join(known, pair, "left_anti"), "derived")
+    return known
+
+
 def frontier(molecules: DataFrame, solved_mols: DataFrame) -> DataFrame:
     """Molecules that are neither available, expanded nor solved."""
     left = molecules.where("not available and not expanded")

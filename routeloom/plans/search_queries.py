@@ -273,6 +273,20 @@ def q13_andor_solved(spark, d):
     return mols.select(F.lit("molecule").alias("kind"), F.col("mol").alias("id")).unionByName(rxns.select(F.lit("reaction").alias("kind"), F.col("rxn").alias("id")))
 
 
+SWAPPED = "(p_size <= 10 AND p_brand <> 'Brand#11') OR (p_size > 48 AND p_brand = 'Brand#12')"
+
+
+@query(f"{B.SOLVED} SELECT mol FROM {B.LAST}".replace("FROM part WHERE p_size <= 10)", f"FROM part WHERE {SWAPPED})"))
+def q13_swapped_sink(spark, d):
+    """What is solved once one brand has left the sink and another's largest parts have joined it, from what was solved before."""
+    rxns = settled(B.reactions(spark, d), "reactions")
+    part = B.table(spark, d, "part").withColumns({"run": F.lit(B.RUN), "mol": F.col("p_partkey")})
+    was, now = part.where("p_size <= 10"), part.where(SWAPPED)
+    before = G.solved(B.molecules(spark, d), rxns)[0]
+    pair = ["run", "mol"]
+    return G.swap_available(before, rxns, now.select(*pair), now.join(was, pair, "left_anti"), was.join(now, pair, "left_anti")).select("mol")
+
+
 @query(f"{B.SOLVED},\n{B.CHOSEN} SELECT parent AS mol, count(*) AS options, min(rxn) AS first FROM c GROUP BY parent")
 def q13_optimal_options(spark, d):
     _, chosen = G.and_or_depth(B.molecules(spark, d), B.reactions(spark, d))

@@ -42,6 +42,39 @@ def test_known_graphs(spark, name):
     assert {r.mol for r in G.solved(mols, rxns)[0].collect()} == set(depth)
 
 
+def swapped(spark, rules, before, after):
+    """The molecules solved after a swap of the available ones, from those solved before, and by the whole fixpoint."""
+    mols, rxns = tables(spark, before, rules)
+    pairs = lambda ms: spark.createDataFrame([("r", m) for m in ms], "run string, mol long")
+    got = G.swap_available(G.solved(mols, rxns)[0], rxns, pairs(after), pairs(after - before), pairs(before - after)).collect()
+    assert len({r.mol for r in got}) == len(got)
+    whole = set(after)
+    while more := {p for p, cs in rules if set(cs) <= whole} - whole:
+        whole |= more
+    return {r.mol for r in got}, whole
+
+
+def test_swapped_availability_by_hand(spark):
+    # a cycle that leant on 5 alone, an alternative that stands, a molecule that was available and can be made too
+    rules = [(1, [2]), (2, [1]), (2, [5]), (3, [5]), (3, [6]), (4, [3, 1]), (7, [6])]
+    got, whole = swapped(spark, rules, {5, 6}, {6})
+    assert got == whole == {3, 6, 7}
+    got, whole = swapped(spark, rules, {5, 6, 7}, {5, 6, 8})
+    assert got == whole == {1, 2, 3, 4, 5, 6, 7, 8}
+    got, whole = swapped(spark, rules, set(), {5})
+    assert got == whole == {1, 2, 3, 4, 5}
+    assert swapped(spark, rules, {5, 6}, set())[0] == set()
+
+
+def test_swapped_availability_of_random_graphs(spark):
+    rng = random.Random(11)
+    for _ in range(3):
+        rules = [(rng.randrange(40), [rng.randrange(60) for _ in range(rng.randint(1, 3))]) for _ in range(90)]
+        before, after = ({m for m in range(60) if rng.random() < 0.25} for _ in range(2))
+        got, whole = swapped(spark, rules, before, after)
+        assert got == whole
+
+
 def test_distinct_reactions_of_the_diamond(spark):
     free, rules, _, _ = CASES["diamond"]
     mols, rxns = tables(spark, free, rules)
