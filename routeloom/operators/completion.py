@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Carriers, which take no role of a route's own molecules.
@@ -23,36 +23,45 @@ GENERIC = (
 )
 
 
-def pick_reaction(steps: DataFrame, candidates: DataFrame, carriers: tuple[str, ...] = CARRIERS) -> DataFrame:
-    """(step, rxn, agrees, consumed_at, released_at, exact) of the best role match of each step.
+def pick_reaction(steps: DataFrame, candidates: DataFrame, carriers: tuple[str, ...] = CARRIERS, sources: DataFrame | None = None) -> DataFrame:
+    """(step, rxn, agrees, consumed_at, released_at, exact, score) of the best role match of each step.
 
     ``steps`` has step, made, used (keys) and delta (map of element changes); ``candidates``
-    has step, rxn, place, and arrays left and right of (key, name, elements).  A pair of one
+    has step, rxn, place, and arrays left and right of (key, name, elements).  These may stand in ``sources``
+    instead, by rxn, so that a source is not copied to each step that considers it.  A pair of one
     consumed and one released participant fits if both keys match, or if it changes the same
     elements by the same numbers. Larger scores win, the first of equal ones stays.
+
+    The pairs of a candidate are scored in its row, and only its best one is moved on.
     """
-    both = F.array(
-        F.struct(F.lit(True).alias("agrees"), F.col("left").alias("consumed"), F.col("right").alias("released")),
-        F.struct(F.lit(False).alias("agrees"), F.col("right").alias("consumed"), F.col("left").alias("released")),
-    )
-    turned = candidates.select("step", "rxn", "place", F.explode(both).alias("x")).select("step", "rxn", "place", "x.*")
-    turned = turned.withColumn("size", F.size("consumed") + F.size("released"))
-    pairs = turned.select("step", "rxn", "place", "agrees", "size", "released", F.posexplode("consumed").alias("i", "c"))
-    pairs = pairs.select("step", "rxn", "place", "agrees", "size", "i", "c", F.posexplode("released").alias("j", "r"))
-    usable = lambda p: ~F.col(p)["name"].isin(*carriers) & F.col(p)["key"].isNotNull()
-    pairs = pairs.where(usable("c") & usable("r")).join(steps, "step")
-    # maps do not compare: their sorted entries do
-    entries = lambda m: F.array_sort(F.map_entries(m))
-    change = F.map_filter(
-        F.map_zip_with(F.col("c.elements"), F.col("r.elements"), lambda _, a, b: F.coalesce(b, F.lit(0)) - F.coalesce(a, F.lit(0))), lambda _, d: d != 0
-    )
-    exact = F.coalesce((F.col("c.key") == F.col("used")) & (F.col("r.key") == F.col("made")), F.lit(False))
-    same = F.coalesce(entries(change) == entries(F.col("delta")), F.lit(False))
-    score = (1000 * exact.cast("int") + 100 * same.cast("int")) * 100 - F.col("size")
-    scored = pairs.withColumn("exact", exact).withColumn("same", same).where("exact or same").withColumn("score", score).where("score > 0")
-    first = Window.partitionBy("step").orderBy(F.desc("score"), "place", F.desc("agrees"), "i", "j")
-    best = scored.withColumn("n", F.row_number().over(first)).where("n = 1")
-    return best.select("step", "rxn", "agrees", F.col("i").alias("consumed_at"), F.col("j").alias("released_at"), "exact", "score")
+    if sources is None:
+        rows = candidates.select("step", "rxn", "place", "left", "right").join(steps, "step")
+    else:
+        rows = candidates.select("step", "rxn", "place").join(steps, "step").join(sources.select("rxn", "left", "right"), "rxn")
+    # maps do not compare: the sorted entries that are not 0 do
+    entries = lambda m: F.sort_array(F.map_entries(F.map_filter(m, lambda _, n: F.coalesce(n, F.lit(0)) != 0)))
+    without = lambda m: F.map_zip_with(m, F.col("delta"), lambda _, n, d: F.coalesce(n, F.lit(0)) - F.coalesce(d, F.lit(0)))
+    usable = lambda p: ~p["name"].isin(*carriers) & p["key"].isNotNull()
+    # a change from a to b is the delta if b without the delta is a: one map for each participant, none for each pair
+    part = lambda p, i: F.struct(i.alias("i"), p["name"].alias("name"), p["key"].alias("key"), entries(p["elements"]).alias("has"), entries(without(p["elements"])).alias("before"))
+    side = lambda c: F.filter(F.transform(c, part), usable)
+    rows = rows.select("step", "rxn", "place", "made", "used", (F.size("left") + F.size("right")).alias("size"), F.coalesce(F.forall(F.map_values("delta"), lambda n: F.coalesce(n != 0, F.lit(False))), F.lit(False)).alias("clear"), side("left").alias("l"), side("right").alias("r"))
+
+    def matches(consumed: str, released: str, agrees: bool) -> Column:
+        # few pairs fit: only these get a score
+        both = lambda c, r: F.coalesce((c["key"] == F.col("used")) & (r["key"] == F.col("made")), F.lit(False))
+        equal = lambda c, r: F.coalesce(r["before"] == c["has"], F.lit(False)) & F.col("clear")
+
+        def scored(c: Column, r: Column) -> Column:
+            score = (1000 * both(c, r).cast("int") + 100 * equal(c, r).cast("int")) * 100 - F.col("size")
+            return F.struct((-score).alias("cost"), "place", F.lit(not agrees).alias("turned"), c["i"].alias("i"), r["i"].alias("j"), "rxn", both(c, r).alias("exact"))
+
+        return F.flatten(F.transform(consumed, lambda c: F.transform(F.filter(released, lambda r: equal(c, r) | both(c, r)), lambda r: scored(c, r))))
+
+    best = F.array_min(F.filter(F.concat(matches("l", "r", True), matches("r", "l", False)), lambda m: m["cost"] < 0))
+    # moved before it is grouped, so that the participants are not sorted; a filter ahead of that would work all of it out again
+    best = rows.select("step", best.alias("b")).repartition("step").groupBy("step").agg(F.min("b").alias("b")).where("b is not null")
+    return best.select("step", "b.rxn", (~F.col("b.turned")).alias("agrees"), F.col("b.i").alias("consumed_at"), F.col("b.j").alias("released_at"), "b.exact", (-F.col("b.cost")).alias("score"))
 
 
 def side_tally(participants: DataFrame) -> DataFrame:
@@ -74,13 +83,14 @@ def balance(tally: DataFrame, certified: DataFrame, ignored: str = "H") -> DataF
     return certified.join(per_step, "step", "left").select("step", F.when(known & F.col("equal"), "yes").when(known, "no").otherwise("unknown").alias("balanced"))
 
 
-def complete_equation(best: DataFrame, candidates: DataFrame, steps: DataFrame) -> DataFrame:
+def complete_equation(best: DataFrame, candidates: DataFrame, steps: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(step, rxn, consumed, released, predicted): the keys of the picked reaction in the step's direction.
 
     The step's own molecules stand in the two roles that they matched, also where the source names
-    others there or a generic participant without a key; ``predicted`` tells that it does.
+    others there or a generic participant without a key; ``predicted`` tells that it does.  ``sources`` as in ``pick_reaction``.
     """
-    chosen = best.join(candidates.select("step", "rxn", "left", "right"), ["step", "rxn"]).join(steps.select("step", "made", "used"), "step")
+    sided = best.join(candidates.select("step", "rxn", "left", "right"), ["step", "rxn"]) if sources is None else best.join(sources.select("rxn", "left", "right"), "rxn")
+    chosen = sided.join(steps.select("step", "made", "used"), "step")
     side = lambda a, b: F.when(F.col("agrees"), F.col(a)).otherwise(F.col(b))
     put = lambda xs, at, mol: F.transform(xs, lambda x, i: F.when(i == F.col(at), F.col(mol)).otherwise(F.coalesce(x["key"], x["name"])))
     return chosen.select(

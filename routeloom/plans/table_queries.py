@@ -12,7 +12,7 @@ from ..operators import completion as C
 from ..operators import corpus as E
 from ..operators import learned as M
 from ..operators.enrich import complete_reactions, label_sink, render_reaction
-from ..storage import shared_dir
+from ..storage import settled, shared_dir
 from ..streaming import decisions as T
 from . import bindings as B
 from . import ranking as R
@@ -408,7 +408,7 @@ def _role_tables(spark, d):
     own = orders.select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("step"))
     other = orders.select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("rxn"))
     pairs = own.join(other, ["o_custkey", "o_orderpriority"]).where("step <> rxn").select("step", "rxn")
-    return steps, pairs.join(sides, "rxn").withColumn("place", F.col("rxn"))
+    return steps, pairs.withColumn("place", F.col("rxn")), sides
 
 
 ROLES = """WITH fs AS (SELECT l_orderkey AS step, min({'n': l_linenumber, 's': l_suppkey, 'p': l_partkey}) AS f FROM lineitem GROUP BY l_orderkey),
@@ -425,7 +425,8 @@ ROLES = """WITH fs AS (SELECT l_orderkey AS step, min({'n': l_linenumber, 's': l
   SELECT step, rxn, agrees, CAST(i AS INT) AS consumed_at, CAST(j AS INT) AS released_at, exact, CAST(score AS INT) AS score FROM bs QUALIFY row_number() OVER (PARTITION BY step ORDER BY score DESC, rxn, agrees DESC, i, j) = 1"""
 )
 def q62_role_matching(spark, d):
-    return C.pick_reaction(*_role_tables(spark, d))
+    steps, candidates, sources = _role_tables(spark, d)
+    return C.pick_reaction(steps, candidates, sources=sources)
 
 
 @query(
@@ -437,8 +438,9 @@ def q62_role_matching(spark, d):
 )
 def q62_completed_equations(spark, d):
     """The picked reaction of each step with the step's own molecules in their roles."""
-    steps, candidates = _role_tables(spark, d)
-    out = C.complete_equation(C.pick_reaction(steps, candidates), candidates, steps)
+    steps, candidates, sources = _role_tables(spark, d)
+    steps, sources = settled(steps, "steps"), settled(sources, "sources")  # both are read twice
+    out = C.complete_equation(C.pick_reaction(steps, candidates, sources=sources), candidates, steps, sources)
     return out.withColumn("consumed", F.array_join("consumed", ",")).withColumn("released", F.array_join("released", ","))
 
 

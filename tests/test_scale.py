@@ -53,3 +53,40 @@ def test_pairs_that_lack_a_coordinate_fall_before_they_are_moved(spark, monkeypa
     # what shares the rarest coordinate alone is ten times what is left
     share = sum(len([m for m in has if min(asks[r], key=lambda c: sum(c in h for h in has.values())) in has[m]]) for r in range(300))
     assert made["found"].where("rule_idx < 300").count() * 4 < share
+
+
+def test_only_the_best_match_of_a_candidate_is_moved(spark):
+    from pyspark.sql import functions as F
+
+    from routeloom.operators import completion as C
+
+    draw = random.Random(9)
+    part = lambda k: (str(k) if k else None, ["x", "ATP", "y"][k % 3], {"C": k % 3, "O": k % 2} if k != 5 else None)
+    sources = [(r, [part(draw.randrange(7)) for _ in range(3)], [part(draw.randrange(7)) for _ in range(2)]) for r in range(12)]
+    steps = [(s, str(draw.randrange(1, 7)), str(draw.randrange(1, 7)), draw.choice([{"C": 1}, {"C": 1, "O": -1}, {"O": 0}, {}, None])) for s in range(30)]
+    candidates = [(s, r, r // 2) for s in range(30) for r in draw.sample(range(12), 4) if r % 2 or draw.random() < 0.5]
+    side, want = dict((r, (a, b)) for r, a, b in sources), {}
+    for s, made, used, delta in steps:
+        for _, r, place in (c for c in candidates if c[0] == s):
+            for agrees, (left, right) in ((True, side[r]), (False, side[r][::-1])):
+                for i, c in enumerate(left):
+                    for j, d in enumerate(right):
+                        if c[0] is None or d[0] is None or "ATP" in (c[1], d[1]):
+                            continue
+                        change = None if c[2] is None or d[2] is None else {k: d[2][k] - c[2][k] for k in "CO" if d[2][k] != c[2][k]}
+                        exact, same = c[0] == used and d[0] == made, change is not None and change == delta
+                        if exact or same:
+                            key = (-((1000 * exact + 100 * same) * 100 - 5), place, not agrees, i, j, r)
+                            want[s] = min(want.get(s, (0,)), (*key, exact))
+    want = sorted((s, r, not turned, i, j, exact, -cost) for s, (cost, _, turned, i, j, r, exact) in want.items())
+    kind = "array<struct<key: string, name: string, elements: map<string, int>>>"
+    sources = spark.createDataFrame(sources, f"rxn long, left {kind}, right {kind}")
+    steps = spark.createDataFrame(steps, "step long, made string, used string, delta map<string, int>")
+    candidates = spark.createDataFrame(candidates, "step long, rxn long, place int")
+    apart = C.pick_reaction(steps, candidates, sources=sources)
+    assert sorted(map(tuple, apart.collect())) == want
+    assert sorted(map(tuple, C.pick_reaction(steps, candidates.join(sources, "rxn")).collect())) == want
+    assert "Generate" not in _plan(apart) and "Window" not in _plan(apart)  # no row for each pair of participants
+    best = C.complete_equation(apart, candidates, steps, sources).select("step", F.to_json(F.struct("consumed", "released")))
+    whole = C.complete_equation(apart, candidates.join(sources, "rxn"), steps).select("step", F.to_json(F.struct("consumed", "released")))
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, whole.collect()))
