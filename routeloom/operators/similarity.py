@@ -16,7 +16,7 @@ from ..storage import cut
 
 BROADCAST_BYTES = 64 << 20
 #: Similarities that a task holds at once.
-SCORES = 4 << 20
+SCORES = 1 << 20
 
 
 def set_tanimoto(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -71,11 +71,12 @@ def _against_all(queries: DataFrame, sink: DataFrame, k: int) -> DataFrame:
     let_workers_import(queries.sparkSession)
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     rows = sorted((r.label, r.v) for r in sink.select("label", "v").collect())  # at most BROADCAST_BYTES
-    held = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
+    names_of = pa.array([r[0] for r in rows], to_arrow_type(sink.schema["label"].dataType))
+    held = queries.sparkSession.sparkContext.broadcast((names_of, np.array([r[1] for r in rows], np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, matrix = held.value
-        squares = (matrix * matrix).sum(axis=-1)
+        squares = np.einsum("ij,ij->i", matrix, matrix)  # without a second matrix
         for batch in batches:
             vectors = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
             names, found, sims = batch.column(0).to_pylist(), [], []
@@ -84,18 +85,20 @@ def _against_all(queries: DataFrame, sink: DataFrame, k: int) -> DataFrame:
                 part = vectors[at : at + step]
                 dots = part @ matrix.T
                 under = (part * part).sum(axis=1)[:, None] + squares - dots
-                sim = np.round(np.divide(dots, under, out=np.ones_like(dots), where=under != 0), 12)
-                order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                # in place: a task holds two tables of SCORES numbers, and their order row by row
+                np.copyto(dots, 1.0, where=under == 0)
+                np.divide(dots, under, out=dots, where=under != 0)
+                sim = np.negative(np.round(dots, 12, out=dots), out=under)
+                order = np.stack([np.argsort(row, kind="stable")[:k] for row in sim])
                 found.append(order)
-                sims.append(np.take_along_axis(sim, order, axis=1))
+                sims.append(-np.take_along_axis(sim, order, axis=1))
             order, sim = np.concatenate(found), np.concatenate(sims)
             width = order.shape[1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([n for n in names for _ in range(width)], batch.schema.types[0]), pa.array([labels[i] for i in order.reshape(-1)]).cast(kinds), pa.array(sim.reshape(-1)), pa.array(np.tile(np.arange(1, width + 1, dtype=np.int32), len(names)))],
+                [pa.array([n for n in names for _ in range(width)], batch.schema.types[0]), labels.take(pa.array(order.reshape(-1))), pa.array(sim.reshape(-1)), pa.array(np.tile(np.arange(1, width + 1, dtype=np.int32), len(names)))],
                 ["q", "label", "sim", "rank"],
             )
 
-    kinds = to_arrow_type(sink.schema["label"].dataType)
     schema = f"q {kind(queries, 'q')}, label {kind(sink, 'label')}, sim double, rank int"
     if not rows:
         return queries.sparkSession.createDataFrame([], schema)

@@ -90,3 +90,21 @@ def test_only_the_best_match_of_a_candidate_is_moved(spark):
     best = C.complete_equation(apart, candidates, steps, sources).select("step", F.to_json(F.struct("consumed", "released")))
     whole = C.complete_equation(apart, candidates.join(sources, "rxn"), steps).select("step", F.to_json(F.struct("consumed", "released")))
     assert sorted(map(tuple, best.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_a_task_holds_few_similarities(spark):
+    import numpy as np
+
+    from routeloom.operators import similarity
+
+    assert 2 * 8 * similarity.SCORES <= 16 << 20  # bytes of the two tables, whatever the sink
+    draw = np.random.default_rng(2)
+    v = draw.integers(-2, 3, (40, 4)).astype(float)
+    v[3] = 0
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "label long, v array<double>")
+    out = similarity.nearest(frame.withColumnRenamed("label", "q"), frame, 3)
+    dots, squares = v @ v.T, (v * v).sum(1)
+    under = squares[:, None] + squares - dots
+    sim = np.round(np.where(under == 0, 1, dots / np.where(under == 0, 1, under)), 12)
+    want = [(q, int(n), float(sim[q, n]), r + 1) for q in range(40) for r, n in enumerate(np.argsort(-sim[q], kind="stable")[:3])]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
