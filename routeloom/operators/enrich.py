@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ec_list, equation_side, reaction_ids, strip_split
+from ..storage import cut
 
 
 def annotate_rules(rules: DataFrame, reactions: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def complete_reactions(rules: DataFrame, equations: DataFrame, compounds: DataFr
     """
     first = F.slice(reaction_ids(F.col("reaction_id")), 1, max_per_rule)
     ids = rules.select("rule_idx", F.posexplode(first).alias("place", "x")).select("rule_idx", "place", "x.id", "x.direction")
-    found = ids.join(parse_equations(equations), "id")
+    found = cut(ids.join(parse_equations(equations), "id"), "sources")  # read for the participants and for the rest
     sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("terms")) for s in ("left", "right")))
     flat = found.select("rule_idx", "place", F.explode(sides).alias("s")).select("rule_idx", "place", "s.side", F.posexplode("s.terms").alias("at", "t"))
     flat = flat.select("rule_idx", "place", "side", "at", F.col("t.id").alias("cid"), F.col("t.coefficient").alias("coefficient"))
