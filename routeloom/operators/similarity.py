@@ -19,18 +19,22 @@ BROADCAST_BYTES = 64 << 20
 SCORES = 1 << 20
 
 
-def set_tanimoto(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+def set_tanimoto(pairs: DataFrame, left: DataFrame, right: DataFrame, same: bool = False) -> DataFrame:
     """Adds ``sim`` to (l, r) pairs, from member tables (l, member) and (r, member).
 
     Sets travel as arrays: they are the bits of a fingerprint, so their size is bounded, and a
-    pair is one row. A side without members gives 0.
+    pair is one row. A side without members gives 0.  The left sets are met last, so the result lies by ``l``,
+    and what ranks a left side's pairs moves none of them again.  ``same`` says that both tables hold the sets of the
+    same things: a pair of a thing with itself then carries no set.
     """
     own = left.groupBy("l").agg(F.collect_set("member").alias("a"))
     other = right.groupBy("r").agg(F.collect_set("member").alias("b"))
-    out = pairs.join(own, "l", "left").join(other, "r", "left")
+    itself = (F.col("l") == F.col("r")) if same else F.lit(False)
+    out = pairs.join(other, "r", "left").withColumn("_self", itself & F.col("b").isNotNull())
+    out = out.withColumn("b", F.when(~F.col("_self"), F.col("b"))).join(own, "l", "left")
     both = F.size(F.array_intersect("a", "b"))
-    sim = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), both / (F.size("a") + F.size("b") - both)).otherwise(0.0)
-    return out.withColumn("sim", sim).drop("a", "b")
+    sim = F.when(F.col("_self"), 1.0).when(F.col("a").isNotNull() & F.col("b").isNotNull(), both / (F.size("a") + F.size("b") - both)).otherwise(0.0)
+    return out.withColumn("sim", sim).drop("a", "b", "_self")
 
 
 def nearest(queries: DataFrame, sink: DataFrame, k: int = 1, block_rows: int | None = None) -> DataFrame:

@@ -108,3 +108,32 @@ def test_a_task_holds_few_similarities(spark):
     sim = np.round(np.where(under == 0, 1, dots / np.where(under == 0, 1, under)), 12)
     want = [(q, int(n), float(sim[q, n]), r + 1) for q in range(40) for r, n in enumerate(np.argsort(-sim[q], kind="stable")[:3])]
     assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_a_pair_with_itself_carries_no_set_and_ranks_lie_by_molecule(spark):
+    from pyspark.sql import functions as F
+
+    from routeloom.operators import expand as X
+    from routeloom.operators.similarity import set_tanimoto
+
+    draw = random.Random(11)
+    sets = {k: set(draw.sample(range(9), draw.randint(1, 5))) for k in range(8)}
+    pairs = [(x, y, i) for i, (x, y) in enumerate((x, y) for x in [*range(8), 90] for y in [*range(8), 90])]  # 90 has no members
+    want = sorted((x, y, i, len(sets[x] & sets[y]) / len(sets[x] | sets[y]) if x in sets and y in sets else 0.0) for x, y, i in pairs)
+    members = spark.createDataFrame([(k, m) for k, v in sets.items() for m in v], "l long, member long")
+    frame = spark.createDataFrame(pairs, "l long, r long, rule_idx long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for same in (False, True):
+            out = set_tanimoto(frame, members, members.withColumnRenamed("l", "r"), same).select("l", "r", "rule_idx", "sim")
+            assert sorted(map(tuple, out.collect())) == want
+        ranked = X.rank_rules(out.withColumnRenamed("l", "mol"))
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(l#") <= 2 and "Exchange hashpartitioning(mol#" not in plan  # the pairs and the sets; none for the ranks
+        outcomes = spark.createDataFrame([(i, 0, [i % 3, 7]) for _, _, i in pairs], "rule_idx long, pos int, molecules array<long>")
+        made = X.expand(ranked, outcomes)
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(mol#") == 1
+        assert sorted((r.mol, r.place) for r in made.select("mol", "place").collect()) == [(m, p) for m in sorted({x for x, _, _ in pairs}) for p in (1, 2, 3)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
