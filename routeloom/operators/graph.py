@@ -23,6 +23,25 @@ def reaction_rows(children: DataFrame) -> DataFrame:
     return children.groupBy(*KEYS, "child").agg(F.count("*").cast("int").alias("times"))
 
 
+#: Rounds in which reactions fall that lack a child for good; each is two joins, and the loops after it read what is left in every step.
+ROUNDS = 3
+
+
+def makeable(reactions: DataFrame, free: DataFrame) -> DataFrame:
+    """Those of the reactions, as a table, that may serve to make something: their parent is not available, and each child is, or is made by one of them.
+
+    What falls can never fire, so solved molecules, depths and costs stay as they are.  It is no fixpoint: after ``ROUNDS``
+    rounds some may be left that never fire either.
+    """
+    made = reactions.join(free.withColumnRenamed("mol", "parent"), ["run", "parent"], "left_anti").select(reactions.columns)
+    left = cut(made, "makeable")
+    for _ in range(ROUNDS):
+        known = free.select("run", "mol").unionByName(left.select("run", F.col("parent").alias("mol"))).distinct()
+        dead = left.join(known.withColumnRenamed("mol", "child"), ["run", "child"], "left_anti").select(*KEYS).distinct()
+        left = cut(left.join(dead, KEYS, "left_anti").select(reactions.columns), "makeable", left)
+    return left
+
+
 def and_or_depth(molecules: DataFrame, reactions: DataFrame, max_levels: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(run, mol, cost) of every solvable molecule and (run, rxn, parent) of all reactions that reach it.
 
@@ -31,10 +50,8 @@ def and_or_depth(molecules: DataFrame, reactions: DataFrame, max_levels: int | N
     down what each open reaction still lacks; a molecule is assigned once.
     """
     cost = cut(molecules.where("available").select("run", "mol", F.lit(0).alias("cost")).distinct(), "cost")
-    need = cut(reactions.select(*KEYS, "child").distinct(), "need")
-    lacks = need.groupBy(*KEYS).agg(F.count("*").alias("lacks"))
-    done = molecules.where("available").select("run", F.col("mol").alias("parent")).distinct()
-    lacks = cut(lacks.join(done, ["run", "parent"], "left_anti"), "lacks")
+    need = makeable(reactions.select(*KEYS, "child").distinct(), cost.select("run", "mol"))
+    lacks = cut(need.groupBy(*KEYS).agg(F.count("*").alias("lacks")), "lacks")
     fresh, costs, chosen, level = cost, [cost], [], 0
     while max_levels is None or level < max_levels:
         level += 1
@@ -62,44 +79,49 @@ def solved(molecules: DataFrame, reactions: DataFrame) -> tuple[DataFrame, DataF
     return mols, need.select(*KEYS).distinct().join(open_, ["run", "rxn"], "left_anti")
 
 
-def _fired(touched: DataFrame, reactions: DataFrame, known: DataFrame) -> DataFrame:
-    """(run, parent) of those of the ``touched`` (run, rxn) reactions whose children are all known."""
-    rows = reactions.join(touched.distinct(), ["run", "rxn"], "left_semi").select(*KEYS, "child").distinct()
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy(*KEYS))).join(known.select("run", F.col("mol").alias("child")), ["run", "child"])
-    return rows.groupBy(*KEYS, "n").agg(F.count("*").alias("met")).where("met = n").select("run", "parent").distinct()
-
-
 def swap_available(solved_mols: DataFrame, reactions: DataFrame, available: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
     """(run, mol) solved after some molecules became available and others ceased to be, from those solved before.
 
     All but ``reactions`` are (run, mol); ``available`` is the new state, in which all of ``added`` and
     none of ``removed`` count.  First whatever the removed ones may have served to solve is put in doubt,
     upwards through the reactions that they completed; then what the rest still solves is derived
-    again, along with what the added ones newly solve.  A step joins and writes only what the last one
-    reached; the rest of the table is read and not written.  A cycle that leant on a removed
+    again, along with what the added ones newly solve.  What can be doubted, and what can be derived again, is
+    gathered once; a step reads that alone and writes what the last one reached, or what is left to derive.  A cycle that leant on a removed
     molecule alone stays out, as all of it is in doubt.
     """
     pair = ["run", "mol"]
     old, free = cut(solved_mols.select(*pair).distinct(), "solved"), cut(available.select(*pair).distinct(), "free")
     edges = cut(reactions.select(*KEYS, "child").distinct(), "edges")
 
-    def above(mols: DataFrame) -> DataFrame:
-        return edges.join(mols.select("run", F.col("mol").alias("child")), ["run", "child"], "left_semi").select("run", "rxn")
-
+    # what can be put in doubt: solved molecules that are not available, by those of their reactions that were complete
+    known = old.withColumnRenamed("mol", "child")
+    kept = edges.join(old.join(free, pair, "left_anti").withColumnRenamed("mol", "parent"), ["run", "parent"], "left_semi")
+    broken = kept.join(known, ["run", "child"], "left_anti").select("run", "rxn").distinct()
+    leans = cut(kept.join(broken, ["run", "rxn"], "left_anti").select("run", "parent", "child").distinct(), "leans")
     step = cut(removed.select(*pair).distinct().join(old, pair, "left_semi").join(free, pair, "left_anti"), "doubt")
     doubt = step
     while not step.isEmpty():
-        led = _fired(above(step), edges, old).withColumnRenamed("parent", "mol").join(free, pair, "left_anti")
-        step = cut(led.join(old, pair, "left_semi").join(doubt, pair, "left_anti"), "doubt")
+        led = leans.join(step.withColumnRenamed("mol", "child"), ["run", "child"], "left_semi").select("run", F.col("parent").alias("mol")).distinct()
+        step = cut(led.join(doubt, pair, "left_anti"), "doubt")
         doubt = doubt.unionByName(step)
-    known = old.join(doubt, pair, "left_anti")
-    into = edges.join(doubt.withColumnRenamed("mol", "parent"), ["run", "parent"], "left_semi").select("run", "rxn")
-    again = _fired(into, edges, known).withColumnRenamed("parent", "mol")
-    step = cut(again.unionByName(added.select(*pair).join(free, pair, "left_semi")).distinct().join(known, pair, "left_anti"), "derived")
+    known = cut(old.join(doubt, pair, "left_anti").unionByName(added.select(*pair).join(free, pair, "left_semi")).distinct(), "known")
+    # what stands is closed but for the doubted and the added, so only reactions of molecules that are not known are looked at from here on, and of these what can be made
+    rest = makeable(edges, known)
+    lacks = rest.join(known.withColumnRenamed("mol", "child"), ["run", "child"], "left_anti")
+    lacks = cut(lacks, "lacks")
+    ready = rest.select(*KEYS).distinct().join(lacks.select("run", "rxn").distinct(), ["run", "rxn"], "left_anti")
+    step = cut(ready.select("run", F.col("parent").alias("mol")).distinct(), "derived")
+    out = known
     while not step.isEmpty():
-        known = known.unionByName(step)
-        step = cut(_fired(above(step), edges, known).withColumnRenamed("parent", "mol").join(known, pair, "left_anti"), "derived")
-    return known
+        out = out.unionByName(step)
+        # reactions of what is known are closed, the others lack what is left of their children
+        open_ = lacks.join(step.withColumnRenamed("mol", "parent"), ["run", "parent"], "left_anti")
+        left = cut(open_.join(step.withColumnRenamed("mol", "child"), ["run", "child"], "left_anti").select(*KEYS, "child"), "lacks")
+        ready = open_.select(*KEYS).distinct().join(left.select("run", "rxn").distinct(), ["run", "rxn"], "left_anti")
+        step = cut(ready.select("run", F.col("parent").alias("mol")).distinct(), "derived")
+        release(lacks)
+        lacks = left
+    return out
 
 
 def frontier(molecules: DataFrame, solved_mols: DataFrame) -> DataFrame:
@@ -117,9 +139,8 @@ def shortest_cost(molecules: DataFrame, reactions: DataFrame) -> DataFrame:
     """
     kind = reactions.schema["rxn"].dataType
     best = cut(molecules.where("available").select("run", "mol", F.lit(0.0).alias("tree_cost"), F.lit(None).cast(kind).alias("rxn")).distinct(), "best")
-    whole = Window.partitionBy("run", "rxn")
-    sized = reactions.withColumn("n", F.count("*").over(whole)).join(best.select("run", F.col("mol").alias("parent")), ["run", "parent"], "left_anti")
-    sized = cut(sized.select("run", "rxn", "parent", "child", "times", "n"), "sized")
+    left = makeable(reactions.select(*KEYS, "child", "times"), best.select("run", "mol"))
+    sized = cut(left.withColumn("n", F.count("*").over(Window.partitionBy("run", "rxn"))), "sized", left)
     fell = best.select("run", "mol")
     while True:
         # the reactions with a child whose cost fell, summed over all their children

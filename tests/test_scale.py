@@ -137,3 +137,27 @@ def test_a_pair_with_itself_carries_no_set_and_ranks_lie_by_molecule(spark):
         assert sorted((r.mol, r.place) for r in made.select("mol", "place").collect()) == [(m, p) for m in sorted({x for x, _, _ in pairs}) for p in (1, 2, 3)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_reactions_that_lack_a_child_for_good_are_not_read_in_each_level(spark, monkeypatch):
+    from routeloom.operators import graph as G
+
+    made = {}
+    cut = G.cut
+    monkeypatch.setattr(G, "cut", lambda df, name="step", *more: (made.setdefault(name, []).append(df.count()), cut(df, name, *more))[1])
+    # 1 of 2 and 3 of 1 are made; 50 reactions want 99, which nothing makes, 50 more want what those would make
+    rows = [("r", 0, 1, 2, 1), ("r", 1, 3, 1, 2)] + [("r", 10 + i, 100 + i, c, 1) for i in range(50) for c in (2, 99)] + [("r", 60 + i, 200 + i, c, 1) for i in range(50) for c in (1, 100 + i)]
+    rxns = spark.createDataFrame(rows, "run string, rxn long, parent long, child long, times int")
+    mols = spark.createDataFrame([("r", m, m == 2) for m in {r[2] for r in rows} | {2, 99}], "run string, mol long, available boolean")
+    assert {r.mol: r.cost for r in G.and_or_depth(mols, rxns)[0].collect()} == {2: 0, 1: 1, 3: 2}
+    assert made["lacks"][0] == 2  # 102 before
+    assert {r.mol: r.tree_cost for r in G.shortest_cost(mols, rxns).collect()} == {2: 0, 1: 1, 3: 3}
+    assert made["sized"] == [2]  # 202 before
+    pair = "run string, mol long"
+    was = spark.createDataFrame([("r", m) for m in (1, 2, 3)], pair)
+    now = spark.createDataFrame([("r", 99)], pair)
+    got = G.swap_available(was, rxns, now, now, spark.createDataFrame([("r", 2)], pair)).collect()
+    assert [tuple(r) for r in got] == [("r", 99)]
+    assert made["leans"] == [2]
+    both = G.swap_available(was, rxns, was.where("mol = 2").unionByName(now), now, now.limit(0)).collect()
+    assert sorted(r.mol for r in both) == [1, 2, 3, 99, *range(100, 150), *range(200, 250)]
