@@ -68,6 +68,8 @@ def replay(
         came = own.where("mol = taken").select("run", F.col("pos").alias("of"))
         shifted = F.when(F.col("mol") == F.col("taken"), F.col("to")).when(F.col("pos").between(F.col("to"), F.col("of")), F.col("pos") + 1).otherwise(F.col("pos"))
         following = cut(own.join(came, "run").select("run", "mol", "cost", shifted.alias("pos"), (F.col("to") + 1).alias("checked")), "plan")
+        if not following.isEmpty():  # the trees that go on are all that the next round reads
+            edges = cut(edges.join(moved.select("run"), "run", "left_semi"), "replay-edges", edges)
         for table in (plan, timed, decided, runs, at_end):
             release(table)
         plan, turn = following, turn + 1

@@ -161,3 +161,20 @@ def test_reactions_that_lack_a_child_for_good_are_not_read_in_each_level(spark,
     assert made["leans"] == [2]
     both = G.swap_available(was, rxns, was.where("mol = 2").unionByName(now), now, now.limit(0)).collect()
     assert sorted(r.mol for r in both) == [1, 2, 3, 99, *range(100, 150), *range(200, 250)]
+
+
+def test_a_later_round_of_a_replay_reads_its_own_trees(spark, sf_dir, monkeypatch):
+    from routeloom.operators import replay as R
+    from routeloom.plans import search_queries as S
+
+    rounds = []
+    timed = R._timed
+
+    def watched(plan, edges):
+        rounds.append(tuple({r.run for r in t.select("run").distinct().collect()} for t in (plan, edges)))
+        return timed(plan, edges)
+
+    monkeypatch.setattr(R, "_timed", watched)
+    S._replay(spark, "/root/testdata/sf0.01", top_k=4)
+    assert len(rounds) > 1 and len(rounds[1][0]) < len(rounds[0][0])
+    assert all(read <= going for going, read in rounds)
