@@ -68,23 +68,34 @@ def gate(controls: dict[str, float], slope: float) -> None:
         raise ValueError(f"the calibration's slope is {slope}")
 
 
+def _dealt(rows: DataFrame, group: str, share: float, seed: int) -> DataFrame:
+    """The rows with their ``_role`` by group: train, platt (a calibration's) or test; written once, as fits and scorings read it."""
+    parts = split_groups(rows, group, share, seed).withColumnRenamed("held", "test")
+    rest = split_groups(parts.where("not test").drop("test"), group, share, seed + 1)
+    role = F.when(F.col("held"), "platt").otherwise("train")
+    dealt = rest.withColumn("_role", role).drop("held").unionByName(parts.where("test").drop("test").withColumn("_role", F.lit("test")))
+    return cut(dealt, "dealt")
+
+
+def _boosted(train: DataFrame, names: list[str], trees: int, seed: int) -> PipelineModel:
+    vector = VectorAssembler(inputCols=names, outputCol="x", handleInvalid="keep")
+    trained = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=3, seed=seed).fit(vector.transform(train))
+    return PipelineModel([vector, trained])
+
+
+def train_model(rows: DataFrame, features: list[str], group: str, share: float = 0.25, seed: int = 0, trees: int = 20) -> PipelineModel:
+    """The model of ``fit`` alone, of the same rows, where neither a calibration nor figures are asked for."""
+    return _boosted(_dealt(rows, group, share, seed).where("_role = 'train'").drop("_role"), list(features), trees, seed)
+
+
 def fit(rows: DataFrame, features: list[str], group: str, controls: list[list[str]] = (), share: float = 0.25, seed: int = 0, trees: int = 20, check: bool = True):
     """A boosted model on ``features`` and a logistic calibration, on three disjoint sets of groups.
 
     Returns (model, calibration, metrics). ``controls`` are feature lists that must do no better than chance.
     """
-    parts = split_groups(rows, group, share, seed).withColumnRenamed("held", "test")
-    rest = split_groups(parts.where("not test").drop("test"), group, share, seed + 1)
-    # written once: five fits and scorings read it
-    role = F.when(F.col("held"), "platt").otherwise("train")
-    dealt = rest.withColumn("_role", role).drop("held").unionByName(parts.where("test").drop("test").withColumn("_role", F.lit("test")))
-    dealt = cut(dealt, "dealt")
+    dealt = _dealt(rows, group, share, seed)
     train, platt, test = (dealt.where(F.col("_role") == r).drop("_role") for r in ("train", "platt", "test"))
-
-    def boosted(names: list[str]):
-        vector = VectorAssembler(inputCols=names, outputCol="x", handleInvalid="keep")
-        trained = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=3, seed=seed).fit(vector.transform(train))
-        return PipelineModel([vector, trained])
+    boosted = lambda names: _boosted(train, names, trees, seed)
 
     def scores(model, df):
         return model.transform(df).withColumn("score", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
@@ -108,10 +119,13 @@ def score(model: PipelineModel, rows: DataFrame, default: float = float("nan"))
 
 
 def score_edges(model: PipelineModel, edges: DataFrame, features: DataFrame, fallback: float = 0.5) -> DataFrame:
-    """Scores each distinct (parent, molecules) once and joins them back; what cannot be scored gets the fallback."""
-    keys = ["parent", "molecules"]
-    once = score(model, edges.select(*keys).distinct().join(features, keys, "left")).select(*keys, "score")
-    return edges.join(once, keys, "left").withColumn("score", F.coalesce(F.nanvl("score", F.lit(None)), F.lit(fallback)))
+    """Scores each distinct row of features once and joins it back; what cannot be scored gets the fallback."""
+    keys, names = ["parent", "molecules"], model.stages[0].getInputCols()
+    own = [f"_f{i}" for i in range(len(names))]
+    known = edges.join(features.select(*keys, *(F.col(n).alias(f) for n, f in zip(names, own))), keys, "left")
+    # a missing feature equals nothing, so such an edge meets no score
+    once = score(model, known.select(*own).distinct().withColumns({n: F.col(f) for n, f in zip(names, own)})).select(*own, "score")
+    return known.join(once, own, "left").select(*edges.columns, F.coalesce(F.nanvl("score", F.lit(None)), F.lit(fallback)).alias("score"))
 
 
 def save(model: PipelineModel, metrics: dict, path: str) -> None:

@@ -707,7 +707,7 @@ def q87_edge_scores(spark, d):
     """Edges of orders to their parts, scored once for each kind by the model of q86; edges without features get 0.5."""
     line = B.table(spark, d, "lineitem")
     rows = line.select(F.col("l_orderkey").alias("group"), (F.col("l_quantity") * F.col("l_discount") > 1.2).cast("int").alias("label"), "l_quantity", "l_discount")
-    model, _, _ = M.fit(rows, ["l_quantity", "l_discount"], "group", trees=5, check=False)
+    model = M.train_model(rows, ["l_quantity", "l_discount"], "group", trees=5)
     edges = line.select(F.col("l_orderkey").alias("parent"), F.col("l_partkey").cast("string").alias("molecules"))
     known = line.where("l_tax < 0.07").groupBy(F.col("l_orderkey").alias("parent"), F.col("l_partkey").cast("string").alias("molecules"))
     out = M.score_edges(model, edges, known.agg(F.max("l_quantity").alias("l_quantity"), F.max("l_discount").alias("l_discount")))

@@ -178,3 +178,24 @@ def test_a_later_round_of_a_replay_reads_its_own_trees(spark, sf_dir, monkeypatc
     S._replay(spark, "/root/testdata/sf0.01", top_k=4)
     assert len(rounds) > 1 and len(rounds[1][0]) < len(rounds[0][0])
     assert all(read <= going for going, read in rounds)
+
+
+def test_each_row_of_features_is_scored_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from routeloom.operators import learned as L
+
+    rows = spark.createDataFrame([(g, int(g % 4 > 1), float(g % 4), float(g % 3)) for g in range(120)], "group long, label int, a double, b double")
+    model = L.train_model(rows, ["a", "b"], "group", trees=2)
+    assert model.stages[1].toDebugString.split("\n")[1:] == L.fit(rows, ["a", "b"], "group", trees=2, check=False)[0].stages[1].toDebugString.split("\n")[1:]
+    edges = spark.createDataFrame([(i % 40, str(i % 20), i) for i in range(200)], "parent long, molecules string, a long")  # a column of a feature's name
+    nan = float("nan")
+    features = spark.createDataFrame([(i, str(i % 20), [0.0, 1.0, 3.0, None, nan, -0.0][i % 6], float(i % 2)) for i in range(30)], "parent long, molecules string, a double, b double")
+    want = L.score(model, edges.select("parent", "molecules").distinct().join(features, ["parent", "molecules"], "left")).select("parent", "molecules", "score")
+    want = edges.join(want, ["parent", "molecules"], "left").withColumn("score", F.coalesce(F.nanvl("score", F.lit(None)), F.lit(0.5)))
+    scored = []
+    score = L.score
+    monkeypatch.setattr(L, "score", lambda m, df, *more: (scored.append(df.count()), score(m, df, *more))[1])
+    out = L.score_edges(model, edges, features)
+    assert out.columns == want.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert scored[0] <= 12  # 40 before, one for each edge that differs
