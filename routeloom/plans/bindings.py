@@ -64,17 +64,20 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(mol, coord, n): customers' counts of parts."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     both = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-    return both.groupBy(F.col("o_custkey").alias("mol"), F.col("l_partkey").alias("coord")).agg(F.count("*").alias("n"))
+    # moved by customer once: the counts are gathered into a row where they then lie
+    both = both.select(F.col("o_custkey").alias("mol"), F.col("l_partkey").alias("coord")).repartition("mol")
+    return both.groupBy("mol", "coord").agg(F.count("*").alias("n"))
 
 
 def needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rule_idx, coord, need)."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("rule_idx"), F.col("l_partkey").alias("coord")).agg(F.count("*").alias("need"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("rule_idx"), F.col("l_partkey").alias("coord")).repartition("rule_idx")
+    return lines.groupBy("rule_idx", "coord").agg(F.count("*").alias("need"))
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rule_idx, native): orders with lines; the native substrate is the order's customer."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rule_idx"), F.col("o_custkey").alias("native"), "o_orderpriority")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rule_idx"), F.col("o_custkey").alias("native"))
     return orders.join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("rule_idx")), "rule_idx", "left_semi")
 
 
@@ -94,14 +97,15 @@ ok AS MATERIALIZED (SELECT mol, rule_idx FROM f JOIN q USING (coord) JOIN z USIN
 
 
 def rule_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rule_idx, ec): region.nation.segment of the order's customer; none for an unspecified priority."""
+    """(rule_idx, ec) of every order, with lines or without: region.nation.segment of its customer; none for an unspecified priority."""
     nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     place = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
     code = F.concat_ws(".", F.col("n_regionkey") + 1, F.col("n_nationkey") + 1, F.col("c_mktsegment"))
     coded = place.select(F.col("c_custkey").alias("native"), code.alias("code"))
     known = F.col("o_orderpriority") != "4-NOT SPECIFIED"
-    out = rules(spark, sf_dir).join(coded, "native")
-    return out.select("rule_idx", F.when(known, F.array("code")).otherwise(F.array().cast("array<string>")).alias("ec"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rule_idx"), F.col("o_custkey").alias("native"), known.alias("known"))
+    out = orders.join(coded, "native")
+    return out.select("rule_idx", F.when(F.col("known"), F.array("code")).otherwise(F.array().cast("array<string>")).alias("ec"))
 
 
 def runs_of(events: DataFrame, *keep: str) -> DataFrame:

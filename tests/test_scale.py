@@ -199,3 +199,75 @@ def test_each_row_of_features_is_scored_once(spark, monkeypatch):
     out = L.score_edges(model, edges, features)
     assert out.columns == want.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
     assert scored[0] <= 12  # 40 before, one for each edge that differs
+
+
+def _moved(spark):
+    """Bytes shuffled and written so far."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() + stages.apply(i).outputBytes() for i in range(stages.size()))
+
+
+def test_a_report_needs_neither_ranks_nor_sets(spark, monkeypatch):
+    from routeloom.operators import prefilter
+    from routeloom.plans import search_queries as S
+
+    written = []
+    for module in (prefilter, S):
+        keep = "cut" if module is prefilter else "settled"
+        monkeypatch.setattr(module, keep, lambda df, name="step", *more, f=getattr(module, keep): (written.append(name), f(df, name, *more))[1])
+    monkeypatch.setattr(S, "set_tanimoto", None)  # called before
+    at = _moved(spark)
+    assert len(S.q01_expansion_report(spark, "/root/testdata/sf0.01").collect()) == 1500
+    assert written == ["molecules", "found"]  # six tables before
+    assert _moved(spark) - at < 6_000_000  # 8.3 MB before, of 60,000 lines
+
+
+def test_a_report_counts_the_outcomes_of_its_pairs(spark):
+    from routeloom.operators import expand as X
+
+    draw = random.Random(4)
+    pairs = sorted({(draw.randrange(4), draw.randrange(14)) for _ in range(40)})
+    outcomes = [(r, p, draw.choices([1, 2, 3, 8, 9], k=draw.randint(1, 2))) for r in range(12) for p in range(r % 3)]  # 8 and 9 are cofactors; 0, 3, 6, 9, 12, 13 have no outcome
+    codes = [(r, ["1.1"] if r % 2 else []) for r in range(10)]
+    kept = lambda m: tuple(sorted(x for x in m if x < 8))
+    want = []
+    for mol in sorted({m for m, _ in pairs}):
+        own = [r for m, r in pairs if m == mol]
+        made = [(r, kept(m)) for r, _, m in outcomes if r in own]
+        some = [k for _, k in made if k]
+        want.append((mol, len(own), len({r for r, _ in made}), len([r for r in own if not (r < 10 and r % 2)]), len(made) - len(some), len(some), len(set(some)), len(some) - len(set(some))))
+    frames = spark.createDataFrame(outcomes, "rule_idx long, pos int, molecules array<long>"), spark.createDataFrame([(8,), (9,)], "mol long"), spark.createDataFrame(codes, "rule_idx long, ec array<string>")
+    pairs = spark.createDataFrame(pairs, "mol long, rule_idx long")
+    out = X.report(pairs, frames[0], None, *frames[1:])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(mol#") == 1 and "Expand" not in plan  # each pair three times before
+    assert out.columns == ["mol", "n_prefiltered", "n_graph_valid", "n_without_ec", "n_only_cofactors", "n_outcomes", "n_neighbours", "n_duplicates"]
+    assert sorted(map(tuple, out.collect())) == want
+    made = X.expand(pairs.withColumn("rank", pairs.rule_idx), *frames[:2])
+    both = X.report(pairs, frames[0], made, *frames[1:])
+    assert sorted(map(tuple, both.select(out.columns).collect())) == want
+
+
+def test_requirements_meet_counts_where_a_molecule_lies(spark):
+    from routeloom.operators import prefilter
+
+    draw = random.Random(8)
+    fp = [(m, c, draw.randint(1, 3)) for m in [*range(30), None] for c in draw.sample(range(20), 8)] + [(0, None, 5), (3, None, 1)]
+    need = [(r, c, draw.randint(1, 2)) for r in range(200) for c in draw.sample(range(21), draw.randint(1, 3))]
+    need += [(300, None, 1), (301, None, 1), (301, fp[0][1], 1), (None, fp[0][1], 1), (None, fp[1][1], 1), (302, 4, 0), (303, fp[0][1], 1), (303, fp[1][1], 0)]
+    has, asks = {}, {}
+    for m, c, n in fp:
+        has.setdefault(m, {})[c] = n
+    for r, c, n in need:
+        if r is not None and n:
+            asks.setdefault(r, []).append((c, n))
+    fits = lambda m, r: all(c is not None and has[m].get(c, 0) >= n for c, n in asks.get(r, []))
+    key = lambda p: (p[0] is None, p[0] or 0, p[1])
+    frames = spark.createDataFrame(fp, "mol int, coord long, n int"), spark.createDataFrame(need, "rule_idx long, coord long, need int")
+    rules = [*range(200), 300, 301, 302, 303, 304]
+    listed = prefilter.applicable(frames[0], spark.createDataFrame([(r,) for r in rules], "rule_idx long"), frames[1])
+    assert sorted(map(tuple, listed.collect()), key=key) == sorted(((m, r) for m in has for r in rules if fits(m, r)), key=key)
+    out = prefilter.applicable(frames[0], None, frames[1])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # more before
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(((m, r) for m in has for r in asks if fits(m, r)), key=key)
